@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokenbin
-from .common import table
+from . import mixing, quality, tokenbin, toxicity
+from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenbin.new_path(spark)
     tokenbin.write(table(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenbin.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _scored(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@_query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
+    return _scored(toxicity.score(docs, toxicity.fit(docs, labels.where(~held_out))), held_out)
+
+
+@_query("op9_quality_mil")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
+    return _scored(quality.score(docs, quality.fit(docs, labels.where(~held_out))), held_out)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, tokenbin, toxicity
+from . import mixing, quality, simhash, tokenbin, toxicity
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, held_out = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.coalesce(crc_of_id() % 3 == 1, F.lit(False))
     return _scored(quality.score(docs, quality.fit(docs, labels.where(~held_out))), held_out)
+
+
+@_query("op6_simhash_golay")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

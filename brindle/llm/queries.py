@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, mixing, quality, simhash, tokenbin, topk, toxicity
+from . import chatformat, decontaminate, editcount, mixing, quality, simhash, tokenbin, topk, toxicity
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_words", "covered", "coverage", F.size("tiles").alias("n_tiles"))
+
+
+@_query("op8_edit_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: a replacement after a third of it, an insertion at the middle of that, a deletion near its end."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda pos, n_del, ins: F.struct(pos.cast("int").alias("pos"), F.lit(n_del).alias("n_del"), F.lit(ins).alias("ins"))
+    edits = F.array(edit(F.floor(n / 3), 5, "an edited passage"), edit(F.floor(n / 2), 0, "\n\n  it's new "), edit(F.floor(n * 3 / 4), 40, ""))
+    docs, path = table(spark, sf_dir, "documents").withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.json")
+    state = editcount.counted(docs, tokenizer=path, keep=("doc_id", "edits"))
+    return editcount.edited(state, tokenizer=path).select("doc_id", "n_tokens_before", "n_tokens", F.length("text").cast("long").alias("n_chars"), "encoded_chars")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, editcount, mixing, quality, simhash, tokenbin, topk, toxicity
+from . import chatformat, decontaminate, editcount, mixing, quality, simhash, suffixdedup, tokenbin, topk, toxicity
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.json")
     state = editcount.counted(docs, tokenizer=path, keep=("doc_id", "edits"))
     return editcount.edited(state, tokenizer=path).select("doc_id", "n_tokens_before", "n_tokens", F.length("text").cast("long").alias("n_chars"), "encoded_chars")
+
+
+@_query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill, words_in
+from .common import WORD, spill, words_in
 
 BUCKET = 128
 WEIGHTS = (5, 2, 1)
@@ -71,6 +71,18 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, share: float = 1.5
     return main.withColumn("taken", taken.cast("long")).select("doc_id", "source", *carry, "size", "source_size", "target", "taken")
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: rows of docs(doc_id, source, text, n_chars, ...) with all columns, as often as mix() takes them; where it takes a
+    part, the text is its first words, one space between them, and n_chars its length. A text without words is never drawn."""
+    rows = mix(docs.select("doc_id", "source", "text", F.struct("*").alias("_row")), carry=("_row",), **how)
+    whole = F.array_repeat(F.col("_row"), F.floor(F.col("taken") / F.greatest("size", F.lit(1))).cast("int"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("part")), " ")
+    part = F.array(F.col("_row").withField("text", cut)) if "n_chars" not in docs.columns else F.array(F.col("_row").withField("text", cut).withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType)))
+    rows = rows.withColumn("part", (F.col("taken") % F.greatest("size", F.lit(1))).cast("int"))
+    drawn = F.concat(whole, F.when(F.col("part") > 0, part).otherwise(F.slice(whole, 1, 0)))
+    return rows.where("taken > 0").select(F.explode(drawn).alias("_row")).select("_row.*")
+
+
 ORACLE = r"""
 WITH s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

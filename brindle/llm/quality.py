@@ -183,3 +183,8 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",))
     for name, kind in (("score", "double"), ("passages", "long"), ("best_passage", "long"), ("attention", "double")):
         schema = schema.add(name, kind)
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+
+
+def good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score least or more, with all their columns."""
+    return score(docs.select("text", F.struct("*").alias("_row")), model, keep=("_row",)).where(F.col("score") >= least).select("_row.*")

@@ -248,6 +248,19 @@ def links(prints: DataFrame, most: int = HOT) -> DataFrame:
     return edges.distinct()
 
 
+def _grouped(docs: DataFrame, keep: tuple[str, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """fingerprint of each row with its kept columns (doc_id among them); and for each fingerprint (_print) its group's smallest
+    doc_id (component_id) and fingerprint (root). Both are written tables."""
+    prints = spill(fingerprints(docs, keep))
+    nodes = spill(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
+    roots = components(links(nodes.select("fingerprint"), most))
+    tree = spill(nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "low", F.coalesce("root", "fingerprint").alias("root")))
+    linked = roots.select("root").distinct()
+    lows = tree.join(linked, "root", "left_semi").groupBy("root").agg(F.min("low").alias("least")).withColumnRenamed("root", "_root")
+    of_print = tree.join(lows, F.col("root") == F.col("_root"), "left").select(F.col("fingerprint").alias("_print"), F.coalesce("least", "low").alias("component_id"), "root")
+    return prints, spill(of_print)
+
+
 def near_duplicates(docs: DataFrame, most: int = HOT) -> DataFrame:
     """doc_id, fingerprint (long), component_id (smallest doc_id that can be reached over links of 3 bits or fewer, itself included),
     for each row of docs(doc_id, text).
@@ -255,12 +268,16 @@ def near_duplicates(docs: DataFrame, most: int = HOT) -> DataFrame:
     Equal fingerprints are one node, so copies cost one aggregation. Null or blank texts have fingerprint 0, linked like any other.
     A null doc_id is never a component_id unless all of its component are null. Other columns are ignored; empty in, empty out.
     """
-    prints = spill(fingerprints(docs))
-    nodes = spill(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
-    roots = components(links(nodes.select("fingerprint"), most))
-    tree = nodes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "low", F.coalesce("root", "fingerprint").alias("root"))
-    tree = spill(tree)
-    linked = roots.select("root").distinct()
-    lows = tree.join(linked, "root", "left_semi").groupBy("root").agg(F.min("low").alias("least")).withColumnRenamed("root", "_root")
-    of_print = spill(tree.join(lows, F.col("root") == F.col("_root"), "left").select(F.col("fingerprint").alias("_print"), F.coalesce("least", "low").alias("component_id")))
+    prints, of_print = _grouped(docs, ("doc_id",), most)
     return prints.join(of_print, F.col("fingerprint") == F.col("_print")).select("doc_id", "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, most: int = HOT) -> DataFrame:
+    """One row of each group of near-duplicates of docs(doc_id, text, ...), with all its columns: that of the smallest doc_id, any of
+    them where rows share it, one of a null doc_id only if the group has no other. Rows get numbers and wait in the shared folder
+    while they are grouped, so that the same rows are read again."""
+    numbered = spill(docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.monotonically_increasing_id().alias("_number")), compression="zstd")
+    prints, of_print = _grouped(numbered, ("doc_id", "_number"), most)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_number").alias("c")))
+    stay = prints.groupBy("fingerprint").agg(first.alias("m")).join(of_print, F.col("fingerprint") == F.col("_print")).groupBy("root").agg(F.min("m").alias("m"))
+    return numbered.join(stay.select(F.col("m.c").alias("_kept")), F.col("_number") == F.col("_kept"), "left_semi").select("_row.*")

@@ -56,6 +56,16 @@ def spill(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by key: joins on the key don't shuffle it again, as often as it is joined."""
+    spark = df.sparkSession
+    name = f"brindle_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/brindle/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).options(path=path, compression="zstd").saveAsTable(name)
+    atexit.register(_delete, spark, path)
+    return spark.table(name)
+
+
 def words_in(text: str = "text"):
     """Number of words of a text column, 0 for null: runs of other characters end where a space or the text follows."""
     flat = F.translate(F.col(text), "\t\n\x0b\x0c\r", " " * 5)
@@ -92,6 +102,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
         begin = end
 
 
+def blank_marks(data: np.ndarray, flat: np.ndarray) -> None:
+    """Puts spaces into flat where data has U+2000 to U+206F (quotes, dashes) or U+00A0 to U+00BF but its letters."""
+    for lead, width in ((0xE2, 3), (0xC2, 2)):
+        at = np.flatnonzero(data[: 1 - width] == lead)
+        if len(at):
+            second = data[at + 1]
+            at = at[(second == 0x80) | (second == 0x81) if lead == 0xE2 else ~np.isin(second, (0xAA, 0xB5, 0xBA))]
+            for k in range(width):
+                flat[at + k] = 32
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers (the finalizer of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

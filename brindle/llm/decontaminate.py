@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, span_hashes, utf8, word_spans
+from .common import blank_marks, mix64, slices, span_hashes, utf8, word_spans
 
 SEED, COVERED = 5, 0.8
 #: Bytes of benchmark text in one pass.
@@ -37,13 +37,7 @@ def fold(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(pc.utf8_lower(texts))
     data = data[: offsets[-1]]
     flat = _LETTERS[data]
-    if (data == 0xE2).any():
-        at = np.flatnonzero((data[:-2] == 0xE2) & ((data[1:-1] == 0x80) | (data[1:-1] == 0x81)))
-        for k in range(3):
-            flat[at + k] = 32
-    if (data == 0xC2).any():
-        at = np.flatnonzero((data[:-1] == 0xC2) & ~np.isin(data[1:], (0xAA, 0xB5, 0xBA)))
-        flat[at] = flat[at + 1] = 32
+    blank_marks(data, flat)
     return flat, offsets
 
 

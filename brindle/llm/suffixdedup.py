@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _FACTOR, _INVERSE, _LETTER, mix64, powers, slices, spill, utf8
+from .common import _FACTOR, _INVERSE, _LETTER, bucketed, mix64, powers, slices, spill, utf8
 
 WINDOW, GRAM = 50, 16
 #: Bytes of text in a member of a shard; shards are cut for about half of it.
@@ -74,10 +74,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions in the order of the suffixes that begin there."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = word << np.uint64(8) | padded[k : k + n]
+    word = _eights(text)
     order = np.argsort(word, kind="stable")
     new = np.ones(n, bool)
     new[1:] = word[order[1:]] != word[order[:-1]]
@@ -104,13 +101,22 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
+def _eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number that compares as they do; zeros behind the text."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(text)].copy().view(">u8")[:, 0].astype(np.uint64)
+
+
+_LEAD = np.array([1 << (64 - 8 * k) for k in range(1, 8)], np.uint64)  # below it: k leading bytes are 0
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
     """For each position in first[i]:end[i]: how many bytes it shares with the one before it in order, up to most; 0 elsewhere. Kasai's
-    way: a position shares at least one byte less than its left neighbour does. All runs are walked side by side."""
+    way: a position shares at least one byte less than its left neighbour does. All runs are walked side by side, eight bytes a step."""
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.zeros(most + 1, np.uint8)])
+    eights = np.append(_eights(text), np.zeros(most + 8, np.uint64))
     out = np.zeros(n, np.int32)
     live = np.argsort(first - end, kind="stable")  # the longest runs first, so that live ones stay together
     shared = np.zeros(len(first), np.int64)
@@ -123,13 +129,16 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, end:
         i = at[:m] + step
         j = before[i]
         h = np.maximum(shared[:m] - 1, 0)
-        h[j < 0] = 0
         go = np.flatnonzero(j >= 0)
         while len(go):
+            x = eights[i[go] + h[go]] ^ eights[j[go] + h[go]]
+            ended = x != 0
+            last = go[ended]
+            h[last] += 7 - np.searchsorted(_LEAD[::-1], x[ended], "right")
+            go = go[~ended]
+            h[go] += 8
             go = go[h[go] < most]
-            a, b = i[go] + h[go], j[go] + h[go]
-            go = go[(padded[a] == padded[b]) & (np.maximum(a, b) < n)]
-            h[go] += 1
+        h = np.where(j < 0, 0, np.minimum(np.minimum(h, most), n - np.maximum(i, j)))
         out[i] = h
         shared[:m] = h
         step += 1
@@ -137,10 +146,10 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, end:
 
 def _words(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
     """The windows at these positions as rows of big-endian words, which compare as the bytes do."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    out = np.zeros((len(at), -(-window // 8)), np.uint64)
-    for k in range(window):
-        out[:, k // 8] |= padded[at + k].astype(np.uint64) << np.uint64(56 - 8 * (k % 8))
+    eights = np.append(_eights(text), np.zeros(8, np.uint64))
+    out = np.stack([eights[at + k] for k in range(0, window, 8)], 1)
+    if window % 8:
+        out[:, -1] &= np.uint64((1 << 64) - (1 << (64 - 8 * (window % 8))))
     return out
 
 
@@ -333,6 +342,20 @@ def _row(number: int, shard: int, run_text: bytes, lengths, docs, texts, begins,
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int64()), pa.array([run_text], pa.binary()), listed(lengths, pa.int32()), listed(docs, pa.int64()), listed(texts, pa.int32()), listed(begins, pa.int32()), pa.array([gone])], ["slice", "shard", "run_text", "lengths", "docs", "texts", "begins", "gone"])
 
 
+_LISTS = ("lengths", "docs", "texts", "begins")
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of runs, their lists as arrays."""
+    lists = {}
+    for c in _LISTS:
+        column = batch.column(c)
+        lists[c] = column.offsets.to_numpy(), column.values.to_numpy().astype(np.int64)
+    number, shard, gone, run_text = (batch.column(c) for c in ("slice", "shard", "gone", "run_text"))
+    for i, (n, s, g) in enumerate(zip(number.to_pylist(), shard.to_pylist(), gone.to_pylist())):
+        yield {"slice": n, "shard": s, "gone": g, "run_text": run_text[i].as_py()} | {c: v[o[i] : o[i + 1]] for c, (o, v) in lists.items()}
+
+
 def _searched(window: int, most: int):
     """Rows in the order of their shards: slice, and texts, begins and ends of the stretches of bytes to remove."""
 
@@ -345,18 +368,16 @@ def _searched(window: int, most: int):
             parts[-1].append(r)
             size += len(r["run_text"])
         for part in parts:
-            members.append(Member(np.frombuffer(b"".join(r["run_text"] for r in part), np.uint8), *(np.concatenate([np.array(r[c], np.int64) for r in part]) for c in ("lengths", "docs")), window))
+            members.append(Member(np.frombuffer(b"".join(r["run_text"] for r in part), np.uint8), *(np.concatenate([r[c] for r in part]) for c in ("lengths", "docs")), window))
         for a in members:
             for b in members:
                 if a is not b:
                     a.meet(b)
         for part, member in zip(parts, members):
             run, begin, end = member.gone()
-            texts, begins = (np.concatenate([np.array(r[c], np.int64) for r in part]) for c in ("texts", "begins"))
-            n = np.array([len(r["lengths"]) for r in part])
-            of = np.repeat(np.arange(len(part)), n)[run]
-            for k, r in enumerate(part):
-                lo, hi = np.searchsorted(of, [k, k + 1])
+            texts, begins = (np.concatenate([r[c] for r in part]) for c in ("texts", "begins"))
+            stop = np.searchsorted(run, np.cumsum([len(r["lengths"]) for r in part]), "left").tolist()
+            for r, lo, hi in zip(part, [0, *stop], stop):
                 if hi > lo:
                     at = run[lo:hi]
                     yield _stretches(r["slice"], texts[at], begins[at] + begin[lo:hi], begins[at] + end[lo:hi] + window - 1)
@@ -364,11 +385,10 @@ def _searched(window: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _read(batch):
                 if r["gone"]:
-                    begins = np.array(r["begins"], np.int64)
-                    if len(begins):
-                        yield _stretches(r["slice"], r["texts"], begins, begins + np.array(r["lengths"], np.int64))
+                    if len(r["begins"]):
+                        yield _stretches(r["slice"], r["texts"], r["begins"], r["begins"] + r["lengths"])
                     continue
                 if held and held[0]["shard"] != r["shard"]:
                     yield from shard(held)
@@ -412,15 +432,17 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM
     count for each other, and a null id is larger than all. Null texts are empty; texts shorter than window stay whole. Other
     columns are ignored; empty in, empty out. Long documents are slices of their own, as they are rows of their own.
     """
-    packed = spill(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "slice long, ids array<long>, ends array<long>, bytes binary"), compression="zstd")
+    spark = docs.sparkSession
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "slice long, ids array<long>, ends array<long>, bytes binary")
+    packed = bucketed(packed, "slice", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    _release(docs)
     keyed = packed.mapInArrow(_keys(window, gram), "key long, slice long, many boolean")
-    shared = spill(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, slice long"))
+    shared = spill(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, slice long"), compression="zstd")
     _release(docs)
     text = shared.count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
     shards = max(8, -(-text * 2 // member))
     wanted = shared.groupBy("slice").agg(F.collect_list("key").alias("keys")).withColumnRenamed("slice", "_slice")
-    runs_of = spill(packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards), _RUNS))
-    _release(docs)
+    runs_of = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards), _RUNS)
     found = spill(runs_of.repartition("shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard").mapInArrow(_searched(window, member), "slice long, texts array<int>, begins array<int>, ends array<int>"))
     _release(docs)
     stretches = found.groupBy("slice").agg(F.collect_list(F.struct("texts", "begins", "ends")).alias("found")).withColumnRenamed("slice", "_slice")

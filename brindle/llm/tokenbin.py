@@ -153,7 +153,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("part_start"))
     inner = blocks.select("part", "block", "n_ids").select(F.col("part").alias("p"), F.col("block").alias("b"), F.coalesce(F.sum("n_ids").over(before.partitionBy("part").orderBy("block")), F.lit(0)).alias("block_start"))
-    starts = inner.join(parts, inner.p == parts.part).select("p", "b", (F.col("part_start") + F.col("block_start")).alias("start"))
+    # Written down, so that its size is known when the blocks are joined to it: a small one is sent to them, a large one isn't.
+    starts = spill(inner.join(parts, inner.p == parts.part).select("p", "b", (F.col("part_start") + F.col("block_start")).alias("start")))
     located = blocks.join(starts, (blocks.part == F.col("p")) & (blocks.block == F.col("b")))
     return located.select("doc_ids", "start", "lengths", "ranks").mapInArrow(_unblock(sent), "doc_id long, start long, n_tokens long, ids binary")
 

@@ -104,7 +104,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, *, shard: int =
     """query_id, rank (from 1), vec_id, score of the k best candidates for each query, by integer inner product, ties to smaller ids.
 
     Both tables have id (long) and vector (array of long). A row of the query's own id is no candidate. Rows with a null id or vector
-    take no part; a shorter vector counts as padded with zeros. Equal rows of one id are one. Fewer than k candidates: all of them.
+    take no part; a shorter vector counts as padded with zeros. Equal rows of one id are one; an id with several
+    vectors is several candidates, and as a query gets the best over all of them. Fewer than k candidates: all of them.
     Empty tables give an empty result. Each candidate is sent to every block of queries and each query to every shard, which is
     the stated work: all queries against all rows; no task holds more than a shard and a block.
     """

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import slices, span_hashes, utf8, word_spans
+from .common import blank_marks, slices, span_hashes, utf8, word_spans
 from .quality import sample
 
 #: Bounds of the training sample (documents of each label) and of the terms learned.
@@ -151,6 +151,7 @@ def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[list[
     """All hits in the texts, with byte spans in their text, and the number of words of each text."""
     base = offsets[0]
     part = _FLAT[data[base : offsets[-1]]]
+    blank_marks(data[base : offsets[-1]], part)
     starts, ends, row = word_spans(part, offsets - base)
     solid = np.flatnonzero(_SOLID[part])
     if len(solid):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import strings as S
 from ..operators import evaluation as E
 from .registry import query
 
@@ -116,12 +117,23 @@ def unique_quote(t):
 
 @query("edit_distance", "SELECT a.conv_id, levenshtein(left(a.k, 200), left(b.k, 200)) AS distance, round(levenshtein(left(a.k, 200), left(b.k, 200)) / greatest(length(left(a.k, 200)), length(left(b.k, 200)), 1), 6) AS normalized FROM (SELECT *, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations WHERE turn = 0) a JOIN (SELECT *, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations WHERE turn = 1) b ON a.conv_id = b.conv_id")
 def edit_distance(t):
-    """Distance of the first two turns, ASCII characters only, within its bound of 200 characters."""
+    """Distance of the first 200 ASCII characters of the first two turns, as its SQL cuts them. edit_distance_turns compares whole turns."""
     k = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200)
     a, b = (t.conversations.where(F.col("turn") == n).select("conv_id", k.alias(c)) for n, c in ((0, "a"), (1, "b")))
     d = F.levenshtein("a", "b")
     return a.join(b, "conv_id").select("conv_id", d.alias("distance"), F.round(d / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6).alias("normalized"))
 
+_WHOLE = f"length(a.k) <= {S.EDIT_CHARS} AND length(b.k) <= {S.EDIT_CHARS} AND length(a.k)::BIGINT * length(b.k) <= {S.EDIT_CELLS}"
+
+@query("edit_distance_turns", f"WITH k AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations), d AS (SELECT a.conv_id, a.turn, greatest(length(a.k), length(b.k), 1) AS n, CASE WHEN {_WHOLE} THEN levenshtein(a.k, b.k) END AS distance FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, distance, round(distance / n, 6) AS normalized FROM d")
+def edit_distance_turns(t):
+    """Distance of each turn and the one numbered next, ASCII characters only, whole; null beyond the bounds of the guard. Joined on
+    conversation and number, so a long conversation is never gathered."""
+    k = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("a"))
+    d = k.join(k.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+    d = d.withColumn("distance", S.bounded_distance(F.col("a"), F.col("b")))
+    return d.select("conv_id", "turn", "distance", F.round(F.col("distance") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6).alias("normalized"))
+
 @query("review_ratio", "SELECT round(sum(quality) / count(quality), 6) AS quality, round(sum(toxic) / count(toxic), 6) AS toxic, count(*) AS reviewed FROM labels")
 def review_ratio(t):
     return t.labels.agg(F.round(F.sum("quality") / F.count("quality"), 6).alias("quality"), F.round(F.sum("toxic") / F.count("toxic"), 6).alias("toxic"), _count().alias("reviewed"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import formula
 from brindle.functions import text as T
 from brindle.operators import audit, chunking, retrieval
+from brindle.plans import QUERIES
 from brindle.sources import readers
 from brindle.streaming import events
 
@@ -145,3 +146,28 @@ def test_stream_windows(spark, tmp_path):
     query.awaitTermination()
     got = {(str(r.start)[:10], r.event_type): r.n for r in spark.table("tumbling_test").collect()}
     assert sum(got.values()) == 60 and got[("2024-01-01", "a")] == 12
+
+
+def test_edit_distance_of_whole_turns(spark, tmp_path):
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    rng = random.Random(0)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    head = word(200)
+    turns = {1: [head, head + word(130), "é" + word(450), "", word(9)], 2: ["a" * 1500, "b" * 1500, "a", "b" * 10_001], 3: [None, "a"], 4: ["alone"]}
+    rows = [(c, i, "user", x) for c, texts in turns.items() for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {}
+    for c, texts in turns.items():
+        for i, (a, b) in enumerate(zip(texts, texts[1:])):
+            a, b = (None if x is None else x.replace("é", "") for x in (a, b))
+            want[c, i] = None if a is None or max(len(a), len(b)) > 10_000 or len(a) * len(b) > 2_000_000 else brute(a, b)
+    got = QUERIES["edit_distance_turns"](spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.turn): r.distance for r in got} == want and want[1, 0] == 130 and want[2, 0] is None
+    assert {(r.conv_id, r.turn): r.normalized for r in got}[1, 0] == round(130 / 330, 6)

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
 
 #: Terms and scopes up to this many values are sent as literals; a larger scope is a table and joined.
 MOST_IDS = 100
+#: Rows of a shard and queries of a block in a batch search.
+SHARD, BLOCK = 16_384, 2048
 
 
 def scope(ids: Sequence[int] | None) -> list[int] | None:
@@ -38,10 +44,62 @@ def ranked(rows: DataFrame, by: list[str], *order, name: str = "rank") -> DataFr
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def dense_batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, *, id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """query_id, id, score, rank for each row of queries(query_id, query), a stated set that is joined to every chunk."""
-    scored = chunks.where(F.col(vector).isNotNull()).join(queries).select("query_id", id, V.cosine(F.col(vector), F.col("query")).alias("score"))
-    return ranked(scored.where("score is not null"), ["query_id"], F.desc("score"), id).where(F.col("rank") <= k)
+def _cell(k: int, id: str, vector: str):
+    """The k best of a shard's rows for each query of a block; all vectors are of one size, without nulls."""
+
+    def columns(column: pa.ChunkedArray, size: int) -> np.ndarray:
+        return np.ascontiguousarray(pc.list_flatten(column).to_numpy().astype(float).reshape(-1, size).T)
+
+    def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Summed in the order of V.dot, so that equal vectors score alike wherever they stand."""
+        out = np.zeros(np.broadcast_shapes(a.shape[1:], b.shape[1:]))
+        for x, y in zip(a, b):
+            out += x * y
+        return out
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found, of, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(id, "ascending")], null_placement="at_start"))
+        if len(rows) and len(asked):
+            size = rows.column("_size")[0].as_py()
+            a, b = columns(rows.column(vector), size), columns(asked.column("query"), size)
+            a_norm, b_norm = np.sqrt(dots(a, a)), np.sqrt(dots(b, b))
+            for first in range(0, len(asked), 16):
+                length = b_norm[first : first + 16, None] * a_norm
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    block = dots(b[:, first : first + 16, None], a[:, None, :]) / length
+                for i, score in enumerate(block):
+                    key = np.where(np.isnan(score), np.inf, score)  # Spark has NaN above all
+                    at = np.flatnonzero(length[i] != 0)
+                    if len(at) > k:
+                        at = at[key[at] >= np.partition(key[at], len(at) - k)[len(at) - k]]
+                    at = at[np.argsort(-key[at], kind="stable")][:k]  # rows are in the order of their ids, so ties are too
+                    found.append(at)
+                    of.append(np.full(len(at), first + i))
+                    scores.append(score[at])
+        found, of = np.concatenate(found), np.concatenate(of)
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(of)), id: rows.column(id).take(pa.array(found)), "score": np.concatenate(scores)})
+
+    return run
+
+
+def dense_batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, *, id: str = "chunk_id", vector: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """query_id, id, score, rank for each row of queries(query_id, query): the k nearest rows by cosine, ties to smaller ids.
+
+    Rows fall into shards and queries into blocks. A task scores one block in one shard and keeps the best k of each query, which a window
+    merges. Vectors of another size than the query's, and those with null components, aren't near to anything.
+    """
+    whole = lambda v: (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull())
+    rows, asked = chunks.select(id, vector).where(whole(F.col(vector))), queries.select("query_id", "query").where(whole(F.col("query")))
+    shards, blocks = (max(1, -(-df.count() // n)) for df, n in ((rows, shard), (asked, block)))
+    place = lambda n, seed, *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = rows.select("*", F.size(vector).alias("_size"), place(shards, 1, id, vector).alias("_shard"), every(blocks).alias("_block"))
+    asked = asked.select("*", F.size("query").alias("_size"), every(shards).alias("_shard"), place(blocks, 2, "query_id", "query").alias("_block"))
+    cell = ["_size", "_shard", "_block"]
+    kinds = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField(id, rows.schema[id].dataType), StructField("score", DoubleType())])
+    found = rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(_cell(k, id, vector), kinds)
+    return ranked(found, ["query_id"], F.desc("score"), id).where(F.col("rank") <= k)
 
 
 def postings(docs: DataFrame, *, id: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -55,12 +55,27 @@ def dense_scoped(t):
     return _dense(t, 5, [1, 2, 5, 8, 13, 21, 34, 55, 5]).withColumn("score", F.round("score", 6))
 
 
-@query("dense_batch_topk", f"SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.format('c.embedding', 'q.embedding')} DESC, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE q.vec_id < 4) WHERE rank <= 10")
-def dense_batch_topk(t):
-    queries = t.embeddings.where("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def _batch_sql(where: str) -> str:
+    return f"SELECT * FROM (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE.format('c.embedding', 'q.embedding')} DESC, c.vec_id) AS rank FROM embeddings c, embeddings q WHERE {where}) WHERE rank <= 10"
+
+
+def _dense_batch(t, where: str):
+    queries = t.embeddings.where(where).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return R.dense_batch_top_k(t.embeddings, queries, 10, id="vec_id").select("query_id", "vec_id", "rank")
 
 
+@query("dense_batch_topk", _batch_sql("q.vec_id < 4"))
+def dense_batch_topk(t):
+    """The four queries of its SQL; dense_batch_topk_twentieth asks with a share of the table."""
+    return _dense_batch(t, "vec_id < 4")
+
+
+@query("dense_batch_topk_twentieth", _batch_sql("q.vec_id % 20 = 0"))
+def dense_batch_topk_twentieth(t):
+    """A twentieth of the rows asks, as in op2, so the queries grow with the table."""
+    return _dense_batch(t, "vec_id % 20 = 0")
+
+
 @query("order_check", "SELECT 0 AS inversions, 20 AS hits")
 def order_check(t):
     """Hits whose score or id is out of order against the one before."""

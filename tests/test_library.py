@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import formula
 from brindle.functions import text as T
+from brindle.functions import vectors as V
 from brindle.operators import audit, chunking, retrieval
 from brindle.plans import QUERIES
 from brindle.sources import readers
@@ -171,3 +172,21 @@ def test_edit_distance_of_whole_turns(spark, tmp_path):
     got = QUERIES["edit_distance_turns"](spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): r.distance for r in got} == want and want[1, 0] == 130 and want[2, 0] is None
     assert {(r.conv_id, r.turn): r.normalized for r in got}[1, 0] == round(130 / 330, 6)
+
+
+def test_dense_batch_in_shards_and_blocks(spark, tmp_path):
+    rng = random.Random(0)
+    vectors = [[rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)] for _ in range(120)]
+    rows = [*enumerate(vectors), (500, None), (520, [1.0, None, 1.0, 1.0]), (540, [0.0] * 4), (560, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = table.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    pairs = table.join(queries).select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("query")).alias("score")).where("score is not null").collect()
+    want = set()
+    for q in {r.query_id for r in pairs}:
+        best = sorted((-r.score, r.vec_id) for r in pairs if r.query_id == q)[:7]
+        want |= {(q, i, -s, n) for n, (s, i) in enumerate(best, 1)}
+    got = retrieval.dense_batch_top_k(table, queries, 7, id="vec_id", shard=30, block=3)
+    assert {tuple(r) for r in got.select("query_id", "vec_id", "score", "rank").collect()} == want
+    table.where("embedding is not null and vec_id <> 520 and vec_id <> 540").write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked = QUERIES["dense_batch_topk_twentieth"](spark, str(tmp_path)).select("query_id").distinct().collect()
+    assert {r.query_id for r in asked} == {0, 20, 40, 60, 80, 100, 560}

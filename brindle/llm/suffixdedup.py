@@ -9,6 +9,9 @@ suffix are sorted by the rank of what follows, which doubles the prefix, until a
 all runs side by side, tell which neighbours in the array share a window. A shard with more text than MEMBER is cut
 into members with arrays of their own, whose classes of windows find each other by binary search. The smallest document of a class
 keeps its window, the others' go.
+
+A key whose different runs have more text than MEMBER is hot: its windows are dealt one by one, by a hash of the whole window, so that
+no shard gets all of them and equal ones still meet.
 """
 
 from __future__ import annotations
@@ -269,24 +272,75 @@ def _keys(window: int, gram: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 number, _, docs, offsets, data = _opened(batch, i)
-                key, text, _, _ = runs(data, offsets, window, gram)
+                key, text, begin, end = runs(data, offsets, window, gram)
                 order = np.lexsort((docs[text], key))
-                key, doc = key[order], docs[text][order]
+                key, doc, begin, end = key[order], docs[text][order], begin[order], end[order] + window - 1
                 first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
                 last = np.append(first[1:], len(key)) - 1
                 many = doc[first] != doc[last] if len(key) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.full(len(first), number, np.int64)), pa.array(many)], ["key", "slice", "many"])
+                weight = _weights(data, begin, end, first)
+                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.full(len(first), number, np.int64)), pa.array((2 * weight + many).astype(np.int8))], ["key", "slice", "code"])
+
+    return run
+
+
+def _weights(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For the runs of each key, which begin at first: the least w with 256 << w not below the bytes of those that differ."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    size = np.add.reduceat(end - begin, first)
+    large = size > 256
+    if large.any():
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(begin))))
+        at = np.flatnonzero(large[of])
+        hashes = _run_hashes(data, begin[at], (end - begin)[at])
+        by = np.lexsort((hashes, of[at]))
+        at, hashes = at[by], hashes[by]
+        at = at[np.append(True, (hashes[1:] != hashes[:-1]) | (of[at][1:] != of[at][:-1]))]
+        size[large] = 0
+        np.add.at(size, of[at], (end - begin)[at])
+    return np.ceil(np.log2(np.maximum(size, 256) / 256)).astype(np.int64)
+
+
+def _shared(most: int):
+    """Of rows in the order of their keys, those of keys in more than one document, and for each hot key a row with its bytes, negative,
+    as slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = 0, 0
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal last, total
+            for batch in batches:
+                key, code = (batch.column(c).to_numpy() for c in ("key", "code"))
+                if len(key):
+                    first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+                    sums = np.add.reduceat(np.int64(256) << (code >> 1).astype(np.int64), first)
+                    if key[0] == last:
+                        sums[0] += total
+                    elif total > most:
+                        hot.append((last, total))
+                    hot.extend((k, n) for k, n in zip(key[first[:-1]].tolist(), sums[:-1].tolist()) if n > most)
+                    last, total = int(key[-1]), int(sums[-1])
+                yield batch
+
+        hot: list[tuple[int, int]] = []
+        yield from _repeated(seen())
+        if total > most:
+            hot.append((last, total))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hot], pa.int64()), pa.array([-n for _, n in hot], pa.int64())], ["key", "slice"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in the order of their keys, those of keys in more than one document; only the last key's first row waits for the next batch."""
     waiting: tuple | None = None  # key, slice and whether it has been passed on
     for batch in batches:
-        key, number, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "slice", "many"))
+        key, number, code = (batch.column(c).to_numpy() for c in ("key", "slice", "code"))
         if not len(key):
             continue
+        many = (code & 1).astype(bool)
         passed = False
         if waiting is not None:
             passed = waiting[2] and waiting[0] == key[0]
@@ -300,12 +354,36 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(number[keep])], ["key", "slice"])
 
 
-_RUNS = "slice long, shard long, run_text binary, lengths array<int>, docs array<long>, texts array<int>, begins array<int>, gone boolean"
+_RUNS = "slice long, shard long, run_text binary, lengths array<int>, docs array<long>, texts array<int>, begins array<int>, of array<int>, gone boolean"
 
 
-def _members(window: int, gram: int, shards: int):
+def _members(window: int, gram: int, shards: int, hot: np.ndarray, hot_shards: int):
     """Of each slice: rows of the runs whose keys are shared, by shard; one text for equal runs, with their smallest document. Equal runs
-    of larger documents go whole (gone)."""
+    of larger documents go whole (gone). Runs of hot keys (in order) are cut into their windows; these rows have each text once for
+    a document, and of tells which one stands at each of texts and begins."""
+
+    def windows(number: int, docs, offsets, data, text, first, end) -> Iterator[pa.RecordBatch]:
+        counts = end - first
+        at = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        text = np.repeat(text, counts)
+        hashes = _run_hashes(data, at, np.full(len(at), window))
+        order = np.lexsort((at, docs[text], hashes))
+        at, text, hashes = at[order], text[order], hashes[order]
+        doc, begin, rows = docs[text], at - offsets[text], _words(data, at, window)
+        lead = np.maximum.accumulate(np.where(np.diff(hashes, prepend=~hashes[:1]) != 0, np.arange(len(at)), 0))
+        same = (rows == rows[lead]).all(1)
+        gone = same & (doc > doc[lead])
+        yield _row(number, -1, b"", *_joined(text[gone], begin[gone], window, lengths=True), True)
+        of = np.where(same, lead, np.arange(len(at)))
+        left = np.flatnonzero(~gone)
+        shard = shards + (mix64(hashes) % np.uint64(max(hot_shards, 1))).astype(np.int64)
+        left = left[np.lexsort((of[left], shard[left]))]
+        edges = np.append(np.flatnonzero(np.diff(shard[left], prepend=-1)), len(left))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            own = left[lo:hi]
+            kinds, which = np.unique(of[own], return_inverse=True)
+            taken = data[at[kinds][:, None] + np.arange(window)].tobytes()
+            yield _row(number, int(shard[own[0]]), taken, np.full(len(kinds), window), doc[kinds], text[own], begin[own], False, which.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +394,11 @@ def _members(window: int, gram: int, shards: int):
                 key, text, first, end = key[keep], text[keep], first[keep], end[keep] + window - 1
                 if not len(key):
                     continue
+                if len(hot) and (cut := np.isin(key, hot)).any():
+                    yield from windows(number, docs, offsets, data, text[cut], first[cut], end[cut] - window + 1)
+                    key, text, first, end = key[~cut], text[~cut], first[~cut], end[~cut]
+                    if not len(key):
+                        continue
                 doc = docs[text]
                 order = np.lexsort((first, doc, _run_hashes(data, first, end - first)))
                 hashes = _run_hashes(data, first, end - first)[order]
@@ -337,12 +420,22 @@ def _members(window: int, gram: int, shards: int):
     return run
 
 
-def _row(number: int, shard: int, run_text: bytes, lengths, docs, texts, begins, gone: bool) -> pa.RecordBatch:
+def _joined(texts: np.ndarray, begins: np.ndarray, window: int, lengths: bool = False) -> tuple[np.ndarray, ...]:
+    """texts, begins and ends of the stretches that windows at these places cover; with lengths: these, no documents, texts, begins."""
+    by = np.lexsort((begins, texts))
+    texts, begins = texts[by], begins[by]
+    first = np.flatnonzero((np.diff(texts, prepend=-1) != 0) | (np.diff(begins, prepend=-2) != 1))
+    ends = begins[np.append(first[1:], len(begins))[: len(first)] - 1] + window
+    texts, begins = texts[first], begins[first]
+    return (ends - begins, texts[:0], texts, begins) if lengths else (texts, begins, ends)
+
+
+def _row(number: int, shard: int, run_text: bytes, lengths, docs, texts, begins, gone: bool, of=()) -> pa.RecordBatch:
     listed = lambda x, t: pa.array([np.asarray(x).tolist()], pa.list_(t))
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int64()), pa.array([run_text], pa.binary()), listed(lengths, pa.int32()), listed(docs, pa.int64()), listed(texts, pa.int32()), listed(begins, pa.int32()), pa.array([gone])], ["slice", "shard", "run_text", "lengths", "docs", "texts", "begins", "gone"])
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int64()), pa.array([run_text], pa.binary()), listed(lengths, pa.int32()), listed(docs, pa.int64()), listed(texts, pa.int32()), listed(begins, pa.int32()), listed(of, pa.int32()), pa.array([gone])], ["slice", "shard", "run_text", "lengths", "docs", "texts", "begins", "of", "gone"])
 
 
-_LISTS = ("lengths", "docs", "texts", "begins")
+_LISTS = ("lengths", "docs", "texts", "begins", "of")
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -375,12 +468,16 @@ def _searched(window: int, most: int):
                     a.meet(b)
         for part, member in zip(parts, members):
             run, begin, end = member.gone()
-            texts, begins = (np.concatenate([r[c] for r in part]) for c in ("texts", "begins"))
-            stop = np.searchsorted(run, np.cumsum([len(r["lengths"]) for r in part]), "left").tolist()
-            for r, lo, hi in zip(part, [0, *stop], stop):
+            total = np.cumsum([len(r["lengths"]) for r in part])
+            stop = np.searchsorted(run, total, "left").tolist()
+            for r, lo, hi, before in zip(part, [0, *stop], stop, [0, *total.tolist()]):
                 if hi > lo:
-                    at = run[lo:hi]
-                    yield _stretches(r["slice"], texts[at], begins[at] + begin[lo:hi], begins[at] + end[lo:hi] + window - 1)
+                    at, texts, begins = run[lo:hi] - before, r["texts"], r["begins"]
+                    if len(r["of"]):
+                        goes = np.isin(r["of"], at)
+                        yield _stretches(r["slice"], *_joined(texts[goes], begins[goes], window))
+                    else:
+                        yield _stretches(r["slice"], texts[at], begins[at] + begin[lo:hi], begins[at] + end[lo:hi] + window - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -424,25 +521,34 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))], ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
-def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, member: int = MEMBER) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (begin and end of each maximal stretch of removed bytes), kept_sha256 (of the rest, lowercase
-    hex) for each row of docs(doc_id, text), texts as UTF-8.
-
-    A byte goes if it lies in a string of window bytes that also starts in a row with a smaller doc_id; rows of equal ids don't
-    count for each other, and a null id is larger than all. Null texts are empty; texts shorter than window stay whole. Other
-    columns are ignored; empty in, empty out. Long documents are slices of their own, as they are rows of their own.
-    """
+def _dealt(docs: DataFrame, window: int, gram: int, member: int) -> tuple[DataFrame, DataFrame]:
+    """Slices of the documents, and their runs by shard."""
     spark = docs.sparkSession
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "slice long, ids array<long>, ends array<long>, bytes binary")
     packed = bucketed(packed, "slice", int(spark.conf.get("spark.sql.shuffle.partitions")))
     _release(docs)
-    keyed = packed.mapInArrow(_keys(window, gram), "key long, slice long, many boolean")
-    shared = spill(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, slice long"), compression="zstd")
+    keyed = packed.mapInArrow(_keys(window, gram), "key long, slice long, code byte")
+    marked = spill(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(member), "key long, slice long"), compression="zstd")
     _release(docs)
+    hot = marked.where("slice < 0").collect()  # at most one for each MEMBER bytes of weights
+    shared = marked.where("slice >= 0")
     text = shared.count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
     shards = max(8, -(-text * 2 // member))
+    hot_shards = -(-sum(-r["slice"] for r in hot) * window // 3 * 2 // member)  # a run of 65 bytes has some 16 windows
     wanted = shared.groupBy("slice").agg(F.collect_list("key").alias("keys")).withColumnRenamed("slice", "_slice")
-    runs_of = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards), _RUNS)
+    hot_keys = np.sort(np.array([r.key for r in hot], np.int64))
+    return packed, packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_keys, hot_shards), _RUNS)
+
+
+def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, member: int = MEMBER) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (begin and end of each maximal stretch of removed bytes), kept_sha256 (of the rest, lowercase
+    hex) for each row of docs(doc_id, text), texts as UTF-8.
+
+    A byte goes if it lies in a string of window bytes that also starts in a row with a smaller doc_id; rows of equal ids don't
+    count for each other, and a null id is larger than all. Null texts are empty; texts shorter than window stay whole. Other
+    columns are ignored; empty in, empty out. Long documents are slices of their own, as they are rows of their own.
+    """
+    packed, runs_of = _dealt(docs, window, gram, member)
     found = spill(runs_of.repartition("shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard").mapInArrow(_searched(window, member), "slice long, texts array<int>, begins array<int>, ends array<int>"))
     _release(docs)
     stretches = found.groupBy("slice").agg(F.collect_list(F.struct("texts", "begins", "ends")).alias("found")).withColumnRenamed("slice", "_slice")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import suffixdedup as sd
 
@@ -74,3 +75,22 @@ def test_as_brute_force(spark, window, gram, member):
 
 def test_empty(spark):
     assert sd.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_key_is_dealt_to_many_shards(spark):
+    """A phrase of low hash stands in ever different contexts, and in some equal ones; rules of signs are long runs of one key."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrases = [word(16) for _ in range(20_000)]
+    key = sd.runs(np.frombuffer("".join(phrases).encode(), np.uint8), np.arange(0, 16 * 20_001, 16), 16, 16)[0].view(np.uint64)
+    phrase = phrases[int(np.argmin(key))]
+    rows = [(doc, word(60) + phrase + word(60)) for doc in range(500)]
+    rows += [(600 + k, word(20) + rows[k * 7][1][40:100] + word(20)) for k in range(60)]
+    rows += [(700, "-" * 4000), (701, "x" + "-" * 3000 + "y"), (702, "-=" * 900), (None, "=-" * 700), (703, rows[3][1])]
+    rng.shuffle(rows)
+    docs, member = spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 4000
+    _, dealt = sd._dealt(docs, 50, 16, member)
+    sizes = [r[0] for r in dealt.where("shard >= 0").groupBy("shard").agg(F.sum(F.length("run_text"))).collect()]
+    assert max(sizes) < 3 * member
+    got = sd.repeated_passages(docs, member=member).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, 50)

@@ -19,7 +19,8 @@ from .common import slices
 from .pretokens import Words, words_of
 
 LEAF = 32
-#: Characters before an edit that a pre-token's end may depend on, and characters after a leaf's begin that confirm it.
+#: Characters before an edit that a pre-token's end may depend on, and characters after a leaf's begin that confirm it; more where the
+#: name of a special token is longer.
 MARGIN = 16
 
 
@@ -78,14 +79,10 @@ def split(words: Words, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray,
     joined, points, begins, ends, text, odd = words.pieces(texts)
     _, n = words.located(joined, points, begins, ends)
     at = np.searchsorted(text, np.arange(len(texts) + 1))
-    base = np.cumsum([1, *(0 if x else len(t) for t, x in zip(texts, _dropped(words, texts)))]) + np.arange(len(texts) + 1)
+    base = np.cumsum([1, *(0 if x else len(t) for t, x in zip(texts, odd.tolist()))]) + np.arange(len(texts) + 1)
     return [None if odd[i] else (begins[at[i] : at[i + 1]] - base[i], ends[at[i] : at[i + 1]] - base[i], n[at[i] : at[i + 1]]) for i in range(len(texts))]
 
 
-def _dropped(words: Words, texts: list[str]) -> list[bool]:
-    return ["\x1c" in t or any(x in t for x in words.special) for t in texts]
-
-
 def count(words: Words, texts: list[str]) -> list[tuple[list[int], list[int]]]:
     """Leaves of each text; a text that the library takes whole is one leaf."""
     out = []
@@ -95,15 +92,15 @@ def count(words: Words, texts: list[str]) -> list[tuple[list[int], list[int]]]:
 
 
 class Document:
-    def __init__(self, text: str, chars: list[int], tokens: list[int]):
-        self.text, self.tree, self.encoded = text, Tree(chars, tokens), 0
+    def __init__(self, text: str, chars: list[int], tokens: list[int], margin: int = MARGIN):
+        self.text, self.tree, self.encoded, self.margin = text, Tree(chars, tokens), 0, margin
 
     def begin(self, pos: int | None, n_del: int | None, ins: str | None) -> None:
         """An edit's region in the new text, to be encoded; positions and lengths are cut to the text."""
         old = self.text
         pos = max(0, min(pos or 0, len(old)))
         end = max(pos, min(pos + (n_del or 0), len(old)))
-        self.first, self.start = self.tree.find(pos - MARGIN)
+        self.first, self.start = self.tree.find(pos - self.margin)
         self.last, self.old_end = self.tree.find(end)
         self.old_end += self.tree.chars[self.tree.leaves + self.last]
         self.shift = len(ins or "") - (end - pos)
@@ -114,7 +111,7 @@ class Document:
     def more(self, leaves: int) -> None:
         """Takes in more leaves behind; each one's old begin may be where the new pre-tokens meet the old ones."""
         taken, total = 0, self.tree.chars[1]
-        while self.old_end < total and (taken < leaves or self.old_end - self.checks[0][0] < MARGIN):
+        while self.old_end < total and (taken < leaves or self.old_end - self.checks[0][0] < self.margin):
             self.last, at = self.tree.find(self.old_end)
             self.checks.append((at, self.last))
             self.old_end = at + self.tree.chars[self.tree.leaves + self.last]
@@ -129,7 +126,7 @@ class Document:
         for at, leaf in self.checks:
             new = at + self.shift - self.start
             k = int(np.searchsorted(begins, new))
-            if len(self.region) - new >= MARGIN and k < len(begins) and begins[k] == new:
+            if len(self.region) - new >= self.margin and k < len(begins) and begins[k] == new:
                 stop, upto = new, leaf - 1
                 begins, ends, n = begins[:k], ends[:k], n[:k]
                 break
@@ -177,7 +174,9 @@ _SCHEMA = (("n_tokens", "long"), ("leaf_chars", "array<int>"), ("leaf_tokens", "
 
 
 def counted(docs: DataFrame, *, tokenizer: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, text, n_tokens and the leaves (leaf_chars, leaf_tokens) of each row of docs. A null text is empty."""
+    """The kept columns, text, n_tokens and the leaves (leaf_chars, leaf_tokens) of each row of docs(text, ...). A null or empty text has
+    no tokens. Repeated rows give repeated rows, ties don't arise; empty in, empty out. Other columns of docs are ignored, whatever
+    their names; keep must not name text, n_tokens, leaf_chars or leaf_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
@@ -195,8 +194,9 @@ def edited(state: DataFrame, *, tokenizer: str, keep: tuple[str, ...] = ("doc_id
     before it left: the kept columns, the new text, n_tokens and leaves, n_tokens_before, and encoded_chars, the characters encoded anew.
 
     Positions and lengths beyond the text are cut to it, below 0 they are 0, nulls are 0 and "". Null or no edits change nothing.
-    A text that its edits leave to the library (rare characters, names of special tokens) is encoded whole. A document's edits
-    come in its row, as its text does.
+    Any text is cut into pre-tokens here; only one with the noncharacter U+10FFFF is encoded whole. A document's edits come in its row, as
+    its text does. Repeated rows give repeated rows; empty in, empty out; keep must not name a column that is added here. Trees of
+    long texts lie in their row: two integers for each 32 pre-tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,8 @@ def edited(state: DataFrame, *, tokenizer: str, keep: tuple[str, ...] = ("doc_id
         for batch in batches:
             for part in slices(batch):
                 before = part.column("n_tokens")
-                docs = [Document(t, c, n) for t, c, n in zip(*(part.column(x).to_pylist() for x in ("text", "leaf_chars", "leaf_tokens")))]
+                margin = max(MARGIN, words.longest_name + 4)
+                docs = [Document(t, c, n, margin) for t, c, n in zip(*(part.column(x).to_pylist() for x in ("text", "leaf_chars", "leaf_tokens")))]
                 apply(words, docs, [[(x["pos"], x["n_del"], x["ins"]) for x in e or [] if x] for e in part.column("edits").to_pylist()])
                 leaves = [d.tree.values() for d in docs]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array([d.text for d in docs], pa.string()), pa.array([d.tree.tokens[1] for d in docs], pa.int64()), pa.array([c for c, _ in leaves], pa.list_(pa.int32())), pa.array([t for _, t in leaves], pa.list_(pa.int32())), before, pa.array([d.encoded for d in docs], pa.int64())], [*keep, "text", *(n for n, _ in _SCHEMA), "n_tokens_before", "encoded_chars"])

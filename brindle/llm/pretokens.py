@@ -5,131 +5,171 @@ Such a tokenizer splits a text by the pattern
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
 and encodes each piece alone. Here numpy finds the pieces of many texts at once, the library encodes each piece that isn't in a
-bounded cache, and ids are gathered from the cache. Texts with characters from U+0250 on, rare white space or the name of a
-special token go to the library whole.
+bounded cache, and ids are gathered from the cache. Which class a character is of is asked of the library once for each
+character that occurs, so all of Unicode is cut as it cuts it. Names of special tokens are pieces of their own. Only a text
+with the noncharacter U+10FFFF, which stands between texts here, goes to the library whole. Other tokenizers are refused.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import json
+import re
 from collections.abc import Sequence
 
 import numpy as np
 
 from .common import _FACTOR, _INVERSE, mix64, powers
 
-OTHER, LETTER, NUMBER, BLANK, GAP, EDGE, ALIEN = range(7)
-_TOP, _EDGE = 0x250, "\x1c"
-
-
-def _kinds() -> np.ndarray:
-    kinds = np.zeros(_TOP + 1, np.uint8)
-    for i in range(_TOP):
-        kind = unicodedata.category(chr(i))[0]
-        kinds[i] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
-    kinds[0x09:0x0E] = GAP
-    kinds[0x20] = BLANK
-    kinds[[0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, _TOP]] = ALIEN
-    return kinds
-
-
-_KINDS = _kinds()
-_VALUE = mix64(np.arange(1, _TOP + 2, dtype=np.uint64))
+OTHER, LETTER, NUMBER, BLANK, GAP, EDGE, SPECIAL, UNKNOWN = range(8)
+_EDGE = "\U0010ffff"
+_VALUE = mix64(np.arange(1, 0x110001, dtype=np.uint64))
 
 
 def piece_starts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Whether a piece starts at each code point. Texts stand between EDGEs, which count as pieces."""
+    """Whether a piece starts at each code point. Texts stand between EDGEs, which count as pieces; what touches a SPECIAL ends there,
+    as at an EDGE, and the caller marks where SPECIALs start."""
     before = np.empty_like(kinds)
     before[0], before[1:] = EDGE, kinds[:-1]
     gap = (kinds == BLANK) | (kinds == GAP)
     gap_before = (before == BLANK) | (before == GAP)
-    starts = (kinds != before) & ~(gap & gap_before) & (before != BLANK) | (kinds == EDGE) | (gap & ~gap_before)
+    hard = (kinds == EDGE) | (kinds == SPECIAL)
+    starts = (kinds != before) & ~(gap & gap_before) & (before != BLANK) | hard | (gap & ~gap_before)
     # The last of several spaces before other characters stands alone or leads them.
-    last = np.flatnonzero(gap[:-1] & gap_before[:-1] & ~gap[1:] & (kinds[1:] != EDGE))
+    last = np.flatnonzero(gap[:-1] & gap_before[:-1] & ~gap[1:] & ~hard[1:])
     starts[last] = True
-    marks = np.flatnonzero((points == 0x27) & starts)
+    marks = np.flatnonzero((points == 0x27) & starts & (kinds == OTHER))
     marks = marks[marks + 2 < len(points)]
     for ending in ("s", "t", "m", "d", "re", "ve", "ll"):
         if len(marks):
-            fits = points[marks + 1] == ord(ending[0])
+            fits = (points[marks + 1] == ord(ending[0])) & ~hard[marks + 1]
             if len(ending) == 2:
-                fits &= points[marks + 2] == ord(ending[1])
+                fits &= (points[marks + 2] == ord(ending[1])) & ~hard[marks + 2]
             at = marks[fits]
             starts[at + 1] = False
             after = at + 1 + len(ending)
-            starts[after[kinds[after] != EDGE]] |= kinds[after[kinds[after] != EDGE]] == LETTER
+            starts[after[~hard[after]]] |= kinds[after[~hard[after]]] == LETTER
     return starts
 
 
+def _flat(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of the stretches of these lengths, one stretch after another."""
+    stop = np.cumsum(lengths)
+    return np.repeat(begins - (stop - lengths), lengths) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
 class Words:
-    """Encodes texts; one for each Python worker. The cache holds 2 ** bits pieces and at most most ids."""
+    """Encodes texts; one for each Python worker. The cache holds 2 ** bits pieces and about most ids."""
 
-    def __init__(self, path: str, bits: int = 20, most: int = 6_000_000):
+    def __init__(self, path: str, bits: int = 20, most: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        form = json.loads(self.tokenizer.to_str())
+        pre, added = form["pre_tokenizer"] or {}, form["added_tokens"]
+        if form["normalizer"] or form["model"].get("dropout") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError(f"{path}: not a byte-level tokenizer that splits by the pattern above")
+        self.special = [x["content"] for x in added]
+        self.named = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or "(?!)")
+        self.longest_name = max([0, *map(len, self.special)])
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        self.kinds[0x20], self.kinds[ord(_EDGE)] = BLANK, EDGE
         self.bits, self.most = bits, most
         self._clear()
 
     def _clear(self) -> None:
         n = 1 << self.bits
         self.keys, self.at, self.n = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.spelled, self.letters = np.zeros(n, np.int64), np.full(n, -1, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.text, self.written = np.zeros(1 << 16, np.uint32), 0
+
+    def _kind(self, character: str) -> int:
+        """The class of a character: that of the letter, digit or mark that the library leaves it with."""
+        for kind, beside in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+            if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(beside + character)) == 1:
+                return kind
+        return GAP
+
+    def _kinds_of(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.kinds[points]
+        if (unknown := kinds == UNKNOWN).any():
+            for c in np.unique(points[unknown]).tolist():
+                self.kinds[c] = self._kind(chr(c))
+            kinds = self.kinds[points]
+        return kinds
 
     def whole(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _add(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of these pieces are in the pool from now on."""
+    def _add(self, words: list[str], spelling: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Where the ids of these pieces are in the pool from now on, and where their spelling begins."""
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        at = self.used + np.cumsum(n) - n
+        while self.written + len(spelling) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        at, begin = self.used + np.cumsum(n) - n, self.written
         self.pool[self.used : self.used + len(flat)] = flat
+        self.text[begin : begin + len(spelling)] = spelling
         self.used += len(flat)
-        return at, n
+        self.written += len(spelling)
+        return at, n, begin
 
     def pieces(self, texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All texts between edges, its code points, each piece's begin and end there, its text's number, and whether each text is
-        odd: piece_starts() doesn't hold for it, and it has no pieces."""
-        odd = np.array([_EDGE in t or any(x in t for x in self.special) for t in texts], bool)
+        odd: it holds an edge itself, and has no pieces."""
+        odd = np.array([_EDGE in t for t in texts], bool)
         joined = _EDGE + _EDGE.join("" if x else t for t, x in zip(texts, odd.tolist())) + _EDGE
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        kinds = _KINDS[np.minimum(points, _TOP)]
-        edges = np.flatnonzero(points == ord(_EDGE))
-        kinds[edges] = EDGE
-        alien = np.flatnonzero(kinds == ALIEN)
-        odd[np.searchsorted(edges, alien) - 1] = True
-        begins = np.flatnonzero(piece_starts(points, kinds))
+        kinds = self._kinds_of(points)
+        named = np.array([m.span() for m in self.named.finditer(joined)] if any(x in joined for x in self.special) else [], np.int64).reshape(-1, 2)
+        inner = _flat(named[:, 0], named[:, 1] - named[:, 0])
+        kinds[inner] = SPECIAL
+        starts = piece_starts(points, kinds)
+        starts[inner] = False
+        starts[named[:, 0]] = starts[named[:, 1]] = True
+        begins = np.flatnonzero(starts)
         ends = np.append(begins[1:], len(points))
         edge = kinds[begins] == EDGE
         text = np.cumsum(edge) - 1
-        keep = ~edge
-        if len(alien):
-            keep[keep] = ~odd[text[keep]]
-        return joined, points, begins[keep], ends[keep], text[keep], odd
+        return joined, points, begins[~edge], ends[~edge], text[~edge], odd
+
+    def _same(self, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether each stretch of points is spelled as the one of its length at others in other."""
+        differ = np.flatnonzero(points[_flat(begins, lengths)] != other[_flat(others, lengths)])
+        out = np.ones(len(begins), bool)
+        out[np.searchsorted(np.cumsum(lengths), differ, "right")] = False
+        return out
 
     def located(self, joined: str, points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each piece's ids are in the pool, and how many they are."""
-        if self.used > self.most:
+        """Where each piece's ids are in the pool, and how many they are. A hash finds a cached piece; its spelling is compared."""
+        if self.used > self.most or self.written > 4 * self.most:
             self._clear()
         sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_VALUE[np.minimum(points, _TOP)] * powers(_FACTOR, len(points)), out=sums[1:])
-        hashes = mix64((sums[ends] - sums[begins]) * powers(_INVERSE, len(points) + 1)[begins] ^ (ends - begins).astype(np.uint64))
+        np.cumsum(_VALUE[points] * powers(_FACTOR, len(points)), out=sums[1:])
+        lengths = ends - begins
+        hashes = mix64((sums[ends] - sums[begins]) * powers(_INVERSE, len(points) + 1)[begins] ^ lengths.astype(np.uint64))
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        known = self.keys[slot] == hashes
+        known = (self.keys[slot] == hashes) & (self.letters[slot] == lengths)
+        at = np.flatnonzero(known)
+        known[at] = self._same(points, begins[at], lengths[at], self.text, self.spelled[slot[at]])
         at, n = self.at[slot], self.n[slot].astype(np.int64)
         if not known.all():
             new = np.flatnonzero(~known)
             own, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            b, e = begins[new[first]].tolist(), ends[new[first]].tolist()
-            new_at, new_n = self._add([joined[i:j] for i, j in zip(b, e)])
-            at[new], n[new] = new_at[back], new_n[back]
-            s = (own >> np.uint64(64 - self.bits)).astype(np.int64)
-            self.keys[s], self.at[s], self.n[s] = own, new_at, new_n
+            lead = new[first][back.reshape(-1)]
+            same = lengths[lead] == lengths[new]
+            same[same] = self._same(points, begins[new[same]], lengths[new[same]], points, begins[lead[same]])
+            fresh = np.append(new[first], new[~same])  # a hash of two spellings: those pieces are encoded each for itself
+            b, size = begins[fresh], lengths[fresh]
+            new_at, new_n, spelled = self._add([joined[i:j] for i, j in zip(b.tolist(), ends[fresh].tolist())], points[_flat(b, size)])
+            at[new], n[new] = new_at[back.reshape(-1)], new_n[back.reshape(-1)]
+            at[new[~same]], n[new[~same]] = new_at[len(own) :], new_n[len(own) :]
+            s = slot[new[first]]
+            self.keys[s], self.at[s], self.n[s], self.letters[s] = own, new_at[: len(own)], new_n[: len(own)], size[: len(own)]
+            self.spelled[s] = spelled + (np.cumsum(size) - size)[: len(own)]
         return at, n
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:

@@ -9,7 +9,7 @@ from brindle.llm.pretokens import Words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = Words(PATH)
-TEXT = st.lists(st.sampled_from(list("ab 'st\n  .1é") + ["   ", "日", "'re", "word ", "<|endof", "text|>"]), max_size=300).map("".join)
+TEXT = st.lists(st.sampled_from(list("ab 'st\n  .1é") + ["   ", "日", "'re", "word ", "<|endof", "text|>", "\u3000", "“", "٣", "é\u0301", "\U0010ffff"]), max_size=300).map("".join)
 
 
 def apply(text, edits):
@@ -33,7 +33,7 @@ def test_edits_as_a_recount(text, edits):
 
 def test_long_text_encodes_regions_only():
     random.seed(4)
-    text = " ".join(random.choice(["alpha", "beta's", "12,5", "\n\n", "ça"]) for _ in range(20000))
+    text = " ".join(random.choice(["alpha", "beta's", "12,5", "\n\n", "ça", "“quoted”", "日本語", "<|endoftext|>", "Ελλάδα"]) for _ in range(20000))
     doc = editcount.Document(text, *editcount.count(WORDS, [text])[0])
     edits = [(random.randrange(len(text)), 5, " new") for _ in range(20)]
     editcount.apply(WORDS, [doc], [edits])
@@ -55,3 +55,8 @@ def docs_lit():
     from pyspark.sql import functions as F
 
     return F.lit(7)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, edits array<struct<pos:int,n_del:int,ins:string>>")
+    assert editcount.edited(editcount.counted(docs, tokenizer=PATH, keep=("doc_id", "edits")), tokenizer=PATH).count() == 0

@@ -44,3 +44,18 @@ def test_written_file(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     tokenbin.write(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/e", tokenizer=PATH, end_id=2)
     assert tokenbin.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_pieces_are_compared_and_not_only_their_hashes(monkeypatch):
+    from brindle.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "mix64", lambda x: x % np.uint64(7))
+    words = Words(PATH, bits=3)
+    texts = ["one two three four five six seven " * 3, "eight nine ten one", "two eight"]
+    for _ in range(2):
+        assert all(a.tolist() == b.tolist() for a, b in zip(words.encode(texts), words.whole(texts)))
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        Words(public_tokenizers.path("word_bpe_49k.json"))

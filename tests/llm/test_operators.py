@@ -31,13 +31,14 @@ def brute_top_k(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard, block", [(2048, 2048), (16, 4)])
-def test_top_k(spark, shard, block):
-    rng = random.Random(shard)
+@pytest.mark.parametrize("piece, block, strip", [(16384, 2048, 1 << 20), (16, 4, 1 << 20), (1, 1, 8)])
+def test_top_k(spark, piece, block, strip):
+    rng = random.Random(piece)
     rows = [(i, [rng.randint(-3, 3) for _ in range(6)]) for i in range(90)] + [(200, [0] * 6), (201, [1, 2]), (None, [1] * 6), (202, None), (3, None), (21, [9] * 6)]
     rows += rows[:5]
     table = spark.createDataFrame(rows, "id long, vector array<long>")
-    found = topk.top_k(table.where("id % 20 = 0"), table, 7, shard=shard, block=block).collect()
+    table = table.selectExpr("*", "1 as cell", "2 as rank", "3 as score")
+    found = topk.top_k(table.where("id % 20 = 0"), table, 7, piece=piece, block=block, strip=strip).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == brute_top_k(rows, lambda i: i % 20 == 0, 7)
     assert topk.top_k(table.where("false"), table, 3).count() == 0 and topk.top_k(table, table.where("false"), 3).count() == 0
 
@@ -47,25 +48,38 @@ def test_scaled(spark):
     assert [r[0] for r in spark.createDataFrame(rows, "v array<float>").select(topk.scaled("v")).collect()] == [[32, -1], None, None, None, None, []]
 
 
-def test_threshold_stops_early():
-    rng = np.random.default_rng(0)
-    rows = rng.integers(-2, 3, (4000, 3))
-    rows[:30] += 40
-    shard = topk.Shard(np.arange(4000), rows)
-    read = []
-    shard.rows = Counted(shard.rows, read)
-    ids, scores = shard.search(np.array([1.0, 2.0, 1.0]), 5, 10)
-    want = sorted((-int(r @ [1, 2, 1]), i) for i, r in enumerate(rows) if i != 5)[:10]
-    assert list(zip((-scores).astype(int).tolist(), ids.tolist())) == want and sum(read) < 2000
-
+def best_of(rows, ids, query, own, k):
+    return sorted((-sum(int(a) * int(b) for a, b in zip(r, query)), int(i)) for i, r in zip(ids, rows) if i != own)[:k]
 
-class Counted:
-    def __init__(self, rows, read):
-        self.data, self.read = rows, read
 
-    def __getitem__(self, at):
-        self.read.append(len(at))
-        return self.data[at]
+def test_threshold_stops_early_and_carries_its_kth_score():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(0, 1, (400, 3))[rng.integers(0, 400, 30_000)] + rng.normal(0, 0.02, (30_000, 3))
+    rows = np.floor(512 * rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.int64)
+    ids = rng.permutation(30_000)
+    block = topk.Block(ids[:50], rows[:50], 20)
+    read = []
+    for i in range(0, 30_000, 10_000):
+        order = np.argsort(ids[i : i + 10_000])
+        before = block.scored
+        block.read(ids[i : i + 10_000][order], rows[i : i + 10_000][order])
+        read.append((block.scored - before) / (50 * 10_000))
+    for q in range(50):
+        assert list(zip((-block.best[q]).tolist(), block.best_id[q].tolist())) == best_of(rows, ids, rows[q], ids[q], 20)
+    assert max(read[1:]) < 0.6
+
+
+@pytest.mark.parametrize("large", [1 << 27, 1 << 30, 1 << 31])
+def test_scores_beyond_doubles_are_exact(large):
+    rng = np.random.default_rng(1)
+    rows = rng.integers(-large, large, (300, 1 if large == 1 << 31 else 4))
+    block = topk.Block(np.arange(5), rows[:5], 7)
+    for i in (0, 150):
+        block.read(np.arange(i, i + 150), rows[i : i + 150])
+    for q in range(5):
+        assert list(zip((-block.best[q]).tolist(), block.best_id[q].tolist())) == best_of(rows, range(300), rows[q], q, 7)
+    with pytest.raises(OverflowError):
+        topk.product(np.array([[1 << 40]]), np.array([[1 << 40]]))
 
 
 def brute_targets(sizes):

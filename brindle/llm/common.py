@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,38 +32,95 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Only a session without one (a test, one machine) gets a new temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _without_shuffles(spark: SparkSession):
+    """Spark deletes the shuffle files of what is written here once it is written; the setting is put back."""
+    before = spark.conf.get(_SHUFFLES, None)
+    spark.conf.set(_SHUFFLES, "true")
     try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have ended before Python does
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES) if before is None else spark.conf.set(_SHUFFLES, before)
+
+
+#: Folders and tables of this Python process in the shared folder: (session, path, table or None).
+_scratch: list[tuple[SparkSession, str, str | None]] = []
+
+
+def _delete(spark: SparkSession, path: str, name: str | None = None) -> None:
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(since: int = 0) -> None:
+    """Drops the tables and folders that operators have written to the shared folder, from the since-th on. Results that are still to
+    be computed from them can't be any more, so call it when what was asked for has been written."""
+    gone = _scratch[since:]
+    del _scratch[since:]
+    for spark, path, name in reversed(gone):
+        if spark.sparkContext._jsc is not None:  # a session that has ended can't reach its store
+            _delete(spark, path, name)
+
+
+def held() -> int:
+    """How many tables and folders there are; release(held()) before and after a step keeps what was there before."""
+    return len(_scratch)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what spill() wrote for df, when nothing will read it again."""
+    path = getattr(df, "_spilled", None)
+    for i, (spark, at, _) in enumerate(_scratch):
+        if at == path:
+            del _scratch[i]
+            return _delete(spark, at)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        release()
+    except Exception:  # the JVM may have ended before Python does
         pass
 
 
+def scratch(spark: SparkSession, name: str | None = None) -> str:
+    """A new path in the shared folder, for a table of this name if there is one."""
+    path = f"{shared_dir(spark)}/brindle/{name or uuid.uuid4().hex}"
+    _scratch.append((spark, path, name))
+    return path
+
+
 def spill(df: DataFrame, **options: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs a reread.
-    The files go when Python ends."""
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle/{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark)
+    with _without_shuffles(spark):
+        df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spilled = path
+    return out
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """df as a table in the shared folder, bucketed by key: joins on the key don't shuffle it again, as often as it is joined."""
     spark = df.sparkSession
     name = f"brindle_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/brindle/{name}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).options(path=path, compression="zstd").saveAsTable(name)
-    atexit.register(_delete, spark, path)
+    path = scratch(spark, name)
+    with _without_shuffles(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).options(path=path, compression="zstd").saveAsTable(name)
     return spark.table(name)
 
 

@@ -2,13 +2,16 @@
 
 A window is a string of WINDOW bytes. Its key is the smallest hash of the GRAM-byte strings in it, so equal windows have equal keys,
 and neighbouring windows mostly share one. Windows of a key that only one document has can't repeat elsewhere; a shuffle of keys
-finds the others. Runs of windows of such a key go, with their text, to the shard of the key.
+finds the others. That shuffle also carries a hash of the run of windows that a slice of documents has under the key, and its
+smallest document: of slices with the same run only the one of the smallest document sends it on, the windows of the others go.
+So a passage of any number of copies is one text, before any text is shuffled. The runs go to the shard of their key.
 
 A shard's text gets a suffix array by Larsson-Sadakane refinement: groups of equal prefixes of 8 bytes, then those of more than one
 suffix are sorted by the rank of what follows, which doubles the prefix, until all stand alone. Kasai's common prefixes, walked along
-all runs side by side, tell which neighbours in the array share a window. A shard with more text than MEMBER is cut
-into members with arrays of their own, whose classes of windows find each other by binary search. The smallest document of a class
-keeps its window, the others' go.
+all runs side by side, tell which neighbours in the array share a window. A shard with more text than MEMBER is cut into members
+with arrays of their own, whose classes of windows find each other by binary search. The smallest document of a class keeps its
+window, the others' go. Equal windows have one key and so one shard: arrays of different shards have no window in common, and
+merging them across shards means merging those members.
 
 A key whose different runs have more text than MEMBER is hot: its windows are dealt one by one, by a hash of the whole window, so that
 no shard gets all of them and equal ones still meet.
@@ -16,7 +19,6 @@ no shard gets all of them and equal ones still meet.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -34,12 +36,6 @@ MEMBER = 8 << 20
 _LAST = np.iinfo(np.int64).max
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of neighbouring windows of one key in the texts data[offsets[i]:offsets[i + 1]]: key, text, first window and the one
     after the last (as positions from offsets[0])."""
@@ -278,80 +274,79 @@ def _keys(window: int, gram: int):
                 first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
                 last = np.append(first[1:], len(key)) - 1
                 many = doc[first] != doc[last] if len(key) else np.zeros(0, bool)
-                weight = _weights(data, begin, end, first)
-                yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.full(len(first), number, np.int64)), pa.array((2 * weight + many).astype(np.int8))], ["key", "slice", "code"])
+                weight, only = _contents(data, begin, end, first)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first], only, doc[first], np.full(len(first), number, np.int64), (2 * weight + many).astype(np.int8))], ["key", "only", "doc", "slice", "code"])
 
     return run
 
 
-def _weights(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For the runs of each key, which begin at first: the least w with 256 << w not below the bytes of those that differ."""
+def _contents(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the runs of each key, which begin at first: the least w with 256 << w not below the bytes of those that differ; and the hash of
+    its run where none differ, else 0."""
     if not len(first):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = _run_hashes(data, begin, end - begin)
+    low, high = np.minimum.reduceat(hashes, first), np.maximum.reduceat(hashes, first)
     size = np.add.reduceat(end - begin, first)
-    large = size > 256
+    size[low == high] = (end - begin)[first][low == high]
+    large = (size > 256) & (low != high)
     if large.any():
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(begin))))
         at = np.flatnonzero(large[of])
-        hashes = _run_hashes(data, begin[at], (end - begin)[at])
-        by = np.lexsort((hashes, of[at]))
-        at, hashes = at[by], hashes[by]
-        at = at[np.append(True, (hashes[1:] != hashes[:-1]) | (of[at][1:] != of[at][:-1]))]
+        at = at[np.lexsort((hashes[at], of[at]))]
+        at = at[np.append(True, (hashes[at][1:] != hashes[at][:-1]) | (of[at][1:] != of[at][:-1]))]
         size[large] = 0
         np.add.at(size, of[at], (end - begin)[at])
-    return np.ceil(np.log2(np.maximum(size, 256) / 256)).astype(np.int64)
+    return np.ceil(np.log2(np.maximum(size, 256) / 256)).astype(np.int64), np.where(low == high, low, np.uint64(0)).view(np.int64)
 
 
 def _shared(most: int):
-    """Of rows in the order of their keys, those of keys in more than one document, and for each hot key a row with its bytes, negative,
-    as slice."""
+    """Of rows in the order of key, only and doc, those of keys in more than one document, and whether the slice's windows go because a
+    smaller document has the same run; for each hot key a row with the bytes of its different runs, negative, as slice. A row waits for
+    the next one, nothing else does."""
+    names = ("key", "only", "doc", "slice", "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = 0, 0
-
-        def seen() -> Iterator[pa.RecordBatch]:
-            nonlocal last, total
-            for batch in batches:
-                key, code = (batch.column(c).to_numpy() for c in ("key", "code"))
-                if len(key):
-                    first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-                    sums = np.add.reduceat(np.int64(256) << (code >> 1).astype(np.int64), first)
-                    if key[0] == last:
-                        sums[0] += total
-                    elif total > most:
-                        hot.append((last, total))
-                    hot.extend((k, n) for k, n in zip(key[first[:-1]].tolist(), sums[:-1].tolist()) if n > most)
-                    last, total = int(key[-1]), int(sums[-1])
-                yield batch
-
+        waiting = [np.zeros(0, np.int64) for _ in names]
+        before: tuple[int, int, int] | None = None  # key, only and first document of the row passed last
+        counted: tuple[int, int] | None = None  # the key it had, and bytes of it
         hot: list[tuple[int, int]] = []
-        yield from _repeated(seen())
-        if total > most:
-            hot.append((last, total))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hot], pa.int64()), pa.array([-n for _, n in hot], pa.int64())], ["key", "slice"])
+        for batch in _with_end(batches):
+            new = [batch.column(c).to_numpy().astype(np.int64) for c in names] if batch is not None else [np.zeros(0, np.int64)] * 5
+            key, only, doc, number, code = (np.concatenate([w, n]) for w, n in zip(waiting, new))
+            n = len(key) - (batch is not None)
+            if n < 0 or not len(key):
+                continue
+            waiting = [x[n:] for x in (key, only, doc, number, code)]
+            if not n:
+                continue
+            equal = key[1:] == key[:-1]
+            as_before = np.append(before is not None and before[0] == key[0], equal)[:n]
+            same = np.append(before is not None and before[:2] == (key[0], only[0]), equal & (only[1:] == only[:-1]))[:n]
+            keep = (code[:n] & 1 > 0) | as_before | np.append(equal, False)[:n]
+            lead = np.maximum.accumulate(np.where(same, -1, np.arange(n)))
+            first = np.where(lead < 0, before[2] if before else 0, doc[lead])
+            gone = same & (only[:n] != 0) & (doc[:n] > first)
+            before = int(key[n - 1]), int(only[n - 1]), int(first[-1])
+            starts = np.flatnonzero(np.append(True, key[1:n] != key[: n - 1]))
+            sums = np.add.reduceat(np.where(gone, 0, np.int64(256) << (code[:n] >> 1)), starts)
+            if counted and counted[0] == key[0]:
+                sums[0] += counted[1]
+            elif counted and counted[1] > most:
+                hot.append(counted)
+            hot.extend((k, s) for k, s in zip(key[starts[:-1]].tolist(), sums[:-1].tolist()) if s > most)
+            counted = int(key[n - 1]), int(sums[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:n][keep]), pa.array(number[:n][keep]), pa.array(gone[keep])], ["key", "slice", "lost"])
+        if counted and counted[1] > most:
+            hot.append(counted)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hot], pa.int64()), pa.array([-n for _, n in hot], pa.int64()), pa.array([False] * len(hot), pa.bool_())], ["key", "slice", "lost"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of their keys, those of keys in more than one document; only the last key's first row waits for the next batch."""
-    waiting: tuple | None = None  # key, slice and whether it has been passed on
-    for batch in batches:
-        key, number, code = (batch.column(c).to_numpy() for c in ("key", "slice", "code"))
-        if not len(key):
-            continue
-        many = (code & 1).astype(bool)
-        passed = False
-        if waiting is not None:
-            passed = waiting[2] and waiting[0] == key[0]
-            if not waiting[2]:
-                key, number, many = np.append(waiting[0], key), np.append(waiting[1], number), np.append(False, many)
-        equal = np.append(key[1:] == key[:-1], False)
-        keep = many | equal | np.append(False, equal[:-1])
-        if passed:
-            keep[: np.searchsorted(key != key[0], True) if (key != key[0]).any() else len(key)] = True
-        waiting = int(key[-1]), int(number[-1]), bool(keep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(number[keep])], ["key", "slice"])
+def _with_end(batches):
+    yield from batches
+    yield None
 
 
 _RUNS = "slice long, shard long, run_text binary, lengths array<int>, docs array<long>, texts array<int>, begins array<int>, of array<int>, gone boolean"
@@ -390,8 +385,12 @@ def _members(window: int, gram: int, shards: int, hot: np.ndarray, hot_shards: i
             for i in range(batch.num_rows):
                 number, _, docs, offsets, data = _opened(batch, i)
                 key, text, first, end = runs(data, offsets, window, gram)
-                keep = np.isin(key, np.array(batch.column("keys")[i].as_py(), np.int64))
-                key, text, first, end = key[keep], text[keep], first[keep], end[keep] + window - 1
+                end = end + window - 1
+                lost = np.isin(key, batch.column("lost")[i].values.to_numpy())
+                texts, begins, ends = _merged(text[lost], first[lost] - offsets[text[lost]], end[lost] - offsets[text[lost]])
+                yield _row(number, -1, b"", ends - begins, docs[:0], texts, begins, True)
+                keep = np.isin(key, batch.column("keys")[i].values.to_numpy())
+                key, text, first, end = key[keep], text[keep], first[keep], end[keep]
                 if not len(key):
                     continue
                 if len(hot) and (cut := np.isin(key, hot)).any():
@@ -430,6 +429,17 @@ def _joined(texts: np.ndarray, begins: np.ndarray, window: int, lengths: bool =
     return (ends - begins, texts[:0], texts, begins) if lengths else (texts, begins, ends)
 
 
+def _merged(texts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of texts, those that touch or overlap as one."""
+    order = np.lexsort((ends, begins, texts))
+    texts, begins, ends = texts[order], begins[order], ends[order]
+    far = np.int64(1) << 40
+    reach = np.maximum.accumulate(texts * far + ends)
+    first = np.flatnonzero(np.append(True, texts[1:] * far + begins[1:] > reach[:-1])) if len(texts) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(texts))[: len(first)] - 1
+    return texts[first], begins[first], reach[last] - texts[first] * far
+
+
 def _row(number: int, shard: int, run_text: bytes, lengths, docs, texts, begins, gone: bool, of=()) -> pa.RecordBatch:
     listed = lambda x, t: pa.array([np.asarray(x).tolist()], pa.list_(t))
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int64()), pa.array([run_text], pa.binary()), listed(lengths, pa.int32()), listed(docs, pa.int64()), listed(texts, pa.int32()), listed(begins, pa.int32()), listed(of, pa.int32()), pa.array([gone])], ["slice", "shard", "run_text", "lengths", "docs", "texts", "begins", "of", "gone"])
@@ -526,18 +536,19 @@ def _dealt(docs: DataFrame, window: int, gram: int, member: int) -> tuple[DataFr
     spark = docs.sparkSession
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "slice long, ids array<long>, ends array<long>, bytes binary")
     packed = bucketed(packed, "slice", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    _release(docs)
-    keyed = packed.mapInArrow(_keys(window, gram), "key long, slice long, code byte")
-    marked = spill(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(member), "key long, slice long"), compression="zstd")
-    _release(docs)
+    keyed = packed.mapInArrow(_keys(window, gram), "key long, only long, doc long, slice long, code byte")
+    marked = spill(keyed.repartition("key").sortWithinPartitions("key", "only", "doc").mapInArrow(_shared(member), "key long, slice long, lost boolean"), compression="zstd")
     hot = marked.where("slice < 0").collect()  # at most one for each MEMBER bytes of weights
     shared = marked.where("slice >= 0")
-    text = shared.count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
+    text = shared.where("not lost").count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
     shards = max(8, -(-text * 2 // member))
     hot_shards = -(-sum(-r["slice"] for r in hot) * window // 3 * 2 // member)  # a run of 65 bytes has some 16 windows
-    wanted = shared.groupBy("slice").agg(F.collect_list("key").alias("keys")).withColumnRenamed("slice", "_slice")
+    listed = lambda of: F.collect_list(F.when(of, F.col("key")))
+    wanted = shared.groupBy("slice").agg(listed(~F.col("lost")).alias("keys"), listed(F.col("lost")).alias("lost")).withColumnRenamed("slice", "_slice")
     hot_keys = np.sort(np.array([r.key for r in hot], np.int64))
-    return packed, packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_keys, hot_shards), _RUNS)
+    members = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_keys, hot_shards), _RUNS)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shards + hot_shards) // 2)  # two shards to a task, however many there are
+    return packed, members.repartition(parts, "shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard")
 
 
 def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, member: int = MEMBER) -> DataFrame:
@@ -546,10 +557,10 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM
 
     A byte goes if it lies in a string of window bytes that also starts in a row with a smaller doc_id; rows of equal ids don't
     count for each other, and a null id is larger than all. Null texts are empty; texts shorter than window stay whole. Other
-    columns are ignored; empty in, empty out. Long documents are slices of their own, as they are rows of their own.
+    columns are ignored; empty in, empty out. Long documents are slices of their own, as they are rows of their own. Runs of one key
+    count as equal where their 64-bit hashes are; all other comparisons are of bytes.
     """
-    packed, runs_of = _dealt(docs, window, gram, member)
-    found = spill(runs_of.repartition("shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard").mapInArrow(_searched(window, member), "slice long, texts array<int>, begins array<int>, ends array<int>"))
-    _release(docs)
+    packed, dealt = _dealt(docs, window, gram, member)
+    found = spill(dealt.mapInArrow(_searched(window, member), "slice long, texts array<int>, begins array<int>, ends array<int>"))
     stretches = found.groupBy("slice").agg(F.collect_list(F.struct("texts", "begins", "ends")).alias("found")).withColumnRenamed("slice", "_slice")
     return packed.join(stretches, F.col("slice") == F.col("_slice"), "left").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string")

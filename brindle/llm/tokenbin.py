@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, spill, utf8
+from .common import scratch, slices, spill, utf8
 from .pretokens import words_of
 
 MAGIC = b"BVB1"
@@ -160,11 +160,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    import atexit
-    import uuid
-
-    from .common import _delete
-
-    path = f"{shared_dir(spark)}/brindle/{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
+    """A path in the shared folder, deleted with the other scratch files."""
+    return scratch(spark)

@@ -266,7 +266,8 @@ def near_duplicates(docs: DataFrame, most: int = HOT) -> DataFrame:
     for each row of docs(doc_id, text).
 
     Equal fingerprints are one node, so copies cost one aggregation. Null or blank texts have fingerprint 0, linked like any other.
-    A null doc_id is never a component_id unless all of its component are null. Other columns are ignored; empty in, empty out.
+    A null doc_id is never a component_id unless all of its component are null. A text of any length is one row of a task. Other columns
+    are ignored, whatever their names; repeated rows give repeated rows; empty in, empty out.
     """
     prints, of_print = _grouped(docs, ("doc_id",), most)
     return prints.join(of_print, F.col("fingerprint") == F.col("_print")).select("doc_id", "fingerprint", "component_id")
@@ -275,7 +276,8 @@ def near_duplicates(docs: DataFrame, most: int = HOT) -> DataFrame:
 def one_of_each(docs: DataFrame, most: int = HOT) -> DataFrame:
     """One row of each group of near-duplicates of docs(doc_id, text, ...), with all its columns: that of the smallest doc_id, any of
     them where rows share it, one of a null doc_id only if the group has no other. Rows get numbers and wait in the shared folder
-    while they are grouped, so that the same rows are read again."""
+    while they are grouped, so that the same rows are read again. Null and empty texts are one group. Columns may have any names; empty
+    in, empty out."""
     numbered = spill(docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.monotonically_increasing_id().alias("_number")), compression="zstd")
     prints, of_print = _grouped(numbered, ("doc_id", "_number"), most)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_number").alias("c")))

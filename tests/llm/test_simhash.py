@@ -56,6 +56,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from brindle.llm import components as C
+
+    monkeypatch.setattr(C, "HUB", 3)
+    rng = random.Random(8)
+    edges = [(0, i) for i in range(1, 60)] + [(500, i) for i in range(501, 540)] + [(530, 59), *((rng.randrange(600, 700), rng.randrange(600, 700)) for _ in range(60))]
+    root = {}
+    for a, b in edges * 60:
+        low = min(root.get(a, a), root.get(b, b))
+        root[a] = root[b] = low
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: r for n, r in root.items() if n != r}
+
+
 @pytest.mark.parametrize("hot", [2048, 8])
 def test_near_duplicates(spark, hot):
     rng = random.Random(2)

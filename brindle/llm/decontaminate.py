@@ -16,14 +16,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank_marks, mix64, slices, span_hashes, utf8, word_spans
+from .common import blank_marks, mix64, slices, span_hashes, spill, utf8, word_spans
 
 SEED, COVERED = 5, 0.8
-#: Bytes of benchmark text in one pass.
+#: Bytes of benchmark text in one pass; a single longer item is a pass of its own.
 PASS_BYTES = 16 << 20
+#: Places of equal seeds in an item and a document that are held at once; texts with more are tiled length by length.
+PLACES = 1 << 20
 
 _LETTERS = np.full(256, 32, np.uint8)
 for _c in range(256):
@@ -61,13 +63,16 @@ def seeds(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def tiles(item: np.ndarray, doc: np.ndarray, least: int, places: int = PLACES) -> list[tuple[int, int, int]]:
     """Greedy tiles (begin in item, begin in doc, words): always the longest match of least words or more that are unmarked in both;
-    ties go to the first in the item, then in the document."""
+    ties go to the first in the item, then in the document. Texts that repeat themselves share seeds at very many places; beyond
+    places of them the same tiles are found with hashes of one length after another, in memory that grows with the texts only."""
     mine, theirs = seeds(item, least), seeds(doc, least)
     order = np.argsort(mine, kind="stable")
     low, high = np.searchsorted(mine[order], theirs, "left"), np.searchsorted(mine[order], theirs, "right")
     n = high - low
+    if n.sum() > places:
+        return _by_length(item, doc, least)
     at = np.repeat(np.arange(len(theirs)), n)
     p = order[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(at))]
     keep = item[p] == doc[at]
@@ -96,6 +101,56 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
     return out
 
 
+def _free(gone: np.ndarray, n: int) -> np.ndarray:
+    """Where n words in a row are unmarked."""
+    sums = np.append(0, np.cumsum(gone))
+    return np.flatnonzero(sums[n:] == sums[:-n])
+
+
+def _common(item: np.ndarray, doc: np.ndarray, mark_item: np.ndarray, mark_doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of unmarked runs of n words whose hash the other text has, too, and the hashes there."""
+    i, j = _free(mark_item, n), _free(mark_doc, n)
+    a, b = seeds(item, n)[i], seeds(doc, n)[j]
+    ours, other = np.isin(a, b), np.isin(b, a)
+    return i[ours], a[ours], j[other], b[other]
+
+
+def _by_length(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """tiles() by running Karp-Rabin hashes: the longest length that unmarked runs share is found by halving, its matches are marked in
+    order, and so on."""
+    mark_item, mark_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    out, most = [], min(len(item), len(doc))
+    while True:
+        low, high = least - 1, most
+        while low < high:
+            n = (low + high + 1) // 2
+            if len(_common(item, doc, mark_item, mark_doc, n)[0]):
+                low = n
+            else:
+                high = n - 1
+        if low < least:
+            return out
+        i, a, j, b = _common(item, doc, mark_item, mark_doc, low)
+        by = np.lexsort((j, b))
+        j, b = j[by], b[by]
+        first, stop = np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right")
+        begin: dict[int, int] = {}
+        marked = False
+        for p, lo, hi in zip(i.tolist(), first.tolist(), stop.tolist()):
+            if mark_item[p : p + low].any():
+                continue
+            at = begin.get(lo, lo)
+            while at < hi and mark_doc[j[at] : j[at] + low].any():
+                at += 1
+            begin[lo] = at  # marked places stay so
+            q = next((int(x) for x in j[at:hi] if not mark_doc[x : x + low].any() and (item[p : p + low] == doc[x : x + low]).all()), None)
+            if q is not None:
+                out.append((p, q, low))
+                mark_item[p : p + low] = mark_doc[q : q + low] = True
+                marked = True
+        most = low if marked else low - 1
+
+
 @dataclass
 class Index:
     """Items by number, and their seeds in order."""
@@ -138,12 +193,16 @@ class Index:
 
 
 def _parts(benchmark: DataFrame, pass_bytes: int) -> Iterator[list]:
-    """The benchmark's items, in lists of bounded size."""
+    """The benchmark's different items, in lists of at most pass_bytes and one item. Items are dealt to buckets by a hash of all their
+    columns; running sums inside a bucket say which list of it an item falls into."""
+    size = F.octet_length("text") + 16
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-total // pass_bytes)
-    for i in range(n):
-        yield items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
+    n = -(-(items.agg(F.sum(size)).first()[0] or 0) // pass_bytes)
+    before = Window.partitionBy("bucket").orderBy("item_id", "text")
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n))))
+    placed = spill(dealt.withColumn("part", F.floor(F.sum(size).over(before) / F.lit(pass_bytes))))
+    for bucket, part in sorted((r.bucket, r.part) for r in placed.select("bucket", "part").distinct().collect()):
+        yield placed.where((F.col("bucket") == bucket) & (F.col("part") == part)).orderBy("item_id", "text").collect()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), seed: int = SEED, covered: float = COVERED, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -152,7 +211,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("
     covered or more.
 
     An item of fewer than seed words counts where all its words stand in a row; one without words never does. Null texts have no
-    words. Equal items are one; a repeated document gives repeated rows. Empty tables give an empty result.
+    words. Equal items are one; a repeated document gives repeated rows. A text of any length is one row of a task; ties between tiles
+    go to the first place. Other columns are ignored; keep must not name a column that is made here. Empty tables give an empty result.
     """
     schema = docs.select(*keep).schema
     for name, kind in (("item_id", "long"), ("item_words", "long"), ("covered", "long"), ("coverage", "double")):
@@ -187,7 +247,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, seed: int = SEED, covered: float = COVERED, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that no item contaminates, with all their columns."""
+    """The rows of docs(text, ...) that no item contaminates, with all their columns, whatever their names. Null and empty texts stay, as
+    do all rows where the benchmark is empty or has no words; repeated rows stay or go together; empty in, empty out."""
     for part in _parts(benchmark, pass_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Index.of([r.text for r in part], seed))
 

@@ -120,6 +120,28 @@ def test_mix(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixing_in_groups_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 4)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rows = [(i % 150 if i % 3 else None, "ab"[i % 5 == 0], " ".join(["w"] * (i % 13))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix(docs).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, abs=1) and len({r.taken - r.size for r in own if r.size}) > 2
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("taken", F.lit(1)), carry=("taken",))
+
+
+def test_mixed_keeps_rows_of_any_kind_apart(spark):
+    rows = [(None, "a", None), (None, "a", " "), (1, "a", "x y"), (1, "a", "x y"), (2, None, "z " * 300), (3, "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as size", "2 as taken", "3 as _row")
+    got = mixing.mixed(docs).collect()
+    assert got and got[0].__fields__ == docs.columns and all(r.text.strip() for r in got)
+    assert sum(len(r.text.split()) for r in got) == pytest.approx(1.5 * 304, abs=2)
+    assert mixing.mixed(docs.where("false")).count() == 0
+
+
 def test_mixed_rows(spark):
     docs = spark.createDataFrame([(i, "ab"[i % 2], f"one two three {i} five", 9, "en") for i in range(40)], "doc_id long, source string, text string, n_chars long, lang string")
     got = mixing.mixed(docs).collect()
@@ -137,6 +159,24 @@ def test_tiles_are_greedy():
     assert decontaminate.tiles(word("abcd"), word("abcdabcd"), 5) == []
 
 
+def test_tiles_of_repetitive_texts_are_the_same_length_by_length():
+    rng = np.random.default_rng(2)
+    for trial in range(300):
+        letters = int(rng.integers(1, 4))
+        item, doc = (rng.integers(0, letters, int(rng.integers(0, n))).astype(np.uint64) for n in (25, 60))
+        if trial % 3 == 0 and len(item):
+            doc = np.concatenate([doc, item[len(item) // 2 :], doc[:3], item[: len(item) // 2 + 2]])
+        least = int(rng.integers(1, 6))
+        assert decontaminate.tiles(item, doc, least) == decontaminate.tiles(item, doc, least, places=0)
+
+
+def test_passes_are_bounded(spark):
+    items = spark.createDataFrame([(i, "word " * (i % 9)) for i in range(200)] + [(500, "long " * 400), (None, None)], "item_id long, text string")
+    parts = list(decontaminate._parts(items, 300))
+    assert sorted(str(r.item_id) for p in parts for r in p) == sorted(str(r.item_id) for r in items.collect())
+    assert all(sum(len(r.text) + 16 for r in p[1:]) <= 300 + max(len(r.text) + 16 for r in p) for p in parts) and len(parts) > 10
+
+
 def test_decontamination(spark):
     a, b, c = ("The quick, brown fox jumps over lazy dogs", "alpha beta gamma delta epsilon zeta eta theta iota kappa", "two words")
     items = spark.createDataFrame([(1, a), (2, b), (3, c), (4, None), (5, "?!"), (1, a)], "item_id long, text string")

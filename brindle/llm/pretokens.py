@@ -18,11 +18,12 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from .common import _FACTOR, _INVERSE, mix64, powers
+from .common import _FACTOR, mix64, powers
 
 OTHER, LETTER, NUMBER, BLANK, GAP, EDGE, SPECIAL, UNKNOWN = range(8)
 _EDGE = "\U0010ffff"
 _VALUE = mix64(np.arange(1, 0x110001, dtype=np.uint64))
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of eight
 
 
 def piece_starts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
@@ -79,7 +80,8 @@ class Words:
     def _clear(self) -> None:
         n = 1 << self.bits
         self.keys, self.at, self.n = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int32)
-        self.spelled, self.letters = np.zeros(n, np.int64), np.full(n, -1, np.int32)
+        self.first, self.second = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.spelled, self.letters = np.zeros(n, np.int64), np.zeros(n, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.text, self.written = np.zeros(1 << 16, np.uint32), 0
 
@@ -136,40 +138,61 @@ class Words:
         text = np.cumsum(edge) - 1
         return joined, points, begins[~edge], ends[~edge], text[~edge], odd
 
-    def _same(self, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Whether each stretch of points is spelled as the one of its length at others in other."""
-        differ = np.flatnonzero(points[_flat(begins, lengths)] != other[_flat(others, lengths)])
+    def _spelled(self, points: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A hash of each piece; its characters as two numbers and its length, which tell pieces of up to 16 characters below U+0100 apart;
+        for other pieces these are 0 and the negative length."""
+        narrow = np.append(points.astype(np.uint8), np.zeros(24, np.uint8))
+        eights = np.ndarray(len(narrow) - 7, "<u8", narrow, strides=(1,))
+        a, b, size = eights[begins] & _FIRST[np.minimum(lengths, 8)], eights[begins + 8] & _FIRST[np.clip(lengths - 8, 0, 8)], lengths.copy()
+        wide = points > 255
+        long = lengths > 16
+        if wide.any():
+            upto = np.append(0, np.cumsum(wide))
+            long |= upto[begins + lengths] > upto[begins]
+        large = np.flatnonzero(long)
+        hashes = mix64(a ^ mix64(b ^ lengths.astype(np.uint64)))
+        if len(large):
+            own = lengths[large]
+            first = np.cumsum(own) - own
+            at = _flat(begins[large], own)
+            sums = np.add.reduceat(_VALUE[points[at]] * powers(_FACTOR, int(own.max()))[np.arange(len(at)) - np.repeat(first, own)], first)
+            hashes[large] = mix64(sums ^ own.astype(np.uint64))
+            a[large] = b[large] = 0
+            size[large] = -own
+        return hashes, a, b, size
+
+    def _same(self, points: np.ndarray, begins: np.ndarray, size: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Whether each piece, its numbers being equal, is spelled as the one at others in other."""
         out = np.ones(len(begins), bool)
-        out[np.searchsorted(np.cumsum(lengths), differ, "right")] = False
+        large = np.flatnonzero(size < 0)
+        differ = np.flatnonzero(points[_flat(begins[large], -size[large])] != other[_flat(others[large], -size[large])])
+        out[large[np.searchsorted(np.cumsum(-size[large]), differ, "right")]] = False
         return out
 
     def located(self, joined: str, points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids are in the pool, and how many they are. A hash finds a cached piece; its spelling is compared."""
         if self.used > self.most or self.written > 4 * self.most:
             self._clear()
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(_VALUE[points] * powers(_FACTOR, len(points)), out=sums[1:])
         lengths = ends - begins
-        hashes = mix64((sums[ends] - sums[begins]) * powers(_INVERSE, len(points) + 1)[begins] ^ lengths.astype(np.uint64))
+        hashes, a, b, size = self._spelled(points, begins, lengths)
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        known = (self.keys[slot] == hashes) & (self.letters[slot] == lengths)
-        at = np.flatnonzero(known)
-        known[at] = self._same(points, begins[at], lengths[at], self.text, self.spelled[slot[at]])
+        known = (self.letters[slot] == size) & (self.first[slot] == a) & (self.second[slot] == b) & (self.keys[slot] == hashes)
+        at = np.flatnonzero(known & (size < 0))
+        known[at] = self._same(points, begins[at], size[at], self.text, self.spelled[slot[at]])
         at, n = self.at[slot], self.n[slot].astype(np.int64)
         if not known.all():
             new = np.flatnonzero(~known)
             own, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             lead = new[first][back.reshape(-1)]
-            same = lengths[lead] == lengths[new]
-            same[same] = self._same(points, begins[new[same]], lengths[new[same]], points, begins[lead[same]])
+            same = (size[lead] == size[new]) & (a[lead] == a[new]) & (b[lead] == b[new])
+            same[same] = self._same(points, begins[new[same]], size[new[same]], points, begins[lead[same]])
             fresh = np.append(new[first], new[~same])  # a hash of two spellings: those pieces are encoded each for itself
-            b, size = begins[fresh], lengths[fresh]
-            new_at, new_n, spelled = self._add([joined[i:j] for i, j in zip(b.tolist(), ends[fresh].tolist())], points[_flat(b, size)])
+            new_at, new_n, spelled = self._add([joined[i:j] for i, j in zip(begins[fresh].tolist(), ends[fresh].tolist())], points[_flat(begins[fresh], lengths[fresh])])
             at[new], n[new] = new_at[back.reshape(-1)], new_n[back.reshape(-1)]
             at[new[~same]], n[new[~same]] = new_at[len(own) :], new_n[len(own) :]
-            s = slot[new[first]]
-            self.keys[s], self.at[s], self.n[s], self.letters[s] = own, new_at[: len(own)], new_n[: len(own)], size[: len(own)]
-            self.spelled[s] = spelled + (np.cumsum(size) - size)[: len(own)]
+            f, s = new[first], slot[new[first]]
+            self.keys[s], self.at[s], self.n[s], self.letters[s], self.first[s], self.second[s] = own, new_at[: len(own)], new_n[: len(own)], size[f], a[f], b[f]
+            self.spelled[s] = spelled + (np.cumsum(lengths[fresh]) - lengths[fresh])[: len(own)]
         return at, n
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:

@@ -4,8 +4,11 @@ Terms are words, and stems of words with varying ends, that many different conte
 hardly do; they stand in a trie. A word is looked up by running its Levenshtein automaton (substitution, insertion, deletion,
 transposed neighbours) along the trie: each trie node holds the automaton's states as a row of distances, a branch is left when no
 state is within reach. Numpy does this for all new words of a batch at once. How many edits a term bears is learned from what
-they would find in clean documents. A hit's context window tells quotation (marks around it, words of reporting) from abuse
-(address, more hits nearby). A logistic layer over the sums of both scores the document.
+they would find in clean documents.
+
+A hit's context is the words around it and whether it stands in quotation marks. Which contexts speak for abuse and which for
+quotation is learned, too: hits of clean documents (reports, quotations, other meanings) and of toxic ones have other words
+around them, and each word's log odds count. A logistic layer over the sums of both kinds of hits scores the document.
 """
 
 from __future__ import annotations
@@ -22,12 +25,10 @@ from pyspark.sql.types import ArrayType, StructType
 from .common import blank_marks, slices, span_hashes, utf8, word_spans
 from .quality import sample
 
-#: Bounds of the training sample (documents of each label) and of the terms learned.
-SAMPLE_DOCS, TERMS = 3000, 256
-#: Words on either side of a hit that its context takes in.
-WINDOW = 8
-REPORTING = frozenset("said says wrote writes quoted quote quotes called calls term word words slur insult reported allegedly dijo llamó palabra dit mot appelé sagte schrieb wort nannte".split())
-ADDRESS = frozenset("you your youre u ur tu te vous ton votre du dich dein ihr sie eres usted ustedes".split())
+#: Bound of the training sample: documents of each label.
+SAMPLE_DOCS = 3000
+#: Words on either side of a hit that its context takes in; the letters of a term's beginning that are looked at.
+WINDOW, STEM = 8, (4, 16)
 
 _JOINS = np.zeros(256, bool)  # bytes inside words: letters, digits, signs that stand for letters
 _JOINS[128:] = True
@@ -43,6 +44,10 @@ def longest_reach(term: str) -> int:
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
+#: Stands for quotation marks in a context.
+QUOTED = np.uint64(1)
+
+
 class Trie:
     """terms; stems: whether a word that only begins with the term counts; reach: edits that count."""
 
@@ -98,24 +103,42 @@ class Trie:
         return best, np.where(best < 0, 0, distance)
 
 
+@dataclass
+class Context:
+    """Log odds of abuse by the hash of a word near a hit (in order), and those of a hit without any."""
+
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    odds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    base: float = 2.0
+
+    def abuse(self, words: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """How far each row of words (where there) speaks for abuse, 0 to 1."""
+        total = np.full(len(words), self.base)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, words), len(self.keys) - 1)
+            total += np.where(there & (self.keys[at] == words), self.odds[at], 0).sum(1)
+        return 1 / (1 + np.exp(-np.clip(total, -20, 20)))
+
+
 @dataclass
 class Lexicon:
     terms: list[str]
     stems: list[bool]
     reach: list[int]
     weights: np.ndarray
+    context: Context = field(default_factory=Context)
     _trie: Trie | None = field(default=None, repr=False)
     _keys: np.ndarray | None = field(default=None, repr=False)
     _found: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self) -> tuple:
-        return self.terms, self.stems, self.reach, self.weights
+        return self.terms, self.stems, self.reach, self.weights, self.context
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def lookup(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Term (-1: none) and distance of the words part[starts:ends]; a cache of 2 ** 18 words saves the walks of frequent ones."""
+    def lookup(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term (-1: none), distance and hash of the words part[starts:ends]; a cache of 2 ** 18 words saves the walks of frequent ones."""
         if self._trie is None:
             self._trie, self._keys, self._found = Trie(self.terms, self.stems, self.reach), np.zeros(1 << 18, np.uint64), np.zeros((1 << 18, 2), np.int32)
         hashes = span_hashes(part, starts, ends)
@@ -130,7 +153,7 @@ class Lexicon:
             found = np.stack(self._trie.find([raw[i : min(j, i + most + 4)].decode("utf-8", "replace").lower() for i, j in at]), 1)
             out[new] = found[back]
             self._keys[slot[new[first]]], self._found[slot[new[first]]] = own, found
-        return out[:, 0], out[:, 1]
+        return out[:, 0], out[:, 1], hashes
 
 
 #: Per document: sums of weights in abuse and in quotation, of exact terms and of misspelled ones; the strongest abuse; its density.
@@ -138,55 +161,42 @@ FEATURES = 6
 
 
 @dataclass
-class Hit:
-    row: int
-    begin: int
-    end: int
-    term: int
-    distance: int
-    abuse: float
+class Hits:
+    """Row of its text, byte span in it, term and distance of each hit; the hashes of its context, and where there are any."""
+
+    row: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    term: np.ndarray
+    distance: np.ndarray
+    words: np.ndarray
+    there: np.ndarray
 
 
-def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[list[Hit], np.ndarray]:
-    """All hits in the texts, with byte spans in their text, and the number of words of each text."""
+def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[Hits, np.ndarray]:
+    """All hits in the texts, and the number of words of each text."""
     base = offsets[0]
-    part = _FLAT[data[base : offsets[-1]]]
-    blank_marks(data[base : offsets[-1]], part)
+    whole = data[base : offsets[-1]]
+    part = _FLAT[whole]
+    blank_marks(whole, part)
     starts, ends, row = word_spans(part, offsets - base)
     solid = np.flatnonzero(_SOLID[part])
-    if len(solid):
-        low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
-        keep = low <= high
-        starts, ends, row = solid[low[keep]], solid[high[keep]] + 1, row[keep]
-    else:
-        starts, ends, row = starts[:0], ends[:0], row[:0]
+    low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
+    keep = low <= high
+    starts, ends, row = solid[low[keep]], solid[high[keep]] + 1, row[keep]
     count = np.bincount(row, minlength=len(offsets) - 1)
-    term, distance = lexicon.lookup(part, starts, ends)
+    term, distance, hashes = lexicon.lookup(part, starts, ends)
     at = np.flatnonzero(term >= 0)
-    if not len(at):
-        return [], count
-    whole = data[base : offsets[-1]]
-    marks = np.cumsum(whole == 0x22)
-    opened = _openings(whole)
-    raw, out = part.tobytes(), []
-    for i in at.tolist():
-        r, text = int(row[i]), int(offsets[row[i]] - base)
-        lo, hi = i, i
-        while lo > 0 and row[lo - 1] == r and i - lo < WINDOW:
-            lo -= 1
-        while hi + 1 < len(row) and row[hi + 1] == r and hi - i < WINDOW:
-            hi += 1
-        near = [raw[int(starts[k]) : int(ends[k])].decode("utf-8", "replace") for k in range(lo, hi + 1) if k != i]
-        others = int((term[lo : hi + 1] >= 0).sum()) - 1
-        b, e, stop = int(starts[i]), int(ends[i]), int(offsets[r + 1] - base)
-        before = int(marks[b - 1] if b else 0) - int(marks[text - 1] if text else 0)
-        after = int(marks[stop - 1]) - int(marks[e - 1])
-        quoted = bool(before % 2 and after) or bool(opened[b] > (opened[text - 1] if text else 0))
-        reported = any(w in REPORTING for w in near)
-        quotation = min(1.0, 0.8 * quoted + 0.4 * reported)
-        address = 0.2 * any(w in ADDRESS for w in near) + 0.1 * min(others, 2)
-        out.append(Hit(r, b - text, e - text, int(term[i]), int(distance[i]), max(0.0, min(1.0, 1 - quotation + (0 if quoted else address)))))
-    return out, count
+    near = at[:, None] + np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
+    inside = np.clip(near, 0, max(len(row) - 1, 0))
+    there = (near == inside) & (row[inside] == row[at, None]) if len(at) else np.zeros(near.shape, bool)
+    # In quotation marks: an odd number of straight ones before it in its text and one behind, or an open pair of others.
+    marks, opened = np.append(0, np.cumsum(whole == 0x22)), np.append(0, _openings(whole))
+    r = row[at]
+    first, stop, b, e = offsets[r] - base, offsets[r + 1] - base, starts[at], ends[at]
+    quoted = ((marks[b] - marks[first]) % 2 == 1) & (marks[stop] > marks[e]) | (opened[b] > opened[first])
+    words = np.column_stack([hashes[inside] if len(at) else np.zeros(near.shape, np.uint64), np.full(len(at), QUOTED)])
+    return Hits(r, b - first, e - first, term[at], distance[at], words, np.column_stack([there, quoted])), count
 
 
 def _openings(whole: np.ndarray) -> np.ndarray:
@@ -201,16 +211,19 @@ def _openings(whole: np.ndarray) -> np.ndarray:
     return np.cumsum(change)
 
 
-def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[Hit]]:
+def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Hits, np.ndarray]:
+    """Features of the texts, their hits, and how far each hit's context speaks for abuse."""
     found, words = hits(lexicon, data, offsets)
-    x = np.zeros((len(offsets) - 1, FEATURES))
-    for h in found:
-        weight = lexicon.weights[h.term] / (1 + h.distance)
-        x[h.row, 2 * (h.distance > 0)] += weight * h.abuse
-        x[h.row, 2 * (h.distance > 0) + 1] += weight * (1 - h.abuse)
-        x[h.row, 4] = max(x[h.row, 4], weight * h.abuse)
+    abuse, rows = lexicon.context.abuse(found.words, found.there), len(offsets) - 1
+    x = np.zeros((rows, FEATURES))
+    weight = lexicon.weights[found.term] / (1 + found.distance) if len(found.term) else np.zeros(0)
+    for k, part in enumerate((abuse, 1 - abuse)):
+        for near in (0, 1):
+            own = (found.distance > 0) == near
+            x[:, 2 * near + k] = np.bincount(found.row[own], (weight * part)[own], rows)
+    np.maximum.at(x[:, 4], found.row, weight * abuse)
     x[:, 5] = (x[:, 0] + x[:, 2]) / np.sqrt(np.maximum(1, words))
-    return np.log1p(x), found
+    return np.log1p(x), found, abuse
 
 
 @dataclass
@@ -223,30 +236,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def learn_terms(texts: DataFrame, *, most: int = TERMS, odds: float = 8.0, share: float = 0.01, contexts: int = 3) -> Lexicon:
-    """From texts(doc_id, text, label): beginnings (from 4 characters) of words of toxic documents whose rate is odds times that in
-    clean ones and that stand after different words in a share of the toxic documents, contexts at least; so copies of one document
-    don't make a term. Of beginnings of each other the one with most contexts and odds stays. It is a stem if it goes on in
-    several ways."""
+def learn_terms(texts: DataFrame, *, odds: float = 8.0, sure: float = 2.0, contexts: int = 3) -> Lexicon:
+    """From texts(doc_id, text, label): words of two or three letters and beginnings of longer ones (STEM letters) whose rate in toxic
+    documents is odds times that in clean ones, and sure times with 95 % confidence. A document counts once for each different word before
+    the term, at least contexts of them, so copies of one document don't make a term. The confidence alone decides how much is
+    enough, for a sample of any size. Of beginnings of each other the one with most contexts and odds stays. It is a stem if it goes
+    on in several ways, or in one beyond STEM. There is no limit on terms: those of a bounded sample are bounded."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+"), lambda w: F.length(w) > 0)
-    pairs = texts.select("doc_id", "label", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("l"))).alias("x")).where(F.length("x.w").between(4, 40))
+    pairs = texts.select("doc_id", "label", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("l"))).alias("x")).where(F.length("x.w") >= 2)
     per_doc = pairs.groupBy("doc_id", "label", F.col("x.w").alias("word")).agg(F.min("x.l").alias("left"))
-    begins = per_doc.select("*", F.explode(F.transform(F.sequence(F.lit(4), F.least(F.length("word"), F.lit(16))), lambda n: F.substring("word", F.lit(1), n))).alias("begin"))
+    cut = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.length("word"), F.lit(STEM[1]))), lambda n: F.substring("word", F.lit(1), n))
+    begins = per_doc.select("*", F.explode(F.when(F.length("word") < STEM[0], F.array("word")).otherwise(cut)).alias("begin"))
     per_doc = begins.groupBy("doc_id", "label", "begin").agg(F.min("left").alias("left"), F.min("word").alias("word"))
     counts = per_doc.groupBy("begin").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"), F.count_if((F.col("label") == 1) & (F.col("word") == F.col("begin"))).alias("alone"))
     sizes = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    least = max(contexts, share * toxic)
-    rate = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    likely = counts.where(F.col("toxic") >= least).withColumn("weight", rate).where(F.col("weight") > float(np.log(odds)))
+    rate = lambda n: F.log((n + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
+    likely = counts.where((F.col("toxic") >= contexts) & (rate(F.col("toxic")) > float(np.log(odds))))
     left = per_doc.where("label = 1").groupBy("begin").agg(F.count_distinct("left").alias("contexts"), F.count_distinct("word").alias("forms"))
-    found = likely.join(left, "begin").where(F.col("contexts") >= least).orderBy(F.desc("contexts"), "begin").limit(20 * most).collect()
-    chosen: list = []
+    seen = F.least("toxic", "contexts")
+    weight = rate(seen) - 1.64 * F.sqrt(1 / (seen + 0.5) + 1 / (F.col("clean") + 0.5))
+    found = likely.join(left, "begin").where(F.col("contexts") >= contexts).withColumn("weight", weight).where(F.col("weight") > float(np.log(sure))).collect()
+    chosen, begun = {}, set()
     for r in sorted(found, key=lambda r: (-r.contexts * r.weight**2, -len(r.begin), r.begin)):
-        if len(chosen) < most and not any(r.begin.startswith(c.begin) or c.begin.startswith(r.begin) for c in chosen):
-            chosen.append(r)
-    terms = [r.begin for r in chosen]
-    return Lexicon(terms, [r.forms > 2 and r.alone < 0.8 * r.toxic for r in chosen], [longest_reach(t) for t in terms], np.array([r.weight for r in chosen]))
+        parts = [r.begin[:n] for n in range(1, len(r.begin) + 1)]
+        if r.begin not in begun and not any(p in chosen for p in parts):
+            chosen[r.begin] = r
+            begun.update(parts)
+    stems = [(r.forms > 2 or len(t) == STEM[1]) and r.alone < 0.8 * r.toxic for t, r in chosen.items()]
+    return Lexicon(list(chosen), stems, [longest_reach(t) for t in chosen], np.array([r.weight for r in chosen.values()]))
 
 
 def learn_reach(lexicon: Lexicon, texts: DataFrame, *, odds: float = 8.0) -> Lexicon:
@@ -258,8 +276,9 @@ def learn_reach(lexicon: Lexicon, texts: DataFrame, *, odds: float = 8.0) -> Lex
         for batch in batches:
             for part in slices(batch):
                 label = part.column("label").to_pylist()
-                seen = sorted({(h.row, h.term, h.distance) for h in hits(sent.value, *utf8(part.column("text")))[0] if h.distance})
-                yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in seen], pa.int32()), pa.array([x[2] for x in seen], pa.int32()), pa.array([label[x[0]] for x in seen], pa.int32())], ["term", "distance", "label"])
+                h = hits(sent.value, *utf8(part.column("text")))[0]
+                seen = np.unique(np.column_stack([h.row, h.term, h.distance])[h.distance > 0], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 1], pa.int32()), pa.array(seen[:, 2], pa.int32()), pa.array([label[i] for i in seen[:, 0]], pa.int32())], ["term", "distance", "label"])
 
     counts = texts.select("label", "text").mapInArrow(run, "term int, distance int, label int").groupBy("term", "distance").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).collect()
     found = {(r.term, r.distance): r for r in counts}
@@ -272,21 +291,53 @@ def learn_reach(lexicon: Lexicon, texts: DataFrame, *, odds: float = 8.0) -> Lex
                 break
             good = d
         reach.append(good)
-    return Lexicon(lexicon.terms, lexicon.stems, reach, lexicon.weights)
+    return Lexicon(lexicon.terms, lexicon.stems, reach, lexicon.weights, lexicon.context)
+
+
+def learn_context(lexicon: Lexicon, texts: DataFrame, *, least: int = 5, doubt: float = 20.0) -> Lexicon:
+    """The lexicon with its context learned: for each word (and quotation marks) near the hits of at least least documents, the log odds of
+    standing near a hit in a toxic document against a clean one. doubt is how many documents of the common rate are added to both,
+    so that rare words, or a label without hits, say little."""
+    sent = texts.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                label = np.array(part.column("label").to_pylist(), np.int64)
+                h = hits(sent.value, *utf8(part.column("text")))[0]
+                rows = np.broadcast_to(h.row[:, None], h.words.shape)[h.there]
+                pairs = np.unique(np.column_stack([np.append(rows, np.unique(h.row)), np.append(h.words[h.there], np.zeros(len(np.unique(h.row)), np.uint64)).view(np.int64)]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(label[pairs[:, 0]])], ["word", "label"])
+
+    near = texts.select("label", "text").mapInArrow(run, "word long, label long")  # word 0: a document with hits
+    counts = near.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")).where((F.col("toxic") + F.col("clean") >= least) | (F.col("word") == 0)).collect()
+    word, toxic, clean = (np.array([r[k] for r in counts], np.int64) for k in range(3))
+    all_toxic, all_clean = int(toxic[word == 0].sum()), int(clean[word == 0].sum())
+    common = doubt * (toxic + clean + 1) / (all_toxic + all_clean + 2)
+    odds = np.log((toxic + common) / (all_toxic + doubt)) - np.log((clean + common) / (all_clean + doubt))
+    order = np.argsort(word.view(np.uint64))
+    order = order[word[order] != 0]
+    context = Context(word.view(np.uint64)[order], np.clip(odds[order], -2, 2), float(np.clip(np.log((all_toxic + 1) / (all_clean + 1)), -2, 2)))
+    return Lexicon(lexicon.terms, lexicon.stems, lexicon.reach, lexicon.weights, context)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_label: int = SAMPLE_DOCS, seed: int = 0) -> Model:
-    """Learns terms and the logistic layer from the documents that labels(doc_id, label) names, at most per_label of each label."""
+    """Learns terms, contexts and the logistic layer from the documents that labels(doc_id, label) names, at most per_label of each label.
+
+    Null ids and labels other than 0 and 1 are left out, as are ids with both; a repeated label counts once, a repeated document each
+    time. Which documents are taken, and so the model, depends on ids and seed only. Null and empty texts are documents without
+    words; texts of any length are read whole. Other columns are ignored. With no labels, or one, the score is constant.
+    """
     from .common import spill
 
     texts = spill(sample(docs, labels, label, per_label, seed))
-    lexicon = learn_reach(learn_terms(texts), texts)
+    lexicon = learn_context(learn_reach(learn_terms(texts), texts), texts)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                x, _ = features(sent.value, *utf8(part.column("text")))
+                x = features(sent.value, *utf8(part.column("text")))[0]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
     rows = sorted((r.label, tuple(r.x)) for r in texts.select("label", "text").mapInArrow(run, "label int, x array<double>").collect())
@@ -303,21 +354,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_label:
     return Model(lexicon, weights[:-1], float(weights[-1]))
 
 
+_HIT = {"term": "string", "begin": "long", "end": "long", "distance": "int", "abuse": "double"}
+
+
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, score (0 to 1) and hits: an array of term, begin and end (bytes of the text), distance, and how far
-    the context speaks for abuse. A null or empty text has no hits and gets the score of such texts. One row for each row of docs."""
+    """The kept columns of docs(text, ...), score (0 to 1) and hits: an array of term, begin and end (bytes of the text), distance, and how
+    far the context speaks for abuse. A null or empty text has no hits and gets the score of such texts. One row for each row of
+    docs, repeated ones too; of terms at equal distance the first in the trie is the hit. Texts of any length are one row of a task.
+    Other columns are ignored; keep must not name score or hits. Empty in, empty out."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("term", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("distance", pa.int32()), ("abuse", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        terms = pa.array(m.lexicon.terms, pa.string())
         for batch in batches:
             for part in slices(batch, "_text"):
-                x, found = features(m.lexicon, *utf8(part.column("_text")))
-                per_row: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                for h in found:
-                    per_row[h.row].append({"term": m.lexicon.terms[h.term], "begin": h.begin, "end": h.end, "distance": h.distance, "abuse": h.abuse})
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(m.score(x), pa.float64()), pa.array(per_row, kind)], [*keep, "score", "hits"])
+                x, h, abuse = features(m.lexicon, *utf8(part.column("_text")))
+                values = [terms.take(pa.array(h.term)), pa.array(h.begin, pa.int64()), pa.array(h.end, pa.int64()), pa.array(h.distance, pa.int32()), pa.array(abuse, pa.float64())]
+                ends = np.append(0, np.cumsum(np.bincount(h.row, minlength=part.num_rows))).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, list(_HIT)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(m.score(x), pa.float64()), listed], [*keep, "score", "hits"])
 
-    schema = docs.select(*keep).schema.add("score", "double").add("hits", ArrayType(StructType.fromDDL("term string, begin long, end long, distance int, abuse double")))
+    schema = docs.select(*keep).schema.add("score", "double").add("hits", ArrayType(StructType.fromDDL(", ".join(f"{n} {t}" for n, t in _HIT.items()))))
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -256,14 +257,60 @@ def test_one_label_or_none(spark):
             assert len(scores) == 1 and 0 <= scores.pop() <= 1
 
 
-def test_quotation_is_told_from_abuse():
-    lexicon = toxicity.Lexicon(["dimwit"], [False], [1], np.array([3.0]))
-    texts = ["you are a dimwit", 'the word "dimwit" was quoted', "she said “dimwit” again", "he wrote dimwti", "clean"]
+def found_in(lexicon, texts):
     data, offsets = toxicity.utf8(pa_array(texts))
-    found, _ = toxicity.hits(lexicon, data, offsets)
-    abuse = {h.row: h.abuse for h in found}
-    assert abuse[0] == 1.0 and abuse[1] < 0.3 and abuse[2] < 0.3 and abuse[3] < 1 and 4 not in abuse
-    assert [texts[h.row].encode()[h.begin : h.end] for h in found] == [b"dimwit", b"dimwit", b"dimwit", b"dimwti"]
+    x, h, abuse = toxicity.features(lexicon, data, offsets)
+    return [(int(r), texts[int(r)].encode()[b:e].decode(), lexicon.terms[t], int(d), float(a)) for r, b, e, t, d, a in zip(h.row, h.begin, h.end, h.term, h.distance, abuse)]
+
+
+def test_hits_as_a_slow_scan():
+    rng = random.Random(11)
+    lexicon = toxicity.Lexicon(["dimwit", "cur", "blockhe"], [False, False, True], [1, 0, 1], np.array([3.0, 2.0, 2.0]))
+    pool = ["dimwit", "dimwti", "dimwiit", "cur", "cut", "curs", "blockhead", "bolckheads", "river", "“cur”", "é", "$cur", "xdimwitx", "DIMWIT,"]
+    texts = ["", " ", *(" ".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    want = []
+    for r, text in enumerate(texts):
+        for word in re.findall(r"[0-9a-z*@$!'\u0080-\uffff]+", re.sub("[“”]", " ", text.lower())):
+            word = word.strip("*@$!'")
+            best = None
+            for term, stem, reach in zip(lexicon.terms, lexicon.stems, lexicon.reach):
+                row = distance(term, word)[-1]
+                d = min(row) if stem else row[-1]
+                if d <= reach and (best is None or d < best[3]):
+                    best = (r, word, term, d)
+            want += [best] if best else []
+    assert [(r, w.lower(), t, d) for r, w, t, d, _ in found_in(lexicon, texts)] == want and len(want) > 100
+
+
+def test_quotation_is_told_from_abuse_by_learned_contexts(spark):
+    rng = random.Random(6)
+    other = ["garden", "river", "music", "window", "paper", "train", "cloud", "stone", "bread", "light"]
+    some = lambda: [rng.choice(other) + rng.choice("abcdefghij") for _ in range(rng.randint(12, 30))]
+    rows = []
+    for i in range(360):
+        abuse, report = ["you", "are", "a", *some()[:1], "dimwit", "indeed"], ["critics", "reported", "the", "word", '"dimwit"', "yesterday"]
+        words = some() + (abuse if i % 3 == 0 else report if i % 18 == 1 else []) + some()
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(docs, docs.select("doc_id", F.col("label").alias("toxic")))
+    assert "dimwit" in model.lexicon.terms
+    asked = [(1, "stonea breadb you are a breadc dimwit indeed musicc"), (2, 'papera critics reported the word "dimwit" yesterday lightd'), (3, "trainb critics reported the word dimwit yesterday"), (4, "rivera you are a stonej dmiwit indeed")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    abuse = {i: next(h.abuse for h in r.hits if h.term == "dimwit") for i, r in got.items()}
+    assert min(abuse[1], abuse[4]) > 0.9 and abuse[2] < 0.3 and abuse[3] < abuse[1]
+    assert got[1].score >= 0.5 > got[2].score and got[4].score >= 0.5
+
+
+def test_terms_of_any_number_and_length(spark):
+    rng = random.Random(7)
+    bad = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "ptkmnl"] + ["q" + "z" * 30]
+    fine = lambda n: [rng.choice("rstvw") + rng.choice("aeiou") * 2 + rng.choice("lmn") + rng.choice("aeiouy") for _ in range(n)]
+    rows = [(i, " ".join(fine(8) + [w for b in rng.sample(bad, 60) for w in (b, *fine(1))])) for i in range(60)] + [(100 + i, " ".join(fine(60))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn_terms(toxicity.sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 3000))
+    assert {b for b in bad if len(b) == 3} <= set(lexicon.terms) and ("q" + "z" * 15) in lexicon.terms
+    many = toxicity.Lexicon([f"w{i:05d}" for i in range(3000)], [False] * 3000, [1] * 3000, np.ones(3000))
+    assert [t for _, _, t, _, _ in found_in(many, ["w00017 w02999 x"])] == ["w00017", "w02999"]
 
 
 def pa_array(texts):

@@ -2,13 +2,14 @@
 
 Every passage of WORDS words becomes a vector of shares of character classes and of repeated words. A hidden layer encodes it,
 gated attention (tanh times sigmoid) weighs the passages of a document, and a logistic layer scores the weighted mean. Only
-document labels are known; the weights of passages are learned from them. Numpy trains it on a bounded sample of labelled
-documents; scoring runs over whole texts in map tasks.
+document labels are known; the weights of passages are learned from them. Numpy trains it on all passages of a bounded sample of
+labelled documents, in batches of bounded size; scoring runs over whole texts in map tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, slices, span_hashes, utf8, word_spans
+from .common import SPACE, drop, slices, span_hashes, spill, utf8, word_spans
 
 WORDS = 64
-#: Bounds of the training sample: documents of each label, and passages of a document, evenly spaced.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 128
+#: Bound of the training sample: documents of each label.
+SAMPLE_DOCS = 3000
+#: Passages of a training batch (or one document's), steps of Adam, and bytes of features that the driver keeps between epochs; more
+#: are read again from the shared folder in each.
+BATCH, STEPS, KEPT = 16_384, 300, 64 << 20
 
 _CLASS = np.full(256, 5, np.int64)  # bytes of characters beyond ASCII
 _CLASS[:128] = 6
@@ -101,46 +105,60 @@ class Model:
         return out["score"], out["attention"]
 
 
-def train(x: np.ndarray, bag: np.ndarray, labels: np.ndarray, *, hidden: int = 16, gates: int = 8, steps: int = 250, rate: float = 0.03, decay: float = 1e-3, seed: int = 0) -> Model:
-    """Adam on the mean log loss, both labels weighing the same. One label only, or no bags: a constant score."""
-    bags = len(labels)
-    prior = float(labels.mean()) if bags else 0.5
+Batch = tuple[np.ndarray, np.ndarray, np.ndarray]  # features, the bag of each instance, labels of the bags
+
+
+def train(batches: Callable[[], Iterable[Batch]], *, hidden: int = 16, gates: int = 8, steps: int = STEPS, rate: float = 0.03, decay: float = 1e-3, seed: int = 0) -> Model:
+    """Adam on the mean log loss, both labels weighing the same; batches() gives an epoch's batches, in the same order each time. A first
+    epoch finds means, spreads and shares of labels. One label only, or no bags: a constant score."""
+    n, sums, squares, bags, good, epoch = 0, 0.0, 0.0, 0, 0.0, 0
+    for x, _, labels in batches():
+        n, sums, squares = n + len(x), sums + x.sum(0, dtype=float), squares + (x.astype(float) ** 2).sum(0)
+        bags, good, epoch = bags + len(labels), good + labels.sum(), epoch + 1
+    prior = float(good / bags) if bags else 0.5
     if not bags or prior in (0.0, 1.0):
         return Model(np.zeros(FEATURES), np.ones(FEATURES), {}, prior)
+    mean = sums / n
     random = np.random.default_rng(seed)
     normal = lambda *shape: random.normal(0, 1 / np.sqrt(shape[0]), shape)
-    weights = {"encode": normal(x.shape[1], hidden), "encode_bias": np.zeros(hidden), "content": normal(hidden, gates), "gate": normal(hidden, gates), "attend": normal(gates), "out": normal(hidden), "bias": np.zeros(1)}
-    model = Model(x.mean(0), x.std(0) + 1e-3, weights, prior)
+    weights = {"encode": normal(len(mean), hidden), "encode_bias": np.zeros(hidden), "content": normal(hidden, gates), "gate": normal(hidden, gates), "attend": normal(gates), "out": normal(hidden), "bias": np.zeros(1)}
+    model = Model(mean, np.sqrt(np.maximum(0, squares / n - mean**2)) + 1e-3, weights, prior)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in weights.items()}
-    cost = np.where(labels == 1, 0.5 / prior, 0.5 / (1 - prior)) / bags
-    for step in range(1, steps + 1):
-        f, w = model.forward(x, bag, bags), weights
-        error = (f["score"] - labels) * cost
-        d_pooled = error[:, None] * w["out"]
-        d_attention = (d_pooled[bag] * f["hidden"]).sum(1)
-        inner = np.add.reduceat(f["attention"] * d_attention, f["first"])
-        d_raw = f["attention"] * (d_attention - inner[bag])
-        d_content = d_raw[:, None] * w["attend"] * f["gate"] * (1 - f["content"] ** 2)
-        d_gate = d_raw[:, None] * w["attend"] * f["content"] * f["gate"] * (1 - f["gate"])
-        d_hidden = f["attention"][:, None] * d_pooled[bag] + d_content @ w["content"].T + d_gate @ w["gate"].T
-        d_before = d_hidden * (1 - f["hidden"] ** 2)
-        slopes = {"encode": f["x"].T @ d_before, "encode_bias": d_before.sum(0), "content": f["hidden"].T @ d_content, "gate": f["hidden"].T @ d_gate, "attend": (f["content"] * f["gate"]).T @ d_raw, "out": f["pooled"].T @ error, "bias": np.array([error.sum()])}
-        for k, g in slopes.items():
-            g = g + decay * w[k] * (k != "bias")
-            m, v = moments[k]
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    step = 0
+    for _ in range(-(-steps // epoch)):
+        for x, bag, labels in batches():
+            step += 1
+            cost = np.where(labels == 1, 0.5 / prior, 0.5 / (1 - prior)) / len(labels)
+            for k, g in slopes(model, x, bag, labels, cost).items():
+                w, (m, v) = weights[k], moments[k]
+                g = g + decay * w * (k != "bias")
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                w -= rate * min(1.0, 2 - 2 * step / (steps + epoch)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return model
 
 
+def slopes(model: Model, x: np.ndarray, bag: np.ndarray, labels: np.ndarray, cost: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the sum of cost times log loss of the bags."""
+    f, w = model.forward(x, bag, len(labels)), model.weights
+    error = (f["score"] - labels) * cost
+    d_pooled = error[:, None] * w["out"]
+    d_attention = (d_pooled[bag] * f["hidden"]).sum(1)
+    inner = np.add.reduceat(f["attention"] * d_attention, f["first"])
+    d_raw = f["attention"] * (d_attention - inner[bag])
+    d_content = d_raw[:, None] * w["attend"] * f["gate"] * (1 - f["content"] ** 2)
+    d_gate = d_raw[:, None] * w["attend"] * f["content"] * f["gate"] * (1 - f["gate"])
+    d_hidden = f["attention"][:, None] * d_pooled[bag] + d_content @ w["content"].T + d_gate @ w["gate"].T
+    d_before = d_hidden * (1 - f["hidden"] ** 2)
+    return {"encode": f["x"].T @ d_before, "encode_bias": d_before.sum(0), "content": f["hidden"].T @ d_content, "gate": f["hidden"].T @ d_gate, "attend": (f["content"] * f["gate"]).T @ d_raw, "out": f["pooled"].T @ error, "bias": np.array([error.sum()])}
+
+
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             x, of = passages(*utf8(part.column("text")))
             split = np.split(x, np.flatnonzero(np.diff(of)) + 1)
-            split = [v[np.linspace(0, len(v) - 1, min(len(v), SAMPLE_PASSAGES)).astype(int)] for v in split]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array([v.tobytes() for v in split], pa.binary())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([v.tobytes() for v in split], pa.binary())], ["doc_id", "label", "x"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, seed: int = 0) -> DataFrame:
@@ -155,18 +173,41 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, seed:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_label: int = SAMPLE_DOCS, seed: int = 0) -> Model:
-    """Learns from documents that labels(doc_id, label) names; texts of the sample are read, their features collected."""
-    rows = sample(docs, labels, label, per_label, seed).mapInArrow(_featurize, "label int, x binary").collect()
-    rows.sort(key=lambda r: (r.label, r.x))  # the model doesn't depend on the order in which tasks end
-    x = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
-    bag = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    return train(np.concatenate(x).astype(float) if x else np.zeros((0, FEATURES)), bag, np.array([r.label for r in rows], float), seed=seed)
+def _batches(rows: Iterable, size: int) -> Iterator[Batch]:
+    """Documents in batches of about size passages."""
+    held, n = [], 0
+    for r in itertools.chain(rows, [None]):
+        x = np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) if r is not None else None
+        if held and (x is None or n + len(x) > size):
+            yield np.concatenate([v for v, _ in held]), np.repeat(np.arange(len(held)), [len(v) for v, _ in held]), np.array([y for _, y in held], float)
+            held, n = [], 0
+        if x is not None:
+            held.append((x, r.label))
+            n += len(x)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_label: int = SAMPLE_DOCS, seed: int = 0, kept: int = KEPT) -> Model:
+    """Learns from all passages of the documents that labels(doc_id, label) names, at most per_label of each label.
+
+    Null ids and labels other than 0 and 1 are left out, as are ids with both; a repeated label counts once, a repeated document each
+    time. The order of documents is that of a hash, so that the model depends on ids, texts and seed only. Null and empty texts are one
+    empty passage. Features wait in the shared folder; the driver holds a batch (a document, if that is longer), or all of them
+    where they are at most kept bytes. Other columns are ignored. With no labels, or one, the score is constant.
+    """
+    made = spill(sample(docs, labels, label, per_label, seed).mapInArrow(_featurize, "doc_id long, label int, x binary"))
+    rows = made.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", F.md5("x")).select("label", "x")
+    total = made.agg(F.sum(F.octet_length("x"))).first()[0] or 0
+    held = rows.collect() if total <= kept else None
+    model = train(lambda: _batches(held if held is not None else rows.toLocalIterator(), BATCH), seed=seed)
+    drop(made)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs, score (0 to 1), passages, best_passage (the one of most attention, from 0), its attention. A null,
-    empty or blank text is one empty passage and is scored like any other. One row for each row of docs."""
+    """The kept columns of docs(text, ...), score (0 to 1), passages, best_passage (the one of most attention, from 0; the first of equal
+    ones), its attention. A null, empty or blank text is one empty passage and is scored like any other. One row for each row of docs,
+    repeated ones too; a text of any length is one row of a task. Other columns are ignored; keep must not name a column that is made
+    here. Empty in, empty out."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,5 +227,6 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",))
 
 
 def good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs that score least or more, with all their columns."""
+    """The rows of docs(text, ...) that score least or more, with all their columns, whatever their names. Null and empty texts are scored as
+    one empty passage; repeated rows stay or go together; a score of just least stays; empty in, empty out."""
     return score(docs.select("text", F.struct("*").alias("_row")), model, keep=("_row",)).where(F.col("score") >= least).select("_row.*")

@@ -319,11 +319,51 @@ def pa_array(texts):
     return pa.array(texts, pa.string())
 
 
-def test_gradient_of_attention():
+def bags_of(x, bag, y):
+    return lambda: iter([(x.astype(np.float32), bag, y)])
+
+
+def test_attention_finds_the_telling_passage():
     rng = np.random.default_rng(1)
     x, bag = rng.normal(size=(40, 5)), np.repeat(np.arange(10), 4)
     y = (np.maximum.reduceat(x[:, 0], np.arange(0, 40, 4)) > 1).astype(float)
-    quality_model = quality.train(x, bag, y, steps=300)
-    s, attention = quality_model.score(x, bag, 10)
+    model = quality.train(bags_of(x, bag, y), steps=300)
+    s, attention = model.score(x, bag, 10)
     assert ((s > 0.5) == y).mean() >= 0.9 and np.allclose(np.add.reduceat(attention, np.arange(0, 40, 4)), 1)
-    assert math.isclose(float(quality.train(x, bag, np.ones(10)).score(x, bag, 10)[0][0]), 1.0)
+    assert math.isclose(float(quality.train(bags_of(x, bag, np.ones(10))).score(x, bag, 10)[0][0]), 1.0)
+
+
+def test_forward_as_a_loop_and_slopes_as_differences():
+    rng = np.random.default_rng(3)
+    sizes = [1, 4, 2, 5]
+    x, bag, y = rng.normal(size=(12, 5)), np.repeat(np.arange(4), sizes), np.array([1.0, 0, 1, 0])
+    model = quality.train(bags_of(x, bag, y), steps=5)
+    w, sigmoid = model.weights, lambda v: 1 / (1 + math.exp(-v))
+    scores = []
+    for b in range(4):
+        hidden = [np.tanh(np.clip((r - model.mean) / model.scale, -6, 6) @ w["encode"] + w["encode_bias"]) for r in x[bag == b]]
+        raw = [sum(math.tanh(float(h @ w["content"][:, g])) * sigmoid(float(h @ w["gate"][:, g])) * w["attend"][g] for g in range(8)) for h in hidden]
+        share = [math.exp(r) / sum(map(math.exp, raw)) for r in raw]
+        scores.append(sigmoid(float(sum(a * h for a, h in zip(share, hidden)) @ w["out"]) + w["bias"][0]))
+    assert np.allclose(model.score(x, bag, 4)[0], scores)
+    loss = lambda: float(-(y * np.log(model.score(x, bag, 4)[0]) + (1 - y) * np.log(1 - model.score(x, bag, 4)[0])).sum())
+    for name, slope in quality.slopes(model, x, bag, y, np.ones(4)).items():
+        at = tuple(rng.integers(0, n) for n in w[name].shape)
+        kept = w[name][at]
+        w[name][at] = kept + 1e-5
+        up = loss()
+        w[name][at] = kept - 1e-5
+        assert math.isclose((up - loss()) / 2e-5, slope[at], rel_tol=1e-3, abs_tol=1e-7), name
+        w[name][at] = kept
+
+
+def test_all_passages_of_long_documents_train_and_batches_may_be_read_again(spark):
+    rng = random.Random(9)
+    fine = lambda n: " ".join(rng.choice(["garden", "river", "music", "paper"]) for _ in range(n))
+    rows = [(i, fine(64 * 300) + (" %%% ### $$$ !!!" * 16 if i % 2 else "") + " " + fine(64 * 40)) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    kept, read = quality.fit(docs, labels), quality.fit(docs, labels, kept=0)
+    assert all(np.array_equal(kept.weights[k], read.weights[k]) for k in kept.weights)
+    got = quality.score(docs, kept).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in got) >= 22 and {r.passages for r in got} <= {340, 341}

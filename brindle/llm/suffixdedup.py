@@ -4,7 +4,8 @@ A window is a string of WINDOW bytes. Its key is the smallest hash of the GRAM-b
 and neighbouring windows mostly share one. Windows of a key that only one document has can't repeat elsewhere; a shuffle of keys
 finds the others. That shuffle also carries a hash of the run of windows that a slice of documents has under the key, and its
 smallest document: of slices with the same run only the one of the smallest document sends it on, the windows of the others go.
-So a passage of any number of copies is one text, before any text is shuffled. The runs go to the shard of their key.
+So a passage of any number of copies is one text, before any text is shuffled. Runs that have different ones under their key go to
+the shard of the key.
 
 A shard's text gets a suffix array by Larsson-Sadakane refinement: groups of equal prefixes of 8 bytes, then those of more than one
 suffix are sorted by the rank of what follows, which doubles the prefix, until all stand alone. Kasai's common prefixes, walked along
@@ -300,46 +301,76 @@ def _contents(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.nd
     return np.ceil(np.log2(np.maximum(size, 256) / 256)).astype(np.int64), np.where(low == high, low, np.uint64(0)).view(np.int64)
 
 
+SHIP, LOST, OWN = 0, 1, 2
+
+
 def _shared(most: int):
-    """Of rows in the order of key, only and doc, those of keys in more than one document, and whether the slice's windows go because a
-    smaller document has the same run; for each hot key a row with the bytes of its different runs, negative, as slice. A row waits for
-    the next one, nothing else does."""
+    """Of rows in the order of key, only and doc, those of keys in more than one document, and what the slice does with its windows of the
+    key: SHIP them, as other runs have the key; LOST, for a smaller document in another slice has the same run; OWN, there are
+    copies of the run in this slice only. For each hot key a row with the bytes of its different runs, negative, as slice. Of a key two
+    rows wait at most: the last one for the next, and that of its first run until another run turns up."""
     names = ("key", "only", "doc", "slice", "code")
 
+    def rows(key, number, kind) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(number, pa.int64()), pa.array(kind, pa.int8())], ["key", "slice", "kind"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting = [np.zeros(0, np.int64) for _ in names]
         before: tuple[int, int, int] | None = None  # key, only and first document of the row passed last
-        counted: tuple[int, int] | None = None  # the key it had, and bytes of it
+        several = False  # whether its key has had different runs
+        first_run: tuple[int, int, int] | None = None  # key, slice and code of the first run of that key, not decided yet
+        counted: tuple[int, int] | None = None  # that key, and bytes that are shipped for it
         hot: list[tuple[int, int]] = []
         for batch in _with_end(batches):
             new = [batch.column(c).to_numpy().astype(np.int64) for c in names] if batch is not None else [np.zeros(0, np.int64)] * 5
             key, only, doc, number, code = (np.concatenate([w, n]) for w, n in zip(waiting, new))
             n = len(key) - (batch is not None)
-            if n < 0 or not len(key):
+            if n <= 0:
+                if len(key):
+                    waiting = [key, only, doc, number, code]
                 continue
             waiting = [x[n:] for x in (key, only, doc, number, code)]
-            if not n:
-                continue
+            goes_on = before is not None and before[0] == key[0]
             equal = key[1:] == key[:-1]
-            as_before = np.append(before is not None and before[0] == key[0], equal)[:n]
-            same = np.append(before is not None and before[:2] == (key[0], only[0]), equal & (only[1:] == only[:-1]))[:n]
-            keep = (code[:n] & 1 > 0) | as_before | np.append(equal, False)[:n]
+            as_before = np.append(goes_on, equal)[:n]
+            same = np.append(goes_on and before[1] == only[0], equal & (only[1:] == only[:-1]))[:n]
+            shared = (code[:n] & 1 > 0) | as_before | np.append(equal, False)[:n]
+            key, only, doc, number, code = (x[:n] for x in (key, only, doc, number, code))
             lead = np.maximum.accumulate(np.where(same, -1, np.arange(n)))
             first = np.where(lead < 0, before[2] if before else 0, doc[lead])
-            gone = same & (only[:n] != 0) & (doc[:n] > first)
-            before = int(key[n - 1]), int(only[n - 1]), int(first[-1])
-            starts = np.flatnonzero(np.append(True, key[1:n] != key[: n - 1]))
-            sums = np.add.reduceat(np.where(gone, 0, np.int64(256) << (code[:n] >> 1)), starts)
-            if counted and counted[0] == key[0]:
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            differ = np.maximum.reduceat(((~same & as_before) | (only == 0)).astype(int), starts) > 0
+            differ[0] |= goes_on and several
+            if first_run is not None and (not goes_on or differ[0] or len(starts) > 1):
+                if goes_on and differ[0]:
+                    yield rows([first_run[0]], [first_run[1]], [SHIP])
+                elif first_run[2] & 1:
+                    yield rows([first_run[0]], [first_run[1]], [OWN])
+                if counted and goes_on and differ[0]:
+                    counted = counted[0], counted[1] + (256 << (first_run[2] >> 1))
+                first_run = None
+            several = bool(differ[-1])
+            alone = ~np.repeat(differ, np.diff(np.append(starts, n)))  # the key has one run, as far as is known
+            leads = ~same & (only != 0)
+            kind = np.where(same & (only != 0) & (doc > first), LOST, np.where(leads & alone, OWN, SHIP))
+            keep = shared & ~((kind == OWN) & (code & 1 == 0))
+            if leads[starts[-1]] and alone[-1] and not (len(starts) == 1 and goes_on):
+                first_run = int(key[starts[-1]]), int(number[starts[-1]]), int(code[starts[-1]])
+                keep[starts[-1]] = False
+            before = int(key[-1]), int(only[-1]), int(first[-1])
+            sums = np.add.reduceat(np.where(kind == SHIP, np.int64(256) << (code >> 1), 0), starts)
+            if counted and goes_on:
                 sums[0] += counted[1]
             elif counted and counted[1] > most:
                 hot.append(counted)
-            hot.extend((k, s) for k, s in zip(key[starts[:-1]].tolist(), sums[:-1].tolist()) if s > most)
-            counted = int(key[n - 1]), int(sums[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[:n][keep]), pa.array(number[:n][keep]), pa.array(gone[keep])], ["key", "slice", "lost"])
+            hot.extend((k, v) for k, v in zip(key[starts[:-1]].tolist(), sums[:-1].tolist()) if v > most)
+            counted = int(key[-1]), int(sums[-1])
+            yield rows(key[keep], number[keep], kind[keep])
+        if first_run is not None and first_run[2] & 1:
+            yield rows([first_run[0]], [first_run[1]], [OWN])
         if counted and counted[1] > most:
             hot.append(counted)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in hot], pa.int64()), pa.array([-n for _, n in hot], pa.int64()), pa.array([False] * len(hot), pa.bool_())], ["key", "slice", "lost"])
+        yield rows([k for k, _ in hot], [-v for _, v in hot], [SHIP] * len(hot))
 
     return run
 
@@ -387,6 +418,10 @@ def _members(window: int, gram: int, shards: int, hot: np.ndarray, hot_shards: i
                 key, text, first, end = runs(data, offsets, window, gram)
                 end = end + window - 1
                 lost = np.isin(key, batch.column("lost")[i].values.to_numpy())
+                own = np.flatnonzero(np.isin(key, batch.column("own")[i].values.to_numpy()))
+                own = own[np.lexsort((docs[text[own]], key[own]))]
+                head = np.maximum.accumulate(np.where(np.append(True, key[own][1:] != key[own][:-1])[: len(own)], np.arange(len(own)), 0))
+                lost[own[docs[text[own]] > docs[text[own]][head]]] = True
                 texts, begins, ends = _merged(text[lost], first[lost] - offsets[text[lost]], end[lost] - offsets[text[lost]])
                 yield _row(number, -1, b"", ends - begins, docs[:0], texts, begins, True)
                 keep = np.isin(key, batch.column("keys")[i].values.to_numpy())
@@ -537,14 +572,14 @@ def _dealt(docs: DataFrame, window: int, gram: int, member: int) -> tuple[DataFr
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "slice long, ids array<long>, ends array<long>, bytes binary")
     packed = bucketed(packed, "slice", int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = packed.mapInArrow(_keys(window, gram), "key long, only long, doc long, slice long, code byte")
-    marked = spill(keyed.repartition("key").sortWithinPartitions("key", "only", "doc").mapInArrow(_shared(member), "key long, slice long, lost boolean"), compression="zstd")
+    marked = spill(keyed.repartition("key").sortWithinPartitions("key", "only", "doc").mapInArrow(_shared(member), "key long, slice long, kind byte"), compression="zstd")
     hot = marked.where("slice < 0").collect()  # at most one for each MEMBER bytes of weights
     shared = marked.where("slice >= 0")
-    text = shared.where("not lost").count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
+    text = shared.where(F.col("kind") == SHIP).count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
     shards = max(8, -(-text * 2 // member))
     hot_shards = -(-sum(-r["slice"] for r in hot) * window // 3 * 2 // member)  # a run of 65 bytes has some 16 windows
-    listed = lambda of: F.collect_list(F.when(of, F.col("key")))
-    wanted = shared.groupBy("slice").agg(listed(~F.col("lost")).alias("keys"), listed(F.col("lost")).alias("lost")).withColumnRenamed("slice", "_slice")
+    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("key")))
+    wanted = shared.groupBy("slice").agg(listed(SHIP).alias("keys"), listed(LOST).alias("lost"), listed(OWN).alias("own")).withColumnRenamed("slice", "_slice")
     hot_keys = np.sort(np.array([r.key for r in hot], np.int64))
     members = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_keys, hot_shards), _RUNS)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shards + hot_shards) // 2)  # two shards to a task, however many there are

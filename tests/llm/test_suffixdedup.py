@@ -94,3 +94,35 @@ def test_hot_key_is_dealt_to_many_shards(spark):
     assert max(sizes) < 3 * member
     got = sd.repeated_passages(docs, member=member).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, 50)
+
+
+def test_what_slices_do_with_their_runs():
+    """_shared() against a look at all rows of a key, with batches cut anywhere."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    for trial in range(300):
+        rows = sorted({(rng.randrange(1, 9), rng.choice([0, 5, 5, 5, 6]), rng.randrange(6), rng.randrange(1000)) for _ in range(rng.randint(0, 30))})
+        rows = [(*r, 2 * rng.randrange(3) + (rng.random() < 0.2)) for r in rows]
+        cuts = sorted(rng.sample(range(len(rows) + 1), min(len(rows), 5)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        names, kinds = ["key", "only", "doc", "slice", "code"], [pa.int64()] * 4 + [pa.int8()]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(kinds)], names) for part in parts]
+        got = [tuple(r.values()) for b in sd._shared(600)(iter(batches)) for r in b.to_pylist()]
+        want, hot = [], []
+        for key in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == key]
+            shipped = 0
+            for r in own:
+                group = [x for x in own if x[1] == r[1]]
+                if r[1] and r[2] > group[0][2]:
+                    kind = sd.LOST
+                elif r[1] and r == group[0] and len(group) == len(own):
+                    kind = sd.OWN
+                else:
+                    kind = sd.SHIP
+                    shipped += 256 << (r[4] >> 1)
+                if (len(own) > 1 or r[4] & 1) and (kind != sd.OWN or r[4] & 1):
+                    want.append((key, r[3], kind))
+            hot += [(key, -shipped, sd.SHIP)] if shipped > 600 else []
+        assert sorted(got) == sorted(want + hot), trial

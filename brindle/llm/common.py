@@ -64,12 +64,14 @@ def _delete(spark: SparkSession, path: str, name: str | None = None) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(since: int = 0) -> None:
-    """Drops the tables and folders that operators have written to the shared folder, from the since-th on. Results that are still to
-    be computed from them can't be any more, so call it when what was asked for has been written."""
+def release(since: int = 0, but: DataFrame | None = None) -> None:
+    """Drops the tables and folders that operators have written to the shared folder, from the since-th on, but the one of a DataFrame
+    that spill() gave. Results that are still to be computed from them can't be any more, so call it when what was asked for has
+    been written."""
     gone = _scratch[since:]
-    del _scratch[since:]
-    for spark, path, name in reversed(gone):
+    kept = [x for x in gone if but is not None and x[1] == but._spilled]
+    _scratch[since:] = kept
+    for spark, path, name in reversed([x for x in gone if x not in kept]):
         if spark.sparkContext._jsc is not None:  # a session that has ended can't reach its store
             _delete(spark, path, name)
 

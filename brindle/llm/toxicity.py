@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import blank_marks, slices, span_hashes, utf8, word_spans
+from .common import blank_marks, drop, slices, span_hashes, spill, utf8, word_spans
 from .quality import sample
 
 #: Bound of the training sample: documents of each label.
@@ -236,27 +236,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))
 
 
-def learn_terms(texts: DataFrame, *, odds: float = 8.0, sure: float = 2.0, contexts: int = 3) -> Lexicon:
+def learn_terms(texts: DataFrame, *, odds: float = 8.0, chance: float = 0.1, contexts: int = 3) -> Lexicon:
     """From texts(doc_id, text, label): words of two or three letters and beginnings of longer ones (STEM letters) whose rate in toxic
-    documents is odds times that in clean ones, and sure times with 95 % confidence. A document counts once for each different word before
-    the term, at least contexts of them, so copies of one document don't make a term. The confidence alone decides how much is
-    enough, for a sample of any size. Of beginnings of each other the one with most contexts and odds stays. It is a stem if it goes
-    on in several ways, or in one beyond STEM. There is no limit on terms: those of a bounded sample are bounded."""
+    documents is odds times that in clean ones, more often than chance gives: of all beginnings that are looked at, about chance would pass
+    the likelihood ratio test if labels meant nothing. A document counts once for each different word before the term, at least contexts
+    of them, so copies of one document don't make a term. The test alone decides how much is enough, for a sample of any size. Of
+    beginnings of each other the one with most contexts and odds stays. It is a stem if it goes on in several ways, or in one beyond STEM.
+    There is no limit on terms: those of a bounded sample are bounded."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+"), lambda w: F.length(w) > 0)
     pairs = texts.select("doc_id", "label", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("l"))).alias("x")).where(F.length("x.w") >= 2)
     per_doc = pairs.groupBy("doc_id", "label", F.col("x.w").alias("word")).agg(F.min("x.l").alias("left"))
     cut = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.length("word"), F.lit(STEM[1]))), lambda n: F.substring("word", F.lit(1), n))
     begins = per_doc.select("*", F.explode(F.when(F.length("word") < STEM[0], F.array("word")).otherwise(cut)).alias("begin"))
     per_doc = begins.groupBy("doc_id", "label", "begin").agg(F.min("left").alias("left"), F.min("word").alias("word"))
+    per_doc = spill(per_doc)
     counts = per_doc.groupBy("begin").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"), F.count_if((F.col("label") == 1) & (F.col("word") == F.col("begin"))).alias("alone"))
+    counts = spill(counts.where(F.col("toxic") >= contexts))
+    drawn = counts.count()
     sizes = {r.label: r["count"] for r in texts.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     rate = lambda n: F.log((n + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    likely = counts.where((F.col("toxic") >= contexts) & (rate(F.col("toxic")) > float(np.log(odds))))
+    likely = counts.where(rate(F.col("toxic")) > float(np.log(odds)))
     left = per_doc.where("label = 1").groupBy("begin").agg(F.count_distinct("left").alias("contexts"), F.count_distinct("word").alias("forms"))
-    seen = F.least("toxic", "contexts")
-    weight = rate(seen) - 1.64 * F.sqrt(1 / (seen + 0.5) + 1 / (F.col("clean") + 0.5))
-    found = likely.join(left, "begin").where(F.col("contexts") >= contexts).withColumn("weight", weight).where(F.col("weight") > float(np.log(sure))).collect()
+    seen, share = F.least("toxic", "contexts"), toxic / max(1, toxic + clean)
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (p * (seen + F.col("clean"))))).otherwise(0.0)
+    evidence = part(seen, share) + part(F.col("clean"), 1 - share)
+    found = likely.join(left, "begin").where((F.col("contexts") >= contexts) & (evidence > float(np.log(max(1, drawn) / chance)))).withColumn("weight", rate(seen)).collect()
+    drop(per_doc)
+    drop(counts)
     chosen, begun = {}, set()
     for r in sorted(found, key=lambda r: (-r.contexts * r.weight**2, -len(r.begin), r.begin)):
         parts = [r.begin[:n] for n in range(1, len(r.begin) + 1)]
@@ -328,8 +335,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, per_label:
     time. Which documents are taken, and so the model, depends on ids and seed only. Null and empty texts are documents without
     words; texts of any length are read whole. Other columns are ignored. With no labels, or one, the score is constant.
     """
-    from .common import spill
-
     texts = spill(sample(docs, labels, label, per_label, seed))
     lexicon = learn_context(learn_reach(learn_terms(texts), texts), texts)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)

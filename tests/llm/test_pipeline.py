@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from brindle.llm import simhash
+from brindle.llm import common, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
@@ -56,4 +56,18 @@ def test_one_of_each_handles_repeated_and_null_ids(spark):
 
 
 def test_run(spark):
+    before = common.held()
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
+    assert common.held() == before + 1
+    common.release(before)
+    assert common.held() == before
+
+
+def test_stages_take_rows_of_any_kind(spark):
+    rows = [(None, None, None, None, None, 1), (None, "", "en", "a", 0, 2), (7, "plain words in a row of some length", "en", None, 35, 3), (7, "plain words in a row of some length", "en", None, 35, 3), (8, "long words " * 30_000, None, "a", 330_000, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row int").withColumns({c: common.F.lit(1) for c in ("score", "size", "fingerprint", "label", "_number", "taken", "mix_key")})
+    for name, stage in corpus_pipeline.STAGES:
+        full, empty = stage(spark, docs, FOLDER), stage(spark, docs.where("false"), FOLDER)
+        assert empty.count() == 0 and full.count() <= 2 * len(rows), name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert full.columns == docs.columns == empty.columns, name

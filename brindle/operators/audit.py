@@ -27,9 +27,18 @@ def division(pairs: DataFrame, required: DataFrame, group: str, item: str) -> Da
     return pairs.distinct().join(known, F.col(item) == F.col("_item"), "left").groupBy(group).agg(F.count(F.lit(1)).alias("required"), F.count("_known").alias("present")).where("required = present").drop("present")
 
 
+#: Rows of a digest, and levels of digests: so many rows of one group at most meet as one array.
+FAN, LEVELS = 1024, 3
+
+
 def fingerprint(rows: DataFrame, by: list[str], row: Column, order: Column) -> DataFrame:
-    """sha256 over the sorted digests of a group's rows. Only digests meet, 64 characters for each row."""
-    return rows.select(*by, F.struct(order.alias("o"), F.sha2(row, 256).alias("h")).alias("s")).groupBy(*by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["h"]), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("rows"))
+    """fingerprint and number of rows of each group: digests of FAN places of the order (a whole number, one row to a place) give a digest,
+    FAN of those the next, LEVELS times, and what is left the fingerprint. So a group is never one array, and any change shows."""
+    level = rows.select(*by, order.cast("long").alias("o"), F.sha2(row, 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda s: s["h"]), ""), 256).alias("h")
+    for _ in range(LEVELS):
+        level = level.groupBy(*by, F.floor(F.col("o") / FAN).alias("up")).agg(whole, F.sum("n").alias("n")).withColumnRenamed("up", "o")
+    return level.groupBy(*by).agg(whole, F.sum("n").alias("rows")).withColumnRenamed("h", "fingerprint")
 
 
 def hash_sample(rows: DataFrame, strata: list[str], id: str, n: int, seed: str) -> DataFrame:

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_rank(p: float, column: str) -> Column:
-    """The value at place ceil(n * p) of n in order."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
+def order_statistics(rows: DataFrame, by: list[str], value: str, ranks, parts: int = 128) -> DataFrame:
+    """by, n, k, value: the k-th smallest (from 1) of the n values of each group, for k in ranks(n), an array column of longs. Exact, and no
+    group is sorted or counted in one place: values are cut at about parts approximate quantiles, the sums of the cuts tell which one
+    holds a rank, and only that one's values are counted. Nulls don't count."""
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    cuts = F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(4 * parts))
+    groups = known.groupBy(*by).agg(F.array_distinct(cuts).alias("cuts"), F.count(F.lit(1)).alias("n"))
+    cut = known.join(groups, by).withColumn("cut", F.size(F.filter("cuts", lambda c: c < F.col("v")))).select(*by, "n", "cut", "v")
+    before = F.sum("m").over(Window.partitionBy(*by).orderBy("cut")) - F.col("m")
+    sums = cut.groupBy(*by, "n", "cut").agg(F.count(F.lit(1)).alias("m")).withColumn("before", before)
+    asked = sums.withColumn("k", F.explode(ranks(F.col("n")))).where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("m"))).select(*by, "cut", "before", "k")
+    values = cut.join(asked.select(*by, "cut").distinct(), [*by, "cut"], "left_semi").groupBy(*by, "n", "cut", "v").agg(F.count(F.lit(1)).alias("m"))
+    upto = values.withColumn("upto", F.sum("m").over(Window.partitionBy(*by, "cut").orderBy("v")))
+    met = upto.join(asked, [*by, "cut"]).where((F.col("upto") - F.col("m") < F.col("k") - F.col("before")) & (F.col("k") - F.col("before") <= F.col("upto")))
+    return met.select(*by, "n", "k", F.col("v").alias(value))
 
 
-def interpolated(p: float, column: str) -> Column:
-    return F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY {column})")
+def nearest_rank(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share p: the value at place ceil(n * p) of n in order."""
+    at = {name: F.greatest(F.lit(1), F.ceil(F.col("n") * p)).cast("long") for name, p in shares.items()}
+    found = order_statistics(rows, by, value, lambda n: F.array_distinct(F.array(*at.values())))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("k") == k, F.col(value))).alias(name) for name, k in at.items()])
+
+
+def interpolated(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each share p: the value at (n - 1) * p from the first, between two values in proportion."""
+    place = {name: (F.col("n") - 1) * F.lit(p) for name, p in shares.items()}
+    ends = lambda x: (F.floor(x).cast("long") + 1, F.ceil(x).cast("long") + 1)
+    found = order_statistics(rows, by, value, lambda n: F.array_distinct(F.array(*[k for x in place.values() for k in ends(x)])))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col(value)))
+    part = lambda x: F.max(x - F.floor(x))
+    return found.groupBy(*by).agg(*[(at(ends(x)[0]) + (at(ends(x)[1]) - at(ends(x)[0])) * part(x)).alias(name) for name, x in place.items()])
 
 
 def recall(hits: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
@@ -30,7 +55,7 @@ def recall(hits: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
 
 
 def retrieval_category(n_hits: str = "n_hits") -> Column:
-    """Why a question's evidence was missed, by the metrics of recall()."""
+    """Why a question's evidence was missed, by the metrics of recall(). The names are fixed values."""
     return (
         F.when(F.col(n_hits) == 0, "NO_HITS")
         .when(F.col("recall_at_5").isNull(), "UNSCORABLE")
@@ -43,7 +68,7 @@ def retrieval_category(n_hits: str = "n_hits") -> Column:
 
 
 def flow_category(final: str, hybrid: str, dense: str, lexical: str) -> Column:
-    """Where a document was lost on its way through four lists of 20."""
+    """Where a document was lost on its way through four lists of 20. The names are fixed values."""
     rank = F.col(final)
     return (
         F.when(rank <= 5, "HIT_AT_5")

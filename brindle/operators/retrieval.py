@@ -1,4 +1,4 @@
-"""Retrieval: dense top-k, BM25+, reciprocal rank fusion, reranking."""
+"""Retrieval: dense top-k, reciprocal rank fusion, reranking. BM25+ is in lexical.py."""
 
 from __future__ import annotations
 
@@ -102,41 +102,6 @@ def dense_batch_top_k(chunks: DataFrame, queries: DataFrame, k: int, *, id: str
     return ranked(found, ["query_id"], F.desc("score"), id).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, *, id: str = "chunk_id", text: str = "text") -> DataFrame:
-    """id, term, tf, doc_len: one row for each document and different term. Terms are counted inside the row, so only pairs are shuffled later."""
-    found = docs.select(F.col(id), T.tokens(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
-    return found.select(id, "doc_len", F.explode("tokens").alias("term")).groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-
-
-def bm25_top_k(docs: DataFrame, query: str, k: int, *, id: str = "chunk_id", text: str = "text", k1: float = 1.5, b: float = 0.75, delta: float = 1.0, ids: Sequence[int] | None = None) -> DataFrame:
-    """id, score, rank by BM25+ of documents that share a term with the query, ties to smaller ids.
-
-    Each query term known to the corpus adds idf * delta to all of them; matched ones add idf * tf * (k1 + 1) / (K + tf). The corpus
-    statistics take one pass over the documents and give one row, which the second pass is joined to; no posting list is shuffled.
-    Documents without tokens count in the statistics. A scope limits the corpus before anything is counted.
-    """
-    kept = scope(ids)
-    corpus = docs if kept is None else docs.where(F.col(id).isin(kept))
-    terms = [r[0] for r in docs.sparkSession.range(1).select(F.explode(F.array_distinct(T.tokens(F.lit(query))))).collect()]
-    if not terms:
-        raise ValueError("the query has no terms")
-    found = corpus.select(F.col(id), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    frequency = lambda w: F.size(F.filter("tokens", lambda t: t == F.lit(w)))
-    tf = [frequency(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = found.select(id, F.size("tokens").alias("doc_len"), *tf)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avg_len"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    some = F.lit(False)
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        t, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.when(df > 0, F.log((F.col("n") + 1) / df)).otherwise(0.0)
-        reach = k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
-        score = score + idf * (delta + F.when(t > 0, t * (k1 + 1) / (reach + t)).otherwise(0.0))
-        some = some | (t > 0)
-    top = counted.where(some).join(F.broadcast(stats)).select(id, score.alias("score")).orderBy(F.desc("score"), id).limit(k)
-    return ranked(top, [], F.desc("score"), id)
-
-
 def reciprocal_fusion(branches: DataFrame, *, id: str = "chunk_id", k: int = 60, limit: int = 30, mean_of: int | None = None) -> DataFrame:
     """id, fusion_score and rank from branches(branch, id, rank): the sum of 1 / (k + rank), or its mean over mean_of lists."""
     total = F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import evaluation as E
+from ..operators import literal as I
 from .registry import query
 
 def _count():
@@ -25,12 +26,8 @@ def _hits(t):
     return shared.withColumn("rank", place).where("rank <= 20").select("item_id", F.col("doc_id").alias("unit"), "rank")
 
 def _gold(t):
-    """item_id, unit: documents that hold the item's text. Joined on the text's longest word, then compared, so that no item meets every
-    document."""
-    key = lambda c: F.array_max(F.transform(_words(c), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = t.benchmark.select("item_id", F.col("text").alias("passage"), key("text").alias("w"))
-    there = t.documents.select("doc_id", "text", F.explode(_words("text")).alias("w"))
-    return asked.join(there, "w").where(F.col("text").contains(F.col("passage"))).select("item_id", F.col("doc_id").alias("unit")).distinct()
+    """item_id, unit: documents that hold the item's text."""
+    return I.contained(t.documents, t.benchmark, by="doc_id", item="item_id").withColumnRenamed("doc_id", "unit").distinct()
 
 _WORDS = "list_distinct([w for w in regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z]+') if length(w) >= 5])"
 _BASE = f"""hits AS (SELECT item_id, doc_id AS unit, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rank
@@ -92,21 +89,28 @@ def retrieval_diagnosis(t):
     rows = t.benchmark.select("item_id").join(_metrics(t), "item_id", "left").join(n, "item_id", "left").fillna(0, ["n_hits"])
     return rows.select(E.retrieval_category().alias("category")).groupBy("category").agg(_count().alias("questions"))
 
-@query("dependency_flow", f"WITH {_BASE}, x AS (SELECT item_id, unit, rank, row_number() OVER (PARTITION BY item_id ORDER BY unit) AS by_id FROM hits) SELECT category, count(*) AS dependencies FROM (SELECT CASE WHEN f <= 5 THEN 'HIT_AT_5' WHEN f IS NOT NULL THEN 'RERANK_LOW_RANK' WHEN h IS NOT NULL THEN 'RERANK_OUTPUT_MISS' WHEN a IS NULL AND b IS NULL THEN 'BRANCH_RECALL_MISS' ELSE 'BRANCH_HIT_FINAL_MISS_UNRESOLVED' END AS category FROM (SELECT CASE WHEN by_id <= 10 THEN by_id END AS f, CASE WHEN rank <= 15 THEN rank END AS h, rank AS a, by_id AS b FROM gold LEFT JOIN x USING (item_id, unit))) GROUP BY category")
+_LISTS = "l AS (SELECT b.item_id, d.doc_id AS unit, abs(b.item_id * 7919 + d.doc_id * 104729) % 1000 AS noise, length(d.text) AS size FROM gold g JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = g.unit UNION SELECT item_id, unit, abs(item_id * 7919 + unit * 104729) % 1000, (SELECT any_value(length(text)) FROM documents WHERE doc_id = unit) FROM hits), a AS (SELECT item_id, unit, rank FROM hits), d AS (SELECT item_id, unit, row_number() OVER (PARTITION BY item_id ORDER BY noise, unit) AS rank FROM l), f AS (SELECT item_id, unit, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, unit) AS rank FROM (SELECT item_id, unit, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM d WHERE rank <= 20) GROUP BY item_id, unit)), r AS (SELECT item_id, unit, row_number() OVER (PARTITION BY item_id ORDER BY size, unit) AS rank FROM l JOIN f USING (item_id, unit) WHERE f.rank <= 15)"
+
+@query("dependency_flow", f"WITH {_BASE}, {_LISTS} SELECT category, count(*) AS dependencies FROM (SELECT CASE WHEN r.rank <= 5 THEN 'HIT_AT_5' WHEN r.rank <= 10 THEN 'RERANK_LOW_RANK' WHEN f.rank <= 15 THEN 'RERANK_OUTPUT_MISS' WHEN a.rank IS NULL AND d.rank IS NULL THEN 'BRANCH_RECALL_MISS' ELSE 'BRANCH_HIT_FINAL_MISS_UNRESOLVED' END AS category FROM gold LEFT JOIN a USING (item_id, unit) LEFT JOIN (SELECT * FROM d WHERE rank <= 20) d USING (item_id, unit) LEFT JOIN f USING (item_id, unit) LEFT JOIN r USING (item_id, unit)) GROUP BY category")
 def dependency_flow(t):
-    """Four lists of one question: by overlap, by id, the first 15 fused, the first 10 reranked."""
-    lists = _hits(t).withColumn("b", F.row_number().over(Window.partitionBy("item_id").orderBy("unit"))).withColumnRenamed("rank", "a")
-    rows = _gold(t).join(lists, ["item_id", "unit"], "left").withColumn("f", F.when(F.col("b") <= 10, F.col("b"))).withColumn("h", F.when(F.col("a") <= 15, F.col("a")))
+    """Where evidence is lost between four lists of their own: documents by overlap, the candidates in an order that has nothing to do
+    with the text, both fused, and the first 15 of those reranked by length."""
+    hits, gold = _hits(t), _gold(t)
+    place = lambda *order: F.row_number().over(Window.partitionBy("item_id").orderBy(*order))
+    pool = gold.unionByName(hits.select("item_id", "unit")).distinct().join(t.documents.select(F.col("doc_id").alias("unit"), F.length("text").alias("size")), "unit")
+    noise = F.abs(F.col("item_id") * 7919 + F.col("unit") * 104729) % 1000
+    other = pool.withColumn("noise", noise).withColumn("rank", place("noise", "unit")).where("rank <= 20").select("item_id", "unit", "rank")
+    both = hits.select("item_id", "unit", "rank").unionByName(other).groupBy("item_id", "unit").agg(F.sum(F.lit(1.0) / (60 + F.col("rank"))).alias("s"))
+    fused = both.withColumn("h", place(F.desc("s"), "unit")).where("h <= 15").select("item_id", "unit", "h")
+    final = fused.join(pool, ["item_id", "unit"]).withColumn("f", place("size", "unit")).where("f <= 10").select("item_id", "unit", "f")
+    rows = gold.join(hits.withColumnRenamed("rank", "a"), ["item_id", "unit"], "left").join(other.withColumnRenamed("rank", "b"), ["item_id", "unit"], "left").join(fused, ["item_id", "unit"], "left").join(final, ["item_id", "unit"], "left")
     return rows.select(E.flow_category("f", "h", "a", "b").alias("category")).groupBy("category").agg(_count().alias("dependencies"))
 
-@query("literal_retention", r"SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM (SELECT b.item_id, d.doc_id FROM (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM benchmark) b JOIN (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM documents) d ON contains(d.p, b.p)) GROUP BY item_id")
+@query("literal_retention", r"SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM (SELECT b.item_id, d.doc_id FROM (SELECT item_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS p FROM benchmark) b JOIN (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS p FROM documents) d ON contains(d.p, b.p)) GROUP BY item_id")
 def literal_retention(t):
-    """Items whose text, white space apart, stands in documents; met by the item's longest word."""
-    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    key = lambda c: F.array_max(F.transform(_words(c), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    asked = t.benchmark.select("item_id", flat("text").alias("p"), key("text").alias("w"))
-    there = t.documents.select("doc_id", flat("text").alias("q"), F.explode(_words("text")).alias("w"))
-    return asked.join(there, "w").where(F.col("q").contains(F.col("p"))).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Items whose text, composed and white space apart, stands in documents."""
+    found = I.contained(t.documents, t.benchmark, by="doc_id", item="item_id", flatten=True)
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 @query("unique_quote", "SELECT conv_id, turn, strpos(text, q) - 1 AS begin FROM (SELECT *, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) AS q FROM conversations) WHERE length(q) > 3 AND strpos(text, q) > 0 AND strpos(substr(text, strpos(text, q) + 1), q) = 0")
 def unique_quote(t):
@@ -115,18 +119,10 @@ def unique_quote(t):
     at = F.expr("locate(q, text)")
     return quoted.where((F.length("q") > 3) & (at > 0) & (F.expr("locate(q, text, locate(q, text) + 1)") == 0)).select("conv_id", "turn", (at - 1).alias("begin"))
 
-@query("edit_distance", "SELECT a.conv_id, levenshtein(left(a.k, 200), left(b.k, 200)) AS distance, round(levenshtein(left(a.k, 200), left(b.k, 200)) / greatest(length(left(a.k, 200)), length(left(b.k, 200)), 1), 6) AS normalized FROM (SELECT *, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations WHERE turn = 0) a JOIN (SELECT *, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations WHERE turn = 1) b ON a.conv_id = b.conv_id")
-def edit_distance(t):
-    """Distance of the first 200 ASCII characters of the first two turns, as its SQL cuts them. edit_distance_turns compares whole turns."""
-    k = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 200)
-    a, b = (t.conversations.where(F.col("turn") == n).select("conv_id", k.alias(c)) for n, c in ((0, "a"), (1, "b")))
-    d = F.levenshtein("a", "b")
-    return a.join(b, "conv_id").select("conv_id", d.alias("distance"), F.round(d / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6).alias("normalized"))
-
 _WHOLE = f"length(a.k) <= {S.EDIT_CHARS} AND length(b.k) <= {S.EDIT_CHARS} AND length(a.k)::BIGINT * length(b.k) <= {S.EDIT_CELLS}"
 
-@query("edit_distance_turns", f"WITH k AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations), d AS (SELECT a.conv_id, a.turn, greatest(length(a.k), length(b.k), 1) AS n, CASE WHEN {_WHOLE} THEN levenshtein(a.k, b.k) END AS distance FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, distance, round(distance / n, 6) AS normalized FROM d")
-def edit_distance_turns(t):
+@query("edit_distance", f"WITH k AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations), d AS (SELECT a.conv_id, a.turn, greatest(length(a.k), length(b.k), 1) AS n, CASE WHEN {_WHOLE} THEN levenshtein(a.k, b.k) END AS distance FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, distance, round(distance / n, 6) AS normalized FROM d")
+def edit_distance(t):
     """Distance of each turn and the one numbered next, ASCII characters only, whole; null beyond the bounds of the guard. Joined on
     conversation and number, so a long conversation is never gathered."""
     k = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("a"))
@@ -150,11 +146,13 @@ def status_counts(t):
 
 @query("latency_nearest_rank", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY event_type")
 def latency_nearest_rank(t):
-    return t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(E.nearest_rank(0.5, "value"), 6).alias("p50"), F.round(E.nearest_rank(0.95, "value"), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"))
+    ranks = E.nearest_rank(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    means = t.events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+    return _rounded(means.join(ranks, "event_type"), "p50", "p95")
 
 @query("latency_interpolated", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_interpolated(t):
-    return t.events.groupBy("event_type").agg(F.round(E.interpolated(0.5, "value"), 6).alias("p50"), F.round(E.interpolated(0.95, "value"), 6).alias("p95"))
+    return _rounded(E.interpolated(t.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), "p50", "p95")
 
 @query("throughput", "SELECT event_type, count(*) FILTER (value < 100) AS succeeded, round(count(*) FILTER (value < 100) / nullif(epoch(max(ts)) - epoch(min(ts)), 0), 9) AS per_second FROM events GROUP BY event_type")
 def throughput(t):
@@ -180,11 +178,12 @@ def suite_audit(t):
 
 @query("format_matrix", "SELECT s.source, l.lang, coalesce(n, 0) AS n FROM (SELECT DISTINCT source FROM documents) s, (SELECT DISTINCT lang FROM documents) l LEFT JOIN (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) c ON c.source = s.source AND c.lang = l.lang")
 def format_matrix(t):
-    """All pairs of two small dimensions, empty ones too, by a pivot over the counted pairs."""
+    """All pairs of two dimensions, empty ones too: each source with the list of all languages, and the counts where there are any."""
     counts = t.documents.groupBy("source", "lang").agg(_count().alias("n"))
-    langs = [r.lang for r in counts.select("lang").distinct().orderBy("lang").limit(1000).collect()]
-    wide = counts.groupBy("source").pivot("lang", langs).sum("n")
-    return wide.select("source", F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.coalesce(F.col(x), F.lit(0)).alias("n")) for x in langs])).alias("c")).select("source", "c.lang", "c.n")
+    langs = [r.lang for r in t.documents.select("lang").distinct().collect()]
+    grid = t.documents.select("source").distinct().select("source", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"))
+    key = (grid["source"] == counts["source"]) & (grid["lang"] == counts["lang"])
+    return grid.join(counts, key, "left").select(grid["source"], grid["lang"], F.coalesce("n", F.lit(0)).alias("n"))
 
 @query("retry_filter", "SELECT event_id FROM events WHERE event_type = 'error' AND value < 20 OR event_type = 'click' AND value > 90 AND user_id % 2 = 0")
 def retry_filter(t):

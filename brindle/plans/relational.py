@@ -146,13 +146,21 @@ def unreferenced(t):
     return stored.groupBy("text_hash").agg(_count().alias("files")).join(used, "text_hash", "left_anti")
 
 
-@query("corpus_fingerprint", "SELECT source, sha256(string_agg(h, '' ORDER BY doc_id)) AS fingerprint, count(*) AS rows FROM (SELECT source, doc_id, sha256(doc_id || '|' || strlen(text) || '|' || text) AS h FROM documents) GROUP BY source")
+def _fingerprint_sql(by: str, order: str, row: str, table: str) -> str:
+    """The digests of A.fingerprint, level by level."""
+    level = f"SELECT {by}, {order} AS o, sha256({row}) AS h, 1 AS n FROM {table}"
+    for _ in range(A.LEVELS):
+        level = f"SELECT {by}, o // {A.FAN} AS o, sha256(string_agg(h, '' ORDER BY o)) AS h, sum(n) AS n FROM ({level}) GROUP BY {by}, o // {A.FAN}"
+    return f"SELECT {by}, sha256(string_agg(h, '' ORDER BY o)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM ({level}) GROUP BY {by}"
+
+
+@query("corpus_fingerprint", _fingerprint_sql("source", "doc_id", "doc_id || '|' || strlen(text) || '|' || text", "documents"))
 def corpus_fingerprint(t):
     row = F.concat_ws("|", F.col("doc_id").cast("string"), F.octet_length("text").cast("string"), "text")
     return A.fingerprint(t.documents, ["source"], row, F.col("doc_id"))
 
 
-@query("source_identity", "SELECT conv_id, count(*) AS blocks, bool_and(turn = rn - 1) AS in_order, sha256(string_agg(h, '' ORDER BY turn)) AS fingerprint FROM (SELECT conv_id, turn, sha256(text) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id")
+@query("source_identity", f"SELECT conv_id, blocks, in_order, fingerprint FROM (SELECT conv_id, count(*) AS blocks, bool_and(turn = rn - 1) AS in_order FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id) JOIN ({_fingerprint_sql('conv_id', 'turn', 'text', 'conversations')}) USING (conv_id)")
 def source_identity(t):
     numbered = t.conversations.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     order = numbered.groupBy("conv_id").agg(_count().alias("blocks"), F.bool_and(F.col("turn") == F.col("rn") - 1).alias("in_order"))
@@ -236,11 +244,12 @@ def count_rank(t):
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
-@query("inverted_index", "SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders, min(l_orderkey) AS first_order, sha256(string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR))) AS digest FROM lineitem GROUP BY l_suppkey")
+@query("inverted_index", "SELECT l_suppkey, l_orderkey // 4096 AS block, count(DISTINCT l_orderkey) AS orders, min(l_orderkey) AS first_order, sha256(string_agg(DISTINCT CAST(l_orderkey AS VARCHAR), ',' ORDER BY CAST(l_orderkey AS VARCHAR))) AS digest FROM lineitem GROUP BY ALL")
 def inverted_index(t):
-    keys = t.lineitem.select("l_suppkey", "l_orderkey").distinct()
+    """Posting lists by supplier, in blocks of 4,096 order keys, so that a list of any length is many rows."""
+    keys = t.lineitem.select("l_suppkey", "l_orderkey").distinct().withColumn("block", F.floor(F.col("l_orderkey") / 4096))
     text = F.array_join(F.array_sort(F.collect_list(F.col("l_orderkey").cast("string"))), ",")
-    return keys.groupBy("l_suppkey").agg(_count().alias("orders"), F.min("l_orderkey").alias("first_order"), F.sha2(text, 256).alias("digest"))
+    return keys.groupBy("l_suppkey", "block").agg(_count().alias("orders"), F.min("l_orderkey").alias("first_order"), F.sha2(text, 256).alias("digest"))
 
 
 @query("review_merge", "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'pending' WHEN l.quality = 1 THEN 'approved' ELSE 'rejected' END AS review FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id")

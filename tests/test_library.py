@@ -1,4 +1,5 @@
 import io
+import math
 import random
 import zipfile
 from fractions import Fraction
@@ -9,26 +10,87 @@ from pyspark.sql import functions as F
 from brindle.functions import formula
 from brindle.functions import text as T
 from brindle.functions import vectors as V
-from brindle.operators import audit, chunking, retrieval
+from brindle.operators import audit, chunking, evaluation, lexical, literal, retrieval
 from brindle.plans import QUERIES
 from brindle.sources import readers
 from brindle.streaming import events
 
 
-def test_bm25_by_hand(spark):
+def test_bm25_by_hand(spark, tmp_path):
     docs = spark.createDataFrame([(1, "nasa nasa moon"), (2, "moon base"), (3, "other")], "chunk_id long, text string")
-    got = {r.chunk_id: r.score for r in retrieval.bm25_top_k(docs, "nasa moon", 5).collect()}
+    got = {r.chunk_id: r.score for r in lexical.build(docs, str(tmp_path / "i")).top_k("nasa moon", 5).collect()}
     assert got == pytest.approx({1: 4.351484419, 2: 2.772588722})
 
 
-def test_bm25_ties_and_scope(spark):
-    docs = spark.createDataFrame([(7, "nasa"), (3, "nasa"), (5, None)], "chunk_id long, text string")
-    assert [r.chunk_id for r in retrieval.bm25_top_k(docs, "NASA", 5).orderBy("rank").collect()] == [3, 7]
-    assert retrieval.bm25_top_k(docs, "nasa", 5, ids=[5]).count() == 0
+def test_bm25_ties_scope_and_reuse(spark, tmp_path, monkeypatch):
+    rows = [(7, "nasa"), (3, "ＮＡＳＡ"), (5, None), (9, "moon moon nasa")]
+    docs = spark.createDataFrame(rows, "chunk_id long, text string")
+    index = lexical.index_of(docs, str(tmp_path))
+    assert [r.chunk_id for r in index.top_k("NASA", 5).orderBy("rank").collect()] == [3, 7, 9]
+    assert index.top_k("nasa", 5, ids=[5]).count() == 0
+    # A scope counts for itself: n is 2, the frequency of nasa 2.
+    got = {r.chunk_id: r.score for r in index.top_k("nasa unknown", 5, ids=[7, 9]).collect()}
+    part = lambda tf, dl: math.log(3 / 2) * (1 + tf * 2.5 / (1.5 * (0.25 + 0.75 * dl / 2) + tf))
+    assert got == pytest.approx({7: part(1, 1), 9: part(1, 3)})
     with pytest.raises(ValueError):
         retrieval.scope([])
     with pytest.raises(ValueError):
-        retrieval.bm25_top_k(docs, " !! ", 5)
+        index.top_k(" !! ", 5)
+    built = []
+    monkeypatch.setattr(lexical, "build", lambda *a, **k: built.append(a))
+    assert lexical.index_of(docs.repartition(3), str(tmp_path)).path == index.path and not built
+    lexical.index_of(spark.createDataFrame([*rows[:3], (9, "moon nasa moon")], docs.schema), str(tmp_path))
+    assert len(built) == 1
+
+
+def test_tokens_fold_compatibility_forms(spark):
+    texts = {"ＮＡＳＡ Straße ﬁne": "nasa strasse fine", "全文检索": "全 文 检 索 全文 文检 检索", "A 中": "a 中", "RX-7800-XT BGE-M3 1,234.50 12.5% -10 .5 802.11ax": "rx-7800-xt bge-m3 1234.50 12.5% -10 .5 802.11ax", "100 1000 100A": "100 1000 100a", "٣٤ ①": "٣٤ 1", "": ""}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(T.tokens(F.col("t")), " ").alias("k")).collect()
+    assert {r.t: r.k for r in rows} == texts
+    with pytest.raises(Exception, match="over 2 tokens"):
+        spark.createDataFrame([("a b c",)], "t string").select(T.tokens(F.col("t"), 2)).collect()
+
+
+def test_headings_contents_and_languages(spark):
+    level = lambda text, title=False: (text, title)
+    cases = {level("# A"): 1, level("### Deep one"): 3, level("1. Scope"): 1, level("1.2.3 Terms"): 3, level("2.1 Is this a heading; no"): None, level("Plain title", True): 1, level("text without"): None, level("3."): None, level("第三章 检索"): 1, level("第十二节 索引"): 2, level("一、总则"): 1, level("（二）范围"): 2, level("1、引言"): 1, level("1. Scope ..... 3"): None}
+    rows = spark.createDataFrame(list(cases), "t string, title boolean").select("t", "title", T.heading_level(F.col("t"), F.col("title")).alias("n")).collect()
+    assert {(r.t, r.title): r.n for r in rows} == cases
+    lines = {"1. Scope ..... 3": ("1. Scope ", "3"), "Annex\tiv": ("Annex", "iv"), "第一章 总则……12": ("第一章 总则", "12"), "Index ···· 90": ("Index ", "90"), "no entry 4": None}
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select("t", T.contents_line(F.col("t")).alias("c")).collect()
+    assert {r.t: tuple(r.c) if r.c else None for r in rows} == lines
+    keys = {"## 1.2 The  Scope": "thescope", "第一章 总则": "总则", "（二）范围": "范围", "Annex": "annex"}
+    rows = spark.createDataFrame([(t,) for t in keys], "t string").select("t", T.title_key(F.col("t")).alias("k")).collect()
+    assert {r.t: r.k for r in rows} == keys
+    languages = {"<p>全文检索系统的设计与实现方法研究报告中文文本内容说明书第一版本</p>": "zh", "an english text of some length here": "en", "short": "unknown", "中文中文中文 and some english words": "mixed", "&#20013;" * 30: "zh"}
+    rows = spark.createDataFrame([(t,) for t in languages], "t string").select("t", T.language(F.col("t")).alias("k")).collect()
+    assert {r.t: r.k for r in rows} == languages
+
+
+def test_contained_passages_of_any_letters_and_length(spark):
+    docs = [(1, "the contribution of many small hands"), (2, "数字 12 34 和 文字"), (3, None), (4, "e\u0301tude  in\n two"), (5, "")]
+    items = [(10, "ribution of"), (11, "12 34"), (12, "和"), (13, "étude in two"), (14, None), (15, "absent"), (16, ""), (17, "12 34")]
+    found = lambda **how: {tuple(r) for r in literal.contained(spark.createDataFrame(docs, "d long, text string"), spark.createDataFrame(items, "i long, text string"), by="d", item="i", **how).collect()}
+    want = {(1, 10), (2, 11), (2, 12), (2, 17), *((d, 16) for d in (1, 2, 4, 5))}
+    assert found() == want == found(limit=20) and found(flatten=True) == want | {(4, 13)}
+
+
+def test_order_statistics_of_skewed_groups(spark):
+    rng = random.Random(1)
+    rows = [(g, float(rng.choice([0, 1, 1, 1, 2, 50]) if g == "few" else rng.random())) for g, n in (("few", 400), ("many", 3000), ("one", 1)) for _ in range(n)] + [("few", None)]
+    table, shares = spark.createDataFrame(rows, "g string, v double"), {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}
+    for found, rule in ((evaluation.nearest_rank, lambda v, p: v[max(1, math.ceil(len(v) * p)) - 1]), (evaluation.interpolated, lambda v, p: v[math.floor((len(v) - 1) * p)] + (v[math.ceil((len(v) - 1) * p)] - v[math.floor((len(v) - 1) * p)]) * ((len(v) - 1) * p % 1))):
+        for r in found(table, ["g"], "v", shares).collect():
+            own = sorted(v for g, v in rows if g == r.g and v is not None)
+            assert {n: getattr(r, n) for n in shares} == pytest.approx({n: rule(own, p) for n, p in shares.items()})
+
+
+def test_fingerprint_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(audit, "FAN", 4)
+    rows = [("ab"[i % 2], i, str(i)) for i in range(300)]
+    of = lambda rows: {r.g: (r.fingerprint, r.rows) for r in audit.fingerprint(spark.createDataFrame(rows, "g string, o long, t string"), ["g"], F.col("t"), F.col("o")).collect()}
+    first, again, other = of(rows), of(rows[::-1]), of([*rows[:-1], ("b", 299, "x")])
+    assert first == again and first["a"] == other["a"] and first["b"][0] != other["b"][0] and first["a"][1] == 150
 
 
 def test_hybrid_with_an_empty_branch(spark):
@@ -169,7 +231,7 @@ def test_edit_distance_of_whole_turns(spark, tmp_path):
         for i, (a, b) in enumerate(zip(texts, texts[1:])):
             a, b = (None if x is None else x.replace("é", "") for x in (a, b))
             want[c, i] = None if a is None or max(len(a), len(b)) > 10_000 or len(a) * len(b) > 2_000_000 else brute(a, b)
-    got = QUERIES["edit_distance_turns"](spark, str(tmp_path)).collect()
+    got = QUERIES["edit_distance"](spark, str(tmp_path)).collect()
     assert {(r.conv_id, r.turn): r.distance for r in got} == want and want[1, 0] == 130 and want[2, 0] is None
     assert {(r.conv_id, r.turn): r.normalized for r in got}[1, 0] == round(130 / 330, 6)
 
@@ -188,5 +250,5 @@ def test_dense_batch_in_shards_and_blocks(spark, tmp_path):
     got = retrieval.dense_batch_top_k(table, queries, 7, id="vec_id", shard=30, block=3)
     assert {tuple(r) for r in got.select("query_id", "vec_id", "score", "rank").collect()} == want
     table.where("embedding is not null and vec_id <> 520 and vec_id <> 540").write.parquet(str(tmp_path / "embeddings.parquet"))
-    asked = QUERIES["dense_batch_topk_twentieth"](spark, str(tmp_path)).select("query_id").distinct().collect()
+    asked = QUERIES["dense_batch_topk"](spark, str(tmp_path)).select("query_id").distinct().collect()
     assert {r.query_id for r in asked} == {0, 20, 40, 60, 80, 100, 560}

@@ -20,7 +20,7 @@ class _Rows(HTMLParser):
         self.lines = [0]
         for line in text.splitlines(keepends=True):
             self.lines.append(self.lines[-1] + len(line))
-        self.depth, self.rows = 0, []
+        self.depth, self.rows, self.cells = 0, [], []
         self.feed(text)
         self.close()
 
@@ -33,9 +33,11 @@ class _Rows(HTMLParser):
             self.depth += 1
         elif self.depth == 1 and tag == "tr":
             self.rows.append([self._at(), None, 1])
+            self.cells.append([])
         elif self.depth == 1 and tag in ("td", "th") and self.rows:
-            span = dict(attrs).get("rowspan") or "1"
-            self.rows[-1][2] = max(self.rows[-1][2], int(span) if span.isdigit() else 1)
+            wide, span = ((int(v) if (v := dict(attrs).get(name) or "1").isdigit() and int(v) else 1) for name in ("colspan", "rowspan"))
+            self.rows[-1][2] = max(self.rows[-1][2], span)
+            self.cells[-1].append((wide, span))
 
     def handle_endtag(self, tag):
         if tag == "table":
@@ -44,13 +46,41 @@ class _Rows(HTMLParser):
             self.rows[-1][1] = self._at() + len("</tr>")
 
 
+def whole_grid(cells: list[list[tuple[int, int]]]) -> bool:
+    """Whether rows of cells (columns, rows that they cover) fill a rectangle: each row as wide as the first, and no cell beyond the last."""
+    reach: dict[int, int] = {}  # columns covered from above, and for how many more rows
+    width = None
+    for row in cells:
+        at, new = 0, {}
+        for wide, span in row:
+            while reach.get(at, 0):
+                at += 1
+            for c in range(at, at + wide):
+                if reach.get(c, 0):
+                    return False
+                new[c] = span
+            at += wide
+        covered = {c for c, n in reach.items() if n} | set(new)
+        if covered != set(range(len(covered))) or len(covered) != (width if width is not None else len(covered)):
+            return False
+        width = len(covered)
+        reach = {c: n - 1 for c, n in {**{c: n for c, n in reach.items() if n}, **new}.items()}
+    return not any(reach.values())
+
+
+def table_groups(text: str) -> list[tuple[int, int, int, int, int]]:
+    """html_groups() or text_groups(), as the text is."""
+    return html_groups(text) if "<table" in text.lower() else text_groups(text)
+
+
 def html_groups(text: str) -> list[tuple[int, int, int, int, int]]:
     """group, first and last row (from 1), and their characters: rows tied by cells that reach over them, transitively. A table with a
-    row that isn't closed, or a cell that reaches beyond the last row, is one group."""
-    rows = _Rows(text).rows
+    row that isn't closed, or whose cells don't fill a rectangle, is one group."""
+    found = _Rows(text)
+    rows = found.rows
     if not rows:
         return []
-    if any(end is None for _, end, _ in rows) or any(i + span > len(rows) for i, (_, _, span) in enumerate(rows)):
+    if any(end is None for _, end, _ in rows) or not whole_grid(found.cells):
         return [(1, 1, len(rows), 0, len(text))]
     out, first, reach = [], 0, 0
     for i, (_, _, span) in enumerate(rows):
@@ -91,8 +121,7 @@ def row_groups(tables: DataFrame) -> DataFrame:
         for part in parts:
             out = []
             for table_id, text in zip(part["table_id"], part["text"]):
-                found = html_groups(text) if "<table" in text.lower() else text_groups(text)
-                out += [(table_id, *g) for g in found]
+                out += [(table_id, *g) for g in table_groups(text)]
             yield pd.DataFrame(out, columns=["table_id", "group", "first_row", "last_row", "begin", "end"])
 
     kind = tables.schema["table_id"].dataType.simpleString()

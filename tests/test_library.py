@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import formula
 from brindle.functions import text as T
 from brindle.functions import vectors as V
-from brindle.operators import audit, chunking, evaluation, lexical, literal, retrieval
+from brindle.operators import audit, evaluation, lexical, literal, retrieval
 from brindle.plans import QUERIES
 from brindle.sources import readers
 from brindle.streaming import events
@@ -119,32 +119,6 @@ def test_formula_limits():
             formula.evaluate(zero, {"a": "0"})
 
 
-def test_chunks_tile_their_blocks(spark):
-    rng = random.Random(0)
-    kinds = ["title", "text", "text", "formula", "table"]
-    rows = []
-    for doc in range(6):
-        for i in range(1, 20):
-            words = " ".join(rng.choice(["alpha", "beta_2", "é", "x.", "\n\n"]) for _ in range(rng.choice([0, 3, 60, 900])))
-            rows.append((doc, i, i, rng.choice(["s", "s", "u", None]), rng.choice(kinds), words))
-    blocks = spark.createDataFrame(rows, "doc_id long, block_index int, page int, section string, block_type string, text string").repartition(3)
-    made = chunking.chunks(blocks).cache()
-    assert chunking.evidence(made, blocks).where("not verified").count() == 0
-    covered = {(r.doc_id, r.block): (r.chars, r.gaps) for r in chunking.coverage(made).collect()}
-    assert covered == {(d, i): (len(t), 0) for d, i, _, _, _, t in rows if t.strip()}
-    for r in made.collect():
-        assert r.tokens <= 600 or r.oversized and sum(s.role == "content" for s in r.spans) <= 3
-
-
-def test_chunk_sections_and_titles():
-    block = lambda i, kind, text, section="s": {"block_index": i, "block_type": kind, "text": text, "section": section, "page": i}
-    made = list(chunking.packed(iter([block(1, "title", "Head"), block(2, "text", "aaaa " * 450), block(3, "text", "bbbb " * 300), block(4, "text", "new", "u")])))
-    roles = [[(s.block, s.role) for s in c] for c in made]
-    assert roles[0] == [(1, "content"), (2, "content")]
-    assert roles[1] == [(1, "context"), (2, "overlap"), (3, "content")]
-    assert roles[2] == [(4, "content")]
-
-
 def test_markdown():
     text = "# A\n\npara\nmore\n\n## B\n```\n# no\n```\nUnder\n-----\nend\n# C\n"
     assert readers.markdown_blocks(text) == [("title", "A", "A"), ("text", "A", "para\nmore"), ("title", "A / B", "B"), ("text", "A / B", "```\n# no\n```"), ("title", "A / Under", "Under"), ("text", "A / Under", "end"), ("title", "C", "C")]

@@ -11,7 +11,7 @@ from brindle.sources import office
 
 def test_row_groups(spark):
     cell = lambda n: f'<td rowspan="{n}">x</td>'
-    rows = [f"<tr>{cell(2)}{cell(1)}</tr>", f"<tr>{cell(3)}</tr>", f"<tr>{cell(1)}</tr>", f"<tr>{cell(1)}</tr>", f"<tr>{cell(1)}</tr>"]
+    rows = [f"<tr>{cell(2)}{cell(1)}</tr>", f"<tr>{cell(3)}</tr>", f"<tr>{cell(1)}</tr>", f"<tr>{cell(1)}</tr>", f"<tr>{cell(1)}{cell(1)}</tr>"]
     html = f"<table>\n{''.join(rows)}</table>"
     got = tables.html_groups(html)
     assert [g[:3] for g in got] == [(1, 1, 4), (2, 5, 5)]

@@ -21,6 +21,13 @@ def unique_lookup(asked: DataFrame, found: DataFrame, key: str, value: str) -> D
     return asked.join(one, key, "left")
 
 
+def set_equality(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """only_a, only_b, equal: how many different keys one side has alone, in one row."""
+    left, right = a.select(F.col(key_a).alias("k")).distinct().withColumn("a", F.lit(1)), b.select(F.col(key_b).alias("k")).distinct().withColumn("b", F.lit(1))
+    both = left.join(right, "k", "full_outer").agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"))
+    return both.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
 def division(pairs: DataFrame, required: DataFrame, group: str, item: str) -> DataFrame:
     """Groups of pairs(group, item) all of whose items are in required(item): those that can be used whole."""
     known = required.select(F.col(item).alias("_item")).distinct().withColumn("_known", F.lit(1))

@@ -82,19 +82,29 @@ def iou(a: list[Column], b: list[Column]) -> Column:
     return F.coalesce(F.try_divide(width * height, area(a) + area(b) - width * height), F.lit(0.0))
 
 
-def route(kind: Column, mode: Column, risky: Column) -> Column:
-    """How a file is parsed: native, mineru_whole, hybrid_bundle or failed. risky: the inspection found something native parsing may lose."""
+def route(kind: Column, mode: Column, risks: Column) -> Column:
+    """struct strategy, reasons: how a file is parsed (native, mineru_whole, hybrid_bundle or failed) and why, by its format, the mode asked
+    for and the names of what an inspection found that native parsing may lose. All names are fixed values."""
     visual = kind.isin("doc", "ppt", "pptx", "xls", "jpg", "jpeg", "png")
     supported = visual | kind.isin("pdf", "docx", "xlsx")
-    return (
-        F.when(mode == "native", "native")
-        .when(mode == "mineru", F.when(supported, "mineru_whole").otherwise("failed"))
-        .when(visual, "mineru_whole")
-        .when((kind == "xlsx") & risky, "hybrid_bundle")
-        .when((kind == "md") & risky, "failed")
-        .when(kind.isin("docx", "pdf") & risky, "mineru_whole")
-        .otherwise("native")
+    found, has = F.coalesce(risks, F.array().cast("array<string>")), lambda name: F.array_contains(F.coalesce(risks, F.array().cast("array<string>")), name)
+    because = lambda name: F.concat(F.array(F.lit(name)), found)
+    to = lambda strategy, reasons: F.struct(F.lit(strategy).alias("strategy"), F.array_distinct(reasons).alias("reasons"))
+    rules = (
+        (has("PREFLIGHT_UNCERTAIN"), to("failed", found)),
+        ((mode != "native") & has("EXTERNAL_ATTACHMENT_MISSING"), to("failed", found)),
+        (mode == "native", to("native", because("EXPLICIT_NATIVE"))),
+        ((mode == "mineru") & supported, to("mineru_whole", because("EXPLICIT_MINERU"))),
+        (mode == "mineru", to("failed", because("MINERU_UNSUPPORTED_FORMAT"))),
+        (visual, to("mineru_whole", because("VISUAL_OR_LEGACY_FORMAT"))),
+        ((kind == "xlsx") & (F.size(found) > 0), to("hybrid_bundle", because("XLSX_HYBRID_ENABLED"))),
+        ((kind == "md") & (F.size(found) > 0), to("failed", found)),
+        (kind.isin("docx", "pdf") & (F.size(found) > 0), to("mineru_whole", found)),
     )
+    out = to("native", F.concat(found, F.array(F.lit("NATIVE_COVERAGE_SUPPORTED"))))
+    for rule, value in reversed(rules):
+        out = F.when(rule, value).otherwise(out)
+    return out
 
 
 def invalid_transitions(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:

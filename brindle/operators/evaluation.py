@@ -54,8 +54,9 @@ def recall(hits: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def retrieval_category(n_hits: str = "n_hits") -> Column:
-    """Why a question's evidence was missed, by the metrics of recall(). The names are fixed values."""
+def retrieval_category(n_hits: str = "n_hits", document_mrr: str | None = None) -> Column:
+    """Why a question's evidence was missed, by the metrics of recall(); document_mrr is
+    that of whole documents, where evidence is pages. The names are fixed values."""
     return (
         F.when(F.col(n_hits) == 0, "NO_HITS")
         .when(F.col("recall_at_5").isNull(), "UNSCORABLE")
@@ -63,15 +64,17 @@ def retrieval_category(n_hits: str = "n_hits") -> Column:
         .when(F.col("recall_at_10") == 1, "HIT_AT_10")
         .when((F.col("mrr_at_20") > 0) & (F.col("recall_at_10") == 0), "LOW_RANK")
         .when(F.col("mrr_at_20") > 0, "PARTIAL_RECALL")
+        .when(F.col(document_mrr) > 0 if document_mrr else F.lit(False), "TARGET_PAGE_MISS")
         .otherwise("TARGET_DOCUMENT_MISS")
     )
 
 
-def flow_category(final: str, hybrid: str, dense: str, lexical: str) -> Column:
-    """Where a document was lost on its way through four lists of 20. The names are fixed values."""
+def flow_category(final: str, hybrid: str, dense: str, lexical: str, complete: Column | None = None) -> Column:
+    """Where a document was lost on its way through four lists of 20, all of them complete. The names are fixed values."""
     rank = F.col(final)
     return (
-        F.when(rank <= 5, "HIT_AT_5")
+        F.when(F.lit(False) if complete is None else ~complete, "INCOMPLETE_EXECUTION")
+        .when(rank <= 5, "HIT_AT_5")
         .when(rank.isNotNull(), "RERANK_LOW_RANK")
         .when(F.col(hybrid).isNotNull(), "RERANK_OUTPUT_MISS")
         .when(F.col(dense).isNull() & F.col(lexical).isNull(), "BRANCH_RECALL_MISS")
@@ -90,3 +93,19 @@ def aggregate(results: DataFrame, by: list[str]) -> DataFrame:
         measured = F.when(ok & F.col("scorable"), F.col(m))
         metrics += [F.when(open_ == 0, F.try_divide(F.coalesce(F.sum(measured), F.lit(0.0)), scorable)).alias(m), F.avg(measured).alias(f"executed_{m}")]
     return results.groupBy(*by).agg(total.alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(F.col("status") == "FAILED").alias("failed"), open_.alias("not_executed"), scorable.alias("scorable"), *metrics)
+
+
+def database_error(state: Column) -> Column:
+    """What kind of error a SQLSTATE is, by its class."""
+    return F.when(state.startswith("08"), "connection").when(state == "57014", "timeout").when(state.startswith("53"), "resources").when(state.startswith("40"), "rollback").when(state.startswith("23"), "constraint").otherwise("other")
+
+
+def gated(metrics: DataFrame, valid: Column, names: list[str]) -> DataFrame:
+    """metrics with nulls for all of names where the snapshot they come from isn't verified."""
+    return metrics.withColumns({n: F.when(valid, F.col(n)) for n in names})
+
+
+def preferred(snapshot: DataFrame, checkpoint: DataFrame, key: str, state: str) -> DataFrame:
+    """key, state, origin: an explicit snapshot's state, or an older checkpoint's where the snapshot has none."""
+    a, b = snapshot.select(key, F.col(state).alias("_new")), checkpoint.select(key, F.col(state).alias("_old"))
+    return a.join(b, key, "full_outer").select(key, F.coalesce("_new", "_old").alias(state), F.when(F.col("_new").isNotNull(), "snapshot").otherwise("checkpoint").alias("origin"))

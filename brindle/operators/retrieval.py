@@ -127,3 +127,49 @@ def overlap_scorer(query: str) -> Callable[[Column], Column]:
     """A stand-in for a model: the share of the query's different tokens that a text holds."""
     wanted = T.tokens(F.lit(query))
     return lambda text: F.size(F.array_intersect(T.tokens(text), wanted)) / F.size(F.array_distinct(wanted))
+
+
+def encoded(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], *, id: str = "chunk_id", text: str = "text", rows: int = 32, chars: int = 100_000) -> DataFrame:
+    """id and embedding of texts(id, text) by a model that encodes lists: batches have rows texts and chars characters at most, but for a
+    single longer text. The encoder goes with the tasks; it may load its model when first called."""
+    import pandas as pd
+
+    def run(parts):
+        for part in parts:
+            out, held, total = [], [], 0
+            for value in [*part[text].fillna(""), None]:
+                if held and (value is None or len(held) == rows or total + len(value) > chars):
+                    out += encoder(held)
+                    held, total = [], 0
+                if value is not None:
+                    held.append(value)
+                    total += len(value)
+            yield pd.DataFrame({id: part[id], "embedding": out})
+
+    return texts.select(id, text).mapInPandas(run, f"{id} {texts.schema[id].dataType.simpleString()}, embedding array<float>")
+
+
+def refined(texts: DataFrame, counter: Callable[[str], int], most: int, *, id: str = "chunk_id", text: str = "text", whole: str | None = None) -> DataFrame:
+    """id, part, start, end, tokens: texts that a model's tokenizer finds longer than most, cut in halves at the white space nearest to their
+    middle, and again, until each part fits; whole names a boolean column of texts (formulas) that are never cut. Parts tile the text."""
+    import pandas as pd
+
+    def halves(value: str, start: int, end: int):
+        n = counter(value[start:end])
+        if n <= most or end - start < 2:
+            return [(start, end, n)]
+        middle = (start + end) // 2
+        left, right = value.rfind(" ", start + 1, middle), value.find(" ", middle, end - 1)
+        at = min((x for x in (left, right) if x > 0), key=lambda x: abs(x - middle), default=middle - 1) + 1
+        return halves(value, start, at) + halves(value, at, end)
+
+    def run(parts):
+        for part in parts:
+            out = []
+            for key, value, kept in zip(part[id], part[text].fillna(""), part["_whole"]):
+                cut = [(0, len(value), counter(value))] if kept else halves(value, 0, len(value))
+                out += [(key, i, *c) for i, c in enumerate(cut)]
+            yield pd.DataFrame(out, columns=[id, "part", "start", "end", "tokens"])
+
+    rows = texts.select(id, text, (F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)).alias("_whole"))
+    return rows.mapInPandas(run, f"{id} {texts.schema[id].dataType.simpleString()}, part int, start int, end int, tokens int")

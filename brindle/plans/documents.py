@@ -189,11 +189,12 @@ def coverage_guard(t):
     return grouped.select("conv_id", F.array_join(missing, ",").alias("missing"))
 
 
-@query("quality_merge", "SELECT conv_id, bool_or(length(text) < 60) AS partial, array_to_string(list_sort(list_distinct(list(turn % 3))), ',') AS pages FROM conversations GROUP BY conv_id")
+@query("quality_merge", "SELECT conv_id, bool_or(length(text) < 60) AS partial, array_to_string(list_sort(list_distinct(list(turn % 3))), ',') AS pages, least(128, count(DISTINCT length(text) % 400)) AS warnings FROM conversations GROUP BY conv_id")
 def quality_merge(t):
-    """Parts of one document: partial if any is, and the union of their pages."""
+    """Parts of one document: partial if any is, the union of their pages, and their different warnings, 128 at most."""
     pages = F.array_join(F.array_sort(F.collect_set(F.col("turn") % 3)), ",")
-    return t.conversations.groupBy("conv_id").agg(F.bool_or(F.length("text") < 60).alias("partial"), pages.alias("pages"))
+    warnings = F.slice(F.array_sort(F.collect_set(F.length("text") % 400)), 1, 128)
+    return t.conversations.groupBy("conv_id").agg(F.bool_or(F.length("text") < 60).alias("partial"), pages.alias("pages"), F.size(warnings).alias("warnings"))
 
 
 _ENHANCED = "CASE WHEN conv_id % 4 = 1 AND turn = 0 THEN substr(text, 2) WHEN conv_id % 4 = 2 THEN '  ' || replace(text, ' ', '   ') || chr(10) ELSE text END"
@@ -270,10 +271,13 @@ def event_props(t):
     return t.events.select(F.from_json("props", "k int").alias("p"), F.get_json_object("props", "$.missing").alias("m")).groupBy(F.col("p.k").alias("k")).agg(_count().alias("n"), F.count_if(F.col("m").isNull()).alias("without"))
 
 
-@query("route_decision", "WITH f AS (SELECT *, ['pdf', 'docx', 'xlsx', 'md', 'txt', 'png', 'pptx'][1 + event_id % 7] AS kind, ['auto', 'native', 'mineru'][1 + event_id % 3] AS mode, value > 20 AS risky FROM events) SELECT event_id, CASE WHEN mode = 'native' THEN 'native' WHEN mode = 'mineru' THEN CASE WHEN kind IN ('pdf', 'docx', 'xlsx', 'png', 'pptx') THEN 'mineru_whole' ELSE 'failed' END WHEN kind IN ('png', 'pptx') THEN 'mineru_whole' WHEN kind = 'xlsx' AND risky THEN 'hybrid_bundle' WHEN kind = 'md' AND risky THEN 'failed' WHEN kind IN ('docx', 'pdf') AND risky THEN 'mineru_whole' ELSE 'native' END AS strategy FROM f")
+@query("route_decision", "WITH f AS (SELECT *, ['pdf', 'docx', 'xlsx', 'md', 'txt', 'png', 'pptx'][1 + event_id % 7] AS kind, ['auto', 'native', 'mineru'][1 + event_id % 3] AS mode, CASE WHEN value > 80 THEN 'EXTERNAL_ATTACHMENT_MISSING' WHEN value > 40 THEN 'HAS_IMAGE,HAS_CHART' WHEN value > 20 THEN 'HAS_IMAGE' ELSE '' END AS risks FROM events), g AS (SELECT *, risks <> '' AS risky, CASE WHEN risks = '' THEN '' ELSE ',' || risks END AS more FROM f) SELECT event_id, CASE WHEN mode <> 'native' AND risks LIKE 'EXT%' THEN 'failed' WHEN mode = 'native' THEN 'native' WHEN mode = 'mineru' THEN CASE WHEN kind IN ('pdf', 'docx', 'xlsx', 'png', 'pptx') THEN 'mineru_whole' ELSE 'failed' END WHEN kind IN ('png', 'pptx') THEN 'mineru_whole' WHEN kind = 'xlsx' AND risky THEN 'hybrid_bundle' WHEN kind = 'md' AND risky THEN 'failed' WHEN kind IN ('docx', 'pdf') AND risky THEN 'mineru_whole' ELSE 'native' END AS strategy, CASE WHEN mode <> 'native' AND risks LIKE 'EXT%' THEN risks WHEN mode = 'native' THEN 'EXPLICIT_NATIVE' || more WHEN mode = 'mineru' THEN CASE WHEN kind IN ('pdf', 'docx', 'xlsx', 'png', 'pptx') THEN 'EXPLICIT_MINERU' ELSE 'MINERU_UNSUPPORTED_FORMAT' END || more WHEN kind IN ('png', 'pptx') THEN 'VISUAL_OR_LEGACY_FORMAT' || more WHEN kind = 'xlsx' AND risky THEN 'XLSX_HYBRID_ENABLED' || more WHEN kind IN ('md', 'docx', 'pdf') AND risky THEN risks WHEN risky THEN risks || ',NATIVE_COVERAGE_SUPPORTED' ELSE 'NATIVE_COVERAGE_SUPPORTED' END AS reasons FROM g")
 def route_decision(t):
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values) + 1).cast("int"))
-    return t.events.select("event_id", D.route(pick(["pdf", "docx", "xlsx", "md", "txt", "png", "pptx"]), pick(["auto", "native", "mineru"]), F.col("value") > 20).alias("strategy"))
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    risks = F.when(F.col("value") > 80, names("EXTERNAL_ATTACHMENT_MISSING")).when(F.col("value") > 40, names("HAS_IMAGE", "HAS_CHART")).when(F.col("value") > 20, names("HAS_IMAGE"))
+    routed = t.events.select("event_id", D.route(pick(["pdf", "docx", "xlsx", "md", "txt", "png", "pptx"]), pick(["auto", "native", "mineru"]), risks).alias("r"))
+    return routed.select("event_id", "r.strategy", F.array_join("r.reasons", ",").alias("reasons"))
 
 
 _STATES = ["UPLOADED", "PARSING", "CHUNKING", "EMBEDDING", "FAILED"]
@@ -294,11 +298,11 @@ def _marked(t):
     return t.conversations.select("conv_id", "turn", F.concat("text", F.lit(" ["), n(3), F.lit("] ["), n(5), F.lit("]")).alias("answer"))
 
 
-@query("marker_check", rf"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all({_MARKED}, '\[([0-9]+)\]', 1))), ',') AS cited, list_contains(list_distinct(regexp_extract_all({_MARKED}, '\[([0-9]+)\]', 1)), '0') AS has_zero FROM conversations")
+@query("marker_check", rf"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all({_MARKED}, '\[([0-9]+)\]', 1))), ',') AS cited, list_contains(list_distinct(regexp_extract_all({_MARKED}, '\[([0-9]+)\]', 1)), '0') AS has_zero, coalesce(list_sort(list_distinct([CAST(x AS INTEGER) for x in regexp_extract_all({_MARKED}, '\[([0-9]+)\]', 1)])) = range(1, 1 + len(list_distinct(regexp_extract_all({_MARKED}, '\[([0-9]+)\]', 1)))) AND len(regexp_extract_all({_MARKED}, '\[([0-9]+)\]', 1)) > 0, false) AS consistent FROM conversations")
 def marker_check(t):
-    """Citation markers of an answer, each once."""
+    """Citation markers of an answer, each once, and whether they are 1 to their number: no source unused, none unknown."""
     cited = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"\[([0-9]+)\]"), F.lit(1)))
-    return _marked(t).select("conv_id", "turn", F.array_join(F.array_sort(cited), ",").alias("cited"), F.array_contains(cited, "0").alias("has_zero"))
+    return _marked(t).select("conv_id", "turn", F.array_join(F.array_sort(cited), ",").alias("cited"), F.array_contains(cited, "0").alias("has_zero"), ((F.size(cited) > 0) & (F.array_sort(cited.cast("array<int>")) == F.sequence(F.lit(1), F.greatest(F.size(cited), F.lit(1))))).alias("consistent"))
 
 
 @query("citation_numbering", "WITH c AS (SELECT conv_id, unnest([turn % 3, turn % 5]) AS source, unnest([turn * 2, turn * 2 + 1]) AS place FROM conversations) SELECT conv_id, source, row_number() OVER (PARTITION BY conv_id ORDER BY min(place)) AS number FROM c GROUP BY conv_id, source")
@@ -336,7 +340,7 @@ def number_literal(t):
 
 @query("latest_generation", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def latest_generation(t):
-    return S.latest_generation(t.events, "user_id", ["ts", "event_id"], ["event_id", "event_type"])
+    return A.latest(t.events, "user_id", ["ts", "event_id"], ["event_id", "event_type"])
 
 
 @query("backoff", "SELECT event_id, event_id % 5 AS attempt, CASE WHEN event_id % 5 < 3 THEN 5.0::DOUBLE * pow(2, event_id % 5) ELSE -1.0::DOUBLE END AS wait FROM events")
@@ -344,9 +348,13 @@ def backoff(t):
     return t.events.select("event_id", (F.col("event_id") % 5).alias("attempt")).select("event_id", "attempt", F.coalesce(S.backoff(F.col("attempt")), F.lit(-1.0)).alias("wait"))
 
 
-@query("rolling_rate", "SELECT event_id, n AS recent, n <= 3 AS admitted FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM events)")
+@query("rolling_rate", "SELECT event_id, a AS minute, b AS day, a <= 1 AND b <= 40 AS admitted FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS a, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS b FROM events)")
 def rolling_rate(t):
-    return S.with_limit(S.rolling_counts(t.events.select("event_id", "event_type", "ts"), "event_type", "ts", 3600), 3).select("event_id", "recent", "admitted")
+    """Requests of a user in the last 60 seconds and 24 hours, each with a limit."""
+    rows = t.events.select("event_id", "user_id", "ts")
+    minute = S.rolling_counts(rows, "user_id", "ts", 60).withColumnRenamed("recent", "minute")
+    both = S.rolling_counts(minute, "user_id", "ts", 86_400).withColumnRenamed("recent", "day")
+    return both.select("event_id", "minute", "day", ((F.col("minute") <= 1) & (F.col("day") <= 40)).alias("admitted"))
 
 
 @query("deadline", "SELECT event_id, epoch_us(ts) + 60000000 * (event_id % 3) < epoch_us(TIMESTAMP '2024-01-15 00:00:00') AS expired FROM events")
@@ -357,7 +365,7 @@ def deadline(t):
 
 @query("stream_ingest", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_ingest(t):
-    """The events table read as a stream, ingested idempotently, and summed from what was stored."""
-    out = f"{shared_folder(t.spark)}/ingest-{uuid.uuid4().hex}"
+    """The events table read as a stream, ingested idempotently, and summed from what was stored; its folder is kept for the result."""
+    out = f"{shared_folder(t.spark)}/brindle/ingest-{uuid.uuid4().hex}"
     S.ingest(S.read_events(t.spark, t.folder), f"{out}/table", f"{out}/state").awaitTermination()
     return t.spark.read.parquet(f"{out}/table").groupBy("event_type").agg(_count().alias("n"), F.round(F.sum("value"), 4).alias("total"))

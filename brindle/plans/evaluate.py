@@ -139,10 +139,13 @@ def criterion_summary(t):
     """Missing measures never enter a denominator."""
     return t.documents.select("doc_id", "lang").join(t.labels, "doc_id", "left").groupBy("lang").agg(F.count("quality").alias("measured"), F.round(F.avg("quality"), 6).alias("mean"))
 
-@query("status_counts", "SELECT event_type, CASE WHEN value < 10 THEN 'connection' WHEN value < 50 THEN 'timeout' ELSE 'other' END AS category, count(*) AS n FROM events GROUP BY ALL")
+_STATES = ("08006", "57014", "53300", "40001", "23505", "XX000")
+
+@query("status_counts", "SELECT event_type, CASE WHEN s LIKE '08%' THEN 'connection' WHEN s = '57014' THEN 'timeout' WHEN s LIKE '53%' THEN 'resources' WHEN s LIKE '40%' THEN 'rollback' WHEN s LIKE '23%' THEN 'constraint' ELSE 'other' END AS category, count(*) AS n FROM (SELECT event_type, ['08006', '57014', '53300', '40001', '23505', 'XX000'][1 + event_id % 6] AS s FROM events) GROUP BY ALL")
 def status_counts(t):
-    category = F.when(F.col("value") < 10, "connection").when(F.col("value") < 50, "timeout").otherwise("other")
-    return t.events.groupBy("event_type", category.alias("category")).agg(_count().alias("n"))
+    """Errors by kind and class of their SQLSTATE."""
+    state = F.element_at(F.array(*[F.lit(x) for x in _STATES]), (F.col("event_id") % 6 + 1).cast("int"))
+    return t.events.groupBy("event_type", E.database_error(state).alias("category")).agg(_count().alias("n"))
 
 @query("latency_nearest_rank", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY event_type")
 def latency_nearest_rank(t):
@@ -161,11 +164,11 @@ def throughput(t):
     ok = F.count_if(F.col("value") < 100)
     return rows.groupBy("event_type").agg(ok.alias("succeeded"), F.round(F.try_divide(ok, F.max("s") - F.min("s")), 9).alias("per_second"))
 
-@query("stage_timings", "SELECT user_id, " + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{e}'), 0), 4) AS {e}" for e in ("click", "view", "purchase")) + ", arg_min(event_type, event_id) AS first_event FROM events GROUP BY user_id")
+@query("stage_timings", "SELECT user_id, " + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{e}'), 0), 4) AS {e}" for e in ("click", "view", "purchase")) + ", arg_min(event_type, event_id) AS first_event, coalesce(arg_min(event_id, event_id) FILTER (event_type = 'error'), -1) AS first_failure FROM events GROUP BY user_id")
 def stage_timings(t):
-    """Each request's time by stage, and its first event."""
+    """Each request's time by stage, its first event, and its first failure, which is the one that counts."""
     parts = [F.round(F.coalesce(F.sum(F.when(F.col("event_type") == e, F.col("value"))), F.lit(0)), 4).alias(e) for e in ("click", "view", "purchase")]
-    return t.events.groupBy("user_id").agg(*parts, F.min_by("event_type", "event_id").alias("first_event"))
+    return t.events.groupBy("user_id").agg(*parts, F.min_by("event_type", "event_id").alias("first_event"), F.coalesce(F.min(F.when(F.col("event_type") == "error", F.col("event_id"))), F.lit(-1)).alias("first_failure"))
 
 @query("distinct_submissions", "SELECT event_type, count(*) AS submissions, count(DISTINCT (user_id, CAST(ts AS DATE))) AS identities, count(*) FILTER (value > 50) AS hits FROM events GROUP BY event_type")
 def distinct_submissions(t):

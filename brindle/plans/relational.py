@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit as A
+from ..sources import sinks as K
 from .registry import query
 
 _ONE = F.lit
@@ -272,10 +273,13 @@ def page_partition(t):
     return t.orders.groupBy((F.col("o_orderkey") % 400).alias("doc"), F.floor(page / 180).alias("part")).agg(_count().alias("pages"))
 
 
-@query("page_remap", "SELECT l.l_orderkey, l.l_linenumber, (l.l_orderkey % 7) * 180 + l.l_linenumber AS page FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'F'")
+@query("page_remap", "WITH p AS (SELECT o_orderkey AS doc, unnest([1, 4]) AS first, unnest([3, 7]) AS last, unnest([100, 200]) + o_orderkey % 7 AS begin FROM orders WHERE o_orderstatus = 'F') SELECT l_orderkey, l_linenumber, begin + l_linenumber - first AS page FROM lineitem JOIN p ON doc = l_orderkey AND l_linenumber BETWEEN first AND last")
 def page_remap(t):
-    done = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t.lineitem.select("l_orderkey", "l_linenumber").join(done, "l_orderkey").withColumn("page", (F.col("l_orderkey") % 7) * 180 + F.col("l_linenumber"))
+    """Pages of parts as pages of the document: an interval join inside the document's key, whose parts are few."""
+    span = lambda first, last, begin: F.struct(F.lit(first).alias("first"), F.lit(last).alias("last"), (F.lit(begin) + F.col("o_orderkey") % 7).alias("begin"))
+    parts = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc"), F.explode(F.array(span(1, 3, 100), span(4, 7, 200))).alias("p")).select("doc", "p.*")
+    inside = (F.col("doc") == F.col("l_orderkey")) & F.col("l_linenumber").between(F.col("first"), F.col("last"))
+    return t.lineitem.select("l_orderkey", "l_linenumber").join(parts, inside).select("l_orderkey", "l_linenumber", (F.col("begin") + F.col("l_linenumber") - F.col("first")).alias("page"))
 
 
 @query("interval_continuity", "SELECT l_orderkey, count(*) AS parts, count(*) FILTER (prev IS NOT NULL AND l_linenumber <> prev + 1) AS gaps FROM (SELECT l_orderkey, l_linenumber, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS prev FROM lineitem) GROUP BY l_orderkey")
@@ -290,3 +294,29 @@ def context_band(t):
     """Neighbours within two places in the same group: a band join on the group's key."""
     a, b = t.lineitem.select("l_orderkey", "l_linenumber"), t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("other"))
     return a.join(b, "l_orderkey").where(F.abs(F.col("l_linenumber") - F.col("other")).between(1, 2)).groupBy("l_orderkey", "l_linenumber").agg(_count().alias("near"))
+
+
+@query("set_equality", """WITH p AS (SELECT 'orders' AS pair, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) AS only_a, (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS only_b
+UNION ALL SELECT 'labels', (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)), (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents))) SELECT *, only_a = 0 AND only_b = 0 AS equal FROM p""")
+def set_equality(t):
+    """Whether two sides have the same keys."""
+    pairs = (("orders", A.set_equality(t.lineitem, t.orders, "l_orderkey", "o_orderkey")), ("labels", A.set_equality(t.documents, t.labels, "doc_id", "doc_id")))
+    (n, first), *rest = ((name, df.withColumn("pair", F.lit(name))) for name, df in pairs)
+    for _, df in rest:
+        first = first.unionByName(df)
+    return first
+
+
+@query("upload_results", "WITH h AS (SELECT doc_id AS item, source AS kb, sha256(text) AS sha256, strlen(text) AS n, CASE WHEN length(text) < 20 THEN 'too short' END AS reason FROM documents), s AS (SELECT DISTINCT kb, sha256 FROM h WHERE item % 7 = 0), r AS (SELECT *, coalesce(reason, CASE WHEN n > 20000 THEN 'too large' END) AS refused FROM h WHERE item % 7 <> 0), p AS (SELECT *, row_number() OVER (PARTITION BY kb, sha256, refused IS NULL ORDER BY item) AS place FROM r) SELECT item, p.kb, p.sha256, CASE WHEN refused IS NOT NULL THEN refused WHEN s.sha256 IS NOT NULL OR place > 1 THEN 'duplicate' ELSE 'stored' END AS state FROM p LEFT JOIN s ON s.kb = p.kb AND s.sha256 = p.sha256")
+def upload_results(t):
+    """Documents as uploads to the base of their source; every seventh was stored before."""
+    rows = t.documents.select(F.col("doc_id").alias("item"), F.col("source").alias("kb"), F.col("text").alias("content"), F.when(F.length("text") < 20, "too short").alias("reason"))
+    stored = rows.where("item % 7 = 0").select("kb", F.sha2("content", 256).alias("sha256"))
+    return K.upload_results(rows.where("item % 7 <> 0"), stored, F.col("reason"), 20_000)
+
+
+@query("granted_claims", """WITH r AS (SELECT CAST(floor(value) AS BIGINT) AS key, user_id AS owner, ts AS asked FROM events), h AS (SELECT CAST(floor(value) AS BIGINT) AS key, min(user_id) AS owner FROM events WHERE event_id % 50 = 0 GROUP BY ALL), f AS (SELECT key, arg_min(owner, (asked, owner)) AS first FROM r GROUP BY key) SELECT r.key, r.owner, epoch_us(r.asked) AS "at", r.owner = coalesce(h.owner, f.first) AS granted FROM r JOIN f USING (key) LEFT JOIN h USING (key)""")
+def granted_claims(t):
+    """Claims of users on whole values of events; a fiftieth of the events has been granted before."""
+    rows = t.events.select(F.floor("value").alias("key"), F.col("user_id").alias("owner"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    return K.granted_claims(rows.drop("event_id"), rows.where("event_id % 50 = 0").select("key", "owner")).select("key", "owner", "at", "granted")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from collections.abc import Sequence
@@ -23,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; on one machine without the setting a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
         spark.conf.set("spark.checkpoint.dir", found)

@@ -6,13 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.audit import latest
-
-
-def latest_generation(events: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Rows of older generations are fenced off: the newest of each key stays."""
-    return latest(events, key, order, columns)
-
 
 def rolling_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """events with how many of the key fell into the seconds up to each, itself included; with_limit() turns it into a decision.
@@ -52,11 +45,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def ingest(stream: DataFrame, out: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
+def ingest(stream: DataFrame, out: str, checkpoint: str, key: str = "event_id", ts: str = "ts", late: str = "1 day") -> StreamingQuery:
     """Appends a stream to a Parquet table. Each batch writes a folder of its own number and overwrites it on a rerun, so a batch that
-    is delivered twice is stored once; keys repeated inside the watermark are dropped."""
+    is delivered twice is stored once; keys repeated within the watermark are dropped, and older ones are forgotten, so state is
+    bounded."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

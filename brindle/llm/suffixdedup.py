@@ -34,6 +34,8 @@ from .common import _FACTOR, _INVERSE, _LETTER, bucketed, mix64, powers, slices,
 WINDOW, GRAM = 50, 16
 #: Bytes of text in a member of a shard; shards are cut for about half of it.
 MEMBER = 8 << 20
+#: Bytes of text in a bucket of slices where there are more than the session's partitions, and how many partitions there are at most.
+BUCKET, MOST_PARTS = 32 << 20, 100_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -569,21 +571,22 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dealt(docs: DataFrame, window: int, gram: int, member: int) -> tuple[DataFrame, DataFrame]:
     """Slices of the documents, and their runs by shard."""
     spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = lambda each: min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "slice long, ids array<long>, ends array<long>, bytes binary")
-    packed = bucketed(packed, "slice", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = bucketed(packed, "slice", parts(BUCKET))
     keyed = packed.mapInArrow(_keys(window, gram), "key long, only long, doc long, slice long, code byte")
-    marked = spill(keyed.repartition("key").sortWithinPartitions("key", "only", "doc").mapInArrow(_shared(member), "key long, slice long, kind byte"), compression="zstd")
+    marked = spill(keyed.repartition(parts(BUCKET // 2), "key").sortWithinPartitions("key", "only", "doc").mapInArrow(_shared(member), "key long, slice long, kind byte"), compression="zstd")
     hot = marked.where("slice < 0").collect()  # at most one for each MEMBER bytes of weights
     shared = marked.where("slice >= 0")
     text = shared.where(F.col("kind") == SHIP).count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
-    shards = max(8, -(-text * 2 // member))
+    shards = max(parts(BUCKET), -(-text * 2 // member))
     hot_shards = -(-sum(-r["slice"] for r in hot) * window // 3 * 2 // member)  # a run of 65 bytes has some 16 windows
     listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("key")))
     wanted = shared.groupBy("slice").agg(listed(SHIP).alias("keys"), listed(LOST).alias("lost"), listed(OWN).alias("own")).withColumnRenamed("slice", "_slice")
     hot_keys = np.sort(np.array([r.key for r in hot], np.int64))
     members = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_keys, hot_shards), _RUNS)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (shards + hot_shards) // 2)  # two shards to a task, however many there are
-    return packed, members.repartition(parts, "shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard")
+    return packed, members.repartition(min(MOST_PARTS, shards + hot_shards), "shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard")
 
 
 def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, member: int = MEMBER) -> DataFrame:

@@ -20,14 +20,19 @@ MAIN_PART = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "pp
 UNPACKED, PARTS = 100, 10_000
 
 
+#: Folders of sessions on one machine that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; on one machine without the setting a new one."""
+    """The folder in spark.checkpoint.dir; where that is unset, which only a session on one machine may leave it, a new one for the
+    session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.setdefault(app, _own.get(app) or f"file://{tempfile.mkdtemp(prefix='brindle-')}")
     return found.rstrip("/")
 
 

@@ -94,3 +94,10 @@ def heading_level(text: Column, is_title: Column) -> Column:
 def contents_line(line: Column) -> Column:
     """title and label of a line of contents: leader dots, ellipses, middle dots or a tab, then a page label; null for other lines."""
     return F.when(line.rlike(CONTENTS), F.struct(F.regexp_extract(line, CONTENTS, 1).alias("title"), F.regexp_extract(line, CONTENTS, 2).alias("label")))
+
+
+def markdown_assets(text: Column) -> Column:
+    """Targets of the pictures of a Markdown text, in order; what stands in fences or between back ticks is code and doesn't count."""
+    bare = F.regexp_replace(text, r"(?ms)^[ ]{0,3}(```|~~~).*?(?:^[ ]{0,3}\1[^\n]*$|\z)", "")
+    bare = F.regexp_replace(bare, r"(`+)[^`]+\1", "")
+    return F.regexp_extract_all(bare, F.lit(r"!\[[^\]]*\]\(\s*<?([^)>\s]+)"), F.lit(1))

@@ -28,6 +28,20 @@ def set_equality(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFram
     return both.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
+def manifest_findings(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """path, finding of a manifest(path, bytes, sha256) against files(path, bytes, sha256): missing, not listed, repeated, or differs."""
+    listed = manifest.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("bytes").alias("b"), F.min("sha256").alias("h"))
+    both = listed.join(files, "path", "full_outer")
+    finding = F.when(F.col("n") > 1, "repeated").when(F.col("n").isNull(), "not listed").when(F.col("sha256").isNull(), "missing").when((F.col("b") != F.col("bytes")) | (F.col("h") != F.col("sha256")), "differs")
+    return both.select("path", finding.alias("finding")).where("finding is not null")
+
+
+def rubric_reason(weights: Column, criteria: Column) -> Column:
+    """Why a weighted rubric can't be used, null if it can."""
+    bad = F.exists(weights, lambda w: w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")) | (w < 0))
+    return F.when(weights.isNull() | criteria.isNull() | (F.size(criteria) == 0), "empty").when(F.size(weights) != F.size(criteria), "lengths differ").when(bad, "not finite or negative").when(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w) <= 0, "no weight")
+
+
 def division(pairs: DataFrame, required: DataFrame, group: str, item: str) -> DataFrame:
     """Groups of pairs(group, item) all of whose items are in required(item): those that can be used whole."""
     known = required.select(F.col(item).alias("_item")).distinct().withColumn("_known", F.lit(1))

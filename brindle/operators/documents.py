@@ -63,6 +63,16 @@ def outline_parents(headings: DataFrame) -> DataFrame:
     return rows.withColumn("parent", parent).drop(*[f"_l{n}" for n in range(1, 7)])
 
 
+def section_paths(headings: DataFrame, separator: str = " / ") -> DataFrame:
+    """path of each row of headings(doc_id, place, level, title): its title behind those of the open headings above. A heading of a level
+    stays open until one of that level or a lower one follows, so what counts is the last of each level, if no lower one came since."""
+    w = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = lambda rule, value: F.last(F.when(rule, value), ignorenulls=True).over(w)
+    rows = headings.withColumns({f"_t{n}": of(F.col("level") == n, F.struct("place", "title")) for n in range(1, 7)} | {f"_b{n}": of(F.col("level") < n, F.col("place")) for n in range(2, 7)})
+    open_ = [F.when((F.col("level") >= n) & (F.col(f"_t{n}.place") > F.coalesce(F.col(f"_b{n}") if n > 1 else F.lit(None).cast("int"), F.lit(-1))), F.col(f"_t{n}.title")) for n in range(1, 7)]
+    return rows.withColumn("path", F.concat_ws(separator, *open_)).drop(*[f"_t{n}" for n in range(1, 7)], *[f"_b{n}" for n in range(2, 7)])
+
+
 def overlap_columns(boxes: DataFrame, gap: float = 10.0) -> DataFrame:
     """Pages of boxes(doc_id, page, box, x0, y0, x1, y1) with two boxes beside each other: over half of the lower one's height in
     common, and a gap between. The join is on the page."""

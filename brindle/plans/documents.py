@@ -111,11 +111,9 @@ def outline_parent(t):
     return D.outline_parents(_headings(t)).select("doc_id", "place", "level", F.coalesce("parent", F.lit(-1)).alias("parent"))
 
 
-@query("section_path", f"WITH {_HEADINGS} SELECT doc_id, place, CASE WHEN level = 1 THEN title ELSE coalesce(title1 || ' / ', '') || title END AS path FROM (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place) AS title1 FROM h WHERE level < 3)")
+@query("section_path", f"WITH {_HEADINGS} SELECT doc_id, place, CASE level WHEN 1 THEN title WHEN 2 THEN coalesce(t1 || ' / ', '') || title ELSE coalesce(t1 || ' / ', '') || CASE WHEN p2 > coalesce(p1, -1) THEN t2 || ' / ' ELSE '' END || title END AS path FROM (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS t1, last_value(CASE WHEN level = 1 THEN place END IGNORE NULLS) OVER w AS p1, last_value(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER w AS t2, last_value(CASE WHEN level = 2 THEN place END IGNORE NULLS) OVER w AS p2 FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY place))")
 def section_path(t):
-    rows = _headings(t).where("level < 3")
-    top = F.last(F.when(F.col("level") == 1, F.col("title")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("place"))
-    return rows.select("doc_id", "place", F.when(F.col("level") == 1, F.col("title")).otherwise(F.concat(F.coalesce(F.concat(top, F.lit(" / ")), F.lit("")), "title")).alias("path"))
+    return D.section_paths(_headings(t)).select("doc_id", "place", "path")
 
 
 _DRESSED = "CASE place % 5 WHEN 0 THEN title WHEN 1 THEN '## ' || title WHEN 2 THEN (place + 1) || '.' || (place % 7 + 1) || ' ' || title WHEN 3 THEN '第' || (place + 1) || '节 ' || title ELSE '（二）' || title END"
@@ -128,11 +126,19 @@ def _dressed(t):
     return _headings(t).withColumn("text", text)
 
 
-@query("heading_level", rf"WITH {_HEADINGS}, d AS (SELECT *, {_DRESSED} AS text FROM h) SELECT doc_id, place, CASE WHEN length(text) > 200 OR contains(text, chr(10)) OR regexp_matches(text, '^.+?(\.{{2,}}|…{{2,}}|·{{3,}}|\t+)\s*[0-9ivxlcdmIVXLCDM]{{1,8}}\s*$') THEN -1 WHEN place % 5 = 1 AND regexp_matches(title, '^\s*\S') THEN 2 WHEN place % 5 = 3 THEN 2 WHEN place % 5 = 4 AND regexp_matches(title, '^\s*\S') THEN 2 WHEN place % 5 = 2 AND regexp_matches(title, '^\s*\S') AND (level = 1 OR (length(text) <= 100 AND NOT regexp_matches(text, '[。；;！？!?]'))) THEN 2 WHEN level = 1 THEN 1 ELSE -1 END AS level FROM d WHERE NOT regexp_matches(title, '^\s*[#0-9(（第一二三四五六七八九十百]')")
+_NUMBERED_SQL = r"'^([1-9][0-9]{0,2}(?:\.[0-9]{1,3}){0,5})(?:[.．](?:\s+\S|[^0-9\s])|、\s*\S|\s+\S)'"
+_LEVEL_SQL = rf"""CASE WHEN length(text) > 200 OR contains(text, chr(10)) OR regexp_matches(text, '^.+?(\.{{2,}}|…{{2,}}|·{{3,}}|\t+)\s*[0-9ivxlcdmIVXLCDM]{{1,8}}\s*$') THEN -1
+ WHEN regexp_matches(text, '^#{{1,6}}\s+\S') THEN length(regexp_extract(text, '^(#+)', 1))
+ WHEN regexp_matches(text, '^第[一二三四五六七八九十百零〇0-9]+[章节篇部]') THEN CASE WHEN regexp_matches(text, '^第[一二三四五六七八九十百零〇0-9]+节') THEN 2 ELSE 1 END
+ WHEN regexp_matches(text, '^([一二三四五六七八九十百]+[、．.]|[（(][一二三四五六七八九十百]+[）)])\s*\S') THEN CASE WHEN left(text, 1) IN ('（', '(') THEN 2 ELSE 1 END
+ WHEN regexp_matches(text, {_NUMBERED_SQL}) AND (level = 1 OR (length(text) <= 100 AND NOT regexp_matches(text, '[。；;！？!?]'))) THEN len(string_split(regexp_extract(text, {_NUMBERED_SQL}, 1), '.'))
+ WHEN level = 1 THEN 1 ELSE -1 END"""
+
+
+@query("heading_level", f"WITH {_HEADINGS}, d AS (SELECT doc_id, place, level, {_DRESSED} AS text FROM h) SELECT doc_id, place, {_LEVEL_SQL} AS level FROM d")
 def heading_level(t):
-    """Levels by marks and numbers of the headings of pages; titles that bring numbers of their own are left to the unit tests."""
-    rows = _dressed(t).where(~F.col("title").rlike(r"^\s*[#0-9(（第一二三四五六七八九十百]"))
-    return rows.select("doc_id", "place", F.coalesce(T.heading_level(F.col("text"), F.col("level") == 1), F.lit(-1)).alias("level"))
+    """Levels by the marks and numbers of the headings of pages."""
+    return _dressed(t).select("doc_id", "place", F.coalesce(T.heading_level(F.col("text"), F.col("level") == 1), F.lit(-1)).alias("level"))
 
 
 _LINE = "title || CASE place % 4 WHEN 0 THEN ' ..... ' WHEN 1 THEN chr(9) WHEN 2 THEN '……' ELSE ' ' END || (place + 1)"

@@ -307,12 +307,12 @@ def set_equality(t):
     return first
 
 
-@query("upload_results", "WITH h AS (SELECT doc_id AS item, source AS kb, sha256(text) AS sha256, strlen(text) AS n, CASE WHEN length(text) < 20 THEN 'too short' END AS reason FROM documents), s AS (SELECT DISTINCT kb, sha256 FROM h WHERE item % 7 = 0), r AS (SELECT *, coalesce(reason, CASE WHEN n > 20000 THEN 'too large' END) AS refused FROM h WHERE item % 7 <> 0), p AS (SELECT *, row_number() OVER (PARTITION BY kb, sha256, refused IS NULL ORDER BY item) AS place FROM r) SELECT item, p.kb, p.sha256, CASE WHEN refused IS NOT NULL THEN refused WHEN s.sha256 IS NOT NULL OR place > 1 THEN 'duplicate' ELSE 'stored' END AS state FROM p LEFT JOIN s ON s.kb = p.kb AND s.sha256 = p.sha256")
+@query("upload_results", "WITH h AS (SELECT doc_id AS item, source AS kb, sha256(text) AS sha256, strlen(text) AS n, CASE WHEN length(text) < 20 THEN 'too short' END AS reason FROM documents), s AS (SELECT DISTINCT kb, sha256 FROM h WHERE item % 7 = 0), r AS (SELECT *, coalesce(reason, CASE WHEN n > 20000 THEN 'too large' END) AS refused FROM h), p AS (SELECT *, row_number() OVER (PARTITION BY kb, sha256, refused IS NULL ORDER BY item) AS place FROM r) SELECT item, p.kb, p.sha256, CASE WHEN refused IS NOT NULL THEN refused WHEN s.sha256 IS NOT NULL OR place > 1 THEN 'duplicate' ELSE 'stored' END AS state FROM p LEFT JOIN s ON s.kb = p.kb AND s.sha256 = p.sha256")
 def upload_results(t):
-    """Documents as uploads to the base of their source; every seventh was stored before."""
+    """All documents as uploads to the base of their source; every seventh's content was stored before."""
     rows = t.documents.select(F.col("doc_id").alias("item"), F.col("source").alias("kb"), F.col("text").alias("content"), F.when(F.length("text") < 20, "too short").alias("reason"))
     stored = rows.where("item % 7 = 0").select("kb", F.sha2("content", 256).alias("sha256"))
-    return K.upload_results(rows.where("item % 7 <> 0"), stored, F.col("reason"), 20_000)
+    return K.upload_results(rows, stored, F.col("reason"), 20_000)
 
 
 @query("granted_claims", """WITH r AS (SELECT CAST(floor(value) AS BIGINT) AS key, user_id AS owner, ts AS asked FROM events), h AS (SELECT CAST(floor(value) AS BIGINT) AS key, min(user_id) AS owner FROM events WHERE event_id % 50 = 0 GROUP BY ALL), f AS (SELECT key, arg_min(owner, (asked, owner)) AS first FROM r GROUP BY key) SELECT r.key, r.owner, epoch_us(r.asked) AS "at", r.owner = coalesce(h.owner, f.first) AS granted FROM r JOIN f USING (key) LEFT JOIN h USING (key)""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import tempfile
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The accepted formats and what their files begin with; Office packages by their main part.
 FORMATS = ("pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "csv", "txt", "md", "jpg", "jpeg", "png")
@@ -151,6 +153,50 @@ def strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").option("header", "true").option("enforceSchema", "false").csv(path)
 
 
+def csv_table(text: str, separator: str = ",", rows: int = 100_000, columns: int = 1_000) -> tuple[str | None, int, int, str | None]:
+    """A strict CSV text as a quoted tab-separated table, its rows and columns; or a reason: open quotes, rows of different lengths, limits."""
+    out, wide, n = io.StringIO(), None, 0
+    made = csv.writer(out, delimiter="\t", lineterminator="\n")
+    try:
+        for row in csv.reader(io.StringIO(text, newline=""), delimiter=separator, strict=True):
+            wide = len(row) if wide is None else wide
+            n += 1
+            if len(row) != wide:
+                return None, 0, 0, f"row {n} has {len(row)} cells, not {wide}"
+            if n > rows or wide > columns:
+                return None, 0, 0, "too many rows or columns"
+            made.writerow(row)
+    except csv.Error as e:
+        return None, 0, 0, str(e)
+    return (None, 0, 0, "empty") if not n else (out.getvalue(), n, wide, None)
+
+
+def csv_blocks(found: DataFrame) -> DataFrame:
+    """path, text (a quoted tab-separated table), rows, columns, reason of the CSV files of files(); a file is one table block or a reason."""
+
+    def run(parts):
+        for part in parts:
+            made = [(p, *(csv_table(t) if (t := decoded(c)) is not None else (None, 0, 0, "not text"))) for p, c in zip(part["path"], part["content"])]
+            yield pd.DataFrame(made, columns=["path", "text", "rows", "columns", "reason"])
+
+    return found.where("kind = 'csv'").select("path", "content").mapInPandas(run, "path string, text string, rows int, columns int, reason string")
+
+
+def benchmark_rows(spark: SparkSession, path: str, kind: str, schema: str, rows: int = 1_000_000) -> DataFrame:
+    """Rows of a benchmark file (json: one array or object, jsonl, parquet) of exactly this schema. ValueError beyond rows, never a part."""
+    if kind == "parquet":
+        found = spark.read.parquet(path)
+        missing = [f.name for f in StructType.fromDDL(schema) if f.name not in found.columns]
+        if missing:
+            raise ValueError(f"no columns {missing}")
+        found = found.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema)])
+    else:
+        found = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", str(kind == "json").lower()).json(path)
+    if found.limit(rows + 1).count() > rows:
+        raise ValueError(f"over {rows} rows")
+    return found
+
+
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 

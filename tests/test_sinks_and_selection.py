@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import evaluation, pages, retrieval, selection
-from brindle.sources import packages, sinks
+from brindle.functions import text as T
+from brindle.operators import audit, chunking, documents, evaluation, pages, retrieval, selection
+from brindle.sources import packages, readers, sinks
 from brindle.streaming import events
 
 
@@ -187,3 +188,36 @@ def test_gate_precedence_and_categories(spark):
     assert [r[0] for r in rows.select(evaluation.retrieval_category(document_mrr="doc_mrr")).collect()] == ["TARGET_PAGE_MISS", "TARGET_DOCUMENT_MISS"]
     flow = spark.createDataFrame([(1, 1, 1, 1, False), (7, 1, 1, 1, True)], "f int, h int, a int, b int, ok boolean")
     assert [r[0] for r in flow.select(evaluation.flow_category("f", "h", "a", "b", F.col("ok"))).collect()] == ["INCOMPLETE_EXECUTION", "RERANK_LOW_RANK"]
+
+
+def test_csv_and_benchmark_files(spark, tmp_path):
+    texts = {"a.csv": 'x,y\n1,"two\nlines"\n', "b.csv": "x,y\n1\n", "c.csv": 'x,"open', "d.csv": "", "e.csv": "\x00"}
+    found = spark.createDataFrame([(p, "csv", t.encode()) for p, t in texts.items()], "path string, kind string, content binary")
+    got = {r.path: (r.text, r.rows, r.columns, r.reason) for r in readers.csv_blocks(found).collect()}
+    assert got["a.csv"] == ('x\ty\n1\t"two\nlines"\n', 2, 2, None) and got["b.csv"][3] == "row 2 has 1 cells, not 2"
+    assert got["c.csv"][3] and got["d.csv"][3] == "empty" and got["e.csv"][3] == "not text"
+    assert readers.csv_table("a\nb\nc\n", rows=2)[3] == "too many rows or columns"
+    (tmp_path / "q.jsonl").write_text('{"q": "a", "n": 1}\n{"q": "b", "n": 2}\n')
+    (tmp_path / "q.json").write_text('[{"q": "a",\n "n": 1}]')
+    read = lambda name, kind, **how: sorted(r.q for r in readers.benchmark_rows(spark, str(tmp_path / name), kind, "q string, n int", **how).collect())
+    assert read("q.jsonl", "jsonl") == ["a", "b"] and read("q.json", "json") == ["a"]
+    with pytest.raises(ValueError):
+        read("q.jsonl", "jsonl", rows=1)
+    spark.createDataFrame([("c", 3)], "q string, n long").write.parquet(str(tmp_path / "q.parquet"))
+    assert read("q.parquet", "parquet") == ["c"]
+    with pytest.raises(ValueError):
+        readers.benchmark_rows(spark, str(tmp_path / "q.parquet"), "parquet", "other string")
+
+
+def test_manifests_rubrics_assets_and_paths(spark):
+    row = "path string, bytes long, sha256 string"
+    manifest, files = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z"), ("d", 1, "w"), ("d", 1, "w")], row), spark.createDataFrame([("a", 1, "x"), ("b", 2, "other"), ("e", 1, "v"), ("d", 1, "w")], row)
+    assert {tuple(r) for r in audit.manifest_findings(manifest, files).collect()} == {("b", "differs"), ("c", "missing"), ("d", "repeated"), ("e", "not listed")}
+    rubrics = spark.createDataFrame([([1.0, 0.0], ["a", "b"]), ([1.0], ["a", "b"]), ([float("nan")], ["a"]), ([-1.0], ["a"]), ([0.0], ["a"]), ([], [])], "w array<double>, c array<string>")
+    assert [r[0] for r in rubrics.select(audit.rubric_reason(F.col("w"), F.col("c"))).collect()] == [None, "lengths differ", "not finite or negative", "not finite or negative", "no weight", "empty"]
+    text = "![a](one.png) `![x](no.png)`\n```\n![y](no.png)\n```\n![b]( <two.png> \"t\")\n~~~\n![z](no.png)"
+    assert spark.createDataFrame([(text,)], "t string").select(T.markdown_assets(F.col("t"))).first()[0] == ["one.png", "two.png"]
+    rows = [(1, 0, 1, "A"), (1, 1, 3, "a3"), (1, 2, 2, "a2"), (1, 3, 3, "a23"), (1, 4, 1, "B"), (1, 5, 3, "b3"), (1, 6, 6, "b6"), (2, 0, 2, "c")]
+    got = {(r.doc_id, r.place): r.path for r in documents.section_paths(spark.createDataFrame(rows, "doc_id int, place int, level int, title string")).collect()}
+    assert got == {(1, 0): "A", (1, 1): "A / a3", (1, 2): "A / a2", (1, 3): "A / a2 / a23", (1, 4): "B", (1, 5): "B / b3", (1, 6): "B / b3 / b6", (2, 0): "c"}
+    assert chunking.recipe() != chunking.recipe(500) and chunking.recipe() == chunking.recipe(600, 80)

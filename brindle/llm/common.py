@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import shared_folder
+
 #: A word is a maximal run of characters other than these six; the same class as bytes, for numpy.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -28,17 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session without one (a test, one machine) gets a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 _SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -100,7 +90,7 @@ def _at_exit() -> None:
 
 def scratch(spark: SparkSession, name: str | None = None) -> str:
     """A new path in the shared folder, for a table of this name if there is one."""
-    path = f"{shared_dir(spark)}/brindle/{name or uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/brindle/{name or uuid.uuid4().hex}"
     _scratch.append((spark, path, name))
     return path
 

@@ -114,7 +114,8 @@ def _blocks(ranks):
 
 def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int | None = None) -> None:
     """Writes docs(doc_id, text) to path/blocks, in ascending doc_id order (nulls first, equal ids by the crc of their ids), and
-    the ids by rank to path/ranks. A null text is empty; an empty text still gets end_id. Other columns are ignored.
+    the ids by rank to path/ranks. A null text is empty; an empty text still gets end_id. Repeated rows are written each for itself; a text
+    longer than BLOCK ids is a block of its own. Other columns are ignored, whatever their names; an empty table gives an empty file.
 
     Texts are encoded once; ids wait in the shared folder while they are counted (the counts have a row for each id of the
     vocabulary at most, which bounds the table of ranks that goes to every task).
@@ -145,7 +146,8 @@ def _unblock(sent):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) of the documents in path.
+    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) of the documents in path, a row for each
+    that was written, of null ids, equal ids and empty texts too; no rows for an empty file. A damaged stream is an error.
     Starts add up sums of the parts of the file (a row for each) and, inside a part, of its blocks."""
     blocks = spark.read.parquet(f"{path}/blocks")
     by_rank = spark.read.parquet(f"{path}/ranks").first().ids

@@ -73,6 +73,16 @@ def test_as_brute_force(spark, window, gram, member):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, window)
 
 
+def test_text_longer_than_a_slice(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(4000)]
+    long = " ".join(rng.choice(words) for _ in range(180_000))
+    rows = [(2, long), (1, long[400_000:400_900]), (3, "x" + long[-700:] + "y"), (4, long[:60])]
+    assert len(long) > 1 << 20
+    got = sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, 50)
+
+
 def test_empty(spark):
     assert sd.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, decontaminate, editcount, mixing, quality, simhash, suffixdedup, tokenbin, topk, toxicity
+from . import centroids, chatformat, decontaminate, editcount, mixing, quality, simhash, suffixdedup, tokenbin, topk, toxicity
 from .common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdedup.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def _lloyd_sql(rounds: int = 10, k: int = 8, size: int = 64) -> str:
+    """Each round is two relations: who is assigned where, and the centroids after it."""
+    distance = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v.e, c.e)])"
+    nearest = "SELECT vec_id, e, number, d FROM (SELECT v.vec_id, v.e, v.at, c.number, {0} AS d, row_number() OVER (PARTITION BY v.at ORDER BY {0}, c.number) AS r FROM v, {1} c) WHERE r = 1"
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS at, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+           WHERE len(embedding) = {size} AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS number, e FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT {k}))"]
+    for n in range(rounds):
+        whole = ", ".join(f"CAST((s[{i}] - ((s[{i}] % n) + n) % n) // n AS BIGINT)" for i in range(1, size + 1))
+        sums = ", ".join(f"sum(e[{i}])" for i in range(1, size + 1))
+        parts += [f"a{n} AS MATERIALIZED ({nearest.format(distance, f'c{n}')})",
+                  f"m{n} AS (SELECT number, [{whole}] AS e FROM (SELECT number, count(*) AS n, [{sums}] AS s FROM a{n} GROUP BY number))",
+                  f"c{n + 1} AS MATERIALIZED (SELECT c.number, coalesce(m.e, c.e) AS e FROM c{n} c LEFT JOIN m{n} m USING (number))"]
+    parts.append(f"a AS MATERIALIZED ({nearest.format(distance, f'c{rounds}')})")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(number AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY number) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a JOIN c{rounds} c USING (number)"""
+
+
+@_query("op11_centroid_clustering", _lloyd_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))

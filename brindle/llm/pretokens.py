@@ -190,9 +190,11 @@ class Words:
             new_at, new_n, spelled = self._add([joined[i:j] for i, j in zip(begins[fresh].tolist(), ends[fresh].tolist())], points[_flat(begins[fresh], lengths[fresh])])
             at[new], n[new] = new_at[back.reshape(-1)], new_n[back.reshape(-1)]
             at[new[~same]], n[new[~same]] = new_at[len(own) :], new_n[len(own) :]
-            f, s = new[first], slot[new[first]]
-            self.keys[s], self.at[s], self.n[s], self.letters[s], self.first[s], self.second[s] = own, new_at[: len(own)], new_n[: len(own)], size[f], a[f], b[f]
-            self.spelled[s] = spelled + (np.cumsum(lengths[fresh]) - lengths[fresh])[: len(own)]
+            free = np.flatnonzero(self.letters[slot[new[first]]] == 0)  # rare pieces don't drive out those that came before them
+            f = new[first][free]
+            s = slot[f]
+            self.keys[s], self.at[s], self.n[s], self.letters[s], self.first[s], self.second[s] = own[free], new_at[free], new_n[free], size[f], a[f], b[f]
+            self.spelled[s] = spelled + (np.cumsum(lengths[fresh]) - lengths[fresh])[free]
         return at, n
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:

@@ -2,7 +2,7 @@
 
 Texts are words without case and punctuation. Seeds, 5 words in a row, are joined to those of the benchmark by hash, in map tasks:
 each pass over the documents takes a part of the benchmark of bounded size, so that a larger benchmark means more passes, never a
-larger table in a task. For each document and item that share seeds, tiles are marked: running Karp-Rabin hashes of 5 words give
+larger table in a task. For each document and item whose shared seeds stand on enough of the item's words, tiles are marked: running Karp-Rabin hashes of 5 words give
 the matches, the longest match of words not marked yet is marked in both, and so on until none of 5 words is left. An item whose
 words are covered to the threshold, in whatever order its passages stand, contaminates the document.
 """
@@ -63,11 +63,12 @@ def seeds(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, least: int, places: int = PLACES) -> list[tuple[int, int, int]]:
+def tiles(item: np.ndarray, doc: np.ndarray, least: int, places: int = PLACES, theirs: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiles (begin in item, begin in doc, words): always the longest match of least words or more that are unmarked in both;
     ties go to the first in the item, then in the document. Texts that repeat themselves share seeds at very many places; beyond
-    places of them the same tiles are found with hashes of one length after another, in memory that grows with the texts only."""
-    mine, theirs = seeds(item, least), seeds(doc, least)
+    places of them the same tiles are found with hashes of one length after another, in memory that grows with the texts only. theirs
+    are the document's seeds, if they are at hand."""
+    mine, theirs = seeds(item, least), seeds(doc, least) if theirs is None else theirs
     order = np.argsort(mine, kind="stable")
     low, high = np.searchsorted(mine[order], theirs, "left"), np.searchsorted(mine[order], theirs, "right")
     n = high - low
@@ -157,7 +158,7 @@ class Index:
 
     words: list[np.ndarray]
     least: list[int]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     filters: dict[int, np.ndarray]
 
     @classmethod
@@ -165,31 +166,75 @@ class Index:
         hashes, row = word_hashes(pa.array(texts, pa.string()))
         words = np.split(hashes, np.searchsorted(row, np.arange(1, len(texts)))) if texts else []
         least = [min(seed, len(w)) for w in words]
-        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         filters = {}
         for n in sorted(set(least) - {0}):
             own = [(seeds(w, n), i) for i, (w, m) in enumerate(zip(words, least)) if m == n]
-            keys, of = np.concatenate([s for s, _ in own]), np.concatenate([np.full(len(s), i) for s, i in own])
+            keys, of, at = np.concatenate([s for s, _ in own]), np.concatenate([np.full(len(s), i) for s, i in own]), np.concatenate([np.arange(len(s)) for s, _ in own])
             order = np.argsort(keys, kind="stable")
-            found[n] = keys[order], of[order]
+            found[n] = keys[order], of[order], at[order]
             filters[n] = np.zeros(1 << 20, bool)
             filters[n][(keys >> np.uint64(44)).astype(np.int64)] = True
         return cls(words, least, found, filters)
 
-    def candidates(self, words: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
-        """Text and item of all that share a seed."""
-        out: set[tuple[int, int]] = set()
-        for n, (keys, of) in self.seeds.items():
+    def candidates(self, words: np.ndarray, row: np.ndarray, covered: float, places: int = PLACES) -> list[tuple[int, int]]:
+        """Text and item, in order, of all pairs whose shared seeds stand on enough of the item's words. Tiles are made of shared seeds, so
+        no other pair can reach the threshold. Places of seeds in items are counted places at once, or a text's."""
+        out: list[tuple[int, int]] = []
+        need = np.array([covered * len(w) for w in self.words])
+        for n, (keys, of, at) in self.seeds.items():
             own = seeds(words, n)
             if not len(own):
                 continue
-            at = np.flatnonzero(self.filters[n][(own >> np.uint64(44)).astype(np.int64)] & (row[: len(own)] == row[n - 1 :]))
-            low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
+            here = np.flatnonzero(self.filters[n][(own >> np.uint64(44)).astype(np.int64)] & (row[: len(own)] == row[n - 1 :]))
+            low, high = np.searchsorted(keys, own[here], "left"), np.searchsorted(keys, own[here], "right")
             hit = np.flatnonzero(high > low)
-            pairs = np.unique(np.stack([row[at[hit]], low[hit], high[hit]], 1), axis=0)
-            for r, b, e in pairs.tolist():
-                out.update((r, int(i)) for i in of[b:e])
-        return out
+            met = np.unique(np.stack([row[here[hit]], low[hit], high[hit]], 1), axis=0)  # a seed counts once for a text
+            upto = np.cumsum(met[:, 2] - met[:, 1])
+            ends = np.flatnonzero(np.diff(met[:, 0], append=-1)) + 1 if len(met) else np.zeros(0, np.int64)
+            begin = 0
+            while begin < len(met):
+                most = (upto[begin - 1] if begin else 0) + places
+                fits = ends[(ends > begin) & (upto[ends - 1] <= most)]
+                end = int(fits[-1] if len(fits) else ends[ends > begin][0])
+                r, b, e = met[begin:end].T
+                size = e - b
+                entry = np.repeat(b - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                text, item, place = np.repeat(r, size), of[entry], at[entry]
+                order = np.lexsort((place, item, text))
+                text, item, place = text[order], item[order], place[order]
+                first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+                gain = np.append(np.minimum(np.diff(place), n), n)  # words that a seed covers before the next one begins
+                gain[first[1:] - 1] = n
+                enough = np.add.reduceat(gain, first) >= need[item[first]]
+                out += zip(text[first[enough]].tolist(), item[first[enough]].tolist())
+                begin = end
+        return sorted(out)
+
+
+class _Seeds:
+    """A text's seeds of each length, hashed once."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.of = words, {}
+
+    def tiles(self, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+        if least not in self.of:
+            self.of[least] = seeds(self.words, least)
+        return tiles(item, self.words, least, theirs=self.of[least])
+
+
+def _compared(index: Index, texts: pa.Array, covered: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """Text, item and tiles of the pairs that reach the threshold."""
+    words, row = word_hashes(texts)
+    first = np.searchsorted(row, np.arange(len(texts) + 1))
+    last, text = -1, None
+    for r, i in index.candidates(words, row, covered):
+        if r != last:
+            last, text = r, _Seeds(words[first[r] : first[r + 1]])
+        found = text.tiles(index.words[i], index.least[i])
+        if sum(x[2] for x in found) >= covered * len(index.words[i]):
+            yield r, i, found
 
 
 def _parts(benchmark: DataFrame, pass_bytes: int) -> Iterator[list]:
@@ -230,14 +275,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("
             ids, index = sent.value
             for batch in batches:
                 for rows in slices(batch, "_text"):
-                    words, row = word_hashes(rows.column("_text"))
-                    first = np.searchsorted(row, np.arange(rows.num_rows + 1))
                     found = []
-                    for r, i in sorted(index.candidates(words, row)):
-                        t = tiles(index.words[i], words[first[r] : first[r + 1]], index.least[i])
+                    for r, i, t in _compared(index, rows.column("_text"), covered):
                         n, c = len(index.words[i]), sum(x[2] for x in t)
-                        if c >= covered * n:
-                            found.append((r, ids[i], n, c, c / n, [dict(zip(("item_begin", "doc_begin", "words"), x)) for x in t]))
+                        found.append((r, ids[i], n, c, c / n, [dict(zip(("item_begin", "doc_begin", "words"), x)) for x in t]))
                     at = pa.array([f[0] for f in found], pa.int64())
                     yield pa.RecordBatch.from_arrays([*(rows.column(c).take(at) for c in keep), *(pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64()), (5, kind)))], [*keep, "item_id", "item_words", "covered", "coverage", "tiles"])
 
@@ -248,7 +289,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, seed: int = SEED, covered: float = COVERED, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of docs(text, ...) that no item contaminates, with all their columns, whatever their names. Null and empty texts stay, as
-    do all rows where the benchmark is empty or has no words; repeated rows stay or go together; empty in, empty out."""
+    do all rows where the benchmark is empty or has no words; repeated rows stay or go together; a text of any length is one row of a
+    task; empty in, empty out."""
     for part in _parts(benchmark, pass_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(Index.of([r.text for r in part], seed))
 
@@ -256,13 +298,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, seed: int = SEED, covered: f
             index = sent.value
             for batch in batches:
                 for rows in slices(batch):
-                    words, row = word_hashes(rows.column("text"))
-                    first = np.searchsorted(row, np.arange(rows.num_rows + 1))
                     good = np.ones(rows.num_rows, bool)
-                    for r, i in sorted(index.candidates(words, row)):
-                        if good[r]:
-                            t = tiles(index.words[i], words[first[r] : first[r + 1]], index.least[i])
-                            good[r] = sum(x[2] for x in t) < covered * len(index.words[i])
+                    for r, _, _ in _compared(index, rows.column("text"), covered):
+                        good[r] = False
                     yield rows.filter(pa.array(good))
 
         docs = docs.mapInArrow(run, docs.schema)

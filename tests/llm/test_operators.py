@@ -367,3 +367,37 @@ def test_all_passages_of_long_documents_train_and_batches_may_be_read_again(spar
     assert all(np.array_equal(kept.weights[k], read.weights[k]) for k in kept.weights)
     got = quality.score(docs, kept).collect()
     assert sum((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in got) >= 22 and {r.passages for r in got} <= {340, 341}
+
+
+@pytest.mark.parametrize("places", [1, 50, 1 << 20])
+def test_a_phrase_of_all_items_is_no_candidate(places):
+    """Only pairs whose shared seeds stand on enough of the item are tiled, and none that reaches the threshold is lost."""
+    import random
+
+    import pyarrow as pa
+
+    from brindle.llm import decontaminate as D
+
+    draw = random.Random(3)
+    some = lambda n: " ".join("".join(draw.choices("abcdefghij", k=4)) for _ in range(n))
+    items = [f"{some(8)} one two three four five {some(8)}" for _ in range(40)] + ["one two three four five six", "tiny item", ""]
+    halves = items[5].split(" ")
+    docs = [f"{some(50)} one two three four five {some(50)}" for _ in range(20)] + [items[3], "", " ".join([*halves[10:], "x", *halves[:10]]), "one two three four five six", "a tiny item", f"{items[7]} {items[8]}"]
+    index = D.Index.of(items, 5)
+    words, row = D.word_hashes(pa.array(docs))
+    found = index.candidates(words, row, 0.8, places)
+    wanted, first = [], np.searchsorted(row, np.arange(len(docs) + 1))
+    for r in range(len(docs)):
+        for i, item in enumerate(index.words):
+            if len(item) and sum(t[2] for t in D.tiles(item, words[first[r] : first[r + 1]], index.least[i])) >= 0.8 * len(item):
+                wanted.append((r, i))
+    assert set(wanted) <= set(found) and len(found) <= len(wanted) + 2
+    assert [x[:2] for x in D._compared(index, pa.array(docs), 0.8)] == wanted and len(wanted) >= 6
+
+
+def test_names_that_decontamination_makes_cant_be_kept(spark):
+    from brindle.llm import decontaminate as D
+
+    docs = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, tiles int")
+    with pytest.raises(ValueError, match="tiles"):
+        D.matches(docs, spark.createDataFrame([(1, "a")], "item_id long, text string"), keep=("doc_id", "tiles"))

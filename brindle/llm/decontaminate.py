@@ -257,8 +257,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("
 
     An item of fewer than seed words counts where all its words stand in a row; one without words never does. Null texts have no
     words. Equal items are one; a repeated document gives repeated rows. A text of any length is one row of a task; ties between tiles
-    go to the first place. Other columns are ignored; keep must not name a column that is made here. Empty tables give an empty result.
+    go to the first place. Other columns are ignored, whatever their names; keep can't name a column that is made here. Empty
+    tables give an empty result.
     """
+    if taken := {"item_id", "item_words", "covered", "coverage", "tiles", "_text"} & set(keep):
+        raise ValueError(f"columns made here can't be kept: {sorted(taken)}")
     schema = docs.select(*keep).schema
     for name, kind in (("item_id", "long"), ("item_words", "long"), ("covered", "long"), ("coverage", "double")):
         schema = schema.add(name, kind)

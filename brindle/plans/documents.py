@@ -14,6 +14,7 @@ from ..operators import chunking as C
 from ..operators import documents as D
 from ..sources.readers import shared_folder
 from ..streaming import events as S
+from ..streaming import stages as G
 from .registry import query
 
 
@@ -363,15 +364,62 @@ def rolling_rate(t):
     return both.select("event_id", "minute", "day", ((F.col("minute") <= 1) & (F.col("day") <= 40)).alias("admitted"))
 
 
+_QUOTAS = (S.Quota(21_600, 2), S.Quota(259_200, 5, final=True))
+
+# Each request sees the grants before it, so the fold is a recursion over a user's requests in order: their times are kept as a list, one for each file granted.
+_ADMIT = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, 1 + event_id % 2 AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS place, CAST(-1 AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS held, '' AS state, CAST(0 AS BIGINT) AS wait_seconds FROM (SELECT DISTINCT user_id FROM e)
+ UNION ALL SELECT user_id, place, event_id, CASE WHEN state = 'granted' THEN list_concat(day, [t for x in range(n)]) ELSE day END, state, CASE WHEN state = 'wait' THEN greatest(1, CAST(ceil((list_min(six) + 21600000000 - t) / 1000000) AS BIGINT)) ELSE 0 END
+ FROM (SELECT *, CASE WHEN len(six) + n > 2 THEN CASE WHEN len(six) = 0 THEN 'exhausted' ELSE 'wait' END WHEN len(day) + n > 5 THEN 'exhausted' ELSE 'granted' END AS state
+  FROM (SELECT e.user_id, e.place, e.event_id, e.t, e.n, list_filter(r.held, lambda x: x > e.t - 259200000000) AS day, list_filter(r.held, lambda x: x > e.t - 21600000000) AS six FROM r JOIN e ON e.user_id = r.user_id AND e.place = r.place + 1)))
+SELECT event_id, state, wait_seconds FROM r WHERE place > 0"""
+
+
+@query("admission", _ADMIT)
+def admission(t):
+    """Requests for one or two files against quotas of 2 in 6 hours and 5 in 3 days, in order: only what was granted counts."""
+    rows = t.events.select("event_id", "user_id", "ts", (F.col("event_id") % 2 + 1).alias("files"))
+    return S.admissions(rows, "user_id", "ts", "event_id", _QUOTAS, count="files").select("event_id", "state", "wait_seconds")
+
+
 @query("deadline", "SELECT event_id, epoch_us(ts) + 60000000 * (event_id % 3) < epoch_us(TIMESTAMP '2024-01-15 00:00:00') AS expired FROM events")
 def deadline(t):
     due = F.unix_micros(F.col("ts").cast("timestamp")) + 60_000_000 * (F.col("event_id") % 3)
     return t.events.select("event_id", (due < F.unix_micros(F.to_timestamp(F.lit("2024-01-15 00:00:00")))).alias("expired"))
 
 
+def _delivered(t, rows, late: str) -> str:
+    """rows of events as files that a stream reads one by one: those that late names last, after the first file has come again."""
+    at = f"{shared_folder(t.spark)}/brindle/delivered-{uuid.uuid4().hex}"
+    parts = (rows.where(f"not ({late}) and event_id % 2 = 0"), rows.where(f"not ({late}) and event_id % 2 = 1"), rows.where(f"not ({late}) and event_id % 2 = 0"), rows.where(late))
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{at}/events.parquet")
+    return at
+
+
 @query("stream_ingest", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
 def stream_ingest(t):
-    """The events table read as a stream, ingested idempotently, and summed from what was stored; its folder is kept for the result."""
-    out = f"{shared_folder(t.spark)}/brindle/ingest-{uuid.uuid4().hex}"
-    S.ingest(S.read_events(t.spark, t.folder), f"{out}/table", f"{out}/state").awaitTermination()
-    return t.spark.read.parquet(f"{out}/table").groupBy("event_type").agg(_count().alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """The events as a stream of files, one of them twice, and those of the first ten days weeks late: each is stored once. Their folder
+    is kept for the result."""
+    first = t.events.agg(F.min("ts")).first()[0]
+    at = _delivered(t, t.events, f"ts < timestamp_ntz'{first}' + interval 10 days")
+    S.ingest(S.read_events(t.spark, at, 1), f"{at}/table", f"{at}/state").awaitTermination()
+    return t.spark.read.parquet(f"{at}/table").groupBy("event_type").agg(_count().alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_STAGED = """WITH r AS (SELECT event_id // 25 AS doc_id, (event_id % 25) // 9 AS generation, (event_id * 3 + user_id) % 5 AS stage, event_type <> 'error' AS ok FROM events),
+m AS (SELECT doc_id, max(generation) AS generation FROM r GROUP BY doc_id),
+a AS (SELECT doc_id, generation, list_distinct(list(stage) FILTER (ok)) AS good, list_distinct(list(stage) FILTER (NOT ok)) AS bad FROM r JOIN m USING (doc_id, generation) GROUP BY ALL),
+p AS (SELECT *, CAST(coalesce(list_min([x for x in range(0, 5) if NOT coalesce(list_contains(good, x), false)]), 5) AS INTEGER) AS passed FROM a)
+SELECT doc_id, generation, passed, CASE WHEN passed < 5 AND coalesce(list_contains(bad, passed), false) THEN 'FAILED' ELSE ['NEW', 'UPLOADED', 'CHUNKING', 'EMBEDDING', 'INDEXING', 'READY'][passed + 1] END AS status FROM p"""
+
+
+@query("staged_ingest", _STAGED)
+def staged_ingest(t):
+    """Events as reports of five stages of documents, in files of which one comes twice and one late: the state is that of all reports."""
+    n = F.col("event_id")
+    stage = F.element_at(F.array(*[F.lit(x) for x in G.STAGES]), ((n * 3 + F.col("user_id")) % 5 + 1).cast("int"))
+    at = _delivered(t, t.events, "event_id % 7 = 3")
+    reports = S.read_events(t.spark, at, 1).select(F.floor(n / 25).alias("doc_id"), F.floor(n % 25 / 9).alias("generation"), stage.alias("stage"), (F.col("event_type") != "error").alias("ok"), "ts")
+    G.staged(reports, f"{at}/table", f"{at}/state").awaitTermination()
+    return G.status(G.table(t.spark, f"{at}/table/state").read())

@@ -23,7 +23,7 @@ from .common import _without_shuffles, scratch, slices, spill, utf8, word_spans
 from .tokenbin import decode_stream, encode_stream
 
 #: Terms of a range, sources of a cell, and rows of counts that a task adds up before it sends them.
-TERMS, CELL, ROWS = 1 << 15, 8, 1 << 20
+TERMS, CELL, ROWS = 1 << 15, 8, 1 << 18
 #: Below it a thousandfold denominator is still a long.
 _DIVISOR = 9 * 10**15
 
@@ -62,7 +62,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table([lang, source, *(table.column(c) for c in ("term", "n", "docs"))], ["lang", "source", "term", "n", "docs"]).to_batches(max_chunksize=1 << 16)
 
     for batch in batches:
-        for part in slices(batch, limit=1 << 22):
+        for part in slices(batch):
             terms, row, code = _terms(part)
             if not len(code):
                 continue
@@ -78,6 +78,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if one.num_rows > ROWS // 2:
                     yield from out(one)
                     held = []
+                pa.default_memory_pool().release_unused()
     if held:
         yield from out(added())
 

@@ -1,23 +1,33 @@
 """A BM25+ index in the shared folder: documents are tokenized once, a query reads the postings of its terms.
 
-postings (term, id, tf, doc_len) are sorted by term and id over range partitions, so a filter on terms reads few row groups, and
-those of a frequent term lie in many files. terms has each term's document frequency, lengths each document's number of tokens.
-An index belongs to a fingerprint of its corpus: as long as that is the same, the index that is there is opened, not built.
+Documents of like length are dealt to blocks of about BLOCK. postings (term, block, id, tf, doc_len) is bucketed by block and sorted
+by term, so the terms of a document meet where they lie, and a filter on terms reads few pages of each file. maxima has the largest tf and
+the smallest length of each term in each block, which bound what its documents can score: a query scores the best blocks first and
+then reads only blocks that can still reach its kth score. terms has each term's document frequency, lengths each document's number of
+tokens. The numbers of documents, tokens, blocks and buckets are in a small file that is written last.
+
+An index belongs to an identity of its corpus: that of the files (path, size, time), which reads none of them, or a hash of all rows. As long
+as it is the same, the index that is there is opened, not built.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 from .retrieval import ranked, scope
 
 K1, B, DELTA = 1.5, 0.75, 1.0
+#: Documents of a block; blocks that are scored before others; blocks a query names one by one, beyond them it joins; blocks of a bucket.
+BLOCK, FIRST, NAMED, BUCKET = 1024, 8, 1000, 256
 
 
 def corpus_fingerprint(docs: DataFrame, id: str, text: str) -> str:
@@ -27,21 +37,69 @@ def corpus_fingerprint(docs: DataFrame, id: str, text: str) -> str:
     return "-".join(f"{x or 0:x}" for x in r).replace("--", "-m")
 
 
+def file_identity(spark: SparkSession, path: str) -> str:
+    """Changes with any file below path: a hash of their paths, sizes and times. No file is opened; one row a task is aggregated."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    row = F.xxhash64("path", "length", "modificationTime")
+    r = files.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))).first()
+    return "files-" + "-".join(f"{(x or 0) & (1 << 64) - 1:x}" for x in r)
+
+
+def _system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _name(path: str) -> str:
+    """What a session's catalog calls the postings at path."""
+    return f"brindle_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
 @dataclass
 class Index:
     spark: SparkSession
     path: str
     id: str
+    documents: int
+    tokens: int
+    blocks: int
+    buckets: int
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "Index | None":
+        """The index at path, None unless it is whole."""
+        system, at = _system(spark, f"{path}/index.json")
+        if not system.exists(at):
+            return None
+        stream = system.open(at)
+        try:
+            return cls(spark, path, **json.loads(bytes(stream.readAllBytes())))
+        finally:
+            stream.close()
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    @property
+    def average(self) -> float:
+        return self.tokens / self.documents if self.tokens else 1.0
+
     def document_frequencies(self) -> DataFrame:
         """term, df of all terms."""
         return self._table("terms")
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
-        return self._table("postings").where(F.col("term").isin(list(terms)))
+        """Those of these terms, from the table that is bucketed by block; a session that hasn't seen it names it first."""
+        name = _name(self.path)
+        kind = self._table("lengths").schema[self.id].dataType.simpleString()
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (`{self.id}` {kind}, term STRING, tf BIGINT, doc_len BIGINT, block BIGINT) USING parquet CLUSTERED BY (block) SORTED BY (term) INTO {self.buckets} BUCKETS LOCATION '{self.path}/postings'")
+        return self.spark.table(name).where(F.col("term").isin(list(terms)))
+
+    def _bounds(self, idf: dict[str, float], part) -> DataFrame:
+        """block, bound: what no document of it can exceed."""
+        weight = F.element_at(F.create_map(*[F.lit(x) for t, v in idf.items() for x in (t, v)]), F.col("term"))
+        most = weight * part(F.col("most_tf"), F.col("least_len"))
+        return self._table("maxima").where(F.col("term").isin(list(idf))).groupBy("block").agg(F.sum(most).alias("bound"))
 
     def top_k(self, query: str, k: int, *, ids: Sequence[int] | None = None, k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
         """id, score, rank by BM25+ of documents that share a term with the query, ties to smaller ids.
@@ -50,42 +108,102 @@ class Index:
         Documents without tokens count in the statistics. A scope limits the corpus before anything is counted.
         """
         kept = scope(ids)
-        terms = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(T.tokens(F.lit(query))))).collect()]
-        if not terms:
-            raise ValueError("the query has no terms")
-        inside = (lambda df: df) if kept is None else (lambda df: df.where(F.col(self.id).isin(kept)))
-        n, average = inside(self._table("lengths")).agg(F.count(F.lit(1)), F.avg("doc_len")).first()
-        found = inside(self.postings(terms))
-        counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if kept is not None else self.document_frequencies().where(F.col("term").isin(terms))
+        terms = self.terms(query)
+        n, average = self.documents, self.average
+        found = self.postings(terms)
+        if kept is not None:
+            found = found.where(F.col(self.id).isin(kept))
+            n, average = self._table("lengths").where(F.col(self.id).isin(kept)).agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+            counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        else:
+            counts = self.document_frequencies().where(F.col("term").isin(terms))
         df = {r.term: r.df for r in counts.collect()}  # a row for each term of the query at most
-        one = found.groupBy(self.id).agg(F.max("doc_len").alias("doc_len"), *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)])
-        reach, score = k1 * (1 - b + b * F.col("doc_len") / F.lit(float(average or 1))), F.lit(0.0)
+        idf = {t: math.log((n + 1) / df[t]) for t in terms if t in df}
+        part = lambda tf, length: tf * (k1 + 1) / (k1 * (1 - b + b * length / F.lit(float(average or 1))) + tf)
+        if kept is None and self.blocks > 2 * FIRST and idf:
+            found = self._reaching(found, self._bounds(idf, part), idf, part, delta, k)
+        return ranked(self._scored(found, terms, idf, part, delta).orderBy(F.desc("score"), self.id).limit(k), [], F.desc("score"), self.id)
+
+    def terms(self, query: str) -> list[str]:
+        """The query's terms, in order, each once; ValueError if it has none."""
+        found = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(T.tokens(F.lit(query))))).collect()]
+        if not found:
+            raise ValueError("the query has no terms")
+        return found
+
+    def _scored(self, found: DataFrame, terms: Sequence[str], idf: dict[str, float], part, delta: float) -> DataFrame:
+        """id, score. Rows of a document are in one bucket, so nothing is shuffled."""
+        one = found.groupBy("block", self.id).agg(F.max("doc_len").alias("doc_len"), *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)])
+        score = F.lit(0.0)
         for i, t in enumerate(terms):  # in the order of the query, so equal documents score alike
-            idf = F.log(F.lit((n + 1) / df[t])) if t in df else F.lit(0.0)
             tf = F.col(f"tf{i}")
-            score = score + idf * (delta + F.when(tf > 0, tf * (k1 + 1) / (reach + tf)).otherwise(0.0))
-        return ranked(one.select(self.id, score.alias("score")).orderBy(F.desc("score"), self.id).limit(k), [], F.desc("score"), self.id)
+            score = score + F.lit(idf.get(t, 0.0)) * (delta + F.when(tf > 0, part(tf, F.col("doc_len"))).otherwise(0.0))
+        return one.select(self.id, score.alias("score"))
+
+    def _reaching(self, found: DataFrame, bounds: DataFrame, idf: dict[str, float], part, delta: float, k: int) -> DataFrame:
+        """The postings of blocks that can reach the kth score: that of the FIRST blocks with the highest bounds is known before the others
+        are read."""
+        first = [r.block for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST).collect()]
+        best = self._scored(found.where(F.col("block").isin(first)), list(idf), idf, part, delta).select("score").orderBy(F.desc("score")).limit(k).collect()
+        if len(best) < k:
+            return found
+        need = best[-1].score - delta * sum(idf.values())
+        able = bounds.where(F.col("bound") >= need - 1e-9 * max(1.0, abs(need))).select("block")
+        named = [r.block for r in able.limit(NAMED + 1).collect()]
+        return found.where(F.col("block").isin(named)) if len(named) <= NAMED else found.join(able, "block", "left_semi")
 
 
 def build(docs: DataFrame, path: str, *, id: str = "chunk_id", text: str = "text") -> Index:
-    """Writes the index of docs(id, text) to path. Ids are different; a null text has no tokens. The table that makes an index complete
-    is written last."""
+    """Writes the index of docs(id, text) to path. Ids are different; a null text has no tokens. The file that makes an index whole is
+    written last; what an earlier attempt left is written over."""
     spark = docs.sparkSession
-    found = docs.select(F.col(id), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
-    pairs = found.select(id, "doc_len", F.explode("tokens").alias("term")).groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
-    pairs.repartitionByRange("term", id).sortWithinPartitions("term", id).write.mode("overwrite").parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    some = postings.groupBy(id).agg(F.first("doc_len").alias("doc_len"))
+    tokens = docs.select(F.col(id), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")).withColumn("doc_len", F.size("tokens").cast("long"))
+    level = F.floor(F.log2(F.col("doc_len") + 1) * 4).cast("int")
+    pairs = tokens.select(id, "doc_len", F.explode("tokens").alias("term")).groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
+    pairs = written(pairs)
+    some = pairs.groupBy(id).agg(F.first("doc_len").alias("doc_len"))
     docs.select(id).join(some, id, "left").select(id, F.coalesce("doc_len", F.lit(0)).alias("doc_len")).write.mode("overwrite").parquet(f"{path}/lengths")
-    return Index(spark, path, id)
+    lengths = spark.read.parquet(f"{path}/lengths")
+    per_level = {r.level: (r.n, r.t) for r in lengths.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("t")).collect()}  # levels are four times the length's bits at most
+    blocks = {x: -(-n // BLOCK) for x, (n, _) in per_level.items()}
+    buckets = max(1, -(-sum(blocks.values()) // BUCKET))
+    own: Column = F.element_at(F.create_map(*[F.lit(x) for pair in (blocks or {0: 1}).items() for x in pair]), level)
+    block = level.cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64(id), own)
+    name = _name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    dealt = pairs.select(id, "term", "tf", "doc_len", block.alias("block"))
+    dealt.repartition(buckets, "block").write.mode("overwrite").bucketBy(buckets, "block").sortBy("term").option("path", f"{path}/postings").option("parquet.page.row.count.limit", "4096").saveAsTable(name)
+    postings = spark.table(name)
+    maxima = postings.groupBy("term", "block").agg(F.max("tf").alias("most_tf"), F.min("doc_len").alias("least_len"), F.count(F.lit(1)).alias("df"))
+    maxima.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/maxima")
+    spark.read.parquet(f"{path}/maxima").groupBy("term").agg(F.sum("df").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    about = {"id": id, "documents": sum(n for n, _ in per_level.values()), "tokens": sum(t for _, t in per_level.values()), "blocks": sum(blocks.values()), "buckets": buckets}
+    system, at = _system(spark, f"{path}/index.json")
+    stream = system.create(at, True)
+    try:
+        stream.write(bytearray(json.dumps(about).encode()))
+    finally:
+        stream.close()
+    return Index(spark, path, **about)
 
 
 def index_of(docs: DataFrame, folder: str, *, id: str = "chunk_id", text: str = "text") -> Index:
     """The index of docs below folder: the one of its fingerprint if it is there, else a new one."""
-    index = Index(docs.sparkSession, f"{folder}/bm25-{corpus_fingerprint(docs, id, text)}", id)
-    try:
-        index._table("lengths")
-    except AnalysisException:  # no such path
-        return build(docs, index.path, id=id, text=text)
-    return index
+    path = f"{folder}/bm25-{corpus_fingerprint(docs, id, text)}"
+    return Index.open(docs.sparkSession, path) or build(docs, path, id=id, text=text)
+
+
+def index_of_files(spark: SparkSession, path: str, folder: str, *, id: str = "chunk_id", text: str = "text", keep: int = 2) -> Index:
+    """The index of the Parquet files at path, below folder: the one of their identity if it is there, else a new one, and then only the
+    keep newest of this path stay. A query that finds one reads no document."""
+    of = f"{folder}/bm25-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    at = f"{of}/bm25-{file_identity(spark, path)}"
+    found = Index.open(spark, at)
+    if found is None:
+        found = build(spark.read.parquet(path), at, id=id, text=text)
+        system, parent = _system(spark, of)
+        whole = lambda x: system.exists(_system(spark, f"{x.getPath().toString()}/index.json")[1])
+        others = sorted((x for x in system.listStatus(parent) if x.getPath().getName() != at.rsplit("/", 1)[-1] and whole(x)), key=lambda x: -x.getModificationTime())
+        for old in others[max(0, keep - 1) :]:
+            system.delete(old.getPath(), True)
+    return found

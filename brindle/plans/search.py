@@ -21,8 +21,8 @@ def _query_vector(t) -> list[float]:
 
 
 def _index(t) -> L.Index:
-    """The documents' index; built by the first query that needs it, opened by those after."""
-    return L.index_of(t.documents, f"{shared_folder(t.spark)}/brindle", id="doc_id")
+    """The documents' index, by the identity of their files; built by the first query that needs it, opened by those after."""
+    return L.index_of_files(t.spark, f"{t.folder}/documents.parquet", f"{shared_folder(t.spark)}/brindle", id="doc_id")
 
 
 def _dense(t, k: int, ids=None):
@@ -113,8 +113,8 @@ def tokenize_cjk(t):
 
 @query("bm25_df", f"SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM documents) + 1) / count(*)), 6) AS idf FROM (SELECT DISTINCT doc_id, unnest(toks) AS term FROM (SELECT doc_id, {TOKENS_SQL.format('text')} AS toks FROM documents)) GROUP BY term")
 def bm25_df(t):
-    n = t.documents.count()
-    return _index(t).document_frequencies().select("term", "df", F.round(F.log((F.lit(n) + 1) / F.col("df")), 6).alias("idf"))
+    index = _index(t)
+    return index.document_frequencies().select("term", "df", F.round(F.log(F.lit(index.documents + 1.0) / F.col("df")), 6).alias("idf"))
 
 
 @query("bm25_topk", f"SELECT doc_id, round(score, 6) AS score, rank FROM ({_bm25_sql(20)})")

@@ -23,7 +23,7 @@ from .common import _without_shuffles, scratch, slices, spill, utf8, word_spans
 from .tokenbin import decode_stream, encode_stream
 
 #: Terms of a range, sources of a cell, and rows of counts that a task adds up before it sends them.
-TERMS, CELL, ROWS = 1 << 15, 8, 1 << 18
+TERMS, CELL, ROWS = 1 << 12, 8, 1 << 18
 #: Below it a thousandfold denominator is still a long.
 _DIVISOR = 9 * 10**15
 

@@ -73,25 +73,6 @@ def section_paths(headings: DataFrame, separator: str = " / ") -> DataFrame:
     return rows.withColumn("path", F.concat_ws(separator, *open_)).drop(*[f"_t{n}" for n in range(1, 7)], *[f"_b{n}" for n in range(2, 7)])
 
 
-def overlap_columns(boxes: DataFrame, gap: float = 10.0) -> DataFrame:
-    """Pages of boxes(doc_id, page, box, x0, y0, x1, y1) with two boxes beside each other: over half of the lower one's height in
-    common, and a gap between. The join is on the page."""
-    b = boxes.select("doc_id", "page", *[F.col(c).alias(f"o_{c}") for c in ("box", "x0", "y0", "x1", "y1")])
-    pairs = boxes.join(b, ["doc_id", "page"]).where("box < o_box")
-    common = F.least("y1", "o_y1") - F.greatest("y0", "o_y0")
-    lower = F.least(F.col("y1") - F.col("y0"), F.col("o_y1") - F.col("o_y0"))
-    apart = (F.col("x1") + gap < F.col("o_x0")) | (F.col("o_x1") + gap < F.col("x0"))
-    return pairs.where((lower > 0) & (common / lower > 0.5) & apart).groupBy("doc_id").agg(F.count_distinct("page").alias("columns"))
-
-
-def iou(a: list[Column], b: list[Column]) -> Column:
-    """Of two boxes x0, y0, x1, y1."""
-    width = F.greatest(F.lit(0.0), F.least(a[2], b[2]) - F.greatest(a[0], b[0]))
-    height = F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
-    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
-    return F.coalesce(F.try_divide(width * height, area(a) + area(b) - width * height), F.lit(0.0))
-
-
 def route(kind: Column, mode: Column, risks: Column) -> Column:
     """struct strategy, reasons: how a file is parsed (native, mineru_whole, hybrid_bundle or failed) and why, by its format, the mode asked
     for and the names of what an inspection found that native parsing may lose. All names are fixed values."""

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import formula as M
 from ..functions import text as T
 from ..operators import audit as A
+from ..operators import boxes as X
 from ..operators import chunking as C
 from ..operators import documents as D
+from ..operators import order as O
 from ..sources.readers import shared_folder
 from ..streaming import events as S
 from ..streaming import stages as G
@@ -229,15 +231,15 @@ def _boxes(t):
 
 @query("columns", f"WITH {_BOXES} SELECT a.doc_id, count(DISTINCT a.page) AS columns FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.page = c.page AND a.box < c.box WHERE least(a.y1 - a.y0, c.y1 - c.y0) > 0 AND (least(a.y1, c.y1) - greatest(a.y0, c.y0)) / least(a.y1 - a.y0, c.y1 - c.y0) > 0.5 AND (a.x1 + 10 < c.x0 OR c.x1 + 10 < a.x0) GROUP BY a.doc_id")
 def columns(t):
-    return D.overlap_columns(_boxes(t))
+    return X.beside(_boxes(t), ["doc_id", "page"], 10.0, 100.0).groupBy("doc_id").agg(F.count_distinct("page").alias("columns"))
 
 
 @query("bbox_match", f"WITH {_BOXES} SELECT a.doc_id, a.box, min(c.box) AS match FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.page = c.page AND a.kind = c.kind AND a.box <> c.box AND abs(a.x0 - c.x0) <= 20 AND abs(a.y0 - c.y0) <= 20 GROUP BY a.doc_id, a.box HAVING count(*) = 1")
 def bbox_match(t):
     """The one other box of the page and type within a tolerance; two candidates are none."""
     a, b = _boxes(t).select("doc_id", "page", "kind", "box", "x0", "y0"), _boxes(t).select("doc_id", "page", "kind", F.col("box").alias("other"), F.col("x0").alias("u"), F.col("y0").alias("v"))
-    near = a.join(b, ["doc_id", "page", "kind"]).where((F.col("box") != F.col("other")) & (F.abs(F.col("x0") - F.col("u")) <= 20) & (F.abs(F.col("y0") - F.col("v")) <= 20))
-    return near.groupBy("doc_id", "box").agg(_count().alias("n"), F.min("other").alias("match")).where("n = 1").drop("n")
+    found = X.near(a, b, ["doc_id", "page", "kind"], 20.0, ("x0", "y0"), ("u", "v")).where("box != other")
+    return found.groupBy("doc_id", "box").agg(_count().alias("n"), F.min("other").alias("match")).where("n = 1").drop("n")
 
 
 @query("bbox_convert", f"WITH {_BOXES} SELECT doc_id, box, round(x0 / 1000 * 595, 6) AS left_, round(y0 / 1000 * 842, 6) AS top_, x0 <= x1 AND y0 <= y1 AND x1 <= 1000 AS valid FROM b")
@@ -247,16 +249,34 @@ def bbox_convert(t):
 
 @query("bbox_iou", f"WITH {_BOXES}, p AS (SELECT a.doc_id, a.box, c.box AS other, greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) * greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (c.x1 - c.x0) * (c.y1 - c.y0) AS u FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.page = c.page AND a.box < c.box) SELECT doc_id, box, other, round(i / (u - i), 6) AS iou FROM p WHERE i > 0")
 def bbox_iou(t):
-    a, b = _boxes(t), _boxes(t).select("doc_id", "page", F.col("box").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
-    value = D.iou([F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(f"o{c}") for c in ("x0", "y0", "x1", "y1")])
-    return a.join(b, ["doc_id", "page"]).where("box < other").select("doc_id", "box", "other", value.alias("v")).where("v > 0").select("doc_id", "box", "other", F.round("v", 6).alias("iou"))
+    sides = ("x0", "y0", "x1", "y1")
+    a, b = _boxes(t), _boxes(t).select("doc_id", "page", F.col("box").alias("other"), *[F.col(c).alias(f"o{c}") for c in sides])
+    found = X.overlapping(a, b, ["doc_id", "page"], 100.0, sides, tuple(f"o{c}" for c in sides)).where("box < other")
+    return found.select("doc_id", "box", "other", F.round(X.iou([F.col(c) for c in sides], [F.col(f"o{c}") for c in sides]), 6).alias("iou"))
+
+
+_PAGE = "b AS (SELECT CAST(l_partkey % 10 AS BIGINT) AS doc_id, CAST(l_suppkey % 20 AS INTEGER) AS page, l_orderkey * 10 + l_linenumber AS box, CAST(l_orderkey * 37 % 900 AS DOUBLE) AS x0, CAST(l_partkey * 13 % 5000 AS DOUBLE) AS y0, l_orderkey * 37 % 900 + l_quantity AS x1, l_partkey * 13 % 5000 + 5 + l_linenumber AS y1 FROM lineitem WHERE l_suppkey % 20 < 12 OR l_linenumber = 1 AND l_orderkey % 40 = 0)"
+
+
+@query("column_pages", f"WITH {_PAGE}, p AS (SELECT a.doc_id, a.page, a.box, bool_or(least(a.y1, c.y1) - greatest(a.y0, c.y0) > 0.5 * least(a.y1 - a.y0, c.y1 - c.y0) AND greatest(a.x0, c.x0) - least(a.x1, c.x1) > 50) AS beside, count(*) FILTER (c.y1 > a.y0) AS active FROM b a JOIN b c ON a.doc_id = c.doc_id AND a.page = c.page AND (c.y0, c.x0, c.y1, c.x1, c.box) < (a.y0, a.x0, a.y1, a.x1, a.box) GROUP BY ALL) SELECT g.doc_id, g.page, coalesce(bool_or(beside OR active > 128), false) AS columns FROM (SELECT DISTINCT doc_id, page FROM b) g LEFT JOIN p ON p.doc_id = g.doc_id AND p.page = g.page GROUP BY ALL")
+def column_pages(t):
+    """Pages of many boxes, some of few, that look set in columns."""
+    l, x, y = t.lineitem.where("l_suppkey % 20 < 12 or l_linenumber = 1 and l_orderkey % 40 = 0"), F.col("l_orderkey") * 37 % 900, F.col("l_partkey") * 13 % 5000
+    boxes = l.select((F.col("l_partkey") % 10).alias("doc_id"), (F.col("l_suppkey") % 20).alias("page"), x.alias("x0"), y.alias("y0"), (x + F.col("l_quantity")).alias("x1"), (y + 5 + F.col("l_linenumber")).alias("y1"), F.lit(1000.0).alias("width"))
+    return X.column_pages(boxes)
 
 
 @query("order_consistency", "SELECT a.l_orderkey, round(1 - count(*) FILTER (a.l_partkey > b.l_partkey) / count(*), 6) AS consistency FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey")
 def order_consistency(t):
-    a, b = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
-    pairs = a.join(b, "l_orderkey").where("l_linenumber < n")
-    return pairs.groupBy("l_orderkey").agg(F.round(1 - F.count_if(F.col("l_partkey") > F.col("p")) / _count(), 6).alias("consistency"))
+    found = O.consistency(t.lineitem, "l_orderkey", "l_linenumber", "l_partkey")
+    return found.where("rows > 1").select("l_orderkey", F.round("consistency", 6).alias("consistency"))
+
+
+@query("order_consistency_flags", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(sum(behind) AS BIGINT) AS inversions FROM (SELECT a.l_returnflag, (SELECT count(*) FROM lineitem b WHERE b.l_returnflag = a.l_returnflag AND b.l_orderkey * 8 + b.l_linenumber > a.l_orderkey * 8 + a.l_linenumber AND b.l_suppkey < a.l_suppkey) AS behind FROM lineitem a) GROUP BY l_returnflag")
+def order_consistency_flags(t):
+    """Three orders of a third of all lines each, in parts of a few thousand."""
+    rows = t.lineitem.select("l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), "l_suppkey")
+    return O.consistency(rows, "l_returnflag", "place", "l_suppkey", part=8192).select("l_returnflag", F.col("rows").alias("n"), "inversions")
 
 
 @query("md_assets", r"SELECT page_id, len(regexp_extract_all(regexp_replace(html, '`[^`]*`', '', 'g'), '!\[[^\]]*\]|<(?:img|svg|picture|object)\b')) AS assets, len(regexp_extract_all(html, '<script\b')) AS scripts FROM pages")

@@ -73,31 +73,99 @@ def section_paths(headings: DataFrame, separator: str = " / ") -> DataFrame:
     return rows.withColumn("path", F.concat_ws(separator, *open_)).drop(*[f"_t{n}" for n in range(1, 7)], *[f"_b{n}" for n in range(2, 7)])
 
 
-def route(kind: Column, mode: Column, risks: Column) -> Column:
+# Formats by how they are parsed, names of routes, reasons and risks.
+_VISUAL, _OFFICE = ("doc", "ppt", "pptx", "xls", "jpg", "jpeg", "png"), ("doc", "docx", "ppt", "pptx", "xls", "xlsx")
+_CLOUD = (*_VISUAL, "pdf", "docx", "xlsx")
+
+
+def route(kind: Column, mode: Column, risks: Column, uncertain: Column | None = None, snapshots: Column | None = None, hybrid: bool = True) -> Column:
     """struct strategy, reasons: how a file is parsed (native, mineru_whole, hybrid_bundle or failed) and why, by its format, the mode asked
-    for and the names of what an inspection found that native parsing may lose. All names are fixed values."""
-    visual = kind.isin("doc", "ppt", "pptx", "xls", "jpg", "jpeg", "png")
-    supported = visual | kind.isin("pdf", "docx", "xlsx")
-    found, has = F.coalesce(risks, F.array().cast("array<string>")), lambda name: F.array_contains(F.coalesce(risks, F.array().cast("array<string>")), name)
-    because = lambda name: F.concat(F.array(F.lit(name)), found)
-    to = lambda strategy, reasons: F.struct(F.lit(strategy).alias("strategy"), F.array_distinct(reasons).alias("reasons"))
+    for (auto, native, mineru), the names of what an inspection found that native parsing may lose, whether that is uncertain, and how many
+    saved snapshots of outside data a workbook has."""
+    nothing = F.array().cast("array<string>")
+    unsure = F.lit(False) if uncertain is None else F.coalesce(uncertain, F.lit(True))
+    found, snapshot = F.coalesce(risks, nothing), F.lit(False) if snapshots is None else F.coalesce(snapshots, F.lit(0)) > 0
+    has, some = (lambda name: F.array_contains(found, name)), F.size(found) > 0
+    first = lambda name: F.concat(F.array(name if isinstance(name, Column) else F.lit(name)), found)
+    then = lambda name: F.concat(found, F.array(F.lit(name)))
+    to = lambda strategy, reasons: F.struct((strategy if isinstance(strategy, Column) else F.lit(strategy)).alias("strategy"), F.array_distinct(reasons).alias("reasons"))
+    sheet, cloud = kind == "xlsx", kind.isin(*_CLOUD)
+    lost = has("XLSX_EXTERNAL_ASSET_MISSING") | has("XLSX_HAS_EXTERNAL_LINK") & ~snapshot
     rules = (
-        (has("PREFLIGHT_UNCERTAIN"), to("failed", found)),
+        (unsure, to("failed", F.when(some, found).otherwise(F.array(F.lit("PREFLIGHT_UNCERTAIN"))))),
         ((mode != "native") & has("EXTERNAL_ATTACHMENT_MISSING"), to("failed", found)),
-        (mode == "native", to("native", because("EXPLICIT_NATIVE"))),
-        ((mode == "mineru") & supported, to("mineru_whole", because("EXPLICIT_MINERU"))),
-        (mode == "mineru", to("failed", because("MINERU_UNSUPPORTED_FORMAT"))),
-        (visual, to("mineru_whole", because("VISUAL_OR_LEGACY_FORMAT"))),
-        ((kind == "xlsx") & (F.size(found) > 0), to("hybrid_bundle", because("XLSX_HYBRID_ENABLED"))),
-        ((kind == "md") & (F.size(found) > 0), to("failed", found)),
-        (kind.isin("docx", "pdf") & (F.size(found) > 0), to("mineru_whole", found)),
+        (sheet & (mode != "native") & lost, to("failed", then("XLSX_EXTERNAL_ASSET_MISSING"))),
+        (mode == "native", to("native", first("EXPLICIT_NATIVE"))),
+        (sheet & snapshot, to("mineru_whole", first(F.when(mode == "mineru", "EXPLICIT_MINERU").otherwise("XLSX_WHOLE_WITH_NATIVE_PRIMARY")))),
+        ((mode == "mineru") & cloud, to("mineru_whole", first("EXPLICIT_MINERU"))),
+        (mode == "mineru", to("failed", first("MINERU_UNSUPPORTED_FORMAT"))),
+        (kind.isin(*_VISUAL), to("mineru_whole", first("VISUAL_OR_LEGACY_FORMAT"))),
+        (sheet & some & F.lit(hybrid), to("hybrid_bundle", first("XLSX_HYBRID_ENABLED"))),
+        (sheet & some, to("mineru_whole", then("XLSX_WHOLE_WITH_NATIVE_PRIMARY"))),
+        ((kind == "md") & some, to("failed", found)),
+        (kind.isin("docx", "pdf") & some, to("mineru_whole", found)),
     )
-    out = to("native", F.concat(found, F.array(F.lit("NATIVE_COVERAGE_SUPPORTED"))))
+    out = to("native", then("NATIVE_COVERAGE_SUPPORTED"))
     for rule, value in reversed(rules):
         out = F.when(rule, value).otherwise(out)
     return out
 
 
+def fallback(kind: Column, mode: Column, decided: Column, times: Column) -> Column:
+    """The route after native parsing has been found incomplete: the whole file once, with the reason added; null where that isn't allowed, which
+    is in all modes but auto, for other routes than native, formats that can only be parsed natively, and a second time."""
+    allowed = (mode == "auto") & (decided["strategy"] == "native") & (F.coalesce(times, F.lit(0)) == 0) & kind.isin(*_CLOUD)
+    return F.when(allowed, F.struct(F.lit("mineru_whole").alias("strategy"), F.concat(decided["reasons"], F.array(F.lit("NATIVE_COMPLETENESS_FALLBACK"))).alias("reasons")))
+
+
+def guarded(decisions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, reason, content, missing_pages, warnings: whether what was parsed of a document may be stored.
+
+    decisions has doc_id, kind, mode, strategy, reasons, n_pages, required (pages that aren't empty), sheets (that aren't), snapshots, and parsed_kind
+    and has_quality of the result; blocks has doc_id, page, text, source, section, bbox. reason is the first rule that is broken, else null;
+    content is then COMPLETE or PARTIAL, missing_pages are the required ones without text, where the route lets them be missing. Blocks are folded
+    to a row a document; a document's pages and sheets are held there, as many as it has."""
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", " ")) != ""
+    per = blocks.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(said, F.col("page")))).alias("pages"), F.count("bbox").alias("boxes"),
+        F.count_if(~F.col("source").eqNullSafe("native_parser")).alias("not_native"), F.count_if(~F.col("source").eqNullSafe("mineru_cloud")).alias("not_cloud"),
+        F.count_if(F.coalesce("section", F.lit("")) == "").alias("unnamed"), F.count_distinct("section").alias("sections"),
+    )
+    both = decisions.join(per, "doc_id", "left")
+    pages, native, whole = F.col("pages"), F.col("strategy") == "native", F.col("strategy") == "mineru_whole"
+    required = F.coalesce("required", F.array().cast("array<int>"))
+    missing = F.array_sort(F.array_except(required, pages))
+    pdf, office = F.col("kind") == "pdf", F.col("kind").isin(*_OFFICE)
+    most = F.array_max(pages)
+    short = (F.size(missing) > 0) & (pdf | office & whole & F.col("n_pages").isNotNull())
+    rules = (
+        (~F.col("parsed_kind").eqNullSafe(F.col("kind")), "kind differs"),
+        (F.coalesce(F.size(pages), F.lit(0)) <= 0, "no text"),
+        (pdf & F.col("n_pages").isNull(), "no page count"),
+        (pdf & (most > F.col("n_pages")), "page out of range"),
+        (pdf & short & ~(whole & F.coalesce("has_quality", F.lit(False))), "pages missing"),
+        (office & (F.col("boxes") > 0), "boxes of an office file"),
+        (native & (F.col("mode") == "auto") & (F.col("reasons") != F.array(F.lit("NATIVE_COVERAGE_SUPPORTED"))), "structure not covered"),
+        (native & (F.col("not_native") > 0), "source differs"),
+        (native & ~pdf & (pages != F.array(F.lit(1))), "page isn't 1"),
+        (native & (F.col("kind") == "xlsx") & ((F.col("n") != F.coalesce("sheets", F.lit(-1))) | (F.col("unnamed") > 0) | (F.col("sections") != F.col("n"))), "sheets differ"),
+        (whole & (F.col("not_cloud") > 0), "source differs"),
+        (whole & F.col("kind").isin("jpg", "jpeg", "png") & (pages != F.array(F.lit(1))), "page isn't 1"),
+        (whole & office & (most > F.coalesce("n_pages", F.lit(200))), "page out of range"),
+        (office & short & ~F.coalesce("has_quality", F.lit(False)), "pages missing"),
+        (~native & ~whole, "route not allowed"),
+        ((F.coalesce("snapshots", F.lit(0)) > 0) & ~F.col("kind").isin("docx", "xlsx", "pptx"), "snapshot of another format"),
+    )
+    reason = F.lit(None).cast("string")
+    for rule, name in reversed(rules):
+        reason = F.when(rule, name).otherwise(reason)
+    saved = F.coalesce("snapshots", F.lit(0)) > 0
+    warnings = F.concat(F.when(short, F.array(F.lit("MISSING_REQUIRED_PAGES"))).otherwise(F.array().cast("array<string>")), F.when(saved, F.array(F.lit("OFFICE_SAVED_SNAPSHOT"), F.lit("EXTERNAL_SOURCE_UNVERIFIED"))).otherwise(F.array().cast("array<string>")))
+    out = both.select("doc_id", reason.alias("reason"), F.when(short | saved, "PARTIAL").otherwise("COMPLETE").alias("content"), F.when(short, missing).otherwise(F.array().cast("array<int>")).alias("missing_pages"), warnings.alias("warnings"))
+    good = F.col("reason").isNull()
+    return out.select("doc_id", "reason", *[F.when(good, F.col(c)).alias(c) for c in ("content", "missing_pages", "warnings")])
+
+
 def invalid_transitions(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """Steps of events whose state doesn't follow from the one before; staying is allowed."""
     legal = events.sparkSession.createDataFrame(list(TRANSITIONS), "_from string, _to string")

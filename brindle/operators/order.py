@@ -77,7 +77,7 @@ def _between(cells: pa.Table) -> pa.Table:
 
 
 def consistency(rows: DataFrame, group: str, place: str, value: str, part: int = PART) -> DataFrame:
-    """group, rows, inversions, consistency of rows(group, place, value): 1 less the share of pairs whose values stand in the other order than
+    """group, rows, pairs (of different places), inversions, consistency of rows(group, place, value): 1 less the share of pairs whose values stand in the other order than
     their places, of all pairs of different places; null where there is none. Pairs of equal values are no inversions.
 
     Rows are cut into parts of about part by (group, place), and again by (group, value). Pairs within one part by place are counted there;
@@ -100,10 +100,12 @@ def consistency(rows: DataFrame, group: str, place: str, value: str, part: int =
     across = gathered(dealt, "_v", "_group", "_place", "_value").mapInArrow(_counted(("_v", "_group"), 1), form)
     both = gathered(dealt, "_v", "_group", "_p", "_place", "_value").mapInArrow(_counted(("_v", "_group", "_p"), -1), form)
     cells = dealt.groupBy("_group", "_p", "_v").agg(F.count(F.lit(1)).alias("n"))
-    between = cells.groupBy("_group").applyInArrow(_between, form)
+    ends = cells.groupBy("_group").agg(*[f(c).alias(f"{f.__name__}{c}") for c in ("_p", "_v") for f in (F.min, F.max)])
+    wide = ends.where("min_p < max_p and min_v < max_v").select("_group")  # few: others lie within one part
+    between = cells.join(wide, "_group", "left_semi").groupBy("_group").applyInArrow(_between, form)
     found = inside.unionByName(across).unionByName(both).unionByName(between).groupBy("_group").agg(F.sum("n").alias("inversions"))
-    two = lambda n: n * (n - 1) / 2
+    two = lambda n: F.expr(f"{n} * ({n} - 1) div 2")
     at_place = placed.groupBy("_group", "_place").agg(F.count(F.lit(1)).alias("n"))
-    sizes = at_place.groupBy("_group").agg(F.sum("n").alias("rows"), F.sum(two(F.col("n"))).alias("tied"))
-    pairs = two(F.col("rows")) - F.col("tied")
-    return sizes.join(found, "_group").select(F.col("_group").alias(group), "rows", "inversions", F.when(pairs > 0, 1 - F.col("inversions") / pairs).alias("consistency"))
+    sizes = at_place.groupBy("_group").agg(F.sum("n").alias("rows"), F.sum(two("n")).alias("tied"))
+    pairs = two("rows") - F.col("tied")
+    return sizes.join(found, "_group").select(F.col("_group").alias(group), "rows", pairs.alias("pairs"), "inversions", F.when(pairs > 0, 1 - F.col("inversions") / pairs).alias("consistency"))

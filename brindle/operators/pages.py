@@ -1,9 +1,10 @@
-"""Pages of parsed documents: which source gives a page's blocks, where headers and footers go, and how legible a scan is."""
+"""Pages of parsed documents: which source gives a page's blocks, where headers and footers go, and how they are split."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,55 +43,52 @@ def with_margins_in_order(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("reading_place", order).drop("headers", "footers", "top", "bottom")
 
 
-# What is dark, what counts as text, when a page is blurred or askew, and the angles that are tried.
-DARK, SHARES, CONTRAST, EDGES, POINTS, ANGLES, PEAK, ASKEW = 180, (0.005, 0.45), 8.0, 12.0, 300, np.arange(-16, 17) / 2, 1.2, 1.5
-#: Points of text edges that an angle is found from.
-MOST_POINTS = 20_000
-
-
-def skew(x: np.ndarray, y: np.ndarray, width: int, height: int) -> float | None:
-    """The angle at which rows of points stand out most; None where none does, or only one at the end of the range."""
-    if len(x) < POINTS:
-        return None
-    energy = []
-    for angle in ANGLES:
-        row = np.rint(y - np.tan(np.radians(angle)) * (x - width / 2)).astype(np.int64) + width // 2 + 1
-        counts = np.bincount(row[(row >= 0) & (row < height + width + 4)])
-        energy.append(int((counts.astype(np.int64) ** 2).sum()))
-    best = max(range(len(ANGLES)), key=lambda i: (energy[i], -abs(ANGLES[i])))
-    level = float(np.median(energy))
-    return None if level <= 0 or energy[best] / level < PEAK or abs(ANGLES[best]) == abs(ANGLES[0]) else float(ANGLES[best])
-
-
-def legibility(samples: bytes, width: int, height: int, stride: int) -> tuple:
-    """contrast, edge energy, dark ratio, blur and skew of a grey page; unknown for pages that aren't text on paper."""
-    grey = np.frombuffer(samples, np.uint8).reshape(height, stride)[:, :width].astype(np.int64)
-    contrast, dark = float(grey.std()), float((grey < DARK).mean())
-    inner = grey[1:, 1:]
-    edges = float(((inner - grey[1:, :-1]) ** 2 + (inner - grey[:-1, 1:]) ** 2).mean() / 2)
-    text = SHARES[0] <= dark <= SHARES[1] and contrast >= CONTRAST
-    angle = None
-    if text:
-        limit = min(DARK, max(40, grey.mean() - contrast / 2))
-        step = max(1, int(np.ceil(np.sqrt(max(1, (grey < DARK).sum()) / MOST_POINTS))))
-        y, x = (v.ravel() for v in np.mgrid[1 : height - 1 : step, 1 : width - 1 : step])
-        edge = (grey[y, x] < limit) & (grey[y, x - 1] >= limit)
-        angle = skew(x[edge], y[edge], width, height)
-    blur = "unknown" if not text else "review" if edges < EDGES else "no_observed_issue"
-    return round(contrast, 4), round(edges, 4), round(dark, 6), blur, angle, "unknown" if angle is None else "review" if abs(angle) >= ASKEW else "no_observed_issue"
-
-
-def page_quality(scans: DataFrame) -> DataFrame:
-    """doc_id, page, contrast, edge_energy, dark_ratio, blur, skew_degrees, skew of scans(doc_id, page, samples, width, height, stride), one
-    byte for a grey pixel. Sizes that don't fit the samples give nulls and unknown."""
-    names = ["contrast", "edge_energy", "dark_ratio", "blur", "skew_degrees", "skew"]
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                good = r.samples is not None and r.width >= 3 and r.height >= 3 and r.stride >= r.width and len(r.samples) == r.stride * r.height
-                rows.append((r.doc_id, r.page, *(legibility(bytes(r.samples), r.width, r.height, r.stride) if good else (None, None, None, "unknown", None, "unknown"))))
-            yield pd.DataFrame(rows, columns=["doc_id", "page", *names])
+# Pages, bytes and parts of a split.
+PAGES, BYTES, PARTS = 180, 200_000_000, 128
+
+
+def split_plan(pages: DataFrame, most_pages: int = PAGES, most_bytes: int = BYTES, most_parts: int = PARTS) -> DataFrame:
+    """doc_id, part (from 1), first, last, bytes, reason of pages(doc_id, page, bytes), numbered from 1: each part takes as many pages as fit both
+    limits. reason is null, or for all parts of a document why it can't be split: a page over the limit, too many parts, or pages that
+    aren't numbered from 1 without gaps, or have no size above 0.
+
+    Pages of a document pass by in order; of a part only its sums are held, and of a document most_parts parts at most."""
+    kind = pages.schema["doc_id"].dataType.simpleString()
 
-    return scans.select("doc_id", "page", "samples", "width", "height", "stride").mapInPandas(run, "doc_id long, page int, contrast double, edge_energy double, dark_ratio double, blur string, skew_degrees double, skew string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, reason, out, doc_type = object(), [], None, [], None
+
+        def close() -> None:
+            why = reason or ("too many parts" if len(parts) > most_parts else None)
+            out.extend((last, i, *p, why) for i, p in enumerate(parts[: most_parts if why is None else 1], 1))
+
+        def table() -> pa.RecordBatch:
+            of = list(zip(*out)) or [()] * 6
+            return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(of, (doc_type, pa.int32(), *[pa.int64()] * 3, pa.string()))], ["doc_id", "part", "first", "last", "bytes", "reason"])
+
+        for batch in batches:
+            doc_type = batch.schema.field("doc_id").type
+            for doc, page, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "bytes"))):
+                if doc != last:
+                    if parts:
+                        close()
+                    last, parts, reason, due = doc, [], None, 1
+                if page != due or n is None or n <= 0:
+                    reason = reason or "pages out of order"
+                elif n > most_bytes:
+                    reason = reason or "a page is too large"
+                due = (page or 0) + 1
+                if parts and len(parts) <= most_parts and parts[-1][1] - parts[-1][0] + 1 < most_pages and parts[-1][2] + (n or 0) <= most_bytes:
+                    parts[-1] = (parts[-1][0], page, parts[-1][2] + (n or 0))
+                elif len(parts) <= most_parts:
+                    parts.append((page, page, n or 0))
+            if len(out) > 8192:
+                yield table()
+                out.clear()
+        if parts:
+            close()
+        if doc_type is not None:
+            yield table()
+
+    rows = pages.select("doc_id", F.col("page").cast("long").alias("page"), F.col("bytes").cast("long").alias("bytes"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page").mapInArrow(run, f"doc_id {kind}, part int, first long, last long, bytes long, reason string")

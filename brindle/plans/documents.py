@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import formula as M
 from ..functions import text as T
 from ..operators import audit as A
+from ..operators import binding as B
 from ..operators import boxes as X
 from ..operators import chunking as C
 from ..operators import documents as D
 from ..operators import order as O
+from ..operators import pages as P
 from ..sources.readers import shared_folder
 from ..streaming import events as S
 from ..streaming import stages as G
@@ -269,14 +271,15 @@ def column_pages(t):
 @query("order_consistency", "SELECT a.l_orderkey, round(1 - count(*) FILTER (a.l_partkey > b.l_partkey) / count(*), 6) AS consistency FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey")
 def order_consistency(t):
     found = O.consistency(t.lineitem, "l_orderkey", "l_linenumber", "l_partkey")
-    return found.where("rows > 1").select("l_orderkey", F.round("consistency", 6).alias("consistency"))
+    return found.where("consistency is not null").select("l_orderkey", F.round("consistency", 6).alias("consistency"))
 
 
-@query("order_consistency_flags", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(sum(behind) AS BIGINT) AS inversions FROM (SELECT a.l_returnflag, (SELECT count(*) FROM lineitem b WHERE b.l_returnflag = a.l_returnflag AND b.l_orderkey * 8 + b.l_linenumber > a.l_orderkey * 8 + a.l_linenumber AND b.l_suppkey < a.l_suppkey) AS behind FROM lineitem a) GROUP BY l_returnflag")
-def order_consistency_flags(t):
-    """Three orders of a third of all lines each, in parts of a few thousand."""
-    rows = t.lineitem.select("l_returnflag", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), "l_suppkey")
-    return O.consistency(rows, "l_returnflag", "place", "l_suppkey", part=8192).select("l_returnflag", F.col("rows").alias("n"), "inversions")
+@query("order_consistency_suppliers", "WITH l AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS place, l_partkey FROM lineitem) SELECT a.l_suppkey, count(*) AS pairs, count(*) FILTER (a.l_partkey > b.l_partkey) AS inversions FROM l a JOIN l b ON a.l_suppkey = b.l_suppkey AND a.place < b.place GROUP BY a.l_suppkey")
+def order_consistency_suppliers(t):
+    """Long orders, of which some lie in several parts."""
+    rows = t.lineitem.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), "l_partkey")
+    found = O.consistency(rows, "l_suppkey", "place", "l_partkey", part=8192)
+    return found.where("pairs > 0").select("l_suppkey", "pairs", "inversions")
 
 
 @query("md_assets", r"SELECT page_id, len(regexp_extract_all(regexp_replace(html, '`[^`]*`', '', 'g'), '!\[[^\]]*\]|<(?:img|svg|picture|object)\b')) AS assets, len(regexp_extract_all(html, '<script\b')) AS scripts FROM pages")
@@ -307,6 +310,72 @@ def route_decision(t):
     return routed.select("event_id", "r.strategy", F.array_join("r.reasons", ",").alias("reasons"))
 
 
+_ROUTED = """r AS (SELECT event_id, ['pdf', 'docx', 'xlsx', 'md', 'txt', 'png', 'pptx'][1 + event_id % 7] AS kind, ['auto', 'native', 'mineru', 'auto'][1 + event_id % 4] AS mode, event_id % 29 = 0 AS unsure, event_id % 5 = 0 AS saved, event_id % 2 AS times,
+ CASE CAST(floor(value) AS BIGINT) % 6 WHEN 0 THEN ['EXTERNAL_ATTACHMENT_MISSING'] WHEN 1 THEN ['XLSX_HAS_EXTERNAL_LINK'] WHEN 2 THEN ['XLSX_EXTERNAL_ASSET_MISSING', 'HAS_IMAGE'] WHEN 3 THEN ['HAS_IMAGE', 'HAS_CHART'] ELSE CAST([] AS VARCHAR[]) END AS risks FROM events),
+x AS (SELECT *, len(risks) > 0 AS risky, kind IN ('pdf', 'docx', 'xlsx', 'png', 'pptx') AS cloud, kind = 'xlsx' AND mode <> 'native' AND (list_contains(risks, 'XLSX_EXTERNAL_ASSET_MISSING') OR list_contains(risks, 'XLSX_HAS_EXTERNAL_LINK') AND NOT saved) AS lost FROM r),
+n AS (SELECT *, CASE WHEN unsure THEN 1 WHEN mode <> 'native' AND list_contains(risks, 'EXTERNAL_ATTACHMENT_MISSING') THEN 2 WHEN lost THEN 3 WHEN mode = 'native' THEN 4 WHEN kind = 'xlsx' AND saved THEN 5 WHEN mode = 'mineru' AND cloud THEN 6 WHEN mode = 'mineru' THEN 7 WHEN kind IN ('png', 'pptx') THEN 8 WHEN kind = 'xlsx' AND risky THEN 9 WHEN kind = 'md' AND risky THEN 10 WHEN kind IN ('docx', 'pdf') AND risky THEN 11 ELSE 12 END AS rule FROM x),
+d AS (SELECT *, CASE WHEN rule IN (1, 2, 3, 7, 10) THEN 'failed' WHEN rule IN (5, 6, 8, 11) THEN 'mineru_whole' WHEN rule = 9 THEN 'hybrid_bundle' ELSE 'native' END AS strategy,
+ CASE rule WHEN 1 THEN CASE WHEN risky THEN risks ELSE ['PREFLIGHT_UNCERTAIN'] END WHEN 3 THEN CASE WHEN list_contains(risks, 'XLSX_EXTERNAL_ASSET_MISSING') THEN risks ELSE list_append(risks, 'XLSX_EXTERNAL_ASSET_MISSING') END WHEN 4 THEN list_prepend('EXPLICIT_NATIVE', risks) WHEN 5 THEN list_prepend(CASE WHEN mode = 'mineru' THEN 'EXPLICIT_MINERU' ELSE 'XLSX_WHOLE_WITH_NATIVE_PRIMARY' END, risks)
+ WHEN 6 THEN list_prepend('EXPLICIT_MINERU', risks) WHEN 7 THEN list_prepend('MINERU_UNSUPPORTED_FORMAT', risks) WHEN 8 THEN list_prepend('VISUAL_OR_LEGACY_FORMAT', risks) WHEN 9 THEN list_prepend('XLSX_HYBRID_ENABLED', risks) WHEN 12 THEN list_append(risks, 'NATIVE_COVERAGE_SUPPORTED') ELSE risks END AS reasons FROM n)"""
+
+
+@query("route_fallback", f"WITH {_ROUTED} SELECT event_id, strategy, array_to_string(reasons, ',') AS reasons, CASE WHEN mode = 'auto' AND strategy = 'native' AND times = 0 AND cloud THEN array_to_string(list_append(reasons, 'NATIVE_COMPLETENESS_FALLBACK'), ',') ELSE '' END AS again FROM d")
+def route_fallback(t):
+    """Routes with uncertain inspections, saved snapshots and missing parts of workbooks, and what each falls back to."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values) + 1).cast("int"))
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    kind, mode, n = pick(["pdf", "docx", "xlsx", "md", "txt", "png", "pptx"]), pick(["auto", "native", "mineru", "auto"]), F.floor("value") % 6
+    risks = F.when(n == 0, names("EXTERNAL_ATTACHMENT_MISSING")).when(n == 1, names("XLSX_HAS_EXTERNAL_LINK")).when(n == 2, names("XLSX_EXTERNAL_ASSET_MISSING", "HAS_IMAGE")).when(n == 3, names("HAS_IMAGE", "HAS_CHART"))
+    rows = t.events.select("event_id", kind.alias("kind"), mode.alias("mode"), D.route(kind, mode, risks, F.col("event_id") % 29 == 0, (F.col("event_id") % 5 == 0).cast("int")).alias("r"))
+    again = D.fallback(F.col("kind"), F.col("mode"), F.col("r"), F.col("event_id") % 2)
+    return rows.select("event_id", "r.strategy", F.array_join("r.reasons", ",").alias("reasons"), F.coalesce(F.array_join(again["reasons"], ","), F.lit("")).alias("again"))
+
+
+_GUARDED = """WITH d AS (SELECT DISTINCT conv_id AS doc_id, ['pdf', 'docx', 'xlsx', 'png', 'txt'][1 + conv_id % 5] AS kind, CASE conv_id % 3 WHEN 0 THEN 'native' ELSE CASE WHEN conv_id % 31 = 1 THEN 'failed' ELSE 'mineru_whole' END END AS strategy, conv_id % 11 = 0 AS odd, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 2 ELSE 20 END AS n_pages, conv_id % 9 = 0 AS saved, conv_id % 13 = 0 AS other, conv_id % 2 = 0 AS has_quality FROM conversations),
+b AS (SELECT c.conv_id AS doc_id, CASE WHEN d.strategy = 'native' AND kind <> 'pdf' AND conv_id % 17 <> 0 OR kind = 'png' THEN 1 ELSE turn + 1 END AS page, c.text, CASE WHEN (d.strategy = 'native') = (conv_id % 19 <> 0) THEN 'native_parser' ELSE 'mineru_cloud' END AS source, conv_id % 23 = 0 AS unnamed, kind = 'docx' AND conv_id % 7 = 0 AS boxed FROM conversations c JOIN d ON d.doc_id = c.conv_id),
+p AS (SELECT doc_id, count(*) AS n, list_sort(list_distinct(list(page) FILTER (regexp_matches(coalesce(text, ''), '\\S')))) AS pages, bool_or(source <> 'native_parser') AS not_native, bool_or(source <> 'mineru_cloud') AS not_cloud, bool_or(unnamed) AS unnamed, bool_or(boxed) AS boxed FROM b GROUP BY doc_id),
+a AS (SELECT *, list_sort([x for x in [1, 2, 3] if NOT list_contains(pages, x)]) AS missing, kind IN ('docx', 'xlsx') AS office FROM d JOIN p USING (doc_id)),
+s AS (SELECT *, len(missing) > 0 AND (kind = 'pdf' OR office AND strategy = 'mineru_whole' AND n_pages IS NOT NULL) AS short FROM a),
+r AS (SELECT *, CASE WHEN other THEN 'kind differs' WHEN len(coalesce(pages, [])) = 0 THEN 'no text' WHEN kind = 'pdf' AND n_pages IS NULL THEN 'no page count' WHEN kind = 'pdf' AND list_max(pages) > n_pages THEN 'page out of range' WHEN kind = 'pdf' AND short AND NOT (strategy = 'mineru_whole' AND has_quality) THEN 'pages missing'
+ WHEN office AND boxed THEN 'boxes of an office file' WHEN strategy = 'native' AND odd THEN 'structure not covered' WHEN strategy = 'native' AND not_native THEN 'source differs' WHEN strategy = 'native' AND kind <> 'pdf' AND pages <> [1] THEN 'page isn''t 1' WHEN strategy = 'native' AND kind = 'xlsx' AND (n <> 3 OR unnamed) THEN 'sheets differ'
+ WHEN strategy = 'mineru_whole' AND not_cloud THEN 'source differs' WHEN strategy = 'mineru_whole' AND kind = 'png' AND pages <> [1] THEN 'page isn''t 1' WHEN strategy = 'mineru_whole' AND office AND list_max(pages) > coalesce(n_pages, 200) THEN 'page out of range' WHEN office AND short AND NOT has_quality THEN 'pages missing' WHEN strategy = 'failed' THEN 'route not allowed' WHEN saved AND kind NOT IN ('docx', 'xlsx') THEN 'snapshot of another format' END AS reason FROM s)
+SELECT doc_id, coalesce(reason, '') AS reason, CASE WHEN reason IS NULL THEN CASE WHEN short OR saved THEN 'PARTIAL' ELSE 'COMPLETE' END ELSE '' END AS content, CASE WHEN reason IS NULL AND short THEN array_to_string(missing, ',') ELSE '' END AS missing, CASE WHEN reason IS NULL THEN concat_ws(',', CASE WHEN short THEN 'MISSING_REQUIRED_PAGES' END, CASE WHEN saved THEN 'OFFICE_SAVED_SNAPSHOT,EXTERNAL_SOURCE_UNVERIFIED' END) ELSE '' END AS warnings FROM r"""
+
+
+@query("result_guard", _GUARDED)
+def result_guard(t):
+    """Conversations as parsed documents of five formats, with faults of every kind: source, pages, sheets, boxes, snapshots."""
+    n = F.col("conv_id")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    strategy = F.when(n % 3 == 0, "native").when(n % 31 == 1, "failed").otherwise("mineru_whole")
+    base = t.conversations.select("*", pick(["pdf", "docx", "xlsx", "png", "txt"]).alias("kind"), strategy.alias("strategy"))
+    reasons = F.array(F.when(n % 11 == 0, "HAS_IMAGE").otherwise("NATIVE_COVERAGE_SUPPORTED"))
+    decisions = base.select(n.alias("doc_id"), "kind", "strategy", F.lit("auto").alias("mode"), reasons.alias("reasons"), F.when(n % 4 == 1, 2).when(n % 4 != 0, 20).alias("n_pages"), F.sequence(F.lit(1), F.lit(3)).alias("required"), F.lit(3).alias("sheets"), (n % 9 == 0).cast("int").alias("snapshots"), F.when(n % 13 == 0, "md").otherwise(F.col("kind")).alias("parsed_kind"), (n % 2 == 0).alias("has_quality")).distinct()
+    native = F.col("strategy") == "native"
+    page = F.when(native & (F.col("kind") != "pdf") & (n % 17 != 0) | (F.col("kind") == "png"), 1).otherwise(F.col("turn") + 1).cast("int")
+    source = F.when(native == (n % 19 != 0), "native_parser").otherwise("mineru_cloud")
+    blocks = base.select(n.alias("doc_id"), page.alias("page"), "text", source.alias("source"), F.when(n % 23 != 0, F.concat(F.lit("s"), F.col("turn").cast("string"))).alias("section"), F.when((F.col("kind") == "docx") & (n % 7 == 0), F.array(F.lit(0.0))).alias("bbox"))
+    out = D.guarded(decisions, blocks)
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return out.select("doc_id", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("content", F.lit("")).alias("content"), text("missing_pages").alias("missing"), text("warnings").alias("warnings"))
+
+
+_SPLIT = """WITH RECURSIVE p AS (SELECT doc_id, page, bytes, sum(bytes) OVER (PARTITION BY doc_id ORDER BY page) AS upto FROM (SELECT o_orderkey % 7 AS doc_id, row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) AS page, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders)),
+n AS (SELECT a.doc_id, a.page, least(a.page + 40, coalesce(min(b.page), (SELECT max(page) + 1 FROM p c WHERE c.doc_id = a.doc_id))) AS next FROM p a LEFT JOIN p b ON a.doc_id = b.doc_id AND b.page > a.page AND b.upto - (a.upto - a.bytes) > 6000000 GROUP BY a.doc_id, a.page),
+r AS (SELECT doc_id, CAST(1 AS BIGINT) AS part, CAST(1 AS BIGINT) AS first FROM p WHERE page = 1 UNION ALL SELECT n.doc_id, r.part + 1, n.next FROM r JOIN n ON n.doc_id = r.doc_id AND n.page = r.first JOIN p ON p.doc_id = n.doc_id AND p.page = n.next),
+f AS (SELECT doc_id, count(*) AS parts FROM r GROUP BY doc_id),
+q AS (SELECT r.doc_id, r.part, r.first, least(n.next - 1, (SELECT max(page) FROM p WHERE p.doc_id = r.doc_id)) AS last, f.parts FROM r JOIN n ON n.doc_id = r.doc_id AND n.page = r.first JOIN f ON f.doc_id = r.doc_id)
+SELECT q.doc_id, CAST(q.part AS INTEGER) AS part, q.first, q.last, CAST((SELECT sum(bytes) FROM p WHERE p.doc_id = q.doc_id AND p.page BETWEEN q.first AND q.last) AS BIGINT) AS bytes, CASE WHEN parts > 100 THEN 'too many parts' ELSE '' END AS reason FROM q WHERE parts <= 100 OR q.part = 1"""
+
+
+@query("split_plan", _SPLIT)
+def split_plan(t):
+    """Orders as pages of seven long documents: parts of 40 pages, 6,000,000 bytes, and 100 parts at most."""
+    doc = F.col("o_orderkey") % 7
+    pages = t.orders.select(doc.alias("doc_id"), F.row_number().over(Window.partitionBy(doc).orderBy("o_orderkey")).alias("page"), F.floor("o_totalprice").alias("bytes"))
+    return P.split_plan(pages, 40, 6_000_000, 100).withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
 _STATES = ["UPLOADED", "PARSING", "CHUNKING", "EMBEDDING", "FAILED"]
 
 
@@ -340,6 +409,67 @@ def citation_numbering(t):
     return first.withColumn("number", F.row_number().over(Window.partitionBy("conv_id").orderBy("first"))).drop("first")
 
 
+_BUDGET = """WITH RECURSIVE e AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS used, CAST(-1 AS BIGINT) AS turn, false AS taken FROM (SELECT DISTINCT conv_id FROM e)
+ UNION ALL SELECT e.conv_id, e.place, CASE WHEN r.used + e.n <= 400 THEN r.used + e.n ELSE r.used END, e.turn, coalesce(r.used + e.n <= 400, false) FROM r JOIN e ON e.conv_id = r.conv_id AND e.place = r.place + 1)
+SELECT conv_id, turn, taken FROM r WHERE place > 0"""
+
+
+@query("evidence_budget", _BUDGET)
+def evidence_budget(t):
+    """Turns as evidence of their conversation, taken in order while 400 characters last; what doesn't fit is passed over."""
+    return B.within_budget(t.conversations, "conv_id", "turn", F.length("text"), 400).select("conv_id", "turn", "taken")
+
+
+_CLAIMS = r"""WITH c AS (SELECT conv_id AS answer_id, turn, CASE WHEN conv_id % 10 = 7 AND turn = 1 THEN text || ' [' || turn || ', 2]' WHEN conv_id % 10 = 8 AND turn = 0 THEN ' ' ELSE text END AS text, CASE WHEN conv_id % 10 = 9 AND turn = 1 THEN [1, 1] WHEN turn % 3 = 0 THEN [turn % 5] ELSE [turn % 5, (turn + 2) % 5] END AS ids FROM conversations),
+u AS (SELECT answer_id, turn, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM c),
+f AS (SELECT answer_id, id, row_number() OVER (PARTITION BY answer_id ORDER BY min(turn * 10 + i)) AS number FROM u GROUP BY answer_id, id),
+m AS (SELECT answer_id, turn, string_agg('[' || number || ']', '' ORDER BY i) AS marks FROM u JOIN f USING (answer_id, id) GROUP BY answer_id, turn),
+a AS (SELECT answer_id, bool_and(regexp_matches(text, '\S') AND NOT regexp_matches(text, '\[\s*[0-9]+(\s*[,\-]\s*[0-9]+)*\s*\]') AND len(list_distinct(ids)) = len(ids)) AS sound, string_agg(text || ' ' || marks, chr(10) || chr(10) ORDER BY turn) AS answer FROM c JOIN m USING (answer_id, turn) GROUP BY answer_id),
+k AS (SELECT answer_id, bool_and(id < 4 OR answer_id % 2 = 0) AS known, string_agg(CAST(id AS VARCHAR), ',' ORDER BY number) AS citations FROM f GROUP BY answer_id)
+SELECT answer_id, CASE WHEN sound AND known THEN 'success' ELSE 'failed' END AS status, CASE WHEN sound AND known THEN sha256(answer) ELSE '' END AS answer, CASE WHEN sound AND known THEN citations ELSE '' END AS citations FROM a JOIN k USING (answer_id)"""
+
+
+@query("claim_binding", _CLAIMS)
+def claim_binding(t):
+    """Turns as the claims of an answer that cite one or two of five pieces of evidence, of which every other answer has only four; some
+    claims are blank, number their own citations, or cite one twice."""
+    n, turn = F.col("conv_id") % 10, F.col("turn")
+    text = F.when((n == 7) & (turn == 1), F.concat("text", F.lit(" ["), turn.cast("string"), F.lit(", 2]"))).when((n == 8) & (turn == 0), " ").otherwise(F.col("text"))
+    ids = F.when((n == 9) & (turn == 1), F.array(F.lit(1).cast("long"), F.lit(1).cast("long"))).when(turn % 3 == 0, F.array(turn % 5)).otherwise(F.array(turn % 5, (turn + 2) % 5))
+    claims = t.conversations.select(F.col("conv_id").alias("answer_id"), turn.alias("place"), text.alias("text"), ids.alias("evidence_ids"))
+    there = claims.select("answer_id").distinct().select("answer_id", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("answer_id") % 2 == 0, 4).otherwise(3).cast("long"))).alias("evidence_id"))
+    out = B.bound_claims(claims, there)
+    return out.select("answer_id", "status", F.coalesce(F.sha2("answer", 256), F.lit("")).alias("answer"), F.coalesce(F.array_join("citations", ","), F.lit("")).alias("citations"))
+
+
+_VARIABLES = r"""WITH f AS (SELECT DISTINCT conv_id AS formula_id, CASE WHEN conv_id % 4 = 0 THEN ['a', 'b'] ELSE ['a', 'b', 'c'] END AS variables FROM conversations),
+i AS (SELECT conv_id AS formula_id, turn, ['a', 'b', 'c', 'd', 'a'][1 + turn % 5] AS name, CASE WHEN conv_id % 6 = 5 THEN 'x' ELSE CAST(10 + turn AS VARCHAR) END AS value, conv_id % 3 = 0 AS quoted, split_part(text, ' ', 2) || ' =' || (10 + turn) || ' ' AS quote, text || ' ' || split_part(text, ' ', 2) || ' =' || (10 + turn) || ' ' || CASE WHEN conv_id % 9 = 3 AND turn = 1 THEN split_part(text, ' ', 2) || ' =' || (10 + turn) || ' ' ELSE '' END AS block FROM conversations WHERE turn < 2 + conv_id % 4),
+c AS (SELECT i.*, f.variables, list_contains(variables, name) AS known, strpos(block, quote) AS begins, strpos(quote, value) AS inner_at FROM i JOIN f USING (formula_id)),
+b AS (SELECT *, NOT quoted OR (begins > 0 AND strpos(substr(block, begins + 1), quote) = 0 AND inner_at > 0 AND strpos(substr(quote, inner_at + 1), value) = 0) AS bound FROM c),
+g AS (SELECT formula_id, bool_and(known) AS known, count(*) = count(DISTINCT name) AS single, bool_and(value <> 'x') AS numbers, bool_and(bound) AS bound, string_agg(name || '=' || value || CASE WHEN quoted THEN '@' || (begins + inner_at - 2) ELSE '' END, ',' ORDER BY name) AS found, list(name) AS names FROM b GROUP BY formula_id),
+s AS (SELECT f.formula_id, g.found, array_to_string([v for v in f.variables if NOT list_contains(g.names, v)], ',') AS missing, CASE WHEN NOT known THEN 'unknown' WHEN NOT single THEN 'conflict' WHEN NOT numbers THEN 'input' WHEN NOT bound THEN 'source' END AS bad FROM f JOIN g USING (formula_id))
+SELECT formula_id, coalesce(bad, CASE WHEN missing <> '' THEN 'need_variables' ELSE 'success' END) AS status, CASE WHEN bad IS NULL THEN found ELSE '' END AS variables, CASE WHEN bad IS NULL THEN missing ELSE '' END AS missing FROM s"""
+
+
+@query("variable_binding", _VARIABLES)
+def variable_binding(t):
+    """Inputs of the formulas of conversations: a third are quoted from their turn, some twice there; some are no variable or no number."""
+    n, turn = F.col("conv_id"), F.col("turn")
+    word, number = F.split_part("text", F.lit(" "), F.lit(2)), (turn + 10).cast("string")
+    quote = F.concat(word, F.lit(" ="), number, F.lit(" "))
+    rows = t.conversations.where("turn < 2 + conv_id % 4")
+    name = F.element_at(F.array(*[F.lit(x) for x in "abcda"]), (turn % 5 + 1).cast("int"))
+    block = F.concat(n.cast("string"), F.lit("-"), turn.cast("string"))
+    inputs = rows.select(n.alias("formula_id"), name.alias("name"), F.when(n % 6 == 5, "x").otherwise(number).alias("value"), F.when(n % 3 == 0, block).alias("block_id"), F.when(n % 3 == 0, quote).alias("quote"))
+    blocks = rows.select(block.alias("block_id"), F.concat("text", F.lit(" "), quote, F.when((n % 9 == 3) & (turn == 1), quote).otherwise("")).alias("text"))
+    names = F.array(F.lit("a"), F.lit("b"))
+    formulas = t.conversations.select(n.alias("formula_id"), F.when(n % 4 == 0, names).otherwise(F.array_append(names, "c")).alias("variables")).distinct()
+    out = B.bound_variables(formulas, inputs, blocks)
+    shown = F.transform("variables", lambda v: F.concat(v["name"], F.lit("="), v["value"], F.when(v["begin"].isNotNull(), F.concat(F.lit("@"), v["begin"].cast("string"))).otherwise("")))
+    return out.select("formula_id", "status", F.coalesce(F.array_join(shown, ","), F.lit("")).alias("variables"), F.coalesce(F.array_join("missing", ","), F.lit("")).alias("missing"))
+
+
 _FORMULAS = ("(a*w+b*v)/(w+v)", "a/(b-b)", "-(a-b*w)")
 
 

@@ -143,15 +143,6 @@ def test_pages(spark):
     assert [(r.page, r.place) for r in got] == [(1, 3), (1, 1), (1, 4), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
 
 
-def test_page_quality(spark):
-    width, height = 240, 320
-    page = lambda angle: np.array([[0 if (y - math.tan(math.radians(angle)) * (x - width / 2)) % 16 < 4 and (x // 5) % 3 else 255 for x in range(width)] for y in range(height)], np.uint8)
-    rows = [(1, 1, page(0).tobytes()), (1, 2, page(3).tobytes()), (1, 3, np.full((height, width), 255, np.uint8).tobytes()), (1, 4, b"short")]
-    scans = spark.createDataFrame(rows, "doc_id int, page int, samples binary").selectExpr("*", f"{width} as width", f"{height} as height", f"{width} as stride")
-    got = {r.page: (r.blur, r.skew_degrees, r.skew) for r in pages.page_quality(scans).collect()}
-    assert got == {1: ("no_observed_issue", 0.0, "no_observed_issue"), 2: ("no_observed_issue", 3.0, "review"), 3: ("unknown", None, "unknown"), 4: ("unknown", None, "unknown")}
-
-
 def test_encoded_in_bounded_batches_and_refined(spark):
     def encoder(texts):
         assert len(texts) <= 3 and (len(texts) == 1 or sum(map(len, texts)) <= 20)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def order_statistics(rows: DataFrame, by: list[str], value: str, ranks, parts: int = 128) -> DataFrame:
     """by, n, k, value: the k-th smallest (from 1) of the n values of each group, for k in ranks(n), an array column of longs. Exact, and no
     group is sorted or counted in one place: values are cut at about parts approximate quantiles, the sums of the cuts tell which one
-    holds a rank, and only that one's values are counted. Nulls don't count."""
+    holds a rank, and only that one's values are counted. Rows are written once with their cuts. Nulls don't count."""
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
     cuts = F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(4 * parts))
     groups = known.groupBy(*by).agg(F.array_distinct(cuts).alias("cuts"), F.count(F.lit(1)).alias("n"))
-    cut = known.join(groups, by).withColumn("cut", F.size(F.filter("cuts", lambda c: c < F.col("v")))).select(*by, "n", "cut", "v")
+    cut = written(known.join(groups, by).withColumn("cut", F.size(F.filter("cuts", lambda c: c < F.col("v")))).select(*by, "n", "cut", "v"))
     before = F.sum("m").over(Window.partitionBy(*by).orderBy("cut")) - F.col("m")
     sums = cut.groupBy(*by, "n", "cut").agg(F.count(F.lit(1)).alias("m")).withColumn("before", before)
     asked = sums.withColumn("k", F.explode(ranks(F.col("n")))).where((F.col("before") < F.col("k")) & (F.col("k") <= F.col("before") + F.col("m"))).select(*by, "cut", "before", "k")

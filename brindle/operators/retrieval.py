@@ -117,9 +117,24 @@ def hybrid(dense: DataFrame, lexical: DataFrame, *, id: str = "chunk_id", k: int
     return ranked(fused, [], F.desc("fusion_score"), id)
 
 
-def rerank(hits: DataFrame, scorer: Callable[[Column], Column], *, text: str = "text", id: str = "chunk_id", limit: int = 5) -> DataFrame:
-    """hits with rerank_score by a scorer of pairs and rerank_rank, the limit best; their earlier scores stay."""
-    scored = hits.withColumn("rerank_score", scorer(F.col(text))).orderBy(F.desc("rerank_score"), id).limit(limit)
+def branch_conflicts(dense: DataFrame, lexical: DataFrame, columns: Sequence[str], id: str = "chunk_id") -> DataFrame:
+    """id, column of hits of both branches that don't agree on what they hit: any of columns differs, or an id comes twice in a branch. Fusion is
+    right only where this is empty."""
+    text = lambda df, n: df.groupBy(id).agg(F.count(F.lit(1)).alias(f"n{n}"), *[F.first(F.col(c)).alias(f"{c}{n}") for c in columns])
+    both = text(dense, 0).join(text(lexical, 1), id, "full_outer")
+    met = F.col("n0").isNotNull() & F.col("n1").isNotNull()
+    found = F.array_compact(F.array(F.when((F.col("n0") > 1) | (F.col("n1") > 1), F.lit(id)), *[F.when(met & ~F.col(f"{c}0").eqNullSafe(F.col(f"{c}1")), F.lit(c)) for c in columns]))
+    return both.select(id, F.explode(found).alias("column"))
+
+
+def rerank(hits: DataFrame, scorer: Callable[[Column], Column], *, text: str = "text", id: str = "chunk_id", limit: int = 5, pairs: int = 100, chars: int = 2_000_000) -> DataFrame:
+    """hits with rerank_score by a scorer of pairs and rerank_rank, the limit best; their earlier scores stay. More than pairs hits, or chars
+    characters in all, are an error, as a model's budget is fixed; hits are few, so one task counts them."""
+    all_hits = Window.partitionBy()
+    size = F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).over(all_hits)
+    over = F.when(F.count(F.lit(1)).over(all_hits) > pairs, F.raise_error(F.lit(f"over {pairs} pairs"))).when(size > chars, F.raise_error(F.lit(f"over {chars} characters")))
+    checked = hits.withColumn("_over", over.cast("string")).where("_over is null").drop("_over")
+    scored = checked.withColumn("rerank_score", scorer(F.col(text))).orderBy(F.desc("rerank_score"), id).limit(limit)
     return ranked(scored, [], F.desc("rerank_score"), id, name="rerank_rank")
 
 

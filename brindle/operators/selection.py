@@ -75,3 +75,16 @@ def merged(base: Column, over: Column) -> Column:
     """Two maps as one; where both have a key, over's value counts. A null map is empty."""
     empty = F.create_map().cast("map<string,string>")
     return F.map_zip_with(F.coalesce(base, empty), F.coalesce(over, empty), lambda k, a, b: F.coalesce(b, a))
+
+
+def safe_members(asked: DataFrame, members: DataFrame, most: int = 200_000_000, ratio: float = 100.0) -> DataFrame:
+    """asked(wanted) with path and reason: the one member of an archive whose path is wanted or ends with it, behind a slash. members has path,
+    size and packed (bytes in the archive). reason is null, or none, several, unsafe path (absolute, with a backslash or a step up), too large,
+    or packed too tightly. Paths meet by their last name, so nothing is compared with all members."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    rows = asked.withColumn("_name", last("wanted")).join(members.withColumn("_name", last("path")), "_name", "left")
+    fits = (F.col("path") == F.col("wanted")) | F.endswith(F.col("path"), F.concat(F.lit("/"), F.col("wanted")))
+    per = rows.groupBy("wanted").agg(F.count_if(F.coalesce(fits, F.lit(False))).alias("n"), F.min(F.when(fits, F.struct("path", "size", "packed"))).alias("m"))
+    unsafe = F.col("m.path").startswith("/") | F.contains(F.col("m.path"), F.lit("\\")) | F.array_contains(F.split("m.path", "/"), "..")
+    reason = F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "several").when(unsafe, "unsafe path").when(F.col("m.size") > most, "too large").when(F.col("m.size") > F.greatest(F.col("m.packed"), F.lit(1)) * ratio, "packed too tightly")
+    return per.select("wanted", F.when(reason.isNull(), F.col("m.path")).alias("path"), reason.alias("reason"))

@@ -16,6 +16,7 @@ from ..operators import chunking as C
 from ..operators import documents as D
 from ..operators import order as O
 from ..operators import pages as P
+from ..operators import restore as RS
 from ..sources.readers import shared_folder
 from ..streaming import events as S
 from ..streaming import stages as G
@@ -482,6 +483,79 @@ def formula_eval(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", M.evaluated(formula, values).alias("r")).select("l_orderkey", "l_linenumber", F.coalesce("r.exact", F.lit("error")).alias("exact"))
 
 
+_NUMBERS = "f AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey * l_linenumber + l_suppkey * CAST(l_quantity AS BIGINT) AS HUGEINT) AS n, CAST(l_linenumber + CAST(l_quantity AS BIGINT) AS HUGEINT) AS d FROM lineitem)"
+
+
+@query("formula_decimal", rf"WITH {_NUMBERS}, q AS (SELECT *, n * 1000000000000 // d AS q, n * 1000000000000 % d AS r FROM f), v AS (SELECT *, q + CASE WHEN 2 * r > d OR 2 * r = d AND q % 2 = 1 THEN 1 ELSE 0 END AS v FROM q) SELECT l_orderkey, l_linenumber, regexp_replace(CAST(v // 1000000000000 AS VARCHAR) || '.' || lpad(CAST(v % 1000000000000 AS VARCHAR), 12, '0'), '\.?0+$', '') AS shown FROM (SELECT l_orderkey, l_linenumber, v FROM v)")
+def formula_decimal(t):
+    """Weighted means to twelve digits, ties to even."""
+    text = lambda c: F.col(c).cast("long").cast("string")
+    values = F.create_map(F.lit("a"), text("l_partkey"), F.lit("b"), text("l_suppkey"), F.lit("w"), text("l_linenumber"), F.lit("v"), text("l_quantity"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", M.evaluated(F.lit(_FORMULAS[0]), values)["decimal"].alias("shown"))
+
+
+_PARTS = r"p AS (SELECT conv_id, turn, turn // 4 AS grp, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!_*-])', '\\\1', 'g') || CASE WHEN turn % 2 = 0 THEN '  ' ELSE chr(10) END AS part, trim(regexp_replace(text, '\s+', ' ', 'g')) AS source FROM conversations WHERE regexp_matches(text, '\S'))"
+
+
+def _merged(t):
+    """Turns in groups of four, dressed with escapes, as parts of one text."""
+    bare = F.trim(F.regexp_replace("text", r"\s+", " "))
+    part = F.concat(F.regexp_replace(bare, r"([.!_*-])", r"\\$1"), F.when(F.col("turn") % 2 == 0, "  ").otherwise("\n"))
+    return t.conversations.where(F.col("text").rlike(r"\S")).select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("grp"), part.alias("part"), bare.alias("source"))
+
+
+@query("merged_slices", rf"WITH {_PARTS} SELECT conv_id, turn, sha256(part) AS slice FROM p")
+def merged_slices(t):
+    """A text that was merged from several, cut where they meet: each slice is the part that went in."""
+    one = F.array_sort(F.collect_list(F.struct("turn", "part", "source")))
+    whole = _merged(t).groupBy("conv_id", "grp").agg(one.alias("x")).select("conv_id", F.transform("x", lambda x: x["turn"]).alias("turns"), RS.merged_slices(F.array_join(F.transform("x", lambda x: x["part"]), ""), F.transform("x", lambda x: x["source"])).alias("s"))
+    return whole.select("conv_id", F.explode(F.arrays_zip("turns", "s")).alias("z")).select("conv_id", F.col("z.turns").alias("turn"), F.sha2("z.s", 256).alias("slice"))
+
+
+@query("restored_paragraphs", rf"WITH {_PARTS}, f AS (SELECT conv_id, grp, min(turn) AS turn, count(*) AS n FROM p GROUP BY conv_id, grp) SELECT p.conv_id, p.turn, sha256(CASE WHEN p.conv_id % 7 = 3 THEN CASE WHEN p.turn = f.turn THEN string_agg(part, '') OVER w || CASE WHEN n > 1 THEN 'x' ELSE '' END ELSE '' END ELSE part END) AS restored, CASE WHEN p.conv_id % 7 = 3 AND n > 1 THEN 'text differs' ELSE '' END AS reason FROM p JOIN f USING (conv_id, grp) WINDOW w AS (PARTITION BY p.conv_id, grp ORDER BY p.turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def restored_paragraphs(t):
+    """Groups of four turns as paragraphs over pages, with page numbers between their parts; in a seventh the merged text isn't theirs."""
+    rows = _merged(t)
+    group = Window.partitionBy("conv_id", "grp")
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part")).over(group)), lambda x: x["part"]), "")
+    rows = rows.withColumns({"first": F.min("turn").over(group), "n": _count().over(group), "whole": parts})
+    is_first = F.col("turn") == F.col("first")
+    spoiled = F.concat("whole", F.when((F.col("conv_id") % 7 == 3) & (F.col("n") > 1), "x").otherwise(""))
+    own = rows.select(F.col("conv_id").alias("doc_id"), (F.col("turn") * 2).cast("int").alias("place"), F.col("turn").cast("int").alias("page"), F.lit("text").alias("type"), F.when(is_first, spoiled).otherwise("").alias("text"), (~is_first).alias("deleted"), "source")
+    between = own.select("doc_id", (F.col("place") + 1).alias("place"), "page", F.lit("page_number").alias("type"), F.col("page").cast("string").alias("text"), F.lit(False).alias("deleted"), F.lit(None).cast("string").alias("source"))
+    out = RS.restored_paragraphs(own.unionByName(between)).where("type = 'text'")
+    return out.select(F.col("doc_id").alias("conv_id"), F.floor(F.col("place") / 2).alias("turn"), F.sha2("restored", 256).alias("restored"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+@query("continued_tables", """WITH t AS (SELECT DISTINCT o_orderkey AS place, o_orderkey % 50 AS doc_id, o_custkey % 5 > 0 AS first, o_orderkey % 11 > 0 AS last, 1 + CAST(floor(o_totalprice) AS BIGINT) % 2 AS width, o_orderkey // 200 % 3 AS name, o_orderkey // 50 AS page FROM orders),
+l AS (SELECT *, lag(last) OVER w AS l_last, lag(page) OVER w AS l_page, lag(width) OVER w AS l_width FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+c AS (SELECT *, sum(CASE WHEN first AND l_last AND l_page + 1 = page AND l_width = width THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY place) AS n FROM l),
+h AS (SELECT *, first_value(place) OVER w AS chain, first_value(name) OVER w AS l_name FROM c WINDOW w AS (PARTITION BY doc_id, n ORDER BY place)),
+d AS (SELECT *, CAST(place <> chain AND name = l_name AS INTEGER) AS dropped FROM h)
+SELECT doc_id, place, chain, CAST(coalesce(sum(3 - dropped) OVER (PARTITION BY doc_id, n ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - dropped AS INTEGER) AS row_offset, dropped FROM d""")
+def continued_tables(t):
+    """Orders as tables of three rows on pages of fifty documents, one or two columns wide, some with the heading of the one before."""
+    o = t.orders.select((F.col("o_orderkey") % 50).alias("doc_id"), F.col("o_orderkey").alias("place"), F.floor(F.col("o_orderkey") / 50).alias("page"), (F.col("o_custkey") % 5 > 0).alias("first"), (F.col("o_orderkey") % 11 > 0).alias("last"), (F.floor("o_totalprice") % 2).cast("int").alias("more"), (F.floor(F.col("o_orderkey") / 200) % 3).alias("name"))
+    cells = o.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("more"))))
+    text = F.when(F.col("row") == 0, F.concat(F.lit("head "), F.col("name").cast("string"))).otherwise(F.col("place").cast("string"))
+    made = RS.continued_tables(cells.select("doc_id", "place", "page", "first", "last", "row", "col", F.lit(1).alias("span"), text.alias("text")))
+    return made.select("doc_id", "place", "chain", "row_offset", "dropped")
+
+
+@query("ordered_union", """WITH n AS (SELECT user_id AS doc_id, event_type AS sheet, event_id AS place, event_id * 10 AS anchor, CAST(event_id % 9 AS VARCHAR) AS text FROM events WHERE event_id % 3 = 0 AND event_type <> 'error'),
+o AS (SELECT user_id AS doc_id, event_type AS sheet, event_id AS place, CASE WHEN event_id % 10 = 1 THEN NULL ELSE (event_id * 7919) % 10007 * 10 END AS anchor, CAST(event_id % 9 AS VARCHAR) AS text FROM events WHERE event_id % 3 <> 0),
+b AS (SELECT o.*, (SELECT max(n.place) FROM n WHERE n.doc_id = o.doc_id AND n.sheet = o.sheet AND n.anchor <= o.anchor) AS behind, EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.sheet = o.sheet) AS placed FROM o),
+u AS (SELECT doc_id, sheet, 'native' AS origin, place, true AS placed, '' AS conflict, 0 AS a, place AS b, 0 AS c, 0 AS d FROM n UNION ALL
+ SELECT b.doc_id, b.sheet, 'other', b.place, placed, CASE WHEN NOT placed THEN 'no sheet' WHEN b.anchor IS NULL THEN 'no anchor' WHEN b.text = n.text THEN 'same text' ELSE '' END, CASE WHEN b.anchor IS NULL THEN 1 ELSE 0 END, coalesce(behind, -1), 1, coalesce(b.anchor, -1) FROM b LEFT JOIN n ON n.place = b.behind AND n.doc_id = b.doc_id AND n.sheet = b.sheet)
+SELECT doc_id, sheet, origin, place, CASE WHEN placed THEN CAST(row_number() OVER (PARTITION BY doc_id, sheet ORDER BY a, b, c, d, place) AS INTEGER) ELSE -1 END AS place_in_sheet, conflict FROM u""")
+def ordered_union(t):
+    """Events as the blocks of two parsers on the sheets of users: a third is native, the others are put behind the nearest of them."""
+    n, own = F.col("event_id"), F.col("event_id") % 3 == 0
+    rows = t.events.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("sheet"), n.alias("place"), F.when(own, n * 10).when(n % 10 != 1, n * 7919 % 10007 * 10).alias("anchor"), (n % 9).cast("string").alias("text"), own.alias("own"))
+    out = RS.ordered_union(rows.where("own and sheet <> 'error'").drop("own"), rows.where("not own").drop("own"))
+    return out.select("doc_id", "sheet", "origin", "place", F.coalesce("place_in_sheet", F.lit(-1)).alias("place_in_sheet"), F.coalesce("conflict", F.lit("")).alias("conflict"))
+
+
 @query("half_even", "SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_extendedprice AS DECIMAL(18, 2)), 1) AS DOUBLE) AS price FROM lineitem")
 def half_even(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", F.bround(F.col("l_extendedprice").cast("decimal(18,2)"), 1).cast("double").alias("price"))

@@ -119,16 +119,20 @@ def unique_quote(t):
     at = F.expr("locate(q, text)")
     return quoted.where((F.length("q") > 3) & (at > 0) & (F.expr("locate(q, text, locate(q, text) + 1)") == 0)).select("conv_id", "turn", (at - 1).alias("begin"))
 
+# DuckDB compares bytes: letters beyond ASCII that the turns hold become control characters, one each, first.
+_LETTERS = "äöüÄÖÜßéèêàçñíóÉÈÊÇÑÍÓáúÁÚ¿¡"
+_SINGLE = "CAST(" + " || ".join(f"chr({i})" for i in [*range(1, 10), *range(11, 32)][: len(_LETTERS)]) + " AS VARCHAR)"
 _WHOLE = f"length(a.k) <= {S.EDIT_CHARS} AND length(b.k) <= {S.EDIT_CHARS} AND length(a.k)::BIGINT * length(b.k) <= {S.EDIT_CELLS}"
 
-@query("edit_distance", f"WITH k AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations), d AS (SELECT a.conv_id, a.turn, greatest(length(a.k), length(b.k), 1) AS n, CASE WHEN {_WHOLE} THEN levenshtein(a.k, b.k) END AS distance FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, distance, round(distance / n, 6) AS normalized FROM d")
+@query("edit_distance", f"WITH k AS (SELECT conv_id, turn, translate(text, '{_LETTERS}', {_SINGLE}) AS k FROM conversations), d AS (SELECT a.conv_id, a.turn, greatest(length(a.k), length(b.k), 1) AS n, length(a.k) AS m, CASE WHEN {_WHOLE} THEN levenshtein(a.k, b.k) END AS distance FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn, distance, round(distance / n, 6) AS normalized, round(distance / nullif(m, 0), 6) AS cer FROM d")
 def edit_distance(t):
-    """Distance of each turn and the one numbered next, ASCII characters only, whole; null beyond the bounds of the guard. Joined on
-    conversation and number, so a long conversation is never gathered."""
-    k = t.conversations.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("a"))
+    """Distance of each turn and the one numbered next, whole; null beyond the bounds of the guard. normalized is its share of the longer one,
+    cer (character error rate) of the first. Joined on conversation and number, so a long conversation is never gathered."""
+    k = t.conversations.select("conv_id", "turn", F.col("text").alias("a"))
     d = k.join(k.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
     d = d.withColumn("distance", S.bounded_distance(F.col("a"), F.col("b")))
-    return d.select("conv_id", "turn", "distance", F.round(F.col("distance") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6).alias("normalized"))
+    share = lambda n: F.round(F.try_divide(F.col("distance"), n), 6)
+    return d.select("conv_id", "turn", "distance", share(F.greatest(F.length("a"), F.length("b"), F.lit(1))).alias("normalized"), share(F.length("a")).alias("cer"))
 
 @query("review_ratio", "SELECT round(sum(quality) / count(quality), 6) AS quality, round(sum(toxic) / count(toxic), 6) AS toxic, count(*) AS reviewed FROM labels")
 def review_ratio(t):
@@ -179,14 +183,14 @@ def suite_audit(t):
     out = t.conversations.where("role = 'user'").agg(_count().alias("questions"), F.count_distinct("text").alias("expressions"), F.count_if(F.col("turn") == 0).alias("opening"))
     return out.withColumn("repeated", F.col("questions") - F.col("expressions"))
 
-@query("format_matrix", "SELECT s.source, l.lang, coalesce(n, 0) AS n FROM (SELECT DISTINCT source FROM documents) s, (SELECT DISTINCT lang FROM documents) l LEFT JOIN (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) c ON c.source = s.source AND c.lang = l.lang")
+@query("format_matrix", "SELECT s.source, l.lang, coalesce(n, 0) AS n FROM (SELECT DISTINCT source FROM documents) s, (SELECT DISTINCT lang FROM documents) l LEFT JOIN (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) c ON c.source IS NOT DISTINCT FROM s.source AND c.lang IS NOT DISTINCT FROM l.lang")
 def format_matrix(t):
-    """All pairs of two dimensions, empty ones too: each source with the list of all languages, and the counts where there are any."""
+    """All pairs of two dimensions, empty ones too: each source with the one row of all languages, and the counts where there are any."""
     counts = t.documents.groupBy("source", "lang").agg(_count().alias("n"))
-    langs = [r.lang for r in t.documents.select("lang").distinct().collect()]
-    grid = t.documents.select("source").distinct().select("source", F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"))
-    key = (grid["source"] == counts["source"]) & (grid["lang"] == counts["lang"])
-    return grid.join(counts, key, "left").select(grid["source"], grid["lang"], F.coalesce("n", F.lit(0)).alias("n"))
+    langs = counts.agg(F.collect_set(F.struct("lang")).alias("langs"), F.lit(1).alias("one"))
+    grid = counts.select("source").distinct().withColumn("one", F.lit(1)).join(langs, "one").select(F.col("source").alias("s"), F.explode("langs").alias("l")).select("s", F.col("l.lang").alias("l"))
+    key = F.col("s").eqNullSafe(F.col("source")) & F.col("l").eqNullSafe(F.col("lang"))
+    return grid.join(counts, key, "left").select(F.col("s").alias("source"), F.col("l").alias("lang"), F.coalesce("n", F.lit(0)).alias("n"))
 
 @query("retry_filter", "SELECT event_id FROM events WHERE event_type = 'error' AND value < 20 OR event_type = 'click' AND value > 90 AND user_id % 2 = 0")
 def retry_filter(t):

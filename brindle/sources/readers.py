@@ -153,7 +153,7 @@ def strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").option("header", "true").option("enforceSchema", "false").csv(path)
 
 
-def csv_table(text: str, separator: str = ",", rows: int = 100_000, columns: int = 1_000) -> tuple[str | None, int, int, str | None]:
+def csv_table(text: str, separator: str = ",", rows: int = 100_000, columns: int = 1_024) -> tuple[str | None, int, int, str | None]:
     """A strict CSV text as a quoted tab-separated table, its rows and columns; or a reason: open quotes, rows of different lengths, limits."""
     out, wide, n = io.StringIO(), None, 0
     made = csv.writer(out, delimiter="\t", lineterminator="\n")
@@ -182,8 +182,9 @@ def csv_blocks(found: DataFrame) -> DataFrame:
     return found.where("kind = 'csv'").select("path", "content").mapInPandas(run, "path string, text string, rows int, columns int, reason string")
 
 
-def benchmark_rows(spark: SparkSession, path: str, kind: str, schema: str, rows: int = 1_000_000) -> DataFrame:
-    """Rows of a benchmark file (json: one array or object, jsonl, parquet) of exactly this schema. ValueError beyond rows, never a part."""
+def benchmark_rows(spark: SparkSession, path: str, kind: str, schema: str, rows: int = 1_000_000, most_bytes: int = 1 << 30) -> DataFrame:
+    """Rows of a benchmark file (json: one array or object, jsonl, parquet) of exactly this schema. ValueError beyond rows, or beyond most_bytes of
+    decoded text (json and jsonl: all lines; parquet: strings and binaries), never a part."""
     if kind == "parquet":
         found = spark.read.parquet(path)
         missing = [f.name for f in StructType.fromDDL(schema) if f.name not in found.columns]
@@ -194,6 +195,11 @@ def benchmark_rows(spark: SparkSession, path: str, kind: str, schema: str, rows:
         found = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", str(kind == "json").lower()).json(path)
     if found.limit(rows + 1).count() > rows:
         raise ValueError(f"over {rows} rows")
+    wide = [f.name for f in found.schema if f.dataType.simpleString() in ("string", "binary")] if kind == "parquet" else ["value"]
+    text = found if kind == "parquet" else spark.read.text(path)
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in wide), F.lit(0))
+    if (text.agg(F.sum(size)).first()[0] or 0) > most_bytes:
+        raise ValueError(f"over {most_bytes} bytes")
     return found
 
 

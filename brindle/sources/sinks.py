@@ -12,9 +12,11 @@ import uuid
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .generations import Generations
+
 
 def _files(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -87,33 +89,32 @@ def with_vectors(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id", v
 
 
 class ParseCache:
-    """Parsed results by the hash of their file, for one recipe: all options and versions that make a difference."""
+    """Parsed results by the hash of their file, for one recipe: all options and versions that make a difference. Results lie in
+    generations, whose newest manifest says which are ready; of several writers at once one commits and the others try again on what it left."""
 
     def __init__(self, spark: SparkSession, folder: str, recipe: Mapping):
         text = json.dumps(recipe, sort_keys=True, separators=(",", ":"), allow_nan=False)
-        self.spark, self.path = spark, f"{folder}/recipe={hashlib.sha256(text.encode()).hexdigest()}"
-
-    def _rows(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("file_hash string, payload string, payload_hash string").parquet(self.path)
-        except AnalysisException:  # nothing yet
-            return None
+        self.path = f"{folder}/recipe={hashlib.sha256(text.encode()).hexdigest()}"
+        self.table = Generations(spark, self.path, "file_hash string, payload string, payload_hash string", "file_hash")
 
-    def put(self, parsed: DataFrame) -> None:
-        """Adds file_hash, payload of parsed where there is none for the file yet: each batch is one commit, the first result stays."""
+    def put(self, parsed: DataFrame, attempts: int = 5) -> None:
+        """Adds file_hash, payload of parsed where there is none for the file yet: each batch is one commit, the first result stays.
+        FileExistsError after so many lost races."""
         new = parsed.groupBy("file_hash").agg(F.min("payload").alias("payload")).withColumn("payload_hash", F.sha2("payload", 256))
-        old = self._rows()
-        (new if old is None else new.join(old.select("file_hash"), "file_hash", "left_anti")).write.mode("append").parquet(self.path)
+        for n in range(attempts):
+            fresh = new.join(self.table.read().select("file_hash"), "file_hash", "left_anti")
+            try:
+                self.table.replace(fresh)
+                return
+            except FileExistsError:
+                if n == attempts - 1:
+                    raise
 
     def get(self, asked: DataFrame) -> DataFrame:
         """asked(file_hash) with state (hit, miss, or corrupt where a payload doesn't match its hash) and payload (of hits)."""
-        old = self._rows()
-        if old is None:
-            return asked.select("*", F.lit("miss").alias("state"), F.lit(None).cast("string").alias("payload"))
         good = F.sha2("payload", 256) == F.col("payload_hash")
         state = F.when(F.col("payload_hash").isNull(), "miss").when(good, "hit").otherwise("corrupt")
-        one = old.groupBy("file_hash").agg(F.min(F.struct("payload", "payload_hash")).alias("p")).select("file_hash", "p.payload", "p.payload_hash")
-        found = asked.join(one, "file_hash", "left").withColumn("state", state)
+        found = asked.join(self.table.read(), "file_hash", "left").withColumn("state", state)
         return found.withColumn("payload", F.when(F.col("state") == "hit", F.col("payload"))).drop("payload_hash")
 
 
@@ -134,10 +135,11 @@ def upload_results(items: DataFrame, stored: DataFrame, reason: Column, most: in
     file or of an earlier item of its base, or stored. One bad item changes nothing for the others. stored has kb and sha256."""
     hashed = items.select("item", "kb", F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("length"), reason.alias("reason"))
     refused = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("length") > most, "too large")
-    first = F.row_number().over(Window.partitionBy("kb", "sha256", F.col("refused").isNull()).orderBy("item"))
     known = stored.select("kb", "sha256").distinct().withColumn("known", F.lit(True))
-    rows = hashed.withColumn("refused", refused).withColumn("place", first).join(known, ["kb", "sha256"], "left")
-    state = F.when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("known") | (F.col("place") > 1), "duplicate").otherwise("stored")
+    rows = hashed.withColumn("refused", refused)
+    first = rows.where("refused is null").groupBy("kb", "sha256").agg(F.min("item").alias("first"))  # a row a task for a text of any number of copies
+    rows = rows.join(first, ["kb", "sha256"], "left").join(known, ["kb", "sha256"], "left")
+    state = F.when(F.col("refused").isNotNull(), F.col("refused")).when(F.col("known") | (F.col("item") > F.col("first")), "duplicate").otherwise("stored")
     return rows.select("item", "kb", "sha256", state.alias("state"))
 
 

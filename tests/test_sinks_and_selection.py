@@ -95,7 +95,7 @@ def test_cache_archive_uploads_and_claims(spark, tmp_path):
     cache.put(put(("h1", "one")))
     cache.put(put(("h1", "other"), ("h3", "three")))
     assert state(cache) == {"h1": ("hit", "one"), "h2": ("miss", None)} and state(sinks.ParseCache(spark, str(tmp_path / "c"), {"size": 2}))["h1"][0] == "miss"
-    spark.createDataFrame([("h2", "bad", "x")], "file_hash string, payload string, payload_hash string").write.mode("append").parquet(cache.path)
+    cache.table.replace(spark.createDataFrame([("h2", "bad", "x")], "file_hash string, payload string, payload_hash string"))
     assert state(cache)["h2"] == ("corrupt", None)
     raw = spark.createDataFrame([("a", b"1"), ("b", b"2")], "key string, content binary")
     later = spark.createDataFrame([("a", b"1"), ("b", b"3"), ("c", b"4")], raw.schema)

@@ -270,7 +270,12 @@ def near_duplicates(docs: DataFrame, most: int = HOT) -> DataFrame:
     are ignored, whatever their names; repeated rows give repeated rows; empty in, empty out.
     """
     prints, of_print = _grouped(docs, ("doc_id",), most)
-    return prints.join(of_print, F.col("fingerprint") == F.col("_print")).select("doc_id", "fingerprint", "component_id")
+    # Rows of a fingerprint that many share stay where they are: fewer than HUBS such fingerprints are sent to them.
+    hot = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HUB, prints.count() // HUBS)).select(F.col("fingerprint").alias("_hot"))
+    sent = F.broadcast(of_print.join(hot, F.col("_print") == F.col("_hot")).select("_hot", F.col("component_id").alias("_of_hot")))
+    tagged = prints.join(sent, F.col("fingerprint") == F.col("_hot"), "left")
+    few = tagged.where("_hot is null").select("doc_id", "fingerprint").join(of_print, F.col("fingerprint") == F.col("_print")).select("doc_id", "fingerprint", "component_id")
+    return few.unionByName(tagged.where("_hot is not null").select("doc_id", "fingerprint", F.col("_of_hot").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, most: int = HOT) -> DataFrame:

@@ -97,3 +97,10 @@ def test_near_duplicates(spark, hot):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_text_of_many_copies(spark):
+    """More copies than one task should get: they meet their component in a broadcast, all others in a join."""
+    rows = [(i, "one text that very many rows share with each other") for i in range(300, 700)] + [(i, None) for i in range(1000, 1300)] + [(i, f"text {i} of its own, with words {i * 7} and {i * 13}") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and {got[i] for i in range(300, 700)} == {300} and {got[i] for i in range(1000, 1300)} == {1000} and all(got[i] <= i for i in range(20))

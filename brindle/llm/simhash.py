@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, spill
-from .components import components, forest
+from .components import HUB, HUBS, components, forest
 
 SHINGLE, DIFFER = 3, 3
 #: Fingerprints of a key that are compared in one block; those of a key with more are dealt to blocks of pairs of parts.

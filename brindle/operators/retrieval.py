@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -117,6 +119,21 @@ def hybrid(dense: DataFrame, lexical: DataFrame, *, id: str = "chunk_id", k: int
     return ranked(fused, [], F.desc("fusion_score"), id)
 
 
+def model_identity(**parts: str | int | bool) -> str:
+    """A hash of what makes vectors comparable: a model's name, fingerprint, dimension, normalisation, version, longest input and precision. The
+    same for the same parts in any order."""
+    needed = {"name", "fingerprint", "dimension", "normalized", "version", "max_length", "precision"}
+    if set(parts) != needed:
+        raise ValueError(f"an identity has {sorted(needed)}")
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def of_model(vectors: DataFrame, identity: str, column: str = "model") -> DataFrame:
+    """vectors, each made by this model: one of another model, or of none, is an error where it is read, never left out."""
+    other = F.when(~F.col(column).eqNullSafe(F.lit(identity)), F.raise_error(F.lit("vectors of another model")))
+    return vectors.withColumn("_other", other.cast("string")).where("_other is null").drop("_other")
+
+
 def branch_conflicts(dense: DataFrame, lexical: DataFrame, columns: Sequence[str], id: str = "chunk_id") -> DataFrame:
     """id, column of hits of both branches that don't agree on what they hit: any of columns differs, or an id comes twice in a branch. Fusion is
     right only where this is empty."""

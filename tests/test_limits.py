@@ -58,3 +58,16 @@ def test_members_of_archives(spark):
     asked = spark.createDataFrame([(x,) for x in ("x.pdf", "b/x.pdf", "y.pdf", "z.pdf", "big.pdf", "e.pdf", "none.pdf")], "wanted string")
     got = {r.wanted: (r.path, r.reason) for r in selection.safe_members(asked, members).collect()}
     assert got == {"x.pdf": (None, "several"), "b/x.pdf": ("b/x.pdf", None), "y.pdf": ("b/y.pdf", None), "z.pdf": (None, "packed too tightly"), "big.pdf": (None, "too large"), "e.pdf": (None, "unsafe path"), "none.pdf": (None, "none")}
+
+
+def test_vectors_of_one_model(spark):
+    parts = {"name": "m", "fingerprint": "0" * 64, "dimension": 2, "normalized": True, "version": 1, "max_length": 8192, "precision": "fp16"}
+    own = retrieval.model_identity(**parts)
+    assert own == retrieval.model_identity(**dict(reversed(parts.items()))) != retrieval.model_identity(**{**parts, "precision": "fp32"})
+    with pytest.raises(ValueError, match="identity"):
+        retrieval.model_identity(name="m")
+    rows = spark.createDataFrame([(1, own), (2, own)], "id int, model string")
+    assert retrieval.of_model(rows, own).count() == 2
+    for bad in ("x", None):
+        with pytest.raises(Exception, match="another model"):
+            retrieval.of_model(rows.unionByName(spark.createDataFrame([(3, bad)], rows.schema)), own).collect()

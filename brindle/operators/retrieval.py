@@ -146,11 +146,11 @@ def branch_conflicts(dense: DataFrame, lexical: DataFrame, columns: Sequence[str
 
 def rerank(hits: DataFrame, scorer: Callable[[Column], Column], *, text: str = "text", id: str = "chunk_id", limit: int = 5, pairs: int = 100, chars: int = 2_000_000) -> DataFrame:
     """hits with rerank_score by a scorer of pairs and rerank_rank, the limit best; their earlier scores stay. More than pairs hits, or chars
-    characters in all, are an error, as a model's budget is fixed; hits are few, so one task counts them."""
+    characters in all, are an error, as a model's budget is fixed; one task counts them, pairs + 1 at most."""
     all_hits = Window.partitionBy()
     size = F.sum(F.length(F.coalesce(F.col(text), F.lit("")))).over(all_hits)
     over = F.when(F.count(F.lit(1)).over(all_hits) > pairs, F.raise_error(F.lit(f"over {pairs} pairs"))).when(size > chars, F.raise_error(F.lit(f"over {chars} characters")))
-    checked = hits.withColumn("_over", over.cast("string")).where("_over is null").drop("_over")
+    checked = hits.limit(pairs + 1).withColumn("_over", over.cast("string")).where("_over is null").drop("_over")
     scored = checked.withColumn("rerank_score", scorer(F.col(text))).orderBy(F.desc("rerank_score"), id).limit(limit)
     return ranked(scored, [], F.desc("rerank_score"), id, name="rerank_rank")
 
@@ -181,27 +181,35 @@ def encoded(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]],
     return texts.select(id, text).mapInPandas(run, f"{id} {texts.schema[id].dataType.simpleString()}, embedding array<float>")
 
 
-def refined(texts: DataFrame, counter: Callable[[str], int], most: int, *, id: str = "chunk_id", text: str = "text", whole: str | None = None) -> DataFrame:
+def refined(texts: DataFrame, counter: Callable[[str], int], most: int, *, id: str = "chunk_id", text: str = "text", whole: str | None = None, table: str | None = None) -> DataFrame:
     """id, part, start, end, tokens: texts that a model's tokenizer finds longer than most, cut in halves at the white space nearest to their
-    middle, and again, until each part fits; whole names a boolean column of texts (formulas) that are never cut. Parts tile the text."""
+    middle, and again, until each part fits; whole names a boolean column of texts (formulas) that are never cut, table one of tables, which are
+    cut behind the row end (of HTML, or a line) nearest to their middle as long as there is one. Parts tile the text."""
     import pandas as pd
 
-    def halves(value: str, start: int, end: int):
+    def row_end(value: str, start: int, middle: int, end: int) -> int | None:
+        ends = [at + len(mark) for mark in ("</tr>", "\n") for at in (value.rfind(mark, start, middle), value.find(mark, middle, end)) if at >= 0]
+        return min((x for x in ends if start < x < end), key=lambda x: (abs(x - middle), x), default=None)
+
+    def halves(value: str, start: int, end: int, rows: bool):
         n = counter(value[start:end])
         if n <= most or end - start < 2:
             return [(start, end, n)]
         middle = (start + end) // 2
+        if rows and (at := row_end(value, start, middle, end)) is not None:
+            return halves(value, start, at, rows) + halves(value, at, end, rows)
         left, right = value.rfind(" ", start + 1, middle), value.find(" ", middle, end - 1)
         at = min((x for x in (left, right) if x > 0), key=lambda x: abs(x - middle), default=middle - 1) + 1
-        return halves(value, start, at) + halves(value, at, end)
+        return halves(value, start, at, rows) + halves(value, at, end, rows)
 
     def run(parts):
         for part in parts:
             out = []
-            for key, value, kept in zip(part[id], part[text].fillna(""), part["_whole"]):
-                cut = [(0, len(value), counter(value))] if kept else halves(value, 0, len(value))
+            for key, value, kept, rows in zip(part[id], part[text].fillna(""), part["_whole"], part["_table"]):
+                cut = [(0, len(value), counter(value))] if kept else halves(value, 0, len(value), rows)
                 out += [(key, i, *c) for i, c in enumerate(cut)]
             yield pd.DataFrame(out, columns=[id, "part", "start", "end", "tokens"])
 
-    rows = texts.select(id, text, (F.coalesce(F.col(whole), F.lit(False)) if whole else F.lit(False)).alias("_whole"))
-    return rows.mapInPandas(run, f"{id} {texts.schema[id].dataType.simpleString()}, part int, start int, end int, tokens int")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
+    marked = texts.select(id, text, flag(whole).alias("_whole"), flag(table).alias("_table"))
+    return marked.mapInPandas(run, f"{id} {texts.schema[id].dataType.simpleString()}, part int, start int, end int, tokens int")

@@ -71,3 +71,17 @@ def test_vectors_of_one_model(spark):
     for bad in ("x", None):
         with pytest.raises(Exception, match="another model"):
             retrieval.of_model(rows.unionByName(spark.createDataFrame([(3, bad)], rows.schema)), own).collect()
+
+
+def test_tables_are_cut_between_rows(spark):
+    html = "<table>" + "".join(f"<tr><td>{i} and more</td></tr>" for i in range(9)) + "</table>"
+    tsv = "".join(f"{i} x\t{i} y\n" for i in range(9))
+    rows = [(1, html, True), (2, tsv, True), (3, "word " * 30, True), (4, html, False), (5, None, True)]
+    parts = {}
+    for r in retrieval.refined(spark.createDataFrame(rows, "chunk_id int, text string, is_table boolean"), len, 70, table="is_table").collect():
+        parts.setdefault(r.chunk_id, []).append((r.start, r.end, r.tokens))
+    for i, text, _ in rows[:4]:
+        own = sorted(parts[i])
+        assert own[0][0] == 0 and own[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(own, own[1:])) and all(n <= 70 for *_, n in own)
+    assert all(html[:e].endswith("</tr>") for _, e, _ in sorted(parts[1])[:-1]) and all(tsv[e - 1] == "\n" for _, e, _ in parts[2]) and parts[5] == [(0, 0, 0)]
+    assert not all(html[:e].endswith("</tr>") for _, e, _ in sorted(parts[4])[:-1])

@@ -303,7 +303,7 @@ def _contents(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.nd
     return np.ceil(np.log2(np.maximum(size, 256) / 256)).astype(np.int64), np.where(low == high, low, np.uint64(0)).view(np.int64)
 
 
-SHIP, LOST, OWN = 0, 1, 2
+SHIP, LOST, OWN, CUT = 0, 1, 2, 3
 
 
 def _shared(most: int):
@@ -385,9 +385,9 @@ def _with_end(batches):
 _RUNS = "slice long, shard long, run_text binary, lengths array<int>, docs array<long>, texts array<int>, begins array<int>, of array<int>, gone boolean"
 
 
-def _members(window: int, gram: int, shards: int, hot: np.ndarray, hot_shards: int):
+def _members(window: int, gram: int, shards: int, hot_shards: int):
     """Of each slice: rows of the runs whose keys are shared, by shard; one text for equal runs, with their smallest document. Equal runs
-    of larger documents go whole (gone). Runs of hot keys (in order) are cut into their windows; these rows have each text once for
+    of larger documents go whole (gone). Runs of hot keys (cut) are cut into their windows; these rows have each text once for
     a document, and of tells which one stands at each of texts and begins."""
 
     def windows(number: int, docs, offsets, data, text, first, end) -> Iterator[pa.RecordBatch]:
@@ -430,7 +430,7 @@ def _members(window: int, gram: int, shards: int, hot: np.ndarray, hot_shards: i
                 key, text, first, end = key[keep], text[keep], first[keep], end[keep]
                 if not len(key):
                     continue
-                if len(hot) and (cut := np.isin(key, hot)).any():
+                if (cut := np.isin(key, batch.column("cut")[i].values.to_numpy())).any():
                     yield from windows(number, docs, offsets, data, text[cut], first[cut], end[cut] - window + 1)
                     key, text, first, end = key[~cut], text[~cut], first[~cut], end[~cut]
                     if not len(key):
@@ -577,15 +577,19 @@ def _dealt(docs: DataFrame, window: int, gram: int, member: int) -> tuple[DataFr
     packed = bucketed(packed, "slice", parts(BUCKET))
     keyed = packed.mapInArrow(_keys(window, gram), "key long, only long, doc long, slice long, code byte")
     marked = spill(keyed.repartition(parts(BUCKET // 2), "key").sortWithinPartitions("key", "only", "doc").mapInArrow(_shared(member), "key long, slice long, kind byte"), compression="zstd")
-    hot = marked.where("slice < 0").collect()  # at most one for each MEMBER bytes of weights
+    # Hot keys, at most one for each MEMBER bytes of weights, as a table of their own: a small one is sent to the rows it marks, a large one isn't.
+    hot = spill(marked.where("slice < 0").groupBy(F.col("key").alias("_hot")).agg(F.sum(-F.col("slice")).alias("weight")))
+    weight = hot.agg(F.sum("weight")).first()[0] or 0
     shared = marked.where("slice >= 0")
     text = shared.where(F.col("kind") == SHIP).count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
     shards = max(parts(BUCKET), -(-text * 2 // member))
-    hot_shards = -(-sum(-r["slice"] for r in hot) * window // 3 * 2 // member)  # a run of 65 bytes has some 16 windows
-    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("key")))
-    wanted = shared.groupBy("slice").agg(listed(SHIP).alias("keys"), listed(LOST).alias("lost"), listed(OWN).alias("own")).withColumnRenamed("slice", "_slice")
-    hot_keys = np.sort(np.array([r.key for r in hot], np.int64))
-    members = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_keys, hot_shards), _RUNS)
+    hot_shards = -(-weight * window // 3 * 2 // member)  # a run of 65 bytes has some 16 windows
+    if weight:
+        shared = shared.join(hot.select("_hot"), (F.col("key") == F.col("_hot")) & (F.col("kind") == SHIP), "left")
+        shared = shared.select("key", "slice", F.when(F.col("_hot").isNotNull(), CUT).otherwise(F.col("kind")).alias("kind"))
+    listed = lambda *kinds: F.collect_list(F.when(F.col("kind").isin(*kinds), F.col("key")))
+    wanted = shared.groupBy("slice").agg(listed(SHIP, CUT).alias("keys"), listed(CUT).alias("cut"), listed(LOST).alias("lost"), listed(OWN).alias("own")).withColumnRenamed("slice", "_slice")
+    members = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_shards), _RUNS)
     return packed, members.repartition(min(MOST_PARTS, shards + hot_shards), "shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard")
 
 

@@ -20,7 +20,7 @@ def balanced_questions(questions: DataFrame, n: int, seed: str) -> DataFrame:
     first = questions.withColumn("h", order).withColumn("of_doc", F.row_number().over(Window.partitionBy("doc").orderBy("h", "id")))
     begun = first.where("of_doc = 1").orderBy("h", "id").limit(n)
     held = begun.groupBy("category").agg(F.count(F.lit(1)).alias("begun"))
-    rest = first.join(begun.select("doc", "id"), ["doc", "id"], "left_anti").join(F.broadcast(held), "category", "left")
+    rest = first.join(begun.select("doc", "id"), ["doc", "id"], "left_anti").join(held, "category", "left")
     place = F.row_number().over(Window.partitionBy("category").orderBy("h", "id"))
     later = rest.withColumn("level", F.coalesce("begun", F.lit(0)) + place)
     both = begun.withColumn("level", F.lit(0).cast("long")).unionByName(later.drop("begun"))
@@ -29,7 +29,7 @@ def balanced_questions(questions: DataFrame, n: int, seed: str) -> DataFrame:
 
 def covering_documents(questions: DataFrame, documents: DataFrame, count: int, seed: str, *, wanted: int = 2, most_pages: int | None = None) -> DataFrame:
     """count documents, one after another: that with most categories not seen yet, then of a domain not seen yet, then with most questions
-    that a category still lacks (up to wanted), then with fewer pages (in tens), fewer megabytes, and the smaller seeded hash.
+    that a category still lacks (up to wanted), then with fewer pages (in tens), fewer megabytes, and the smaller seeded hash. The order is a fixed value.
 
     questions(doc, category), documents(doc, domain, pages, bytes, content_hash). Of equal contents one is taken; a document that would
     exceed most_pages altogether is passed over. Each step is one job over a row for each document; the driver holds the counts of

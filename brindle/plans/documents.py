@@ -132,6 +132,7 @@ def _dressed(t):
     return _headings(t).withColumn("text", text)
 
 
+# The patterns of numbered headings, heading marks and lines of contents, as in functions/text.py.
 _NUMBERED_SQL = r"'^([1-9][0-9]{0,2}(?:\.[0-9]{1,3}){0,5})(?:[.．](?:\s+\S|[^0-9\s])|、\s*\S|\s+\S)'"
 _LEVEL_SQL = rf"""CASE WHEN length(text) > 200 OR contains(text, chr(10)) OR regexp_matches(text, '^.+?(\.{{2,}}|…{{2,}}|·{{3,}}|\t+)\s*[0-9ivxlcdmIVXLCDM]{{1,8}}\s*$') THEN -1
  WHEN regexp_matches(text, '^#{{1,6}}\s+\S') THEN length(regexp_extract(text, '^(#+)', 1))
@@ -147,6 +148,7 @@ def heading_level(t):
     return _dressed(t).select("doc_id", "place", F.coalesce(T.heading_level(F.col("text"), F.col("level") == 1), F.lit(-1)).alias("level"))
 
 
+# The pattern of a line of contents below is a fixed value, too.
 _LINE = "title || CASE place % 4 WHEN 0 THEN ' ..... ' WHEN 1 THEN chr(9) WHEN 2 THEN '……' ELSE ' ' END || (place + 1)"
 
 

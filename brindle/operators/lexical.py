@@ -26,8 +26,9 @@ from ..sources.scratch import written
 from .retrieval import ranked, scope
 
 K1, B, DELTA = 1.5, 0.75, 1.0
-#: Documents of a block; blocks that are scored before others; blocks a query names one by one, beyond them it joins; blocks of a bucket.
-BLOCK, FIRST, NAMED, BUCKET = 1024, 8, 1000, 256
+#: Documents of a block; blocks that are scored before others; blocks that are all read, for looking for the best would take longer; blocks a
+#: query names one by one, beyond them it joins; blocks of a bucket.
+BLOCK, FIRST, FEW, NAMED, BUCKET = 1024, 8, 64, 1000, 256
 
 
 def corpus_fingerprint(docs: DataFrame, id: str, text: str) -> str:
@@ -120,7 +121,7 @@ class Index:
         df = {r.term: r.df for r in counts.collect()}  # a row for each term of the query at most
         idf = {t: math.log((n + 1) / df[t]) for t in terms if t in df}
         part = lambda tf, length: tf * (k1 + 1) / (k1 * (1 - b + b * length / F.lit(float(average or 1))) + tf)
-        if kept is None and self.blocks > 2 * FIRST and idf:
+        if kept is None and self.blocks > max(FEW, 2 * FIRST) and idf:
             found = self._reaching(found, self._bounds(idf, part), idf, part, delta, k)
         return ranked(self._scored(found, terms, idf, part, delta).orderBy(F.desc("score"), self.id).limit(k), [], F.desc("score"), self.id)
 

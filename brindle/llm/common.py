@@ -116,6 +116,12 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def not_made(keep: tuple[str, ...], made: tuple[str, ...]) -> None:
+    """ValueError if a kept column has the name of one that an operator makes."""
+    if taken := {c.lower() for c in keep} & {c.lower() for c in made}:
+        raise ValueError(f"columns made here can't be kept: {sorted(taken)}")
+
+
 def words_in(text: str = "text"):
     """Number of words of a text column, 0 for null: runs of other characters end where a space or the text follows."""
     flat = F.translate(F.col(text), "\t\n\x0b\x0c\r", " " * 5)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank_marks, mix64, slices, span_hashes, spill, utf8, word_spans
+from .common import blank_marks, mix64, not_made, slices, span_hashes, spill, utf8, word_spans
 
 SEED, COVERED = 5, 0.8
 #: Bytes of benchmark text in one pass; a single longer item is a pass of its own.
@@ -260,8 +260,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("
     go to the first place. Other columns are ignored, whatever their names; keep can't name a column that is made here. Empty
     tables give an empty result.
     """
-    if taken := {"item_id", "item_words", "covered", "coverage", "tiles", "_text"} & set(keep):
-        raise ValueError(f"columns made here can't be kept: {sorted(taken)}")
+    not_made(keep, ("item_id", "item_words", "covered", "coverage", "tiles", "_text"))
     schema = docs.select(*keep).schema
     for name, kind in (("item_id", "long"), ("item_words", "long"), ("covered", "long"), ("coverage", "double")):
         schema = schema.add(name, kind)

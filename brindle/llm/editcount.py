@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import not_made, slices
 from .pretokens import Words, words_of
 
 LEAF = 32
@@ -176,7 +176,9 @@ _SCHEMA = (("n_tokens", "long"), ("leaf_chars", "array<int>"), ("leaf_tokens", "
 def counted(docs: DataFrame, *, tokenizer: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, text, n_tokens and the leaves (leaf_chars, leaf_tokens) of each row of docs(text, ...). A null or empty text has
     no tokens. Repeated rows give repeated rows, ties don't arise; empty in, empty out. Other columns of docs are ignored, whatever
-    their names; keep must not name text, n_tokens, leaf_chars or leaf_tokens."""
+    their names; ValueError if keep names text, n_tokens, leaf_chars or leaf_tokens. A text of any length is one row of a task, two
+    integers for each 32 pre-tokens beside it."""
+    not_made(keep, ("text", "_text", *(n for n, _ in _SCHEMA)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
@@ -195,9 +197,10 @@ def edited(state: DataFrame, *, tokenizer: str, keep: tuple[str, ...] = ("doc_id
 
     Positions and lengths beyond the text are cut to it, below 0 they are 0, nulls are 0 and "". Null or no edits change nothing.
     Any text is cut into pre-tokens here; only one with the noncharacter U+10FFFF is encoded whole. A document's edits come in its row, as
-    its text does. Repeated rows give repeated rows; empty in, empty out; keep must not name a column that is added here. Trees of
+    its text does. Repeated rows give repeated rows; empty in, empty out; ValueError if keep names a column that is added here. Trees of
     long texts lie in their row: two integers for each 32 pre-tokens.
     """
+    not_made(keep, ("text", *(n for n, _ in _SCHEMA), "n_tokens_before", "encoded_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)

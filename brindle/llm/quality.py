@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop, slices, span_hashes, spill, utf8, word_spans
+from .common import SPACE, drop, not_made, slices, span_hashes, spill, utf8, word_spans
 
 WORDS = 64
 #: Bound of the training sample: documents of each label.
@@ -206,8 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, per_label
 def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of docs(text, ...), score (0 to 1), passages, best_passage (the one of most attention, from 0; the first of equal
     ones), its attention. A null, empty or blank text is one empty passage and is scored like any other. One row for each row of docs,
-    repeated ones too; a text of any length is one row of a task. Other columns are ignored; keep must not name a column that is made
-    here. Empty in, empty out."""
+    repeated ones too; a text of any length is one row of a task. Other columns are ignored; ValueError if keep names a column that is
+    made here. Empty in, empty out."""
+    not_made(keep, ("score", "passages", "best_passage", "attention", "_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

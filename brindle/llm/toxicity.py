@@ -4,7 +4,8 @@ Terms are words, and stems of words with varying ends, that many different conte
 hardly do; they stand in a trie. A word is looked up by running its Levenshtein automaton (substitution, insertion, deletion,
 transposed neighbours) along the trie: each trie node holds the automaton's states as a row of distances, a branch is left when no
 state is within reach. Numpy does this for all new words of a batch at once. How many edits a term bears is learned from what
-they would find in clean documents.
+they would find in clean documents. Scripts that put no spaces between words have no words to look up: terms are learned from the
+letters at every offset of their runs, and looked up at every offset; of hits that differ by an edit next to a nearer one the nearer stays.
 
 A hit's context is the words around it and whether it stands in quotation marks. Which contexts speak for abuse and which for
 quotation is learned, too: hits of clean documents (reports, quotations, other meanings) and of toxic ones have other words
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import blank_marks, drop, slices, span_hashes, spill, utf8, word_spans
+from .common import blank_marks, drop, not_made, slices, span_hashes, spill, utf8, word_spans
 from .quality import sample
 
 #: Bound of the training sample: documents of each label.
@@ -38,12 +39,42 @@ _SOLID[[ord(c) for c in "*@$!'"]] = False
 _FLAT = np.where(_JOINS, np.arange(256), 32).astype(np.uint8)
 _FLAT[65:91] += 32
 
+# Blocks of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han), first and last code points.
+_UNSPACED = ((0x0E01, 0x0E4E), (0x0E81, 0x0EDF), (0x1000, 0x103F), (0x1780, 0x17D3), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFD))
+#: The same as a class of Java's patterns; letters of a term in such a script that are looked at.
+UNSPACED, GRAM = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in _UNSPACED), (2, 8)
+# Blocks of wide punctuation, which ends words as a space does.
+_WIDE_MARKS = ((0x3000, 0x3020), (0x3030, 0x3030), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+_wide = np.zeros(0x110000, np.uint8)  # 1: a letter of such a script, 2: wide punctuation
+for _kind, _blocks in ((1, _UNSPACED), (2, _WIDE_MARKS)):
+    for _a, _b in _blocks:
+        _wide[_a : _b + 1] = _kind
+
+
+def wide_letters(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each letter of a script without spaces in UTF-8, and the begins of wide punctuation, of three bytes each."""
+    at = np.flatnonzero(whole >= 0xE0)
+    if not len(at):
+        return at, at, at
+    b = [whole[np.minimum(at + k, len(whole) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+    four = whole[at] >= 0xF0
+    point = np.where(four, (b[0] & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3], (b[0] & 15) << 12 | b[1] << 6 | b[2])
+    kind = _wide[np.minimum(point, 0x10FFFF)]
+    return at[kind == 1], (at + 3 + four)[kind == 1], at[kind == 2]
+
+
+def _unspaced(term: str) -> bool:
+    return _wide[ord(term[0])] == 1
+
 
 def longest_reach(term: str) -> int:
     """Edits at which a word may still count as the term."""
     return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
+#: Bytes of words that the cache of lookups holds; masks of the first 0 to 8 bytes of a number.
+KNOWN = 32
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Stands for quotation marks in a context.
 QUOTED = np.uint64(1)
 
@@ -137,23 +168,33 @@ class Lexicon:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def lookup(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Term (-1: none), distance and hash of the words part[starts:ends]; a cache of 2 ** 18 words saves the walks of frequent ones."""
+    def _open(self) -> Trie:
         if self._trie is None:
-            self._trie, self._keys, self._found = Trie(self.terms, self.stems, self.reach), np.zeros(1 << 18, np.uint64), np.zeros((1 << 18, 2), np.int32)
-        hashes = span_hashes(part, starts, ends)
+            self._trie, self._keys, self._found = Trie(self.terms, self.stems, self.reach), np.zeros((1 << 18, KNOWN // 8 + 1), np.uint64), np.zeros((1 << 18, 2), np.int32)
+        return self._trie
+
+    def lookup(self, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Term (-1: none) and distance of the words part[starts:ends], which have these hashes. A cache of 2 ** 18 words saves the walks of
+        frequent ones; it holds the words of up to KNOWN bytes, which are compared, and longer ones are walked each time they are met."""
+        trie = self._open()
+        size, padded = ends - starts, np.append(part, np.zeros(KNOWN, np.uint8))
+        eights = np.ndarray(len(part) + KNOWN - 7, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        key = np.empty((len(starts), KNOWN // 8 + 1), np.uint64)
+        for k in range(KNOWN // 8):
+            key[:, k] = eights[np.minimum(starts + 8 * k, len(part))] & _FIRST[np.clip(size - 8 * k, 0, 8)]
+        key[:, -1] = size
         slot = (hashes >> np.uint64(46)).astype(np.int64)
         out = self._found[slot]
-        new = np.flatnonzero(self._keys[slot] != hashes)
+        new = np.flatnonzero((self._keys[slot] != key).any(1) | (size > KNOWN))
         if len(new):
-            own, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            raw = part.tobytes()
-            at = zip(starts[new[first]].tolist(), ends[new[first]].tolist())
-            most = 4 * self._trie.wide  # bytes that hold enough of a word
-            found = np.stack(self._trie.find([raw[i : min(j, i + most + 4)].decode("utf-8", "replace").lower() for i, j in at]), 1)
+            raw, most = part.tobytes(), 4 * trie.wide + 4  # bytes that hold enough of a word
+            number: dict[bytes, int] = {}
+            back = np.array([number.setdefault(raw[i : min(j, i + most)], len(number)) for i, j in zip(starts[new].tolist(), ends[new].tolist())])
+            found = np.stack(trie.find([w.decode("utf-8", "replace").lower() for w in number]), 1)
             out[new] = found[back]
-            self._keys[slot[new[first]]], self._found[slot[new[first]]] = own, found
-        return out[:, 0], out[:, 1], hashes
+            short = new[size[new] <= KNOWN]
+            self._keys[slot[short]], self._found[slot[short]] = key[short], out[short]
+        return out[:, 0], out[:, 1]
 
 
 #: Per document: sums of weights in abuse and in quotation, of exact terms and of misspelled ones; the strongest abuse; its density.
@@ -174,18 +215,34 @@ class Hits:
 
 
 def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[Hits, np.ndarray]:
-    """All hits in the texts, and the number of words of each text."""
+    """All hits in the texts, and the number of words of each text. In scripts without spaces each letter begins a word for the lookup, which
+    goes on to the end of its run, and counts as half a word; in a context a letter and its next stand for a word."""
     base = offsets[0]
     whole = data[base : offsets[-1]]
     part = _FLAT[whole]
     blank_marks(whole, part)
-    starts, ends, row = word_spans(part, offsets - base)
-    solid = np.flatnonzero(_SOLID[part])
+    letter, stop, marks = wide_letters(whole)
+    part[marks[:, None] + np.arange(3)] = 32
+    spaced = part
+    if len(letter):
+        change = np.zeros(len(part) + 1, np.int64)
+        change[letter] += 1
+        change[stop] -= 1
+        spaced = np.where(np.cumsum(change)[:-1] > 0, np.uint8(32), part)
+    starts, ends, row = word_spans(spaced, offsets - base)
+    solid = np.flatnonzero(_SOLID[spaced])
     low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends) - 1
     keep = low <= high
     starts, ends, row = solid[low[keep]], solid[high[keep]] + 1, row[keep]
     count = np.bincount(row, minlength=len(offsets) - 1)
-    term, distance, hashes = lexicon.lookup(part, starts, ends)
+    hashes = span_hashes(part, starts, ends)
+    term, distance = lexicon.lookup(part, starts, ends, hashes)
+    if len(letter):
+        own = np.searchsorted(offsets[1:] - base, letter, "right")
+        count = count + (np.bincount(own, minlength=len(count)) + 1) // 2
+        grams = _letter_hits(lexicon, part, letter, stop, own)
+        order = np.argsort(np.append(starts, letter), kind="stable")
+        starts, ends, row, hashes, term, distance = (np.append(a, b)[order] for a, b in zip((starts, ends, row, hashes, term, distance), (letter, grams[0], own, *grams[1:])))
     at = np.flatnonzero(term >= 0)
     near = at[:, None] + np.array([k for k in range(-WINDOW, WINDOW + 1) if k])
     inside = np.clip(near, 0, max(len(row) - 1, 0))
@@ -199,11 +256,34 @@ def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[Hits,
     return Hits(r, b - first, e - first, term[at], distance[at], words, np.column_stack([there, quoted])), count
 
 
+def _letter_hits(lexicon: Lexicon, part: np.ndarray, letter: np.ndarray, stop: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each letter of a script without spaces: where its hit ends (or the letter itself), its hash in contexts, term and distance."""
+    n = len(letter)
+    last = np.append(np.flatnonzero((stop[:-1] != letter[1:]) | (row[:-1] != row[1:])), n - 1)
+    last = last[np.searchsorted(last, np.arange(n))]  # the last letter of each one's run
+    reach = lambda k: stop[np.minimum(np.arange(n) + k, last)]
+    longest = max([0, *(len(t) for t in lexicon.terms if _unspaced(t))])
+    if not longest:
+        return stop, span_hashes(part, letter, reach(1)), np.full(n, -1, np.int32), np.zeros(n, np.int32)
+    wide = reach(longest + lexicon._open().most - 1)
+    term, distance = lexicon.lookup(part, letter, wide, span_hashes(part, letter, wide))
+    most = np.where(term >= 0, distance, 99)
+    for k in range(1, lexicon._open().most + 1):  # an edit next to a hit: the nearer one stays, or the first
+        worse = np.zeros(n, bool)
+        joined = (last[:-k] == last[k:]) if n > k else np.zeros(0, bool)
+        if len(joined):
+            worse[k:] |= joined & (most[k:] > 0) & (most[:-k] <= most[k:])
+            worse[:-k] |= joined & (most[:-k] > 0) & (most[k:] < most[:-k])
+        term = np.where(worse, -1, term)
+    ends = reach(np.maximum(np.array([*map(len, lexicon.terms), 1])[term], 1) - 1)
+    return ends, span_hashes(part, letter, reach(1)), term, np.where(term >= 0, distance, 0)
+
+
 def _openings(whole: np.ndarray) -> np.ndarray:
-    """How many more “ and « than ” and » stand up to each byte."""
+    """How many more opening quotation marks than closing ones stand up to each byte."""
     change = np.zeros(len(whole), np.int64)
-    for signs, by in (((b"\xe2\x80\x9c", b"\xc2\xab"), 1), ((b"\xe2\x80\x9d", b"\xc2\xbb"), -1)):
-        for sign in signs:
+    for signs, by in ((("“", "«", "「", "『"), 1), (("”", "»", "」", "』"), -1)):
+        for sign in map(str.encode, signs):
             found = np.ones(max(0, len(whole) - len(sign) + 1), bool)
             for k, c in enumerate(sign):
                 found &= whole[k : k + len(found)] == c
@@ -242,12 +322,20 @@ def learn_terms(texts: DataFrame, *, odds: float = 8.0, chance: float = 0.1, con
     the likelihood ratio test if labels meant nothing. A document counts once for each different word before the term, at least contexts
     of them, so copies of one document don't make a term. The test alone decides how much is enough, for a sample of any size. Of
     beginnings of each other the one with most contexts and odds stays. It is a stem if it goes on in several ways, or in one beyond STEM.
+    In scripts without spaces, the GRAM letters from each offset of a run are such beginnings, two letters before them the context; of
+    those that lie in each other one stays, and each is a stem.
     There is no limit on terms: those of a bounded sample are bounded."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{M}]+"), lambda w: F.length(w) > 0)
+    text = F.lower(F.coalesce("text", F.lit("")))
+    words = F.filter(F.split(text, rf"(?:[^\p{{L}}\p{{M}}]|[{UNSPACED}])+"), lambda w: F.length(w) > 0)
     pairs = texts.select("doc_id", "label", F.explode(F.arrays_zip(words.alias("w"), F.concat(F.array(F.lit("")), words).alias("l"))).alias("x")).where(F.length("x.w") >= 2)
     per_doc = pairs.groupBy("doc_id", "label", F.col("x.w").alias("word")).agg(F.min("x.l").alias("left"))
-    cut = F.transform(F.sequence(F.lit(STEM[0]), F.least(F.length("word"), F.lit(STEM[1]))), lambda n: F.substring("word", F.lit(1), n))
-    begins = per_doc.select("*", F.explode(F.when(F.length("word") < STEM[0], F.array("word")).otherwise(cut)).alias("begin"))
+    cuts = lambda least, most: F.transform(F.sequence(F.lit(least), F.least(F.length("word"), F.lit(most))), lambda n: F.substring("word", F.lit(1), n))
+    begins = per_doc.select("*", F.explode(F.when(F.length("word") < STEM[0], F.array("word")).otherwise(cuts(*STEM))).alias("begin"))
+    # At each offset of a run without spaces: two letters before it, and up to GRAM letters of it.
+    offsets = F.explode(F.regexp_extract_all(F.concat(F.lit("  "), text), F.lit(rf"(?s)(?=(..[{UNSPACED}]{{{GRAM[0]},{GRAM[1]}}}))"), F.lit(1)))
+    grams = texts.where(F.col("text").rlike(f"[{UNSPACED}]{{2}}")).select("doc_id", "label", offsets.alias("x"))
+    grams = grams.select("doc_id", "label", F.expr("substring(x, 3)").alias("word"), F.substring("x", 1, 2).alias("left"))
+    begins = begins.unionByName(grams.groupBy("doc_id", "label", "word").agg(F.min("left").alias("left")).select("*", F.explode(cuts(*GRAM)).alias("begin")))
     per_doc = begins.groupBy("doc_id", "label", "begin").agg(F.min("left").alias("left"), F.min("word").alias("word"))
     per_doc = spill(per_doc)
     counts = per_doc.groupBy("begin").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"), F.count_if((F.col("label") == 1) & (F.col("word") == F.col("begin"))).alias("alone"))
@@ -266,11 +354,12 @@ def learn_terms(texts: DataFrame, *, odds: float = 8.0, chance: float = 0.1, con
     drop(counts)
     chosen, begun = {}, set()
     for r in sorted(found, key=lambda r: (-r.contexts * r.weight**2, -len(r.begin), r.begin)):
-        parts = [r.begin[:n] for n in range(1, len(r.begin) + 1)]
+        unspaced = _unspaced(r.begin)
+        parts = [r.begin[m:n] for m in range(len(r.begin) if unspaced else 1) for n in range(m + 1, len(r.begin) + 1)]
         if r.begin not in begun and not any(p in chosen for p in parts):
             chosen[r.begin] = r
             begun.update(parts)
-    stems = [(r.forms > 2 or len(t) == STEM[1]) and r.alone < 0.8 * r.toxic for t, r in chosen.items()]
+    stems = [_unspaced(t) or (r.forms > 2 or len(t) == STEM[1]) and r.alone < 0.8 * r.toxic for t, r in chosen.items()]
     return Lexicon(list(chosen), stems, [longest_reach(t) for t in chosen], np.array([r.weight for r in chosen.values()]))
 
 
@@ -366,7 +455,8 @@ def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",))
     """The kept columns of docs(text, ...), score (0 to 1) and hits: an array of term, begin and end (bytes of the text), distance, and how
     far the context speaks for abuse. A null or empty text has no hits and gets the score of such texts. One row for each row of
     docs, repeated ones too; of terms at equal distance the first in the trie is the hit. Texts of any length are one row of a task.
-    Other columns are ignored; keep must not name score or hits. Empty in, empty out."""
+    Other columns are ignored; ValueError if keep names score or hits. Empty in, empty out."""
+    not_made(keep, ("score", "hits", "_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,11 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import chatformat, decontaminate, mixing, quality, topk, toxicity
+from brindle.llm import chatformat, decontaminate, editcount, mixing, quality, topk, toxicity
 
 
 def test_perspectives(spark):
@@ -313,6 +314,77 @@ def test_terms_of_any_number_and_length(spark):
     assert [t for _, _, t, _, _ in found_in(many, ["w00017 w02999 x"])] == ["w00017", "w02999"]
 
 
+def test_terms_inside_scripts_without_spaces(spark):
+    rng = random.Random(8)
+    letters = [[chr(c) for c in range(a, a + 90)] for a in (0x4E10, 0x3042, 0x0E01 - 40)]
+    letters[2] = [chr(c) for c in range(0x0E01, 0x0E2F)]
+    planted = ["\u9a6c\u9e7f\u864e", "\u304b\u3070\u306e\u3082\u306e", "\u0e04\u0e27\u0e32\u0e22\u0e42\u0e07\u0e48"]
+    rows = []
+    for i in range(400):
+        own = letters[i % 3]
+        run = lambda: "".join(rng.choice(own) for _ in range(rng.randint(40, 120)))  # noqa: E731, B023
+        rows.append((i, run() + (planted[i % 3] if i % 2 else "") + run() + "\u3002abc " + run(), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.where("doc_id % 4 < 2"))
+    for p in planted:
+        assert any(t in p for t in model.lexicon.terms), p
+    got = toxicity.score(docs.where("doc_id % 4 > 1"), model).collect()
+    assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) >= 0.95 * len(got) and len(got) == 200
+    text = {r[0]: r[1].encode() for r in rows}
+    for r in got:
+        assert all(text[r.doc_id][h.begin : h.end].decode() == h.term for h in r.hits if not h.distance)
+
+
+def test_hits_without_spaces_as_a_slow_scan():
+    rng = random.Random(12)
+    a, b, c, d = "\u4e00\u4e01\u3042\U00020000"
+    terms = [a + b, c + a + b + d, "dimwit"]
+    lexicon = toxicity.Lexicon(terms, [True, True, False], [0, 1, 1], np.array([2.0, 3.0, 3.0]))
+    texts = ["", a, "".join([a, b])] + ["".join(rng.choice([a, b, c, d, " ", "dimwit", "dimwt", "\u3002"]) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    want = []
+    for r, text in enumerate(texts):
+        for run in re.finditer(f"[{a}{b}{c}{d}]+|[a-z]+", text):
+            word, found = run[0], {}
+            for i in range(len(word) if word[0] >= a or word[0] == c else 1):
+                for term, stem, reach in zip(terms, lexicon.stems, lexicon.reach):
+                    row = distance(term, word[i:])[-1]
+                    far = min(row) if stem else row[-1]
+                    if far <= reach and far < found.get(i, ("", 9))[1]:
+                        found[i] = term, far
+            kept = {i: (t, f) for i, (t, f) in found.items() if not f or not (i - 1 in found and found[i - 1][1] <= f) and not (i + 1 in found and found[i + 1][1] < f)}
+            want += [(r, len(text[: run.start() + i].encode()), t, f) for i, (t, f) in sorted(kept.items())]
+    data, offsets = toxicity.utf8(pa_array(texts))
+    h, _ = toxicity.hits(lexicon, data, offsets)
+    assert [(int(r), int(s), terms[t], int(f)) for r, s, t, f in zip(h.row, h.begin, h.term, h.distance)] == want and len(want) > 200
+    assert {f for *_, f in want} == {0, 1} and {t for _, _, t, _ in want} == set(terms)
+
+
+def test_long_words_and_equal_hashes_are_compared():
+    lexicon = toxicity.Lexicon(["dimwit"], [False], [1], np.ones(1))
+    words = ["dimwit", "river", "dimwit" + "x" * 80, "x" * 5000, "dmiwit"]
+    part = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    for _ in range(2):  # one hash for all of them: the second time finds the cache full of another word
+        term, far = lexicon.lookup(part, starts, ends, np.zeros(len(words), np.uint64))
+        assert term.tolist() == [0, -1, -1, -1, 0] and far.tolist() == [0, 0, 0, 0, 1]
+
+
+def test_kept_columns_cannot_be_made_here(spark):
+    docs = spark.createDataFrame([(1, "some words", 1.0)], "doc_id long, text string, score double").selectExpr("*", "1L as n_tokens", "'x' as Tiles")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    calls = [
+        lambda: toxicity.score(docs, toxicity.Model(toxicity.Lexicon([], [], [], np.zeros(0)), np.zeros(6), 0.0), keep=("score",)),
+        lambda: quality.score(docs, quality.train(lambda: iter([])), keep=("doc_id", "Score")),
+        lambda: editcount.counted(docs, tokenizer=tokenizer, keep=("n_tokens",)),
+        lambda: editcount.edited(docs, tokenizer=tokenizer, keep=("doc_id", "text")),
+        lambda: decontaminate.matches(docs, docs, keep=("Tiles",)),
+    ]
+    for call in calls:
+        with pytest.raises(ValueError, match="can't be kept"):
+            call()
+
+
 def pa_array(texts):
     import pyarrow as pa
 

@@ -18,7 +18,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -90,11 +90,15 @@ class Index:
         return self._table("terms")
 
     def postings(self, terms: Sequence[str]) -> DataFrame:
-        """Those of these terms, from the table that is bucketed by block; a session that hasn't seen it names it first."""
+        """Those of these terms, from the table that is bucketed by block."""
+        return self._postings().where(F.col("term").isin(list(terms)))
+
+    def _postings(self) -> DataFrame:
+        """All of them; a session that hasn't seen the table names it first."""
         name = _name(self.path)
         kind = self._table("lengths").schema[self.id].dataType.simpleString()
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (`{self.id}` {kind}, term STRING, tf BIGINT, doc_len BIGINT, block BIGINT) USING parquet CLUSTERED BY (block) SORTED BY (term) INTO {self.buckets} BUCKETS LOCATION '{self.path}/postings'")
-        return self.spark.table(name).where(F.col("term").isin(list(terms)))
+        return self.spark.table(name)
 
     def _bounds(self, idf: dict[str, float], part) -> DataFrame:
         """block, bound: what no document of it can exceed."""
@@ -125,6 +129,36 @@ class Index:
             found = self._reaching(found, self._bounds(idf, part), idf, part, delta, k)
         return ranked(self._scored(found, terms, idf, part, delta).orderBy(F.desc("score"), self.id).limit(k), [], F.desc("score"), self.id)
 
+    def batch_top_k(self, queries: DataFrame, k: int, *, query: str = "query_id", text: str = "text", k1: float = K1, b: float = B, delta: float = DELTA) -> DataFrame:
+        """query, id, score, rank by BM25+ for each of queries(query, text), as top_k; rows of equal query are one. Queries without known
+        terms have no rows. Scores are sums of whole billionths, so equal documents score alike in whatever order rows are summed.
+
+        All is joins on terms and blocks, nothing passes the driver. Bounds of a query's blocks come from maxima; its FIRST best blocks
+        give its kth score, and postings are joined for the blocks that can reach it alone; an index of FEW blocks is joined whole.
+        A frequent term costs the queries that ask it a row for each of its blocks, not for each document.
+        """
+        asked = queries.select(F.col(query), F.explode(F.array_distinct(T.tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term")).distinct()
+        idf = F.log(F.lit(self.documents + 1.0) / F.col("df"))
+        known = written(asked.join(self.document_frequencies(), "term").select(query, "term", idf.alias("idf")))
+        part = lambda tf, length: F.col("idf") * (tf * (k1 + 1) / (k1 * (1 - b + b * length / F.lit(float(self.average))) + tf))
+        points = lambda x: F.floor(1e9 * x + 0.5)
+        best = lambda rows, n, *order: rows.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= n)
+        scored = lambda found: found.select(query, self.id, points(part(F.col("tf"), F.col("doc_len"))).alias("points")).groupBy(query, self.id).agg(F.sum("points").alias("points"))
+        postings = self._postings()
+        if self.blocks <= max(FEW, 2 * FIRST):
+            terms = known.select("term").distinct()
+            found = postings.join(terms, "term", "left_semi").repartition(self.id).join(known, "term")  # terms of a document meet before queries multiply them
+        else:
+            most = 1e9 * F.sum(part(F.col("most_tf"), F.col("least_len"))) + F.count(F.lit(1)) + 1  # a term is rounded by a half at most
+            bounds = written(known.join(self._table("maxima"), "term").groupBy(query, "block").agg(most.alias("bound")))
+            at = lambda blocks: known.join(blocks.select(query, "block"), query).join(postings, ["block", "term"])
+            first = scored(at(best(bounds, FIRST, F.desc("bound"), "block")))
+            need = best(first, k, F.desc("points"), self.id).where(F.col("rank") == k).select(query, F.col("points").alias("need"))
+            found = at(bounds.join(need, query, "left").where("need is null or bound >= need"))
+        base = known.groupBy(query).agg(F.sum(points(delta * F.col("idf"))).alias("base"))
+        top = best(scored(found), k, F.desc("points"), self.id)
+        return top.join(base, query).select(query, self.id, ((F.col("points") + F.col("base")) / 1e9).alias("score"), "rank")
+
     def terms(self, query: str) -> list[str]:
         """The query's terms, in order, each once; ValueError if it has none."""
         found = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(T.tokens(F.lit(query))))).collect()]

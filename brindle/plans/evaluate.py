@@ -1,4 +1,4 @@
-"""Evaluation queries. A benchmark passage asks; the documents that hold it literally are its evidence; BM25-like overlap ranks them."""
+"""Evaluation queries. A benchmark passage asks; the documents that hold it literally are its evidence; BM25+ ranks them."""
 
 from __future__ import annotations
 
@@ -8,35 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import strings as S
 from ..operators import evaluation as E
 from ..operators import literal as I
+from ..sources.scratch import written
 from .registry import query
+from .search import TOKENS_SQL, _index
 
 def _count():
     return F.count(F.lit(1))
 
-def _words(column: str):
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), "[^a-z]+"), lambda w: F.length(w) >= 5))
-
 def _hits(t):
-    """item_id, unit, rank: the 20 documents that share most words of 5 letters with each item. The join is on words; a word of every
-    document costs its document count once for each item that has it."""
-    asked = t.benchmark.select("item_id", F.explode(_words("text")).alias("w"))
-    there = t.documents.select("doc_id", F.explode(_words("text")).alias("w"))
-    shared = asked.join(there, "w").groupBy("item_id", "doc_id").agg(_count().alias("n"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "doc_id"))
-    return shared.withColumn("rank", place).where("rank <= 20").select("item_id", F.col("doc_id").alias("unit"), "rank")
+    """item_id, unit, rank: the 20 documents that BM25+ ranks first for each item, all items in one batch over the documents' index."""
+    return _index(t).batch_top_k(t.benchmark, 20, query="item_id").select("item_id", F.col("doc_id").alias("unit"), "rank")
 
 def _gold(t):
     """item_id, unit: documents that hold the item's text."""
     return I.contained(t.documents, t.benchmark, by="doc_id", item="item_id").withColumnRenamed("doc_id", "unit").distinct()
 
-_WORDS = "list_distinct([w for w in regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z]+') if length(w) >= 5])"
-_BASE = f"""hits AS (SELECT item_id, doc_id AS unit, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS rank
- FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS w FROM benchmark) JOIN (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents) USING (w) GROUP BY item_id, doc_id) WHERE rank <= 20),
+_BASE = f"""qt AS (SELECT DISTINCT item_id, unnest({TOKENS_SQL.format('text')}) AS term FROM benchmark),
+dt AS (SELECT doc_id, {TOKENS_SQL.format('text')} AS toks FROM documents), st AS (SELECT count(*) AS n, avg(len(toks)) AS al FROM dt),
+pt AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM dt) GROUP BY doc_id, term),
+ft AS (SELECT term, count(*) AS df FROM pt GROUP BY term),
+hits AS (SELECT item_id, doc_id AS unit, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY points DESC, doc_id) AS rank FROM (
+ SELECT item_id, doc_id, sum(CAST(floor(1e9::DOUBLE * (ln((n + 1) / df) * (tf * 2.5::DOUBLE / (1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / al) + tf))) + 0.5) AS BIGINT)) AS points
+ FROM qt JOIN ft USING (term) JOIN pt USING (term), st GROUP BY item_id, doc_id)) WHERE rank <= 20),
 gold AS (SELECT b.item_id, d.doc_id AS unit FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 m AS (SELECT item_id, count(*) FILTER (rank <= 5) / count(*) AS recall_at_5, count(*) FILTER (rank <= 10) / count(*) AS recall_at_10, coalesce(1 / min(rank), 0.0) AS mrr_at_20, min(rank) AS first_rank FROM gold LEFT JOIN hits USING (item_id, unit) GROUP BY item_id)"""
 
-def _metrics(t):
-    return E.recall(_hits(t), _gold(t), ["item_id"])
+def _metrics(t, hits=None, gold=None):
+    return E.recall(_hits(t) if hits is None else hits, _gold(t) if gold is None else gold, ["item_id"])
 
 def _rounded(df, *columns):
     return df.select(*[F.round(c, 6).alias(c) if c in columns else c for c in df.columns])
@@ -72,21 +70,23 @@ def metrics_by_direction(t):
 
 @query("metrics_grouped", f"WITH {_BASE}, g AS (SELECT item_id, array_to_string(list_sort(list_distinct(array_agg(d.lang))), '+') AS langs FROM gold JOIN documents d ON d.doc_id = gold.unit GROUP BY item_id) SELECT langs, count(*) AS questions, round(avg(recall_at_5), 6) AS recall_at_5 FROM m JOIN g USING (item_id) GROUP BY langs")
 def metrics_grouped(t):
-    groups = _gold(t).join(t.documents.select(F.col("doc_id").alias("unit"), "lang"), "unit").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), "+").alias("langs"))
-    return _metrics(t).join(groups, "item_id").groupBy("langs").agg(_count().alias("questions"), F.round(F.avg("recall_at_5"), 6).alias("recall_at_5"))
+    gold = written(_gold(t))
+    groups = gold.join(t.documents.select(F.col("doc_id").alias("unit"), "lang"), "unit").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), "+").alias("langs"))
+    return _metrics(t, gold=gold).join(groups, "item_id").groupBy("langs").agg(_count().alias("questions"), F.round(F.avg("recall_at_5"), 6).alias("recall_at_5"))
 
 @query("rank_delta", f"WITH {_BASE}, b AS (SELECT item_id, min(r) AS base FROM (SELECT item_id, unit, row_number() OVER (PARTITION BY item_id ORDER BY unit) AS r FROM hits) JOIN gold USING (item_id, unit) GROUP BY item_id) SELECT count(*) FILTER (coalesce(first_rank, 99) < coalesce(base, 99)) AS improved, count(*) FILTER (coalesce(first_rank, 99) > coalesce(base, 99)) AS regressed, count(*) FILTER (coalesce(first_rank, 99) = coalesce(base, 99)) AS unchanged FROM m LEFT JOIN b USING (item_id)")
 def rank_delta(t):
     """Against a baseline that orders the same hits by id."""
-    hits = _hits(t)
-    base = hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("unit"))).join(_gold(t), ["item_id", "unit"]).groupBy("item_id").agg(F.min("r").alias("base"))
-    both = _metrics(t).join(base, "item_id", "left").select(F.coalesce("first_rank", F.lit(99)).alias("a"), F.coalesce("base", F.lit(99)).alias("b"))
+    hits, gold = written(_hits(t)), written(_gold(t))
+    base = hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("unit"))).join(gold, ["item_id", "unit"]).groupBy("item_id").agg(F.min("r").alias("base"))
+    both = _metrics(t, hits, gold).join(base, "item_id", "left").select(F.coalesce("first_rank", F.lit(99)).alias("a"), F.coalesce("base", F.lit(99)).alias("b"))
     return both.agg(F.count_if(F.col("a") < F.col("b")).alias("improved"), F.count_if(F.col("a") > F.col("b")).alias("regressed"), F.count_if(F.col("a") == F.col("b")).alias("unchanged"))
 
 @query("retrieval_diagnosis", f"WITH {_BASE}, n AS (SELECT item_id, count(*) AS n_hits FROM hits GROUP BY item_id) SELECT category, count(*) AS questions FROM (SELECT CASE WHEN coalesce(n_hits, 0) = 0 THEN 'NO_HITS' WHEN recall_at_5 IS NULL THEN 'UNSCORABLE' WHEN recall_at_5 = 1 THEN 'HIT_AT_5' WHEN recall_at_10 = 1 THEN 'HIT_AT_10' WHEN mrr_at_20 > 0 AND recall_at_10 = 0 THEN 'LOW_RANK' WHEN mrr_at_20 > 0 THEN 'PARTIAL_RECALL' ELSE 'TARGET_DOCUMENT_MISS' END AS category FROM benchmark LEFT JOIN m USING (item_id) LEFT JOIN n USING (item_id)) GROUP BY category")
 def retrieval_diagnosis(t):
-    n = _hits(t).groupBy("item_id").agg(_count().alias("n_hits"))
-    rows = t.benchmark.select("item_id").join(_metrics(t), "item_id", "left").join(n, "item_id", "left").fillna(0, ["n_hits"])
+    hits = written(_hits(t))
+    n = hits.groupBy("item_id").agg(_count().alias("n_hits"))
+    rows = t.benchmark.select("item_id").join(_metrics(t, hits), "item_id", "left").join(n, "item_id", "left").fillna(0, ["n_hits"])
     return rows.select(E.retrieval_category().alias("category")).groupBy("category").agg(_count().alias("questions"))
 
 _LISTS = "l AS (SELECT b.item_id, d.doc_id AS unit, abs(b.item_id * 7919 + d.doc_id * 104729) % 1000 AS noise, length(d.text) AS size FROM gold g JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = g.unit UNION SELECT item_id, unit, abs(item_id * 7919 + unit * 104729) % 1000, (SELECT any_value(length(text)) FROM documents WHERE doc_id = unit) FROM hits), a AS (SELECT item_id, unit, rank FROM hits), d AS (SELECT item_id, unit, row_number() OVER (PARTITION BY item_id ORDER BY noise, unit) AS rank FROM l), f AS (SELECT item_id, unit, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, unit) AS rank FROM (SELECT item_id, unit, sum(1.0::DOUBLE / (60 + rank)) AS s FROM (SELECT * FROM a UNION ALL SELECT * FROM d WHERE rank <= 20) GROUP BY item_id, unit)), r AS (SELECT item_id, unit, row_number() OVER (PARTITION BY item_id ORDER BY size, unit) AS rank FROM l JOIN f USING (item_id, unit) WHERE f.rank <= 15)"
@@ -95,7 +95,7 @@ _LISTS = "l AS (SELECT b.item_id, d.doc_id AS unit, abs(b.item_id * 7919 + d.doc
 def dependency_flow(t):
     """Where evidence is lost between four lists of their own: documents by overlap, the candidates in an order that has nothing to do
     with the text, both fused, and the first 15 of those reranked by length."""
-    hits, gold = _hits(t), _gold(t)
+    hits, gold = written(_hits(t)), written(_gold(t))
     place = lambda *order: F.row_number().over(Window.partitionBy("item_id").orderBy(*order))
     pool = gold.unionByName(hits.select("item_id", "unit")).distinct().join(t.documents.select(F.col("doc_id").alias("unit"), F.length("text").alias("size")), "unit")
     noise = F.abs(F.col("item_id") * 7919 + F.col("unit") * 104729) % 1000

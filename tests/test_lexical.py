@@ -48,6 +48,41 @@ def test_pruned_as_whole(spark, corpus, tmp_path_factory, monkeypatch, query, k)
     assert len(pruned) == min(k, len(pruned)) and read["pruned"] > 0
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_a_batch_as_one_by_one(spark, corpus, tmp_path_factory, monkeypatch, few):
+    for name, value in (("BLOCK", 25), ("FIRST", 4), ("BUCKET", 16), ("FEW", few)):
+        monkeypatch.setattr(lexical, name, value)
+    index = lexical.index_of_files(spark, corpus, str(tmp_path_factory.getbasetemp() / "indexes"), id="doc_id")
+    asked = [(1, "w0 w1"), (2, "w150 w150"), (3, "w199 w3 w77 unknown"), (4, "w0"), (5, None), (6, "?"), (7, "unknown"), (8, " ".join(f"w{i}" for i in range(0, 200, 3))), (4, "w0")]
+    queries = spark.createDataFrame(asked, "query_id long, text string").selectExpr("*", "1 as block", "2 as tf", "3 as points")
+    got = {}
+    for r in index.batch_top_k(queries, 10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    assert set(got) == {1, 2, 3, 4, 8}
+    for q, text in dict(asked).items():
+        if q in got:
+            want = [tuple(r) for r in index.top_k(text, 10).select("rank", "doc_id", "score").orderBy("rank").collect()]
+            assert [x[:2] for x in sorted(got[q])] == [x[:2] for x in want]
+            assert [x[2] for x in sorted(got[q])] == pytest.approx([x[2] for x in want], abs=1e-7)
+    assert index.batch_top_k(queries.where("false"), 10).count() == 0
+
+
+def test_a_batch_reads_few_blocks(spark, corpus, tmp_path, monkeypatch):
+    """Only blocks that can reach a query's kth score give it postings."""
+    for name, value in (("BLOCK", 25), ("FIRST", 4), ("FEW", 0)):
+        monkeypatch.setattr(lexical, name, value)
+    index = lexical.index_of_files(spark, corpus, str(tmp_path), id="doc_id")
+    tables = []
+    monkeypatch.setattr(lexical, "written", lambda df, keep=lexical.written: tables.append(keep(df)) or tables[-1])
+    queries = spark.createDataFrame([(1, "w0 w1"), (2, "w150")], "query_id long, text string")
+    got = index.batch_top_k(queries, 5)
+    reached = {q: min(r.score for r in got.where(F.col("query_id") == q).collect()) for q in (1, 2)}
+    base = {r.query_id: r.s for r in tables[0].groupBy("query_id").agg(F.sum("idf").alias("s")).collect()}
+    for q in (1, 2):
+        bounds = [r.bound / 1e9 + base[q] for r in tables[1].where(F.col("query_id") == q).collect()]
+        assert 4 <= sum(x >= reached[q] - 1e-6 for x in bounds) < len(bounds)
+
+
 def test_blocks_are_skipped(spark, corpus, tmp_path, monkeypatch):
     """The blocks left are few, and the plan reads postings alone."""
     monkeypatch.setattr(lexical, "BLOCK", 25)

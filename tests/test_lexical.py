@@ -132,3 +132,30 @@ def test_an_index_that_isnt_whole_is_built_again(spark, corpus, tmp_path):
 def test_no_documents(spark, tmp_path):
     index = lexical.build(spark.createDataFrame([], "chunk_id long, text string"), str(tmp_path / "i"))
     assert index.documents == 0 and index.top_k("nasa", 5).count() == 0
+
+
+def test_a_task_has_few_blocks(spark, corpus, tmp_path, monkeypatch):
+    """Buckets are as many as the corpus needs, so the rows of a task don't grow with it; long documents are fewer in a block."""
+    monkeypatch.setattr(lexical, "BLOCK", 25)
+    index = lexical.index_of_files(spark, corpus, str(tmp_path / "i"), id="doc_id")
+    assert index.buckets * 8 > index.blocks
+    rows = spark.createDataFrame([(i, "w " * 20_000) for i in range(100)], "doc_id long, text string")
+    assert lexical.build(rows, str(tmp_path / "l"), id="doc_id").blocks >= 100 * 20_000 / lexical.LONG / 25
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_a_batch_shuffles_documents_once(spark, corpus, tmp_path, monkeypatch, few):
+    """Rows that are shuffled are postings and lists of the best, none for each document of each query."""
+    for name, value in (("BLOCK", 250), ("FIRST", 1), ("FEW", few), ("BATCH", 1000)):
+        monkeypatch.setattr(lexical, name, value)
+    index = lexical.index_of_files(spark, corpus, str(tmp_path), id="doc_id")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    listed = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    total = lambda x: sum(x.apply(i).shuffleWriteRecords() for i in range(x.size()))
+    queries = spark.createDataFrame([(i, "w0 w1 w2 w3") for i in range(400)], "query_id long, text string")
+    before = total(listed())
+    rows = index.batch_top_k(queries, 3).collect()
+    assert len(rows) == 1200 and total(listed()) - before < 400 * 3000 / 4
+    monkeypatch.setattr(lexical, "BATCH", 100)
+    monkeypatch.setattr(lexical, "CELLS", 512)
+    assert sorted(map(tuple, index.batch_top_k(queries, 3).collect())) == sorted(map(tuple, rows))

@@ -119,6 +119,28 @@ def test_formula_limits():
             formula.evaluate(zero, {"a": "0"})
 
 
+def test_a_formula_is_parsed_once(monkeypatch):
+    """Rows of one expression share its tree; errors are those of the first thing wrong from the left, limits those of lowest terms."""
+    calls, parsed = [], formula.parsed
+    monkeypatch.setattr(formula, "parsed", lambda e: calls.append(e) or parsed(e))
+    for i in range(50):
+        assert formula.evaluate("(c+d)/2 - -c", {"c": str(i), "d": "-0.5"}) == Fraction(3 * i, 2) - Fraction(1, 4)
+    assert len(calls) == 1
+    for expression, error in (("x+1e5", "symbols"), ("1e5+x", "node"), ("a/(b-b)", "zero division"), ("a/0+x", "zero division"), ("1+", "syntax"), ("*".join("h" * 9), "limit")):
+        with pytest.raises(formula.FormulaError, match=error):
+            formula.evaluate(expression, {"a": "1", "b": "2", "h": str(1 << 512)})
+    assert formula.evaluate("*".join("h" * 8) + "/h" * 8 + "*a", {"a": "7", "h": str((1 << 500) + 1)}) == 7
+
+
+def test_formulas_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a/b", {"a": "1", "b": "3"}), ("a", None), (None, {"a": "1"}), ("a", {"a": "x"}), ("-a/b", {"a": "0.50", "b": "-4"})]
+    out = spark.createDataFrame(rows, "e string, m map<string,string>").coalesce(1).select(formula.evaluated(F.col("e"), F.col("m")).alias("r")).select("r.*").collect()
+    assert [(r.exact, r.decimal) for r in out] == [("1/3", "0.333333333333"), (None, None), (None, None), (None, None), ("1/8", "0.125")]
+    assert [r.error for r in out[:3]] == [None, "symbols", "characters"] and out[3].error
+
+
 def test_markdown():
     text = "# A\n\npara\nmore\n\n## B\n```\n# no\n```\nUnder\n-----\nend\n# C\n"
     assert readers.markdown_blocks(text) == [("title", "A", "A"), ("text", "A", "para\nmore"), ("title", "A / B", "B"), ("text", "A / B", "```\n# no\n```"), ("title", "A / Under", "Under"), ("text", "A / Under", "end"), ("title", "C", "C")]

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A page with more boxes at one height counts as set in columns, as do boxes side by side this far apart, as a share of the
-# page's width, over more than this share of the lower one's height.
-ACTIVE, GAP, SIDE = 128, 0.05, 0.5
+# page's width, over more than this share of the lower one's height. A tile's side, as a multiple of the reach of near points.
+ACTIVE, GAP, SIDE, TILE = 128, 0.05, 0.5, 4
 
 
 class _Sweep:
@@ -68,11 +68,13 @@ def column_pages(boxes: DataFrame) -> DataFrame:
 
 def near(a: DataFrame, b: DataFrame, on: list[str], reach: float, left: tuple[str, str], right: tuple[str, str]) -> DataFrame:
     """Rows of a and b, equal in on, whose points (columns left of a, right of b) are no more than reach apart in both directions. Points lie in
-    cells of a grid of that size, so a point meets those of nine cells, not all of its page."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(reach)))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = a.withColumn("_step", F.explode(steps)).withColumns({"_cx": cell(left[0]) + F.col("_step.i"), "_cy": cell(left[1]) + F.col("_step.j")}).drop("_step")
-    placed = b.withColumns({"_cx": cell(right[0]), "_cy": cell(right[1])})
+    tiles of TILE times that side, and one of a is put into those that its reach touches (2.25 on the average), so it meets the points around
+    it, not all of its page."""
+    tile = lambda x: F.floor(x / F.lit(float(TILE * reach or 1)))
+    slack = lambda c: F.lit(float(reach)) + F.abs(F.col(c)) * 2.0**-51  # noqa: E731  # as the sum is rounded
+    touched = lambda c: F.explode(F.sequence(tile(F.col(c) - slack(c)), tile(F.col(c) + slack(c))))
+    spread = a.withColumn("_cx", touched(left[0])).withColumn("_cy", touched(left[1]))
+    placed = b.withColumns({"_cx": tile(F.col(right[0])), "_cy": tile(F.col(right[1]))})
     close = (F.abs(F.col(left[0]) - F.col(right[0])) <= reach) & (F.abs(F.col(left[1]) - F.col(right[1])) <= reach)
     return spread.join(placed, [*on, "_cx", "_cy"]).where(close).drop("_cx", "_cy")
 

@@ -289,12 +289,19 @@ def interval_continuity(t):
     return rows.groupBy("l_orderkey").agg(_count().alias("parts"), F.count_if(F.col("prev").isNotNull() & (F.col("l_linenumber") != F.col("prev") + 1)).alias("gaps"))
 
 
+#: Rows that a task of context_band sorts.
+BAND = 1 << 18
+
+
 @query("context_band", "SELECT a.l_orderkey, a.l_linenumber, count(b.l_linenumber) AS near FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) BETWEEN 1 AND 2 GROUP BY ALL")
 def context_band(t):
-    """Neighbours within two places in the same group: a range window, which reads a group once."""
+    """Neighbours within two places in the same group: a range window, which reads a group once. Rows are dealt by their number, as small
+    keys would be put together into few tasks by their bytes."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber")
+    rows = rows.repartition(max(1, -(-rows.count() // BAND)), "l_orderkey")
     at = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     near = _count().over(at.rangeBetween(-2, 2)) - _count().over(at.rangeBetween(0, 0))
-    return t.lineitem.select("l_orderkey", "l_linenumber", near.alias("near")).groupBy("l_orderkey", "l_linenumber").agg(F.sum("near").alias("near")).where("near > 0")
+    return rows.select("l_orderkey", "l_linenumber", near.alias("near")).groupBy("l_orderkey", "l_linenumber").agg(F.sum("near").alias("near")).where("near > 0")
 
 
 @query("set_equality", """WITH p AS (SELECT 'orders' AS pair, (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)) AS only_a, (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS only_b

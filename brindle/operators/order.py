@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-#: Rows of a part, which a task holds.
-PART = 1 << 20
+#: Rows of a part, which a task holds; parts beyond which they grow to that, as what parts exchange grows with their number's square.
+PART, MANY = 1 << 20, 64
 
 
 def inversions(run: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def consistency(rows: DataFrame, group: str, place: str, value: str, part: int =
     """group, rows, pairs (of different places), inversions, consistency of rows(group, place, value): 1 less the share of pairs whose values stand in the other order than
     their places, of all pairs of different places; null where there is none. Pairs of equal values are no inversions.
 
-    Rows are cut into parts of about part by (group, place), and again by (group, value). Pairs within one part by place are counted there;
+    Rows are cut into parts of about part, or of up to PART where these would be over MANY, by (group, place), and again by (group, value). Pairs within one part by place are counted there;
     pairs of different ones within a part by value are counted there; for all others the parts' order decides, and the sizes of what two
     parts have in common count them. So nothing is joined with itself and a group of any length is spread. Rows without a group, place or
     value don't count. place and value are integers, dates or decimals cast to long, or doubles.
@@ -88,7 +88,8 @@ def consistency(rows: DataFrame, group: str, place: str, value: str, part: int =
     kind = rows.schema[group].dataType.simpleString()
     number = lambda c: F.col(c) if rows.schema[c].dataType.simpleString() == "double" else F.col(c).cast("long")
     known = rows.select(F.col(group).alias("_group"), number(place).alias("_place"), number(value).alias("_value")).dropna()
-    parts = max(1, -(-known.count() // part))
+    n = known.count()
+    parts = max(1, min(-(-n // part), max(MANY, -(-n // PART))))
     by_place = known.repartitionByRange(parts, "_group", "_place", "_value").sortWithinPartitions("_group", "_place", "_value")
     placed = written(by_place.withColumn("_p", F.spark_partition_id()))
     by_value = placed.repartitionByRange(parts, "_group", "_value", "_place").withColumn("_v", F.spark_partition_id())

@@ -86,3 +86,54 @@ def test_joins_by_cells(spark):
     b = a.selectExpr("k", "i j", "x0 u0", "y0 v0", "x1 u1", "y1 v1")
     got = sorted((r.i, r.j) for r in boxes.overlapping(a, b, ["k"], 40.0, ("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1")).collect())
     assert got == sorted((p[1], q[1]) for p in full for q in full if p[0] == q[0] and min(p[4], q[4]) > max(p[2], q[2]) and min(p[5], q[5]) > max(p[3], q[3]))
+
+
+def test_parts_of_a_long_table(spark, monkeypatch):
+    """Parts grow where they would be many; counts stay."""
+    from brindle.operators import order
+
+    asked, frame = [], type(spark.range(1))
+    keep = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *c: asked.append(n) or keep(self, n, *c))
+    monkeypatch.setattr(order, "MANY", 3)
+    monkeypatch.setattr(order, "PART", 200)
+    rows = spark.range(900).selectExpr("id % 7 AS g", "id AS place", "id * 37 % 101 AS value")
+    got = {r.g: (r.rows, r.inversions) for r in order.consistency(rows, "g", "place", "value", part=10).collect()}
+    assert asked == [5, 5]
+    want = {}
+    for g in range(7):
+        v = [i * 37 % 101 for i in range(g, 900, 7)]
+        want[g] = (len(v), sum(a > b for i, a in enumerate(v) for b in v[i + 1 :]))
+    assert got == want
+
+
+def test_near_points_are_spread_little(spark):
+    """A point is put into few tiles, and meets what it met in cells of its reach: at borders, below zero, far out."""
+    from brindle.operators import boxes
+
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate([(x * 7 % 331 - 90, x * 13 % 257 - 60) for x in range(400)] + [(80, 80), (60, 100), (100, 60), (1e15, 0), (1e15 + 20, 0), (float("nan"), 1)])]
+    a = spark.createDataFrame([(1, *p) for p in points] + [(1, 999, None, 1.0)], "page int, box long, x double, y double")
+    b = a.selectExpr("page", "box AS other", "x AS u", "y AS v")
+    found = boxes.near(a, b, ["page"], 20.0, ("x", "y"), ("u", "v"))
+    want = sorted((i, j) for i, x, y in points for j, u, v in points if abs(x - u) <= 20 and abs(y - v) <= 20)
+    assert sorted((r.box, r.other) for r in found.collect()) == want
+    store = spark.sparkContext._jsc.sc().statusStore()
+    listed = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    total = lambda x: sum(x.apply(i).shuffleWriteRecords() for i in range(x.size()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = total(listed())
+        boxes.near(a, b, ["page"], 20.0, ("x", "y"), ("u", "v")).count()
+        assert total(listed()) - before < 4 * len(points) + 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_band_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    from brindle.plans import QUERIES, relational
+
+    monkeypatch.setattr(relational, "BAND", 100)
+    spark.range(1000).selectExpr("id div 5 AS l_orderkey", "id % 5 AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["context_band"](spark, str(tmp_path))
+    assert "hashpartitioning(l_orderkey" in found._jdf.queryExecution().toString() and found.rdd.getNumPartitions() == 10
+    assert sorted((r.l_linenumber, r.near) for r in found.where("l_orderkey = 3").collect()) == [(0, 2), (1, 3), (2, 4), (3, 3), (4, 2)]

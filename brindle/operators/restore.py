@@ -6,7 +6,7 @@ row, where a merged text is cut along an offset map."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, StringType
 ESCAPED = frozenset("\\`*_{}[]()#+-.!$<>|")
 GAPS = ("header", "footer", "page_number", "image", "chart", "table", "code", "aside_text", "page_footnote")
 MOST = 64
+#: Texts that are Python's strings at once.
+TEXTS = 256
 
 
 def offset_map(raw: str) -> tuple[str, np.ndarray]:
@@ -60,10 +62,14 @@ def slices(raw: str, parts: list[str], hyphens: bool = False) -> list[str] | Non
     return found if at == len(plain) and all(f.count("\\") >= p.count("\\") for f, p in zip(found, parts)) else None
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def merged_slices(texts: pd.Series, parts: pd.Series) -> pd.Series:
-    """slices() with hyphens, of texts that are merged from parts; null where it has none."""
-    return pd.Series([None if t is None or p is None or any(x is None for x in p) else slices(t, list(p), True) for t, p in zip(texts, parts)], dtype=object)
+@F.arrow_udf(ArrayType(StringType()))
+def merged_slices(texts: pa.Array, parts: pa.Array) -> pa.Array:
+    """slices() with hyphens, of texts that are merged from parts; null where it has none. A batch stays in Arrow but for TEXTS of it."""
+    out = [pa.array([], pa.list_(pa.string()))]
+    for first in range(0, len(texts), TEXTS):
+        rows = zip(texts.slice(first, TEXTS).to_pylist(), parts.slice(first, TEXTS).to_pylist())
+        out.append(pa.array([None if t is None or p is None or None in p else slices(t, p, True) for t, p in rows], out[0].type))
+    return pa.concat_arrays(out)
 
 
 def restored_paragraphs(items: DataFrame) -> DataFrame:

@@ -66,3 +66,15 @@ def test_two_parsers_in_one_order(spark):
     other = spark.createDataFrame([(1, "a", 1, 0, "before"), (1, "a", 2, 12, "mid  two"), (1, "a", 3, 10, "pic"), (1, "a", 4, None, "?"), (1, "c", 5, 1, "c"), (1, "a", 6, 5, "five")], fields)
     got = sorted((r.sheet, r.place_in_sheet or 0, r.origin, r.place, r.conflict) for r in restore.ordered_union(native, other).collect())
     assert got == [("a", 1, "other", 1, None), ("a", 2, "native", 1, None), ("a", 3, "other", 6, None), ("a", 4, "native", 2, None), ("a", 5, "native", 3, None), ("a", 6, "other", 3, None), ("a", 7, "other", 2, "same text"), ("a", 8, "other", 4, "no anchor"), ("b", 1, "native", 4, None), ("c", 0, "other", 5, "no sheet")]
+
+
+def test_merged_texts_stay_in_arrow(monkeypatch):
+    """Few texts of a batch are Python's at once; nulls and texts that aren't of their parts have none."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(restore, "TEXTS", 2)
+    rows = [("one two", ["one", "two"]), (None, ["x"]), ("x", None), ("x", ["x", None]), ("x", []), ("other", ["one"]), ("日 b", ["日", "b"])]
+    texts, parts = (pa.array([r[i] for r in rows], kind) for i, kind in ((0, pa.string()), (1, pa.list_(pa.string()))))
+    want = [["one ", "two"], None, None, None, None, None, ["日 ", "b"]]
+    assert restore.merged_slices.func(texts, parts).to_pylist() == want
+    assert restore.merged_slices.func(texts.slice(0, 0), parts.slice(0, 0)).to_pylist() == []

@@ -159,3 +159,31 @@ def test_a_batch_shuffles_documents_once(spark, corpus, tmp_path, monkeypatch, f
     monkeypatch.setattr(lexical, "BATCH", 100)
     monkeypatch.setattr(lexical, "CELLS", 512)
     assert sorted(map(tuple, index.batch_top_k(queries, 3).collect())) == sorted(map(tuple, rows))
+
+
+def shuffled_rows(spark, run):
+    """Rows that the stages of a run have put into shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    listed = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    total = lambda x: sum(x.apply(i).shuffleWriteRecords() for i in range(x.size()))
+    before = total(listed())
+    run()
+    return total(listed()) - before
+
+
+def test_an_index_shuffles_documents_and_no_terms(spark, corpus, tmp_path):
+    """Documents meet once in their blocks; then only a term's maxima in a block are shuffled, not its documents."""
+    docs = spark.read.parquet(corpus)
+    made = []
+    rows = shuffled_rows(spark, lambda: made.append(lexical.build(docs, str(tmp_path / "i"), id="doc_id")))
+    assert rows < 4 * docs.count() < made[0]._postings().count()
+
+
+def test_postings_are_the_counts_of_each_document(spark, tmp_path):
+    texts = {"a": "One two one 1,000 数据库", "b": "", "c": None, "é": "two " * 300, "d": "Straße two"}
+    index = lexical.build(spark.createDataFrame(list(texts.items()), "name string, text string"), str(tmp_path / "i"), id="name")
+    got = {(r.name, r.term): (r.tf, r.doc_len) for r in index._postings().selectExpr("name", "term", "tf", "doc_len").collect()}
+    chinese = {("a", t): (1, 9) for t in ("two", "1000", "数", "据", "库", "数据", "据库")}
+    assert got == chinese | {("a", "one"): (2, 9), ("é", "two"): (300, 300), ("d", "strasse"): (1, 2), ("d", "two"): (1, 2)}
+    assert index.documents == 5 and index.tokens == 311
+    assert {r.term: r.df for r in index.document_frequencies().collect()}["two"] == 3

@@ -187,3 +187,14 @@ def test_postings_are_the_counts_of_each_document(spark, tmp_path):
     assert got == chinese | {("a", "one"): (2, 9), ("é", "two"): (300, 300), ("d", "strasse"): (1, 2), ("d", "two"): (1, 2)}
     assert index.documents == 5 and index.tokens == 311
     assert {r.term: r.df for r in index.document_frequencies().collect()}["two"] == 3
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_a_batch_shuffles_no_postings(spark, corpus, tmp_path, monkeypatch, few):
+    """Postings lie by block; queries and bests are shuffled alone."""
+    for name, value in (("BLOCK", 250), ("FIRST", 1), ("FEW", few)):
+        monkeypatch.setattr(lexical, name, value)
+    index = lexical.index_of_files(spark, corpus, str(tmp_path), id="doc_id")
+    queries = spark.createDataFrame([(i, f"w0 w1 w{i + 2}") for i in range(5)], "query_id long, text string")
+    assert index.postings(["w0", "w1"]).count() > 3000
+    assert shuffled_rows(spark, lambda: index.batch_top_k(queries, 3).collect()) < 3000

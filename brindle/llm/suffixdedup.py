@@ -7,24 +7,28 @@ smallest document: of slices with the same run only the one of the smallest docu
 So a passage of any number of copies is one text, before any text is shuffled. Runs that have different ones under their key go to
 the shard of the key.
 
-A shard's text gets a suffix array by Larsson-Sadakane refinement: groups of equal prefixes of 8 bytes, then those of more than one
-suffix are sorted by the rank of what follows, which doubles the prefix, until all stand alone. Kasai's common prefixes, walked along
-all runs side by side, tell which neighbours in the array share a window. A shard with more text than MEMBER is cut into members
-with arrays of their own, whose classes of windows find each other by binary search. The smallest document of a class keeps its
-window, the others' go. Equal windows have one key and so one shard: arrays of different shards have no window in common, and
-merging them across shards means merging those members.
+A shard's text gets a sparse suffix array, of the suffixes that begin windows: sorted by their first 8 bytes, then groups of more than
+one by the next 8, up to WINDOW, until all stand alone. Common prefixes of neighbours, compared side by side, tell which share a
+window. A shard with more text than MEMBER is cut into members with arrays of their own, whose classes of windows find each other
+by binary search. The smallest document of a class keeps its window, the others' go. Equal windows have one key and so one shard:
+arrays of different shards have no window in common, and merging them across shards means merging those members.
 
 A key whose different runs have more text than MEMBER is hot: its windows are dealt one by one, by a hash of the whole window, so that
 no shard gets all of them and equal ones still meet.
+
+Keys and runs go between tasks as rows of many: a task gathers those of its slices, up to KEYS keys or DEAL bytes of runs, and makes a
+row for each part or shard, with numbers as bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ WINDOW, GRAM = 50, 16
 MEMBER = 8 << 20
 #: Bytes of text in a bucket of slices where there are more than the session's partitions, and how many partitions there are at most.
 BUCKET, MOST_PARTS = 32 << 20, 100_000
+#: Keys, and bytes of runs or slices of text, that a task gathers before it deals them out: a row for each part or shard.
+KEYS, DEAL, DEAL_SLICES = 1 << 20, 4 << 20, 32
 _LAST = np.iinfo(np.int64).max
 
 
@@ -73,36 +79,37 @@ def runs(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple
     return low[first].view(np.int64), text, first, end
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions in the order of the suffixes that begin there."""
+def suffix_array(text: np.ndarray, at: np.ndarray | None = None, depth: int | None = None) -> np.ndarray:
+    """Positions in the order of the suffixes that begin there: all of them, or those in at; by their first depth bytes, if it is given."""
     n = len(text)
-    word = _eights(text)
-    order = np.argsort(word, kind="stable")
-    new = np.ones(n, bool)
-    new[1:] = word[order[1:]] != word[order[:-1]]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = group
-    h = 8
-    while True:
+    words = np.append(_eights(text), np.uint64(0))
+    order = np.arange(n) if at is None else at
+    order = order[np.argsort(words[order])]
+    word = words[order]
+    new = np.append(True, word[1:] != word[:-1])[: len(order)]
+    for h in range(8, n if depth is None else depth, 8):
         # Places in the array of groups with more than one suffix; the others are where they belong.
-        alone = new & np.append(new[1:], True)
-        at = np.flatnonzero(~alone)
-        if not len(at):
+        live = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(live):
             break
-        suffix = order[at]
-        behind = rank[np.minimum(suffix + h, n)] + 1
-        by = np.argsort(group[at] * (n + 1) + behind, kind="stable")
-        order[at] = suffix[by]
-        behind = behind[by]
-        new[at[1:]] |= (behind[1:] != behind[:-1]) | (group[at][1:] != group[at][:-1])
-        group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order[at]] = group[at]
-        h *= 2
+        suffix, group = order[live], np.cumsum(new[live])
+        word = words[np.minimum(suffix + h, n)]
+        by = _by_group(group, word)
+        order[live], word = suffix[by], word[by]
+        new[live[1:]] |= word[1:] != word[:-1]
+    if depth is None and not new.all():  # equal but for zeros at the end of the text: the shorter one is first
+        order = order[np.lexsort((-order, np.cumsum(new)))]
     return order
 
 
+def _by_group(group: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order of group, then word."""
+    by = np.argsort(word)
+    ranks = np.empty(len(word), np.int64)
+    ranks[by] = np.cumsum(np.append(False, word[by][1:] != word[by][:-1]))
+    return np.argsort(group * (ranks[by[-1]] + 1) + ranks)
+
+
 def _eights(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as one number that compares as they do; zeros behind the text."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
@@ -113,37 +120,26 @@ _LEAD = np.array([1 << (64 - 8 * k) for k in range(1, 8)], np.uint64)  # below i
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, first: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
-    """For each position in first[i]:end[i]: how many bytes it shares with the one before it in order, up to most; 0 elsewhere. Kasai's
-    way: a position shares at least one byte less than its left neighbour does. All runs are walked side by side, eight bytes a step."""
+    """For each position in first[i]:end[i]: how many bytes it shares with the one before it in order, up to most; 0 elsewhere. All
+    are compared side by side, eight bytes a step."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    eights = np.append(_eights(text), np.zeros(most + 8, np.uint64))
-    out = np.zeros(n, np.int32)
-    live = np.argsort(first - end, kind="stable")  # the longest runs first, so that live ones stay together
-    shared = np.zeros(len(first), np.int64)
-    length, step = (end - first)[live], 0
-    at = first[live]
-    while True:
-        m = int(np.searchsorted(-length, -step, "left"))  # runs longer than step
-        if not m:
-            return out
-        i = at[:m] + step
-        j = before[i]
-        h = np.maximum(shared[:m] - 1, 0)
-        go = np.flatnonzero(j >= 0)
-        while len(go):
-            x = eights[i[go] + h[go]] ^ eights[j[go] + h[go]]
-            ended = x != 0
-            last = go[ended]
-            h[last] += 7 - np.searchsorted(_LEAD[::-1], x[ended], "right")
-            go = go[~ended]
-            h[go] += 8
-            go = go[h[go] < most]
-        h = np.where(j < 0, 0, np.minimum(np.minimum(h, most), n - np.maximum(i, j)))
-        out[i] = h
-        shared[:m] = h
-        step += 1
+    words, out = _eights(text), np.zeros(n, np.int32)
+    inside = np.zeros(n + 1, np.int32)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, end, -1)
+    place = np.flatnonzero(np.cumsum(inside)[order[1:]])
+    i, j = order[place + 1], order[place]
+    room = np.minimum(most, n - np.maximum(i, j))
+    shared, live, h = np.zeros(len(i), np.int64), np.arange(len(i)), 0
+    while len(live):
+        x = words[i[live] + h] ^ words[j[live] + h]
+        ended = x != 0
+        shared[live[ended]] = h + 7 - np.searchsorted(_LEAD[::-1], x[ended], "right")
+        live, h = live[~ended], h + 8
+        shared[live] = h
+        live = live[h < room[live]]
+    out[i] = np.minimum(shared, room)
+    return out
 
 
 def _words(text: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -194,22 +190,21 @@ class Member:
         lengths = lengths[self.kind]
         self.end = np.cumsum(lengths)
         self.begin = self.end - lengths
-        text = text[np.repeat(begin[self.kind] - self.begin, lengths) + np.arange(int(lengths.sum()))]
-        order = suffix_array(text)
-        shared = common_prefixes(text, order, self.begin, self.end, window)
+        text = _gathered(text, begin[self.kind], lengths)
         start = np.zeros(len(text) + 1, np.int32)
         start[self.begin] += 1
         start[self.end - window + 1] -= 1
-        is_window = np.cumsum(start)[:-1] > 0
-        # Suffixes at the ends of runs stand among the windows; what they share with both neighbours the windows share too.
-        kind = np.cumsum(shared[order] < window)[is_window[order]]
-        windows = order[is_window[order]]
-        new = np.diff(kind, prepend=-1) != 0
-        first, kept_class = np.flatnonzero(new), np.cumsum(new) - 1
+        self.windows = suffix_array(text, np.flatnonzero(np.cumsum(start)[:-1]), window)
+        new = common_prefixes(text, self.windows, self.begin, self.end - window + 1, window)[self.windows] < window
+        first, self.window_class = np.flatnonzero(new), np.cumsum(new) - 1
         run = np.repeat(np.arange(len(lengths)), lengths)
-        self.rows = _words(text, windows[first], window)
-        self.least = np.minimum.reduceat(self.low[run[windows]], first) if len(first) else np.zeros(0, np.int64)
-        self.windows, self.window_class = windows, kept_class
+        self.least = np.minimum.reduceat(self.low[run[self.windows]], first) if len(first) else np.zeros(0, np.int64)
+        self._text, self._first, self._window = text, self.windows[first], window
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """A window of each class."""
+        return _words(self._text, self._first, self._window)
 
     def meet(self, other: "Member") -> None:
         """Learns of the other's documents."""
@@ -233,6 +228,12 @@ class Member:
         return run, b - (total - lengths)[run], e - (total - lengths)[run]
 
 
+def _gathered(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches that begin there, one after another."""
+    end = np.cumsum(lengths)
+    return text[np.repeat(begin - (end - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+
 def _run_hashes(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(_LETTER[text] * powers(_FACTOR, len(text)), out=sums[1:])
@@ -266,19 +267,57 @@ def _opened(batch: pa.RecordBatch, i: int) -> tuple[int, list, np.ndarray, np.nd
     return batch.column("slice")[i].as_py(), ids, np.array([_LAST if x is None else x for x in ids], np.int64), offsets, np.frombuffer(batch.column("bytes")[i].as_py(), np.uint8)
 
 
-def _keys(window: int, gram: int):
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """values[edges[i]:edges[i + 1]] as the bytes of row i."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """What _binary() has made: the values of all rows and their edges."""
+    data, offsets = utf8(column)
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def _grouped(by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that has equal numbers together, those numbers once each, and the edges of their groups."""
+    order = np.argsort(by.astype(np.uint16) if len(by) and 0 <= by.min() and by.max() < 1 << 16 else by, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(by[order], prepend=~by[order][:1])), len(by))
+    return order, by[order][edges[:-1]], edges
+
+
+#: Columns of the rows of keys; many of them are one row of bytes between tasks.
+_KEYED = {"key": np.int64, "only": np.int64, "doc": np.int64, "slice": np.int64, "code": np.int8}
+
+
+def _keys(window: int, gram: int, parts: int):
+    """The keys of some slices, dealt to parts: a row for each part."""
+
+    def of_slice(number, docs, offsets, data) -> tuple[np.ndarray, ...]:
+        key, text, begin, end = runs(data, offsets, window, gram)
+        order = np.lexsort((docs[text], key))
+        key, doc, begin, end = key[order], docs[text][order], begin[order], end[order] + window - 1
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
+        last = np.append(first[1:], len(key)) - 1
+        many = doc[first] != doc[last] if len(key) else np.zeros(0, bool)
+        weight, only = _contents(data, begin, end, first)
+        return key[first], only, doc[first], np.full(len(first), number, np.int64), (2 * weight + many).astype(np.int8)
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held)]
+        order, part, edges = _grouped((mix64(columns[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(part), *(_binary(x[order], edges) for x in columns)], ["part", *_KEYED])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 number, _, docs, offsets, data = _opened(batch, i)
-                key, text, begin, end = runs(data, offsets, window, gram)
-                order = np.lexsort((docs[text], key))
-                key, doc, begin, end = key[order], docs[text][order], begin[order], end[order] + window - 1
-                first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-                last = np.append(first[1:], len(key)) - 1
-                many = doc[first] != doc[last] if len(key) else np.zeros(0, bool)
-                weight, only = _contents(data, begin, end, first)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first], only, doc[first], np.full(len(first), number, np.int64), (2 * weight + many).astype(np.int8))], ["key", "only", "doc", "slice", "code"])
+                held.append(of_slice(number, docs, offsets, data))
+                if sum(len(x[0]) for x in held) >= KEYS:
+                    yield dealt(held)
+                    held = []
+        if held:
+            yield dealt(held)
 
     return run
 
@@ -382,13 +421,58 @@ def _with_end(batches):
     yield None
 
 
-_RUNS = "slice long, shard long, run_text binary, lengths array<int>, docs array<long>, texts array<int>, begins array<int>, of array<int>, gone boolean"
+def _marked(most: int):
+    """A part's keys, put in order and given to _shared(): for each slice its keys and what it does with them, hot ones CUT, how many go
+    to shards, and (in one row of the part) the bytes of its hot keys. A part is about BUCKET / 2 bytes of text, some 40 MB of rows;
+    a key has a row for each slice at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[_numbers(batch.column(c), kind)[0] for c, kind in _KEYED.items()] for batch in batches]
+        if not held:
+            return
+        columns = [np.concatenate(x) for x in zip(*held)]
+        order = np.argsort(columns[0])
+        columns = [x[order] for x in columns]
+        new = np.append(True, columns[0][1:] != columns[0][:-1])
+        alone = new & np.append(new[1:], True)
+        columns = [x[~alone | (columns[4] & 1 > 0)] for x in columns]  # the others are of one document
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        found = list(_shared(most)(iter([pa.RecordBatch.from_arrays([pa.array(x[order]) for x in columns], list(_KEYED))])))
+        key, number, kind = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in found]) for c in ("key", "slice", "kind"))
+        hot = number < 0
+        weight = -int(number[hot].sum())
+        kind = np.where((kind == SHIP) & np.isin(key, key[hot]), CUT, kind).astype(np.int8)
+        key, number, kind = key[~hot], number[~hot], kind[~hot]
+        if not len(key):
+            return
+        order, own, edges = _grouped(number)
+        ships = np.add.reduceat(np.isin(kind[order], (SHIP, CUT)).astype(np.int64), edges[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(own), _binary(key[order], edges), _binary(kind[order], edges), pa.array(ships), pa.array(np.append(weight, np.zeros(len(ships) - 1, np.int64)))], ["slice", "keys", "kinds", "ships", "weight"])
+
+    return run
+
+
+#: Rows of runs: of a shard those of some slices, a list of numbers as bytes; without a shard (-1) stretches of a slice that go.
+_LISTS = {"lengths": np.int32, "docs": np.int64, "slices": np.int64, "texts": np.int32, "begins": np.int32, "of": np.int32}
+_RUNS = "slice long, shard long, run_text binary, " + ", ".join(f"{c} binary" for c in _LISTS)
+
+
+def _run_rows(slice_: np.ndarray, shard: np.ndarray, text: np.ndarray, text_edges: np.ndarray, **lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """lists: values and edges; those not given are empty."""
+    none = np.zeros(0, np.int64), np.zeros(len(shard) + 1, np.int64)
+    columns = (lists.get(c, none) for c in _LISTS)
+    return pa.RecordBatch.from_arrays([pa.array(slice_), pa.array(shard), _binary(text, text_edges), *(_binary(x.astype(kind), edges) for (x, edges), kind in zip(columns, _LISTS.values()))], ["slice", "shard", "run_text", *_LISTS])
+
+
+def _gone(number: int, texts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    one = np.array([0, len(texts)])
+    return _run_rows(np.array([number]), np.array([-1]), np.zeros(0, np.uint8), np.zeros(2, np.int64), lengths=(ends - begins, one), texts=(texts, one), begins=(begins, one))
 
 
 def _members(window: int, gram: int, shards: int, hot_shards: int):
-    """Of each slice: rows of the runs whose keys are shared, by shard; one text for equal runs, with their smallest document. Equal runs
-    of larger documents go whole (gone). Runs of hot keys (cut) are cut into their windows; these rows have each text once for
-    a document, and of tells which one stands at each of texts and begins."""
+    """Of some slices: rows of the runs whose keys are shared, by shard; of a slice one text for equal runs, with their smallest document.
+    Equal runs of larger documents go whole. Runs of hot keys (CUT) are cut into their windows; these rows have each text once for
+    a document and slice, and of tells which one stands at each of slices, texts and begins."""
 
     def windows(number: int, docs, offsets, data, text, first, end) -> Iterator[pa.RecordBatch]:
         counts = end - first
@@ -401,69 +485,90 @@ def _members(window: int, gram: int, shards: int, hot_shards: int):
         lead = np.maximum.accumulate(np.where(np.diff(hashes, prepend=~hashes[:1]) != 0, np.arange(len(at)), 0))
         same = (rows == rows[lead]).all(1)
         gone = same & (doc > doc[lead])
-        yield _row(number, -1, b"", *_joined(text[gone], begin[gone], window, lengths=True), True)
+        yield _gone(number, *_joined(text[gone], begin[gone], window))
         of = np.where(same, lead, np.arange(len(at)))
         left = np.flatnonzero(~gone)
         shard = shards + (mix64(hashes) % np.uint64(max(hot_shards, 1))).astype(np.int64)
         left = left[np.lexsort((of[left], shard[left]))]
+        new = np.append(True, (np.diff(of[left]) != 0) | (np.diff(shard[left]) != 0))[: len(left)]
+        kinds = of[left[new]]
         edges = np.append(np.flatnonzero(np.diff(shard[left], prepend=-1)), len(left))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            own = left[lo:hi]
-            kinds, which = np.unique(of[own], return_inverse=True)
-            taken = data[at[kinds][:, None] + np.arange(window)].tobytes()
-            yield _row(number, int(shard[own[0]]), taken, np.full(len(kinds), window), doc[kinds], text[own], begin[own], False, which.reshape(-1))
+        before = np.append(0, np.cumsum(new))  # kinds that come before a place
+        which = before[1:] - 1 - np.repeat(before[edges[:-1]], np.diff(edges))
+        own, taken = before[edges], data[at[kinds][:, None] + np.arange(window)].reshape(-1)
+        yield _run_rows(np.full(len(edges) - 1, number), shard[left[edges[:-1]]], taken, own * window, lengths=(np.full(len(kinds), window), own), docs=(doc[kinds], own), slices=(np.full(len(left), number), edges), texts=(text[left], edges), begins=(begin[left], edges), of=(which, edges))
+
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        base = np.cumsum([0, *(len(x[0]) for x in held)])
+        shard, number, doc, text, begin, first, lengths = (np.concatenate(x) for x in zip(*(x[1:] for x in held)))
+        first = first + np.repeat(base[:-1], [len(x[1]) for x in held])
+        order, at, edges = _grouped(shard)
+        size = np.append(0, np.cumsum(lengths[order]))
+        return _run_rows(np.zeros(len(at), np.int64), at, _gathered(np.concatenate([x[0] for x in held]), first[order], lengths[order]), size[edges], **{c: (x[order], edges) for c, x in (("lengths", lengths), ("docs", doc), ("slices", number), ("texts", text), ("begins", begin))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
+            lists = batch.column("wanted")
+            (keys, at), (kinds, _) = (_numbers(lists.flatten().field(k), kind) for k, kind in enumerate((np.int64, np.int8)))
+            at = at[_edges(lists)]
             for i in range(batch.num_rows):
                 number, _, docs, offsets, data = _opened(batch, i)
                 key, text, first, end = runs(data, offsets, window, gram)
                 end = end + window - 1
-                lost = np.isin(key, batch.column("lost")[i].values.to_numpy())
-                own = np.flatnonzero(np.isin(key, batch.column("own")[i].values.to_numpy()))
+                kind = _looked_up(key, keys[at[i] : at[i + 1]], kinds[at[i] : at[i + 1]])
+                lost = kind == LOST
+                own = np.flatnonzero(kind == OWN)
                 own = own[np.lexsort((docs[text[own]], key[own]))]
                 head = np.maximum.accumulate(np.where(np.append(True, key[own][1:] != key[own][:-1])[: len(own)], np.arange(len(own)), 0))
                 lost[own[docs[text[own]] > docs[text[own]][head]]] = True
-                texts, begins, ends = _merged(text[lost], first[lost] - offsets[text[lost]], end[lost] - offsets[text[lost]])
-                yield _row(number, -1, b"", ends - begins, docs[:0], texts, begins, True)
-                keep = np.isin(key, batch.column("keys")[i].values.to_numpy())
+                yield _gone(number, *_merged(text[lost], first[lost] - offsets[text[lost]], end[lost] - offsets[text[lost]]))
+                if (cut := kind == CUT).any():
+                    yield from windows(number, docs, offsets, data, text[cut], first[cut], end[cut] - window + 1)
+                keep = kind == SHIP
                 key, text, first, end = key[keep], text[keep], first[keep], end[keep]
                 if not len(key):
                     continue
-                if (cut := np.isin(key, batch.column("cut")[i].values.to_numpy())).any():
-                    yield from windows(number, docs, offsets, data, text[cut], first[cut], end[cut] - window + 1)
-                    key, text, first, end = key[~cut], text[~cut], first[~cut], end[~cut]
-                    if not len(key):
-                        continue
-                doc = docs[text]
-                order = np.lexsort((first, doc, _run_hashes(data, first, end - first)))
-                hashes = _run_hashes(data, first, end - first)[order]
+                doc, hashes = docs[text], _run_hashes(data, first, end - first)
+                order = np.lexsort((first, doc, hashes))
+                hashes = hashes[order]
                 lead = np.maximum.accumulate(np.where(np.diff(hashes, prepend=~hashes[:1]) != 0, np.arange(len(order)), 0))
                 a, b = order, order[lead]
                 same = (a != b) & (doc[a] > doc[b]) & (end[a] - first[a] == end[b] - first[b])
-                same &= _equal(data, first[a], first[b], np.where(same, end[a] - first[a], 0))
+                a, b = a[same], b[same]
                 gone = np.zeros(len(key), bool)
-                gone[a[same]] = True
+                gone[a[_equal(data, first[a], first[b], end[a] - first[a])]] = True
                 begin = first - offsets[text]
-                yield _row(number, -1, b"", end[gone] - first[gone], doc[:0], text[gone], begin[gone], True)
-                shard = (mix64(key.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-                rest = np.flatnonzero(~gone)
-                rest = rest[np.argsort(shard[rest], kind="stable")]
-                for own in np.split(rest, np.flatnonzero(np.diff(shard[rest])) + 1):
-                    if len(own):
-                        yield _row(number, int(shard[own[0]]), b"".join(data[f:e].tobytes() for f, e in zip(first[own].tolist(), end[own].tolist())), end[own] - first[own], doc[own], text[own], begin[own], False)
+                yield _gone(number, text[gone], begin[gone], begin[gone] + end[gone] - first[gone])
+                rest = ~gone
+                shard = (mix64(key[rest].view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                held.append((data, shard, np.full(len(shard), number), doc[rest], text[rest], begin[rest], first[rest], end[rest] - first[rest]))
+                size += int(held[-1][-1].sum())
+                if size >= DEAL or len(held) >= DEAL_SLICES:
+                    yield dealt(held)
+                    held, size = [], 0
+        if held:
+            yield dealt(held)
 
     return run
 
 
-def _joined(texts: np.ndarray, begins: np.ndarray, window: int, lengths: bool = False) -> tuple[np.ndarray, ...]:
-    """texts, begins and ends of the stretches that windows at these places cover; with lengths: these, no documents, texts, begins."""
+def _looked_up(key: np.ndarray, keys: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The kind of each key, -1 if it isn't among keys."""
+    if not len(keys):
+        return np.full(len(key), -1, np.int8)
+    order = np.argsort(keys)
+    at = order[np.minimum(np.searchsorted(keys, key, sorter=order), len(keys) - 1)]
+    return np.where(keys[at] == key, kinds[at], -1)
+
+
+def _joined(texts: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """texts, begins and ends of the stretches that windows at these places cover."""
     by = np.lexsort((begins, texts))
     texts, begins = texts[by], begins[by]
     first = np.flatnonzero((np.diff(texts, prepend=-1) != 0) | (np.diff(begins, prepend=-2) != 1))
     ends = begins[np.append(first[1:], len(begins))[: len(first)] - 1] + window
-    texts, begins = texts[first], begins[first]
-    return (ends - begins, texts[:0], texts, begins) if lengths else (texts, begins, ends)
+    return texts[first], begins[first], ends
 
 
 def _merged(texts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -477,95 +582,113 @@ def _merged(texts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     return texts[first], begins[first], reach[last] - texts[first] * far
 
 
-def _row(number: int, shard: int, run_text: bytes, lengths, docs, texts, begins, gone: bool, of=()) -> pa.RecordBatch:
-    listed = lambda x, t: pa.array([np.asarray(x).tolist()], pa.list_(t))
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([shard], pa.int64()), pa.array([run_text], pa.binary()), listed(lengths, pa.int32()), listed(docs, pa.int64()), listed(texts, pa.int32()), listed(begins, pa.int32()), listed(of, pa.int32()), pa.array([gone])], ["slice", "shard", "run_text", "lengths", "docs", "texts", "begins", "of", "gone"])
-
-
-_LISTS = ("lengths", "docs", "texts", "begins", "of")
-
-
-def _read(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Rows of runs, their lists as arrays."""
-    lists = {}
-    for c in _LISTS:
-        column = batch.column(c)
-        lists[c] = column.offsets.to_numpy(), column.values.to_numpy().astype(np.int64)
-    number, shard, gone, run_text = (batch.column(c) for c in ("slice", "shard", "gone", "run_text"))
-    for i, (n, s, g) in enumerate(zip(number.to_pylist(), shard.to_pylist(), gone.to_pylist())):
-        yield {"slice": n, "shard": s, "gone": g, "run_text": run_text[i].as_py()} | {c: v[o[i] : o[i + 1]] for c, (o, v) in lists.items()}
-
-
 def _searched(window: int, most: int):
     """Rows in the order of their shards: slice, and texts, begins and ends of the stretches of bytes to remove."""
 
-    def shard(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        members, parts, size = [], [[]], 0
-        for r in rows:
-            if size + len(r["run_text"]) > most and parts[-1]:
-                parts.append([])
-                size = 0
-            parts[-1].append(r)
-            size += len(r["run_text"])
-        for part in parts:
-            members.append(Member(np.frombuffer(b"".join(r["run_text"] for r in part), np.uint8), *(np.concatenate([r[c] for r in part]) for c in ("lengths", "docs")), window))
+    def shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        text, text_edges = _numbers(rows.column("run_text"), np.uint8)
+        lists = {c: _numbers(rows.column(c), kind) for c, kind in _LISTS.items()}
+        # Parts of a shard with most bytes of text, if one row hasn't more.
+        cuts, begin = [0], 0
+        for i in range(1, rows.num_rows):
+            if text_edges[i + 1] - text_edges[begin] > most:
+                cuts.append(i)
+                begin = i
+        cuts.append(rows.num_rows)
+        members = []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            lengths, docs = (x[e[lo] : e[hi]].astype(np.int64) for x, e in (lists["lengths"], lists["docs"]))
+            members.append(Member(text[text_edges[lo] : text_edges[hi]], lengths, docs, window))
         for a in members:
             for b in members:
                 if a is not b:
                     a.meet(b)
-        for part, member in zip(parts, members):
+        for lo, hi, member in zip(cuts[:-1], cuts[1:], members):
             run, begin, end = member.gone()
-            total = np.cumsum([len(r["lengths"]) for r in part])
-            stop = np.searchsorted(run, total, "left").tolist()
-            for r, lo, hi, before in zip(part, [0, *stop], stop, [0, *total.tolist()]):
-                if hi > lo:
-                    at, texts, begins = run[lo:hi] - before, r["texts"], r["begins"]
-                    if len(r["of"]):
-                        goes = np.isin(r["of"], at)
-                        yield _stretches(r["slice"], *_joined(texts[goes], begins[goes], window))
-                    else:
-                        yield _stretches(r["slice"], texts[at], begins[at] + begin[lo:hi], begins[at] + end[lo:hi] + window - 1)
+            if not len(run):
+                continue
+            run_edges, edges, of_edges = (lists[c][1][lo : hi + 1] for c in ("lengths", "texts", "of"))
+            number, texts, begins = (lists[c][0][edges[0] : edges[-1]].astype(np.int64) for c in ("slices", "texts", "begins"))
+            if of_edges[0] == of_edges[-1]:  # every run stands where its row says
+                yield _stretches(number[run], texts[run], begins[run] + begin, begins[run] + end + window - 1)
+                continue
+            # Rows with of have windows, each at one or several places; a run of the others is one place.
+            cut = np.repeat(np.diff(of_edges) > 0, np.diff(edges))
+            of = np.repeat(run_edges[:-1] - run_edges[0] - (edges[:-1] - edges[0]) * (np.diff(of_edges) == 0), np.diff(edges)) + np.where(cut, 0, np.arange(len(cut)))
+            of[cut] += lists["of"][0][of_edges[0] : of_edges[-1]]
+            goes = cut & np.isin(of, run)
+            order, own, bounds = _grouped(number[goes])
+            for k, n in enumerate(own.tolist()):
+                at = np.flatnonzero(goes)[order[bounds[k] : bounds[k + 1]]]
+                t, b, e = _joined(texts[at], begins[at], window)
+                yield _stretches(np.full(len(t), n), t, b, e)
+            place = np.full(int(run_edges[-1] - run_edges[0]), -1)
+            place[of[~cut]] = np.flatnonzero(~cut)
+            whole = place[run] >= 0
+            at = place[run[whole]]
+            yield _stretches(number[at], texts[at], begins[at] + begin[whole], begins[at] + end[whole] + window - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
+        last = -1
         for batch in batches:
-            for r in _read(batch):
-                if r["gone"]:
-                    if len(r["begins"]):
-                        yield _stretches(r["slice"], r["texts"], r["begins"], r["begins"] + r["lengths"])
+            number = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)] if len(number) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                part = batch.slice(lo, hi - lo)
+                if number[lo] < 0:
+                    (texts, at), (begins, _), (lengths, _) = (_numbers(part.column(c), np.int32) for c in ("texts", "begins", "lengths"))
+                    if len(texts):
+                        yield _stretches(np.repeat(part.column("slice").to_numpy(), np.diff(at)), texts, begins, begins + lengths)
                     continue
-                if held and held[0]["shard"] != r["shard"]:
+                if held and last != number[lo]:
                     yield from shard(held)
                     held = []
-                held.append(r)
+                held.append(part)
+                last = number[lo]
         if held:
             yield from shard(held)
 
     return run
 
 
-def _stretches(number: int, texts, begins, ends) -> pa.RecordBatch:
-    listed = lambda x: pa.array([np.asarray(x).tolist()], pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed(texts), listed(begins), listed(ends)], ["slice", "texts", "begins", "ends"])
+_PLACES = ("texts", "begins", "ends")
+
+
+def _stretches(number: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
+    """A row for each slice."""
+    order, own, edges = _grouped(number)
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *(_binary(x[order].astype(np.int32), edges) for x in places)], ["slice", *_PLACES])
+
+
+def _edges(lists: pa.Array) -> np.ndarray:
+    """Where the lists begin and end in lists.flatten(); null ones are empty."""
+    return np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        found = batch.column("found")
+        places = [_numbers(found.flatten().field(k), np.int32) for k in range(len(_PLACES))]
+        at = places[0][1][_edges(found)]
         for i in range(batch.num_rows):
             _, ids, _, offsets, data = _opened(batch, i)
-            cover = np.zeros(len(data) + 1, np.int32)
-            for r in batch.column("found")[i].as_py() or []:
-                texts = np.array(r["texts"], np.int64)
-                np.add.at(cover, offsets[texts] + r["begins"], 1)
-                np.add.at(cover, offsets[texts] + r["ends"], -1)
+            texts, begins, ends = (x[at[i] : at[i + 1]] for x, _ in places)
+            cover = np.bincount(offsets[texts] + begins, minlength=len(data) + 1) - np.bincount(offsets[texts] + ends, minlength=len(data) + 1)
             gone = np.cumsum(cover)[:-1] > 0
-            out = []
-            for doc, b, e in zip(ids, offsets[:-1].tolist(), offsets[1:].tolist()):
-                g = gone[b:e]
-                edge = np.diff(np.concatenate([[0], g.view(np.int8), [0]]))
-                spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
-                out.append((doc, e - b, int(g.sum()), spans.tolist(), hashlib.sha256(data[b:e][~g].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))], ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
+            filled = offsets[1:] > offsets[:-1]
+            edge = np.zeros(len(data) + 1, bool)  # spans end with their text
+            edge[offsets] = True
+            begin = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone)[:-1]))
+            end = np.flatnonzero(gone & (edge[1:] | ~np.append(gone, False)[1:])) + 1
+            of = np.flatnonzero(filled)[np.searchsorted(offsets[1:][filled], begin, "right")]
+            spans = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(of) + 1, 2, dtype=np.int32)), pa.array(np.stack([begin - offsets[of], end - offsets[of]], 1).reshape(-1)))
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(ids) + 1)).astype(np.int32)), spans)
+            removed = np.append(0, np.cumsum(gone))[offsets]
+            left, kept = memoryview(data[~gone].tobytes()), (offsets - removed).tolist()
+            hashes = [hashlib.sha256(left[b:e]).hexdigest() for b, e in zip(kept[:-1], kept[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), spans, pa.array(hashes, pa.string())], ["doc_id", "n_bytes", "n_removed", "spans", "kept_sha256"])
 
 
 def _dealt(docs: DataFrame, window: int, gram: int, member: int) -> tuple[DataFrame, DataFrame]:
@@ -575,22 +698,17 @@ def _dealt(docs: DataFrame, window: int, gram: int, member: int) -> tuple[DataFr
     parts = lambda each: min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, "slice long, ids array<long>, ends array<long>, bytes binary")
     packed = bucketed(packed, "slice", parts(BUCKET))
-    keyed = packed.mapInArrow(_keys(window, gram), "key long, only long, doc long, slice long, code byte")
-    marked = spill(keyed.repartition(parts(BUCKET // 2), "key").sortWithinPartitions("key", "only", "doc").mapInArrow(_shared(member), "key long, slice long, kind byte"), compression="zstd")
-    # Hot keys, at most one for each MEMBER bytes of weights, as a table of their own: a small one is sent to the rows it marks, a large one isn't.
-    hot = spill(marked.where("slice < 0").groupBy(F.col("key").alias("_hot")).agg(F.sum(-F.col("slice")).alias("weight")))
-    weight = hot.agg(F.sum("weight")).first()[0] or 0
-    shared = marked.where("slice >= 0")
-    text = shared.where(F.col("kind") == SHIP).count() * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
+    n = parts(BUCKET // 2)
+    keyed = packed.mapInArrow(_keys(window, gram, n), "part long, " + ", ".join(f"{c} binary" for c in _KEYED))
+    marked = spill(keyed.repartitionById(n, F.col("part").cast("int")).mapInArrow(_marked(member), "slice long, keys binary, kinds binary, ships long, weight long"), compression="zstd")
+    ships, weight = (x or 0 for x in marked.agg(F.sum("ships"), F.sum("weight")).first())
+    text = ships * 4 * window // 3  # about: a run has some 65 bytes for a window of 50
     shards = max(parts(BUCKET), -(-text * 2 // member))
     hot_shards = -(-weight * window // 3 * 2 // member)  # a run of 65 bytes has some 16 windows
-    if weight:
-        shared = shared.join(hot.select("_hot"), (F.col("key") == F.col("_hot")) & (F.col("kind") == SHIP), "left")
-        shared = shared.select("key", "slice", F.when(F.col("_hot").isNotNull(), CUT).otherwise(F.col("kind")).alias("kind"))
-    listed = lambda *kinds: F.collect_list(F.when(F.col("kind").isin(*kinds), F.col("key")))
-    wanted = shared.groupBy("slice").agg(listed(SHIP, CUT).alias("keys"), listed(CUT).alias("cut"), listed(LOST).alias("lost"), listed(OWN).alias("own")).withColumnRenamed("slice", "_slice")
+    wanted = marked.groupBy("slice").agg(F.collect_list(F.struct("keys", "kinds")).alias("wanted")).withColumnRenamed("slice", "_slice")
     members = packed.join(wanted, F.col("slice") == F.col("_slice")).mapInArrow(_members(window, gram, shards, hot_shards), _RUNS)
-    return packed, members.repartition(min(MOST_PARTS, shards + hot_shards), "shard", F.when(F.col("shard") < 0, F.col("slice"))).sortWithinPartitions("shard")
+    n = min(MOST_PARTS, shards + hot_shards)
+    return packed, members.repartitionById(n, F.expr(f"CAST(IF(shard < 0, slice, shard) % {n} AS INT)")).sortWithinPartitions("shard")
 
 
 def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, member: int = MEMBER) -> DataFrame:
@@ -603,6 +721,6 @@ def repeated_passages(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM
     count as equal where their 64-bit hashes are; all other comparisons are of bytes.
     """
     packed, dealt = _dealt(docs, window, gram, member)
-    found = spill(dealt.mapInArrow(_searched(window, member), "slice long, texts array<int>, begins array<int>, ends array<int>"))
-    stretches = found.groupBy("slice").agg(F.collect_list(F.struct("texts", "begins", "ends")).alias("found")).withColumnRenamed("slice", "_slice")
+    found = spill(dealt.mapInArrow(_searched(window, member), "slice long, " + ", ".join(f"{c} binary" for c in _PLACES)))
+    stretches = found.groupBy("slice").agg(F.collect_list(F.struct(*_PLACES)).alias("found")).withColumnRenamed("slice", "_slice")
     return packed.join(stretches, F.col("slice") == F.col("_slice"), "left").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept_sha256 string")

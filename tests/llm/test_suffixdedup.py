@@ -136,3 +136,46 @@ def test_what_slices_do_with_their_runs():
                     want.append((key, r[3], kind))
             hot += [(key, -shipped, sd.SHIP)] if shipped > 600 else []
         assert sorted(got) == sorted(want + hot), trial
+
+
+def test_rows_are_of_many_slices(spark):
+    """A task deals its slices' keys and runs together: their rows are tasks by shards, not slices by shards."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
+    rows = [(doc, " ".join([rng.choice(texts)[rng.randrange(100) :], rng.choice(texts)])) for doc in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    packed, dealt = sd._dealt(docs, 50, 16, 4000)
+    slices, buckets, runs = packed.count(), 4, dealt.where("shard >= 0").cache()
+    shards = runs.select("shard").distinct().count()
+    assert slices == 40 and shards > 10
+    assert runs.count() <= buckets * shards
+    got = sd.repeated_passages(docs, member=4000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got), key=str) == brute(rows, 50)
+
+
+def test_suffix_array_of_some_positions():
+    """Only windows are sorted, by their own bytes: of text with zeros, periods and copies."""
+    rng = random.Random(4)
+    for text in [b"ab" * 100, b"\0" * 120, bytes(rng.choice(b"ab\0") for _ in range(700)), b"abcab" * 60 + b"x" + b"abcab" * 60, b"z" * 50]:
+        t = np.frombuffer(text, np.uint8)
+        assert sd.suffix_array(t).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        for depth in (50, 20, 8, 5):
+            at = np.array(sorted(rng.sample(range(len(text) - depth + 1), (len(text) - depth) // 2 + 1)))
+            got = sd.suffix_array(t, at, depth)
+            assert sorted(got.tolist()) == at.tolist()
+            heads = [text[i : i + depth] for i in got.tolist()]
+            assert heads == sorted(heads)
+            shared = sd.common_prefixes(t, got, at, at + 1, depth)
+            for i, j, a, b in zip(got, got[1:], heads, heads[1:]):
+                n = next((k for k in range(depth) if a[k] != b[k]), depth)
+                assert shared[j] == n
+            assert shared[np.setdiff1d(np.arange(len(t)), at)].sum() == 0
+
+
+def test_spans_are_of_their_text(spark):
+    """Stretches that touch where texts meet stay two; texts that are empty or go whole between them."""
+    whole = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(1, whole), (2, whole), (3, ""), (4, whole), (5, None), (6, "-" + whole + "-" + whole[:50]), (7, "x" * 20)]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {1: [], 2: [(0, 62)], 3: [], 4: [(0, 62)], 5: [], 6: [(1, 63), (64, 114)], 7: []}

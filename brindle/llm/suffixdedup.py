@@ -229,9 +229,14 @@ class Member:
 
 
 def _gathered(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The stretches that begin there, one after another."""
+    """The stretches that begin there, one after another; positions are made for about DEAL bytes at once."""
     end = np.cumsum(lengths)
-    return text[np.repeat(begin - (end - lengths), lengths) + np.arange(int(lengths.sum()))]
+    out = np.empty(int(end[-1]) if len(end) else 0, text.dtype)
+    cuts = np.unique(np.append(np.searchsorted(end, np.arange(0, len(out), DEAL)), len(end))).tolist()
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        first = int(end[lo] - lengths[lo])
+        out[first : end[hi - 1]] = text[np.repeat(begin[lo:hi] - (end[lo:hi] - lengths[lo:hi]), lengths[lo:hi]) + np.arange(first, int(end[hi - 1]))]
+    return out
 
 
 def _run_hashes(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
